@@ -5,10 +5,11 @@ from __future__ import annotations
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.piece_codec import op6_piece_codec
 from quillspark.llm.token_binary import op5_token_binary
+from quillspark.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op5_token_binary": op5_token_binary, "op6_piece_codec": op6_piece_codec}
+    return {"op1_language_id": op1_language_id, "op5_token_binary": op5_token_binary, "op6_piece_codec": op6_piece_codec, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
