@@ -1,16 +1,33 @@
-"""Registered queries of the corpus operators."""
+"""Registered queries of the corpus operators, with SQL where it can say the same."""
 
 from __future__ import annotations
 
+from quillspark.llm.kd_search import op3_kd_search
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.piece_codec import op6_piece_codec
 from quillspark.llm.token_binary import op5_token_binary
 from quillspark.llm.toxicity import op8_toxicity
 
+OP3_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+           from v as q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 50 = 0),
+     r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 
 def queries() -> dict:
-    return {"op1_language_id": op1_language_id, "op5_token_binary": op5_token_binary, "op6_piece_codec": op6_piece_codec, "op8_toxicity": op8_toxicity}
+    return {
+        "op1_language_id": op1_language_id,
+        "op3_kd_search": op3_kd_search,
+        "op5_token_binary": op5_token_binary,
+        "op6_piece_codec": op6_piece_codec,
+        "op8_toxicity": op8_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_kd_search": OP3_SQL}
