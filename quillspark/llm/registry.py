@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.llm.kd_search import op3_kd_search
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.lm_scoring import op10_lm_scoring
+from quillspark.llm.near_dup import op7_near_dup
 from quillspark.llm.piece_codec import op6_piece_codec
 from quillspark.llm.token_binary import op5_token_binary
 from quillspark.llm.toxicity import op8_toxicity
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op3_kd_search": op3_kd_search,
         "op5_token_binary": op5_token_binary,
         "op6_piece_codec": op6_piece_codec,
+        "op7_near_dup": op7_near_dup,
         "op8_toxicity": op8_toxicity,
         "op10_lm_scoring": op10_lm_scoring,
     }
