@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillspark.llm.decontaminate import op2_decontaminate
 from quillspark.llm.kd_search import op3_kd_search
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.lm_scoring import op10_lm_scoring
@@ -24,6 +25,7 @@ select query_id, rank, vec_id, score from r where rank <= 5
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
+        "op2_decontaminate": op2_decontaminate,
         "op3_kd_search": op3_kd_search,
         "op5_token_binary": op5_token_binary,
         "op6_piece_codec": op6_piece_codec,
