@@ -8,6 +8,7 @@ from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.lm_scoring import op10_lm_scoring
 from quillspark.llm.near_dup import op7_near_dup
 from quillspark.llm.piece_codec import op6_piece_codec
+from quillspark.llm.surrogates import op9_surrogates
 from quillspark.llm.token_binary import op5_token_binary
 from quillspark.llm.toxicity import op8_toxicity
 
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op6_piece_codec": op6_piece_codec,
         "op7_near_dup": op7_near_dup,
         "op8_toxicity": op8_toxicity,
+        "op9_surrogates": op9_surrogates,
         "op10_lm_scoring": op10_lm_scoring,
     }
 
