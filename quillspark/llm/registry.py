@@ -8,6 +8,7 @@ from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.lm_scoring import op10_lm_scoring
 from quillspark.llm.near_dup import op7_near_dup
 from quillspark.llm.piece_codec import op6_piece_codec
+from quillspark.llm.suffix_dedup import op4_suffix_dedup
 from quillspark.llm.surrogates import op9_surrogates
 from quillspark.llm.token_binary import op5_token_binary
 from quillspark.llm.toxicity import op8_toxicity
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_decontaminate": op2_decontaminate,
         "op3_kd_search": op3_kd_search,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_binary": op5_token_binary,
         "op6_piece_codec": op6_piece_codec,
         "op7_near_dup": op7_near_dup,
