@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quillspark.plans import etl, ingest, measures, process, vectors  # noqa: F401  they register their queries
+from quillspark.plans.base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
