@@ -14,8 +14,7 @@ next attempt for all but one of them, until none is left; distinct entities stay
 grow by a letter, so that short formats can't run out. Numbers that can't grow raise after ATTEMPTS rounds.
 
 Texts without an entity pass unchanged, without a shuffle. Null and empty texts pass. Null ids and repeated rows are
-kept. All other columns are kept; n_chars, if there, follows the new text. An extra column named like one of the work
-columns below (they start with `_pii`) raises.
+kept. All other columns are kept, whatever their names; n_chars, if there, follows the new text.
 """
 
 from __future__ import annotations
@@ -131,31 +130,32 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
 def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts; count_column, if named, gets the number of mentions replaced."""
     C.tune(docs.sparkSession)
-    if any(c.startswith("_pii") for c in docs.columns):
-        raise ValueError("columns named _pii... are the operator's own")
+    work = "_pii"
+    while any(c.lower().startswith(work) for c in docs.columns):
+        work = "_" + work
     counted = [count_column] if count_column else []
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     plain = docs.filter(~hinted)
     for c in counted:
         plain = plain.withColumn(c, F.lit(0).cast("bigint"))
-    risky = docs.filter(hinted).withColumn("_pii_id", F.sha2("text", 256))
-    values = risky.select("_pii_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))).alias("value")).distinct()
+    risky = docs.filter(hinted).withColumn(f"{work}_id", F.sha2("text", 256))
+    values = risky.select(f"{work}_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))).alias("value")).distinct()
     kinds = values.withColumn("kind", F.expr(_kind("value"))).filter("kind is not null").withColumn("canon", F.expr(_canon("kind", "value")))
     kinds = C.stage(kinds.filter(f"kind <> 'card' or {_luhn('canon')}"))
     words = dictionary(kinds.select("kind", "canon").distinct(), key)
     side = F.broadcast(words) if words.count() * 200 <= BROADCAST_BYTES else words
     digits = "array_join(transform(sequence(1, length(value)), i -> if(substring(value, i, 1) between '0' and '9', substring(surrogate, length(regexp_replace(left(value, i), '[^0-9]', '')), 1), substring(value, i, 1))), '')"
     shown = f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind <> 'name' and value = upper(value) and value <> lower(value) then upper(surrogate) else surrogate end"
-    per_text = kinds.join(side, ["kind", "canon"]).groupBy("_pii_id").agg(F.map_from_entries(F.collect_set(F.struct("value", F.expr(shown).alias("shown")))).alias("_pii_map"))
-    fixed = risky.join(per_text, "_pii_id", "left")
-    fixed = fixed.withColumn("_pii_found", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).withColumn("_pii_parts", F.split("text", ANY, -1))
-    swapped = "array_join(zip_with(_pii_parts, _pii_found, (p, e) -> concat(p, coalesce(_pii_map[e], e, ''))), '')"
-    fixed = fixed.withColumn("text", F.when(F.col("_pii_map").isNotNull(), F.expr(swapped)).otherwise(F.col("text")))
+    per_text = kinds.join(side, ["kind", "canon"]).groupBy(f"{work}_id").agg(F.map_from_entries(F.collect_set(F.struct("value", F.expr(shown).alias("shown")))).alias(f"{work}_map"))
+    fixed = risky.join(per_text, f"{work}_id", "left")
+    fixed = fixed.withColumn(f"{work}_found", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).withColumn(f"{work}_parts", F.split("text", ANY, -1))
+    swapped = f"array_join(zip_with({work}_parts, {work}_found, (p, e) -> concat(p, coalesce({work}_map[e], e, ''))), '')"
+    fixed = fixed.withColumn("text", F.when(F.col(f"{work}_map").isNotNull(), F.expr(swapped)).otherwise(F.col("text")))
     for c in counted:
-        fixed = fixed.withColumn(c, F.coalesce(F.size(F.filter("_pii_found", lambda e: F.col("_pii_map")[e].isNotNull())).cast("bigint"), F.lit(0).cast("bigint")))
+        fixed = fixed.withColumn(c, F.coalesce(F.size(F.filter(f"{work}_found", lambda e: F.col(f"{work}_map")[e].isNotNull())).cast("bigint"), F.lit(0).cast("bigint")))
         fixed = fixed.withColumn(c, F.greatest(F.col(c), F.lit(0).cast("bigint")))
     if "n_chars" in docs.columns:
-        fixed = fixed.withColumn("n_chars", F.when(F.col("_pii_map").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        fixed = fixed.withColumn("n_chars", F.when(F.col(f"{work}_map").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return plain.unionByName(fixed.select(*docs.columns, *counted))
 
 
