@@ -87,21 +87,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = bench.count()
     keys = bench.withColumnRenamed("size", "bsize")
     side = F.broadcast(keys) if n * 48 <= BROADCAST_BYTES else keys
-    hits = wide.join(side, (wide["key"] == keys["key"]) & (wide["size"] == keys["bsize"])).select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "n_windows")
+    hits = wide.join(side, (wide["key"] == keys["key"]) & (wide["size"] == keys["bsize"])).select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "n_windows", "bsize")
     # repeated rows of a document give the same matches again: distinct positions count
-    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("bpos").alias("at"), F.first("n_windows").alias("n_windows"))
-    candidates = C.stage(lined.withColumn("n_matched", F.size("at")).filter(F.col("n_matched") >= F.col("n_windows") * F.lit(COVERAGE)))
+    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("bpos").alias("at"), F.first("n_windows").alias("n_windows"), F.first("bsize").alias("size"))
+    enough = lined.withColumn("n_matched", F.size("at")).filter(F.col("n_matched") >= F.col("n_windows") * F.lit(COVERAGE))
+    candidates = C.stage(enough.withColumn("low", F.array_min("at")).withColumn("span", F.array_max("at") + F.col("size") - F.array_min("at")))
+    # a document meets all its alignments at once, and each keeps only the tokens that it covers
+    asked = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "at", "n_windows", "size", "n_matched", "low", "span")).alias("all"))
     few = candidates.select("doc_id").distinct()
     wanted = F.broadcast(few) if few.count() * 16 <= BROADCAST_BYTES else few
-    raw_docs = slim.join(wanted, "doc_id", "left_semi").select("doc_id", tokens(F.col("text")).alias("dtok")).distinct()
+    raw_docs = slim.join(wanted, "doc_id", "left_semi").distinct().select("doc_id", tokens(F.col("text")).alias("dtok"))
+    pieces = asked.join(raw_docs, "doc_id").withColumn("all", F.expr("transform(filter(all, c -> c.shift + c.low >= 0 and c.shift + c.low + c.span <= size(dtok)), c -> struct(c as c, slice(dtok, c.shift + c.low + 1, c.span) as seg))"))
+    aligned = pieces.select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.c.*", "x.seg")
     raw_items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text").cast("string")).alias("btok")).distinct()
     if n * 48 <= BROADCAST_BYTES:
         raw_items = F.broadcast(raw_items)  # an item is no longer than its windows
     strip = "regexp_replace(x, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')"
-    aligned = candidates.join(raw_docs, "doc_id").join(raw_items, "item_id").withColumn("size", F.least(F.lit(WINDOW), F.size("btok")))
-    aligned = aligned.withColumn("places", F.expr("array_distinct(flatten(transform(at, b -> sequence(b, b + size - 1))))"))
-    aligned = aligned.filter("array_max(places) + shift < size(dtok) and array_min(places) + shift >= 0")
-    aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(places, i -> struct(transform(array(btok[i]), x -> {strip})[0] as b, transform(array(dtok[i + shift]), x -> {strip})[0] as d)))"))
+    aligned = aligned.join(raw_items, "item_id").withColumn("places", F.expr("array_distinct(flatten(transform(at, b -> sequence(b, b + size - 1))))"))
+    aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(places, i -> struct(transform(array(btok[i]), x -> {strip})[0] as b, transform(array(seg[i - low]), x -> {strip})[0] as d)))"))
     # literal tokens may differ in case alone: they stand for themselves
     aligned = aligned.withColumn("slots", F.expr("array_distinct(transform(slots, s -> if(lower(s.b) = lower(s.d), struct(lower(s.b) as b, lower(s.d) as d), s)))"))
     consistent = (F.size(F.array_distinct(F.col("slots.b"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.d"))) == F.size("slots"))
