@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, learned from document labels.
 
-A sentence (text between . ! ? or line breaks) with words F has p = sigmoid(bias + sum of w over its distinct words); a
+A sentence (text between . ! ? or line breaks) has p = sigmoid(bias + sum of w over its distinct words and stems); a
 document is toxic unless none of its sentences is: 1 - prod(1 - p). Weights come from gradient descent on the
 likelihood of the document labels, so the sentences that explain a label are found without sentence labels.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows: about MAX_TOXIC toxic and MAX_CLEAN clean
 documents of at most MAX_BYTES bytes (documented bounds; each document has the same chance within its class, by a
 hash of its text, and is weighted by the inverse of it). All rows are used when there are fewer. Words that
-occur in fewer than MIN_DOCS of them carry no weight. Scoring reads whole texts and needs no shuffle.
+occur in fewer than MIN_DOCS of them, or speak for toxicity by less than EVIDENCE, carry no weight: noisy labels would
+else be explained by rare words. Scoring reads whole texts and needs no shuffle.
 
 Null, empty or wordless text: no sentence, score 0. Labels that are null, or not 0 or 1, do not train; of documents
 labelled twice, every label row trains. With no toxic label at all, every score is 0. Repeated rows repeat.
@@ -24,7 +25,11 @@ from quillspark.llm import _common as C
 from quillspark.llm import _text as X
 
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MIN_DOCS = 3000, 6000, 1 << 17, 3
-ROUNDS, RATE, DECAY, BIAS = 150, 0.1, 5e-5, -8.0
+#: Words whose document counts speak for toxicity by less than this log-likelihood ratio carry no weight either.
+EVIDENCE = 40.0
+#: Bytes of the stems that count beside whole words.
+STEMS = (4, 5, 6)
+ROUNDS, RATE, DECAY, BIAS = 200, 0.1, 2e-5, -8.0
 
 WORDLIKE = np.zeros(256, bool)
 WORDLIKE[48:58] = WORDLIKE[65:91] = WORDLIKE[97:123] = WORDLIKE[128:] = True
@@ -33,7 +38,7 @@ STOP[[10, 13, 33, 46, 63]] = True
 
 
 def instances(buf: np.ndarray, off: np.ndarray):
-    """Sentences and their words: (word hashes, sentence of each word, document of each sentence, spans of sentences)."""
+    """Sentences and their words: (hashes of words and stems, sentence of each, document of each sentence, spans of sentences)."""
     n = len(buf)
     z = np.zeros(0, np.int64)
     if n == 0:
@@ -55,7 +60,15 @@ def instances(buf: np.ndarray, off: np.ndarray):
     first = np.concatenate([[True], (place[1:] != place[:-1])])
     sentence = np.cumsum(first) - 1
     last = np.concatenate([np.flatnonzero(first)[1:] - 1, [len(start) - 1]])
-    return X.span_hashes(X.prefix(low), start, end), sentence, doc[first], start[first], end[last]
+    sums = X.prefix(low)
+    marks, owners = [X.span_hashes(sums, start, end)], [sentence]
+    for size in STEMS:  # stems: inflected words share them
+        longer = np.flatnonzero(end - start > size)
+        marks.append(X.mix(X.span_hashes(sums, start[longer], start[longer] + size) + X.U(size)))
+        owners.append(sentence[longer])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(marks)[order], owner[order], doc[first], start[first], end[last]
 
 
 class NoisyOr:
@@ -85,14 +98,27 @@ class NoisyOr:
         return out, worst_start, worst_end, worst_p
 
 
+def _evidence(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
+    """Log-likelihood ratio of a word's document counts in two classes, negative where the first has the smaller share."""
+    share = (a + b) / max(1e-9, n + m)
+
+    def part(x, total, p):
+        q = x / max(1e-9, total)
+        return np.where(x > 0, x * np.log(np.maximum(q, 1e-300) / np.maximum(p, 1e-300)), 0) + np.where(total > x, (total - x) * np.log(np.maximum(1 - q, 1e-300) / np.maximum(1 - p, 1e-300)), 0)
+
+    return 2 * (part(a, n, share) + part(b, m, share)) * np.sign(a / max(1e-9, n) - b / max(1e-9, m))
+
+
 def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> NoisyOr:
     """Gradient descent (Adam) on the weighted noisy-or likelihood; one entry of the lists a document."""
     docs = np.repeat(np.arange(len(sentence_words)), [len(w) for w in sentence_words])
     flat = np.concatenate(sentence_words) if sentence_words else np.zeros(0, np.uint64)
     vocab, index = np.unique(flat, return_inverse=True)
-    seen = np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs) // (len(sentence_words) + 1)
-    df = np.bincount(seen, minlength=len(vocab))
-    keep = df >= MIN_DOCS
+    df = np.bincount(np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs) // (len(sentence_words) + 1), minlength=len(vocab))
+    hits = np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs)
+    in_toxic = np.bincount(hits // (len(sentence_words) + 1), weights=(toxic * weight)[hits % (len(sentence_words) + 1)], minlength=len(vocab))
+    in_clean = np.bincount(hits // (len(sentence_words) + 1), weights=((1 - toxic) * weight)[hits % (len(sentence_words) + 1)], minlength=len(vocab))
+    keep = (df >= MIN_DOCS) & (_evidence(in_toxic, in_clean, weight[toxic == 1].sum(), weight[toxic == 0].sum()) >= EVIDENCE)
     sizes = np.concatenate(sentence_sizes) if sentence_sizes else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sentence_sizes)), [len(s) for s in sentence_sizes])
     sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -103,9 +129,7 @@ def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], to
     number = np.cumsum(keep) - 1
     rows, columns = pairs // len(vocab), number[pairs % len(vocab)]
     vocab = vocab[keep]
-    hot = np.unique(columns.astype(np.int64) * len(toxic) + owner[rows])
-    in_toxic = np.bincount(hot // len(toxic), weights=(toxic[hot % len(toxic)] * weight[hot % len(toxic)]), minlength=len(vocab))
-    in_clean = np.bincount(hot // len(toxic), weights=((1 - toxic[hot % len(toxic)]) * weight[hot % len(toxic)]), minlength=len(vocab))
+    in_toxic, in_clean = in_toxic[keep], in_clean[keep]
     w = np.clip(np.log((in_toxic + 0.5) / (weight[toxic == 1].sum() + 1)) - np.log((in_clean + 0.5) / (weight[toxic == 0].sum() + 1)), 0, 8)
     theta = np.append(w, BIAS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)

