@@ -6,7 +6,7 @@ import numpy as np
 
 from quillspark.llm import _text as X
 
-POSITION_BITS = 28
+POSITION_BITS = 31
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
