@@ -12,6 +12,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.session import attach
+
 #: Arrow rows a batch; texts can be long, so batches are kept short.
 ARROW_ROWS = 1000
 #: Bytes of text that one chunk of documents holds (a single longer document is a chunk of its own).
@@ -19,6 +21,7 @@ CHUNK_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    attach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
