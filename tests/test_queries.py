@@ -1,9 +1,11 @@
 """Every registered query of the engine's own operators against DuckDB on the smallest tables."""
 
 import glob
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillspark.plans import registry
@@ -23,7 +25,11 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    text = lambda v: "none" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    def text(v):
+        if pd.isna(v):
+            return "none"
+        return repr(float(v)) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v)
+
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 
