@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import struct
 import tempfile
 import uuid
@@ -130,6 +131,7 @@ class Chunks:
                 if end < table.num_rows or size >= self.limit:
                     yield (part << 24) | k, pa.concat_tables(held).combine_chunks()
                     k, held, size = k + 1, [], 0
+                    trim()
                 begin = end
         if held:
             yield (part << 24) | k, pa.concat_tables(held).combine_chunks()
@@ -141,6 +143,23 @@ def slices(keys: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, at, side="left"), [len(keys)]])
 
 
+@functools.lru_cache(1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives memory that a chunk has freed back to the system: workers live on and share the executor's limit."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def table_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -35,7 +35,7 @@ END, BEGIN = U(0x5BF0363546294CE7), U(0xC2B2AE3D27D4EB4F)
 GRID, OCTAVES = 16, 40  # cells an octave, octaves below 1
 ROUNDS = 60
 BUCKETS = 34  # 0: unseen context; else 1 + floor(log2 c(v))
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,6 +107,8 @@ def _answer(table: pa.Table) -> pa.Table:
         total[at] += c  # a chunk's keys are distinct
         places.append(at)
     words = (every & U(1)).astype(bool)
+    del blocks, counts
+    C.trim()
     chunks = [*table.column("chunk").to_pylist(), -1]
     return pa.table(
         {
@@ -193,6 +195,7 @@ def _count(total_words: int, types: int):
                     schema=schema,
                 )
             )
+        C.trim()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
@@ -225,7 +228,7 @@ def learn_weights(cells: np.ndarray, weight: np.ndarray, types: int) -> np.ndarr
     for _ in range(ROUNDS):
         share = parts * lam[b]
         share *= (weight / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        new = np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
+        new = np.stack([np.bincount(b, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1).astype(float)
         # a bucket of few tokens leans on all tokens of like kind
         pooled = new[1:].sum(axis=0) / max(1e-300, new[1:].sum()) if new[1:].sum() else np.full(3, 1 / 3)
         new[1:] += pooled
