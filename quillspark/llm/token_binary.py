@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 import uuid
 import zlib
 
@@ -111,61 +112,89 @@ def encode_doc(tokenizer, text: str) -> np.ndarray:
     return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
 
-def unit_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where the pre-tokenizer's pattern must break: before each non-space run with one ' ' before it, and inside white-space runs."""
-    n = len(buf)
-    ws = X.SPACE[buf]
-    first = np.zeros(n + 1, bool)
-    first[off] = True
-    lead = first[:-1]
-    prev_ws = np.concatenate([[False], ws[:-1]]) & ~lead
-    prev_blank = np.concatenate([[False], buf[:-1] == 32]) & ~lead
-    next_solid = np.concatenate([~ws[1:], [False]]) & ~first[1:]
-    return np.flatnonzero(lead | (ws & (~prev_ws | next_solid)) | (~ws & prev_ws & ~prev_blank))
-
-
-#: The first two UTF-8 bytes of white space outside ASCII (U+0085, U+00A0, U+1680, U+2000.., U+3000).
-WIDE_SPACE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80))
-
-
-def irregular(buf: np.ndarray, off: np.ndarray, specials: tuple[bytes, ...]) -> np.ndarray:
-    """Documents whose units may not break at ASCII white space, or that spell a special token: they are encoded whole."""
-    bad = np.zeros(len(buf), bool)
-    if len(buf) > 1:
-        lead = np.flatnonzero(buf[:-1] >= 0xC2)
-        a, b = buf[lead], buf[lead + 1]
-        hit = np.zeros(len(lead), bool)
-        for x, y in WIDE_SPACE:
-            hit |= (a == x) & (b == y)
-        bad[lead[hit]] = True
-    whole = buf.tobytes()
+#: Classes of characters that the pre-tokenizer's pattern tells apart.
+OTHER, LETTER, NUMBER, WHITE = range(4)
+#: What the pattern splits off after an apostrophe.
+SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+@functools.lru_cache(1)
+def char_class() -> np.ndarray:
+    import regex
+
+    points = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "!" for i in range(0x110000))
+    out = np.zeros(0x110000, np.uint8)
+    for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
+        for m in regex.finditer(name, points):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+def pretokens(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the pieces that the byte-level pattern makes of texts given as code points (texts are not empty runs' sum)."""
+    n = len(cp)
+    kind = char_class()[cp]
+    lead = np.zeros(n + 1, bool)
+    lead[off] = True
+    first, last = lead[:-1], lead[1:]
+    white, solid = kind == WHITE, kind != WHITE
+    before = np.concatenate([[False], kind[:-1] == kind[1:]]) & ~first  # the character before is of this kind
+    prev_white = np.concatenate([[False], white[:-1]]) & ~first
+    prev_blank = np.concatenate([[False], cp[:-1] == 32]) & ~first
+    next_solid = np.concatenate([solid[1:], [False]]) & ~last
+    start = first | (white & (~prev_white | next_solid)) | (solid & ~before & ~prev_blank)
+    quote = np.flatnonzero((cp == 39) & (first | (np.concatenate([[OTHER], kind[:-1]]) != OTHER) & ~prev_blank))
+    if len(quote):  # 's 't 're 've 'm 'll 'd where a piece begins with the apostrophe
+        room = np.searchsorted(off, quote, side="right")
+        left = off[room] - quote - 1
+        c1 = cp[np.minimum(quote + 1, n - 1)] * (left >= 1)
+        c2 = cp[np.minimum(quote + 2, n - 1)] * (left >= 2)
+        size = np.zeros(len(quote), np.int64)
+        for suffix in SUFFIXES:
+            same = (c1 == ord(suffix[0])) & ((len(suffix) == 1) | (c2 == ord(suffix[-1])))
+            size = np.where((size == 0) & same, len(suffix), size)
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        start[quote[size == 2] + 2] = False
+        after = quote + 1 + size
+        start[after[after < n]] = True
+        # a blank after the suffix begins its own piece and takes what follows, as the mask above already has it
+    return np.flatnonzero(start)
+
+
+def special_docs(raw: bytes, off: np.ndarray, specials: tuple[bytes, ...]) -> np.ndarray:
+    """Texts that spell a special token; the library encodes them whole."""
+    hits = []
     for s in specials:
-        at = whole.find(s)
+        at = raw.find(s)
         while at >= 0:
-            bad[at] = True
-            at = whole.find(s, at + 1)
-    return np.unique(np.searchsorted(off, np.flatnonzero(bad), side="right") - 1)
+            hits.append(at)
+            at = raw.find(s, at + 1)
+    return np.unique(np.searchsorted(off, np.array(hits, np.int64), side="right") - 1)
 
 
 class UnitEncoder:
-    """Encodes blocks of texts; each distinct unit meets the tokenizers library once while it is remembered."""
+    """Encodes blocks of texts; each distinct piece of the pre-tokenizer meets the library's model once while remembered."""
 
-    def __init__(self, path: str, end_id: int, remembered: int = 300_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.remembered = Tokenizer.from_file(path), end_id, remembered
+        self.model = self.tokenizer.model
         self.specials = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that byte-level vocabularies write as themselves
+        rest = [b for b in range(256) if b not in printable]
+        self.spell = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
-    def units(self, hashes: list[int], texts: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
+    def units(self, hashes: list[int], texts) -> list[bytes]:
+        young, old, merge, spell = self.young, self.old, self.model.tokenize, self.spell
         got = [young.get(h) or old.get(h) for h in hashes]
         new = [i for i, g in enumerate(got) if g is None]
-        if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([texts[i] for i in new], add_special_tokens=False)):
-                got[i] = np.asarray(e.ids, np.int32).tobytes()
+        for i, text in zip(new, texts(new)):
+            got[i] = struct.pack(f"<{len(ids)}i", *ids) if (ids := [t.id for t in merge(text.decode("latin-1").translate(spell))]) else b""
         if len(young) + len(hashes) > self.remembered:
             self.old, self.young = young, {}
         self.young.update(zip(hashes, got))
@@ -174,38 +203,38 @@ class UnitEncoder:
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with their end ids, and how many each text has."""
         n = len(off) - 1
-        start = unit_starts(buf, off) if len(buf) else np.zeros(0, np.int64)
+        if not len(buf):
+            return np.full(n, self.end_id, np.int32), np.ones(n, np.int64)
+        raw = buf.tobytes()
+        cp = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        at_byte = np.flatnonzero((buf & 0xC0) != 0x80)  # where each code point begins
+        start = at_byte[pretokens(cp, np.searchsorted(at_byte, off))]
         end = np.append(start[1:], len(buf))
-        odd = irregular(buf, off, self.specials)
+        odd = special_docs(raw, off, self.specials)
         doc = np.searchsorted(off, start, side="right") - 1
         if len(odd):
             keep = ~np.isin(doc, odd)
             start, end, doc = start[keep], end[keep], doc[keep]
         h = X.span_hashes(X.prefix(buf), start, end)
         distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        got = self.units(distinct.tolist(), [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist())])
+        got = self.units(distinct.tolist(), lambda new: [raw[start[at[i]] : end[at[i]]] for i in new])
         sizes = np.fromiter((len(g) >> 2 for g in got), np.int64, len(got))
         flat = np.frombuffer(b"".join(got), np.int32)
         begins = np.cumsum(sizes) - sizes
         per = sizes[inverse]
         ids = flat[X.ragged(begins[inverse], per)]
-        counts = np.bincount(doc, weights=per, minlength=n).astype(np.int64)
-        pieces = {int(d): encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode()) for d in odd}
-        place = np.cumsum(counts)
-        out_counts = counts.copy()
-        for d, p in pieces.items():
-            out_counts[d] = len(p)
-        total = out_counts + 1
+        total = np.bincount(doc, weights=per, minlength=n).astype(np.int64) + 1
+        whole = {int(d): encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode()) for d in odd}
+        for d, p in whole.items():
+            total[d] = len(p) + 1
         out = np.empty(int(total.sum()), np.int32)
         ends = np.cumsum(total)
-        out[ends - 1] = self.end_id
         regular = np.repeat(~np.isin(np.arange(n), odd), total)
         regular[ends - 1] = False
         out[regular] = ids
-        for d, p in pieces.items():
+        out[ends - 1] = self.end_id
+        for d, p in whole.items():
             out[ends[d] - 1 - len(p) : ends[d] - 1] = p
-        del place
         return out, total
 
 
