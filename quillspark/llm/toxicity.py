@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from quillspark.llm import _common as C
 from quillspark.llm import _text as X
 
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MIN_DOCS = 3000, 6000, 1 << 17, 3
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MIN_DOCS = 1500, 2500, 1 << 15, 3
 #: Words whose document counts speak for toxicity by less than this log-likelihood ratio carry no weight either.
 EVIDENCE = 40.0
 #: Bytes of the stems that count beside whole words.
-STEMS = (4, 5, 6)
+STEMS = (4, 6)
 ROUNDS, RATE, DECAY, BIAS = 200, 0.1, 2e-5, -8.0
 
 WORDLIKE = np.zeros(256, bool)
@@ -111,13 +111,17 @@ def _evidence(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
 
 def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> NoisyOr:
     """Gradient descent (Adam) on the weighted noisy-or likelihood; one entry of the lists a document."""
-    docs = np.repeat(np.arange(len(sentence_words)), [len(w) for w in sentence_words])
+    docs = np.repeat(np.arange(len(sentence_words), dtype=np.int32), [len(w) for w in sentence_words])
     flat = np.concatenate(sentence_words) if sentence_words else np.zeros(0, np.uint64)
     vocab, index = np.unique(flat, return_inverse=True)
-    df = np.bincount(np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs) // (len(sentence_words) + 1), minlength=len(vocab))
+    index = index.astype(np.int32)
+    del flat
     hits = np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs)
-    in_toxic = np.bincount(hits // (len(sentence_words) + 1), weights=(toxic * weight)[hits % (len(sentence_words) + 1)], minlength=len(vocab))
-    in_clean = np.bincount(hits // (len(sentence_words) + 1), weights=((1 - toxic) * weight)[hits % (len(sentence_words) + 1)], minlength=len(vocab))
+    word, owner = hits // (len(sentence_words) + 1), hits % (len(sentence_words) + 1)
+    df = np.bincount(word, minlength=len(vocab))
+    in_toxic = np.bincount(word, weights=(toxic * weight)[owner], minlength=len(vocab))
+    in_clean = np.bincount(word, weights=((1 - toxic) * weight)[owner], minlength=len(vocab))
+    del hits, word, owner, docs
     keep = (df >= MIN_DOCS) & (_evidence(in_toxic, in_clean, weight[toxic == 1].sum(), weight[toxic == 0].sum()) >= EVIDENCE)
     sizes = np.concatenate(sentence_sizes) if sentence_sizes else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sentence_sizes)), [len(s) for s in sentence_sizes])
@@ -180,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= MAX_BYTES)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most about max_toxic + max_clean labels
     got = rows.mapInArrow(_features(), "toxic int, words binary, sizes binary").collect()
-    got.sort(key=lambda r: (r["toxic"], r["words"]))
+    got.sort(key=lambda r: (r["toxic"], r["words"]))  # the order of rows must not matter
     toxic = np.array([r["toxic"] for r in got], np.int64)
     weight = np.array([1 / rate[r["toxic"]] for r in got])
     return train([C.unpack(r["words"], np.uint64) for r in got], [C.unpack(r["sizes"], np.int64) for r in got], toxic, weight)
