@@ -43,4 +43,4 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return owner[first], start[first], start[last], g[anchor[first].astype(np.int64)]
+    return owner[first], start[first], start[last], X.mix(g[anchor[first].astype(np.int64)])  # least hashes crowd near 0: spread them

@@ -35,14 +35,14 @@ from quillspark.llm import _text as X
 from quillspark.llm import induced_sort as I
 
 LENGTH, GRAM = 400, 232
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 SHARDS_A_PART = 4
 
 
 def _runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     """Runs of all documents blockwise: (document, first and last start in buf, anchor, segment hash)."""
     out = []
-    for i, j in C.blocks(buf, off):
+    for i, j in C.blocks(buf, off, 1 << 19):
         part = buf[off[i] : off[j]]
         doc, first, last, anchor = A.runs(part, off[i : j + 1] - off[i], length, gram)
         if len(doc):
@@ -170,6 +170,7 @@ def _judge(length: int, gram: int, shards: int):
                     blobs.append(packer.compress(np.int64(len(r)).tobytes() + head.tobytes() + b"".join(buf[x : y + length].tobytes() for x, y in zip(first[r].tolist(), last[r].tolist()))))
                     targets.append(int(target[order2[i]]))
                 out.append(_finished(kind=[SEGMENTS] * len(blobs), chunk=[chunk] * len(blobs), doc_id=[None] * len(blobs), body=blobs, target=targets))
+        C.trim()
         return pa.concat_tables(out) if out else STATE.empty_table()
 
     return run
@@ -207,6 +208,7 @@ def _sort_shard(length: int, budget: int):
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate([[0], flags[b : b + count].astype(np.int8), [0]])))
             by.setdefault(chunk, []).extend((doc, first + x, first + y - 1) for x, y in edge.reshape(-1, 2).tolist())
+        C.trim()
         return pa.table({"chunk": list(by), "flags": [np.array(v, np.int64).tobytes() for v in by.values()]}, schema=FLAGS)
 
     return run
@@ -223,6 +225,7 @@ def _finish(length: int):
             removed, spans, rest = cut_out(np.frombuffer(opener.decompress(r["body"]), np.uint8), np.concatenate([x, found[a:b, 1]]), np.concatenate([y, found[a:b, 2]]), length)
             for k, v in {"kind": DONE, "chunk": r["chunk"], "idx": r["idx"], "doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "n_removed": removed, "n_spans": len(spans), "kept_sha256": hashlib.sha256(rest).hexdigest(), "spans": spans.tobytes()}.items():
                 rows[k].append(v)
+        C.trim()
         return _finished(**rows)
 
     return run
