@@ -9,9 +9,9 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
 1. Documents with equal sets form a class; one row a class goes on, so copies cost nothing further.
 2. Each bucket of a band links its classes to its smallest one (a star, not all pairs); links are verified on the full
    sets; components follow by star contraction.
-3. Buckets that still hold several components are compared inside, in blocks of at most BLOCK rows: pairs of different
-   components whose joint maximum-likelihood estimate is within six deviations of the threshold are verified likewise.
-   No bucket is capped: a large one is spread over pairs of blocks.
+3. In a bucket that still holds several components the rows outside the largest one meet each other and its rows, in
+   blocks of about BLOCK rows: pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
+   deviations of the threshold are verified likewise, each once. No bucket is capped: a large one is spread over blocks.
 
 Verification ships packed texts, grouped by the star's centre and cut into groups of at most about 64 links.
 
@@ -37,7 +37,9 @@ from quillspark.llm.components import components
 BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
-BLOCK = 128
+BLOCK = 1024
+#: Deviations below the threshold that a pair's estimate may lie to be verified still.
+DEVIATIONS = 4.5
 BROADCAST_BYTES = 32 << 20
 
 _SEED = X.mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * X.U(X.RADIX))
@@ -166,20 +168,28 @@ def _verify(k: int, percent: int):
 
 
 def _pairs(percent: int):
+    """Likely pairs of one pair of blocks of a bucket; a pair is given in the first band that it shares."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    low = percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+    low = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     def run(table: pa.Table) -> pa.Table:
         node, comp, n, blk = (table.column(c).to_numpy() for c in ("node", "comp", "n", "blk"))
-        same_block = table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        major = table.column("in_major").to_numpy(zero_copy_only=False)
+        band, across, p, q = (table.column(c)[0].as_py() for c in ("band", "across", "p", "q"))
         reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        here = int(np.flatnonzero(band_keys(reg[:1])[0] == band)[0])
+        cells = reg.reshape(len(reg), BANDS, ROWS)
+        if across:
+            left, right = np.flatnonzero(~major), np.flatnonzero(major)
+        else:
+            left = np.flatnonzero(blk == p)
+            right = left if p == q else np.flatnonzero(blk == q)
         out_u, out_v = [], []
-        for i in range(len(node) - 1):
-            j = np.arange(i + 1, len(node))
-            ok = (comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))
-            if not same_block:
-                ok &= blk[j] != blk[i]
-            j = j[ok]
+        for i in left:
+            j = right[comp[right] != comp[i]] if across or p != q else right[(right > i) & (comp[right] != comp[i])]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            if len(j) and here:
+                j = j[~(cells[j, :here] == cells[i, :here]).all(axis=2).any(axis=1)]
             if len(j):
                 greater, less = (reg[i] > reg[j]).sum(axis=1), (reg[i] < reg[j]).sum(axis=1)
                 j = j[likely_jaccard(greater, less, np.full(len(j), n[i], float), n[j].astype(float)) >= low]
@@ -226,15 +236,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked = _verified(slim, stars, k, percent)
     forest = components(linked)
 
-    # buckets that hold several components
-    named = bands.join(centres.select("band", "rows"), "band").join(forest.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("band", "node", "n", "rows", F.coalesce("root", "node").alias("comp"))
+    # buckets that hold several components: all but the largest component's rows meet each other and that one's
+    named = bands.join(centres.select("band"), "band").join(forest.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("comp"))
     named = C.stage(named)
-    mixed = named.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("band")
-    blocks = F.ceil(F.col("rows") / BLOCK)
-    spread = named.join(mixed, "band").withColumn("blk", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
-    spread = spread.select("band", "node", "n", "comp", "blk", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"))
-    held = spread.join(classes.select("node", "reg"), "node").select("band", "p", "q", "node", "n", "comp", "blk", "reg")
-    pairs = held.groupBy("band", "p", "q").applyInArrow(_pairs(percent), "u bigint, v bigint")
+    per = named.groupBy("band", "comp").agg(F.count("*").alias("rows"))
+    mixed = per.groupBy("band").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).filter("comps > 1")
+    mixed = mixed.select("band", F.col("top.comp").alias("major"), F.ceil(F.col("top.rows") / BLOCK).alias("nj"), F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK).alias("ni"))
+    placed = named.join(mixed, "band").withColumn("in_major", F.col("comp") == F.col("major")).withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("in_major"), F.col("nj")).otherwise(F.col("ni"))))
+    meets = """if(in_major, transform(sequence(0L, ni - 1), i -> struct(true as across, blk as p, i as q)),
+      concat(transform(sequence(0L, nj - 1), j -> struct(true as across, j as p, blk as q)), transform(sequence(0L, ni - 1), i -> struct(false as across, least(blk, i) as p, greatest(blk, i) as q))))"""
+    spread = placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q")
+    held = spread.join(classes.select("node", "reg"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg")
+    pairs = held.groupBy("band", "across", "p", "q").applyInArrow(_pairs(percent), "u bigint, v bigint")
     pairs = pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct()
     more = _verified(slim, pairs, k, percent)
     final = components(forest.union(more)) if more.limit(1).count() else forest
