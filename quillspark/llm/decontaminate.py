@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Canonical form: runs of digits (with separators) become `#`, a unit of measure or currency beside a number becomes `%u`,
-capitalised words become `@`, the rest is lower-cased. White space stays as it is, so token i of the canonical text is
-token i of the text. Templates are compared in windows of WINDOW tokens (a shorter item is one window):
+capitalised words become `@`, the rest is folded to one case. White space stays as it is, so token i of the canonical
+text is token i of the text. A second, plain form leaves capitalised words as folded literals, so that copies in another
+case match. Templates are compared in windows of WINDOW tokens (a shorter item is one window):
 
-1. Windows of all documents are hashed and joined with the benchmark's (broadcast if its windows fit in BROADCAST_BYTES,
-   else by shuffle). Windows with fewer than LITERALS literal tokens don't count, unless an item has no other.
+1. Windows of all documents, in both forms where they differ, are hashed and joined with the benchmark's (broadcast if
+   its windows fit in BROADCAST_BYTES, else by shuffle). Windows with fewer than LITERALS literal tokens in the first
+   form don't count, unless an item has no other.
 2. Matches are counted on alignments (document position minus item position). An alignment is a candidate if it holds
    at least COVERAGE of the item's windows.
 3. Slot consistency: over the aligned tokens each value of the item must stand for one value of the document, and the
@@ -31,18 +33,34 @@ NUMBER = r"\d+(?:[.,:/]\d+)*"
 BLANK = r"[\x20\x09-\x0D]"
 
 
-def canonical(text: Column) -> Column:
-    """Typed placeholders in place of numbers, units and names; white space untouched."""
+def _fold(text: Column) -> Column:
+    """One case for all letters: ß is SS in capitals, and σ has two small forms."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
+def _typed(text: Column) -> Column:
+    """Placeholders in place of numbers and units."""
     t = F.regexp_replace(text, NUMBER, "#")
     t = F.regexp_replace(t, r"(?i)(#" + BLANK + r"*)(?:" + UNITS + r")(?![\p{L}\p{N}])", "$1%u")
-    t = F.regexp_replace(t, r"[$€£](?=#)", "%u")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "@")
-    return F.lower(t)
+    return F.regexp_replace(t, r"[$€£](?=#)", "%u")
+
+
+def _named(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "@")
+
+
+def canonical(text: Column) -> Column:
+    """Typed placeholders in place of numbers, units and names; white space untouched."""
+    return _fold(_named(_typed(text)))
+
+
+def plain(text: Column) -> Column:
+    """The canonical form with names left as words: alike for every case of a text."""
+    return _fold(_typed(text))
 
 
 def tokens(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{BLANK}+"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{BLANK}+"), "")
 
 
 def windows(hashes: Column, size: int) -> Column:
@@ -56,19 +74,19 @@ def _hashes(tok: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, item_id, bpos, n_windows, size): the windows that count, of every item."""
+    """(key, item_id, bpos, n_windows, size): the windows that count, of every item, in one or both forms."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").distinct()
-    t = items.select("item_id", tokens(canonical(F.col("text"))).alias("tok")).filter(F.size("tok") > 0)
+    t = items.select("item_id", tokens(canonical(F.col("text"))).alias("tok"), tokens(plain(F.col("text"))).alias("low")).filter(F.size("tok") > 0)
     size = F.least(F.lit(WINDOW), F.size("tok"))
-    t = t.withColumn("size", size).withColumn("h", _hashes(F.col("tok")))
+    t = t.withColumn("size", size).withColumn("h", _hashes(F.col("tok"))).withColumn("g", _hashes(F.col("low")))
     rows = t.select(
         "item_id",
         "size",
-        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(xxhash64(slice(h, i, size)) as key, size(filter(slice(tok, i, size), x -> not (contains(x, '#') or contains(x, '@') or contains(x, '%u')))) as literals))")).alias("bpos", "w"),
-    ).select("item_id", "size", "bpos", F.col("w.key").alias("key"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
+        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(xxhash64(slice(h, i, size)), xxhash64(slice(g, i, size)))) as keys, size(filter(slice(tok, i, size), x -> not (contains(x, '#') or contains(x, '@') or contains(x, '%u')))) as literals))")).alias("bpos", "w"),
+    ).select("item_id", "size", "bpos", F.col("w.keys").alias("keys"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
     some = rows.groupBy("item_id").agg(F.max("counts").alias("any"), F.sum(F.col("counts").cast("int")).alias("n_good"), F.count("*").alias("n_all"))
     rows = rows.join(some, "item_id").filter("counts or not any")
-    return rows.select("key", "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"))
+    return rows.select(F.explode("keys").alias("key"), "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -77,8 +95,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bench = C.stage(item_windows(benchmark))
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW values
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    hashed = slim.select("doc_id", _hashes(tokens(canonical(F.col("text")))).alias("h"))
-    per_size = [hashed.select("doc_id", F.posexplode(windows(F.col("h"), s)).alias("pos", "key")).withColumn("size", F.lit(s)) for s in sizes]
+    # the typed text is made once for both forms
+    forms = F.transform(F.array(_typed(F.col("text"))), lambda t: F.array(_hashes(tokens(_fold(_named(t)))), _hashes(tokens(_fold(t)))))
+    hashed = slim.select("doc_id", forms[0].alias("forms")).select("doc_id", F.col("forms")[0].alias("h"), F.col("forms")[1].alias("g"))
+    per_size = []
+    for s in sizes:
+        keys = F.transform(F.array(windows(F.col("h"), s)), lambda w: F.concat(w, F.zip_with(windows(F.col("g"), s), w, lambda a, b: F.when(a != b, a))))[0]  # noqa: B023  called at once
+        both = hashed.filter(F.size("h") >= s).select("doc_id", (F.size("h") - s + 1).alias("n"), F.posexplode(keys).alias("at", "key"))
+        per_size.append(both.filter("key is not null").select("doc_id", F.expr("at % n").alias("pos"), "key", F.lit(s).alias("size")))
     if not per_size:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, exact boolean")
     wide = per_size[0]
@@ -105,8 +129,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     strip = "regexp_replace(x, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')"
     aligned = aligned.join(raw_items, "item_id").withColumn("places", F.expr("array_distinct(flatten(transform(at, b -> sequence(b, b + size - 1))))"))
     aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(places, i -> struct(transform(array(btok[i]), x -> {strip})[0] as b, transform(array(seg[i - low]), x -> {strip})[0] as d)))"))
-    # literal tokens may differ in case alone: they stand for themselves
-    aligned = aligned.withColumn("slots", F.expr("array_distinct(transform(slots, s -> if(lower(s.b) = lower(s.d), struct(lower(s.b) as b, lower(s.d) as d), s)))"))
+    # tokens that differ in case alone stand for themselves
+    low_b, low_d = (f"translate(replace(lower(s.{c}), 'ß', 'ss'), 'ς', 'σ')" for c in "bd")
+    aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(slots, s -> if({low_b} = {low_d}, struct({low_b} as b, {low_d} as d), s)))"))
     consistent = (F.size(F.array_distinct(F.col("slots.b"))) == F.size("slots")) & (F.size(F.array_distinct(F.col("slots.d"))) == F.size("slots"))
     sound = aligned.filter(consistent).withColumn("exact", F.forall("slots", lambda s: s["b"] == s["d"]))
     return sound.groupBy("doc_id", "item_id").agg(F.max("n_matched").cast("bigint").alias("n_matched"), F.max("n_windows").cast("bigint").alias("n_windows"), F.max("exact").alias("exact"))

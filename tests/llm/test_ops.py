@@ -83,6 +83,15 @@ def test_reparameterised_questions(spark):
     assert {(r["doc_id"], r["exact"]) for r in got} == {(1, True), (2, False)}
 
 
+@pytest.mark.parametrize("case", [str.upper, str.lower, str.title])
+def test_copies_in_another_case(spark, case):
+    items = [(1, "Die Straße nach Berlin führt am alten Haus vorbei, wo Anna und Karl im Sommer 3 Wochen wohnten."), (2, "THE MAYOR OF SPRINGFIELD gave a long speech about the new bridge over the river last night.")]
+    docs = [(i, "Before it. " + case(t) + " After it.") for i, t in items]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(1, 1, True), (2, 2, True)}
+    assert all(r["n_matched"] == r["n_windows"] for r in got)
+
+
 def test_native_plan(spark, small, capsys):
     for df in (decontaminate.contaminated(small, spark.read.parquet(f"{DATA}/benchmark.parquet")), surrogates.replace(small)):
         df.explain()
