@@ -8,8 +8,11 @@ case match. Templates are compared in windows of WINDOW tokens (a shorter item i
 1. Windows of all documents, in both forms where they differ, are hashed and joined with the benchmark's (broadcast if
    its windows fit in BROADCAST_BYTES, else by shuffle). Windows with fewer than LITERALS literal tokens in the first
    form don't count, unless an item has no other.
-2. Matches are counted on alignments (document position minus item position). An alignment is a candidate if it holds
-   at least COVERAGE of the item's windows.
+2. Matches are gathered on alignments (document position minus item position). Candidates are each alignment alone, the
+   alignments of one passage (shifts that follow within GAP tokens) and all alignments of a document and item; together
+   they give each window of the item once, to the longest. A candidate counts if it holds at least COVERAGE of the
+   item's windows or of the tokens in them, or RUN tokens in a row: inserted and dropped words, and quotations of a
+   part of a long item, leave the rest in place.
 3. Slot consistency: over the aligned tokens each value of the item must stand for one value of the document, and the
    other way round. Re-parameterised copies pass, chance mixtures of templates fail.
 
@@ -19,12 +22,12 @@ repeated rows count once. Tokens are [^\\x20\\x09-\\x0D]+ of whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
 
-WINDOW, LITERALS, COVERAGE = 8, 3, 0.5
+WINDOW, LITERALS, COVERAGE, RUN, GAP = 8, 3, 0.5, 40, 32
 BROADCAST_BYTES = 32 << 20
 
 #: Units that may stand beside a number.
@@ -74,7 +77,7 @@ def _hashes(tok: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, item_id, bpos, n_windows, size): the windows that count, of every item, in one or both forms."""
+    """(key, item_id, bpos, n_windows, n_tokens, size): the windows that count, of every item, in one or both forms."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").distinct()
     t = items.select("item_id", tokens(canonical(F.col("text"))).alias("tok"), tokens(plain(F.col("text"))).alias("low")).filter(F.size("tok") > 0)
     size = F.least(F.lit(WINDOW), F.size("tok"))
@@ -86,7 +89,35 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     ).select("item_id", "size", "bpos", F.col("w.keys").alias("keys"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
     some = rows.groupBy("item_id").agg(F.max("counts").alias("any"), F.sum(F.col("counts").cast("int")).alias("n_good"), F.count("*").alias("n_all"))
     rows = rows.join(some, "item_id").filter("counts or not any")
-    return rows.select(F.explode("keys").alias("key"), "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"))
+    inside = rows.groupBy("item_id").agg(F.expr("size(array_distinct(flatten(collect_list(sequence(bpos, bpos + size - 1)))))").alias("n_tokens"))
+    rows = rows.join(inside, "item_id")
+    return rows.select(F.explode("keys").alias("key"), "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"), "n_tokens")
+
+
+def _sets(lined: DataFrame) -> DataFrame:
+    """Candidates: (doc_id, item_id, n_windows, n_tokens, size, lines), lines being (shift, at) that share no window of the item."""
+    keys = ["doc_id", "item_id", "n_windows", "n_tokens", "size"]
+    single = lined.select(*keys, F.array(F.struct("shift", "at")).alias("lines"))
+    by_shift = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    leap = F.coalesce((F.col("shift") - F.lag("shift").over(by_shift) > GAP).cast("int"), F.lit(0))
+    placed = lined.withColumn("leap", leap).withColumn("passage", F.sum("leap").over(by_shift))
+    line = F.collect_list(F.struct(F.size("at").alias("n"), "shift", "at")).alias("found")
+    passages = placed.groupBy(*keys, "passage").agg(line).filter(F.size("found") > 1).drop("passage")
+    whole = placed.groupBy(*keys).agg(line, F.max("passage").alias("last")).filter("last > 0").drop("last")
+    # the longest alignment first; the others add the windows that are still missing
+    took = """aggregate(sort_array(found, false), struct(cast(array() as array<int>) as seen, cast(array() as array<struct<shift:int,at:array<int>>>) as kept),
+        (a, l) -> transform(array(array_except(l.at, a.seen)), f -> if(size(f) = 0, a, struct(concat(a.seen, f) as seen, concat(a.kept, array(struct(l.shift as shift, f as at))) as kept)))[0], a -> a.kept)"""
+    several = passages.union(whole).select(*keys, F.expr(took).alias("lines")).filter(F.size("lines") > 1)
+    return single.union(several)
+
+
+def _enough(sets: DataFrame) -> DataFrame:
+    """The candidates that hold enough of their item, with n_matched."""
+    covered = "size(array_distinct(flatten(transform(flatten(lines.at), b -> sequence(b, b + size - 1)))))"
+    run = """array_max(transform(lines, l -> aggregate(array_sort(l.at), struct(l.at[0] as start, -1 as last, 0 as best),
+        (r, b) -> transform(array(if(r.last < 0 or b - r.last > size, b, r.start)), f -> struct(f as start, b as last, greatest(r.best, b + size - f) as best))[0], r -> r.best)))"""
+    sets = sets.withColumn("n_matched", F.expr("size(flatten(lines.at))"))
+    return sets.filter((F.col("n_matched") >= F.col("n_windows") * F.lit(COVERAGE)) | (F.expr(covered) >= F.col("n_tokens") * F.lit(COVERAGE)) | (F.expr(run) >= RUN))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -111,24 +142,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = bench.count()
     keys = bench.withColumnRenamed("size", "bsize")
     side = F.broadcast(keys) if n * 48 <= BROADCAST_BYTES else keys
-    hits = wide.join(side, (wide["key"] == keys["key"]) & (wide["size"] == keys["bsize"])).select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "n_windows", "bsize")
+    hits = wide.join(side, (wide["key"] == keys["key"]) & (wide["size"] == keys["bsize"])).select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "n_windows", "n_tokens", "bsize")
     # repeated rows of a document give the same matches again: distinct positions count
-    lined = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("bpos").alias("at"), F.first("n_windows").alias("n_windows"), F.first("bsize").alias("size"))
-    enough = lined.withColumn("n_matched", F.size("at")).filter(F.col("n_matched") >= F.col("n_windows") * F.lit(COVERAGE))
-    candidates = C.stage(enough.withColumn("low", F.array_min("at")).withColumn("span", F.array_max("at") + F.col("size") - F.array_min("at")))
+    lined = C.stage(hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("bpos").alias("at"), F.first("n_windows").alias("n_windows"), F.first("n_tokens").alias("n_tokens"), F.first("bsize").alias("size")))
+    candidates = C.stage(_enough(_sets(lined)).withColumn("lines", F.expr("transform(lines, l -> struct(l.shift as shift, l.at as at, array_min(l.at) as low, array_max(l.at) + size - array_min(l.at) as span))")))
     # a document meets all its alignments at once, and each keeps only the tokens that it covers
-    asked = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "at", "n_windows", "size", "n_matched", "low", "span")).alias("all"))
+    asked = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "lines", "n_windows", "size", "n_matched")).alias("all"))
     few = candidates.select("doc_id").distinct()
     wanted = F.broadcast(few) if few.count() * 16 <= BROADCAST_BYTES else few
     raw_docs = slim.join(wanted, "doc_id", "left_semi").distinct().select("doc_id", tokens(F.col("text")).alias("dtok"))
-    pieces = asked.join(raw_docs, "doc_id").withColumn("all", F.expr("transform(filter(all, c -> c.shift + c.low >= 0 and c.shift + c.low + c.span <= size(dtok)), c -> struct(c as c, slice(dtok, c.shift + c.low + 1, c.span) as seg))"))
-    aligned = pieces.select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.c.*", "x.seg")
+    inside = "forall(c.lines, l -> l.shift + l.low >= 0 and l.shift + l.low + l.span <= size(dtok))"
+    pieces = asked.join(raw_docs, "doc_id").withColumn("all", F.expr(f"transform(filter(all, c -> {inside}), c -> struct(c as c, transform(c.lines, l -> struct(l.at as at, l.low as low, slice(dtok, l.shift + l.low + 1, l.span) as seg)) as parts))"))
+    aligned = pieces.select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.c.item_id", "x.c.n_windows", "x.c.size", "x.c.n_matched", "x.parts")
     raw_items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text").cast("string")).alias("btok")).distinct()
     if n * 48 <= BROADCAST_BYTES:
         raw_items = F.broadcast(raw_items)  # an item is no longer than its windows
     strip = "regexp_replace(x, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')"
-    aligned = aligned.join(raw_items, "item_id").withColumn("places", F.expr("array_distinct(flatten(transform(at, b -> sequence(b, b + size - 1))))"))
-    aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(places, i -> struct(transform(array(btok[i]), x -> {strip})[0] as b, transform(array(seg[i - low]), x -> {strip})[0] as d)))"))
+    aligned = aligned.join(raw_items, "item_id").withColumn("pairs", F.expr("array_distinct(flatten(transform(parts, l -> transform(array_distinct(flatten(transform(l.at, b -> sequence(b, b + size - 1)))), i -> struct(btok[i] as b, l.seg[i - l.low] as d)))))"))
+    aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(pairs, p -> struct(transform(array(p.b), x -> {strip})[0] as b, transform(array(p.d), x -> {strip})[0] as d)))"))
     # tokens that differ in case alone stand for themselves
     low_b, low_d = (f"translate(replace(lower(s.{c}), 'ß', 'ss'), 'ς', 'σ')" for c in "bd")
     aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(slots, s -> if({low_b} = {low_d}, struct({low_b} as b, {low_d} as d), s)))"))

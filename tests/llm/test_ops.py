@@ -92,6 +92,32 @@ def test_copies_in_another_case(spark, case):
     assert all(r["n_matched"] == r["n_windows"] for r in got)
 
 
+def test_inserted_and_dropped_words_and_partial_quotations(spark):
+    words = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("alo", "eni", "iru", "osa", "uve", "ami", "ero", "ilu", "oda", "una", "ape", "eso", "ito", "ore", "ula")]
+    items = [(1, " ".join(words[:59])), (2, " ".join(words[60:75])), (3, " ".join(words[:200][::-1]))]
+    docs, want = [], set()
+    for item, text in items[:2]:
+        tok = text.split()
+        for k in range(1, len(tok)):
+            docs += [(item * 1000 + k, " ".join(["before", *tok[:k], "zzz", *tok[k:], "after"]))]
+            want.add((item * 1000 + k, item))
+    for k in range(1, 58):
+        docs.append((5000 + k, " ".join(items[0][1].split()[:k] + items[0][1].split()[k + 1 :])))
+        want.add((5000 + k, 1))
+    docs.append((9000, "so " + " ".join(items[2][1].split()[50:145]) + " there"))
+    docs.append((9001, "so " + " ".join(items[2][1].split()[50:70]) + " there"))  # a tenth of it only
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(9000, 3)} and all(r["exact"] for r in got)
+
+
+def test_two_broken_copies_keep_their_own_values(spark):
+    item = "Tom bought 3 kg of apples for 5 dollars at the old market and then sold 3 kg of them to Ann for 8 dollars yesterday evening near the bridge."
+    copy = "Tom bought {0} kg of apples for {1} dollars at the old market and then quickly sold {0} kg of them to Ann for 8 dollars yesterday evening near the bridge."
+    docs = [(1, copy.format(4, 6) + " filler" * 80 + " " + copy.format(7, 9))]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["exact"]) for r in got} == {(1, False)}
+
+
 def test_native_plan(spark, small, capsys):
     for df in (decontaminate.contaminated(small, spark.read.parquet(f"{DATA}/benchmark.parquet")), surrogates.replace(small)):
         df.explain()
