@@ -118,6 +118,13 @@ def test_two_broken_copies_keep_their_own_values(spark):
     assert {(r["doc_id"], r["exact"]) for r in got} == {(1, False)}
 
 
+def test_slots_drawn_alike(spark):
+    item = "Tom picked 3 apples and 5 pears in the garden and then gave 3 apples to Ann before the evening came."
+    docs = [(1, "Tom picked 4 apples and 4 pears in the garden and then gave 4 apples to Ann before the evening came."), (2, "Bob picked 3 apples and 5 pears in the garden and then gave 3 apples to Bob before the evening came."), (3, "Tom picked 4 apples and 4 pears in the garden and then gave 6 apples to Ann before the evening came.")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["exact"]) for r in got} == {(1, False), (2, False)}
+
+
 def test_native_plan(spark, small, capsys):
     for df in (decontaminate.contaminated(small, spark.read.parquet(f"{DATA}/benchmark.parquet")), surrogates.replace(small)):
         df.explain()
