@@ -7,8 +7,11 @@ likelihood of the document labels, so the sentences that explain a label are fou
 The classifier is fitted on the driver on a bounded sample of labelled rows: about MAX_TOXIC toxic and MAX_CLEAN clean
 documents of at most MAX_BYTES bytes (documented bounds; each document has the same chance within its class, by a
 hash of its text, and is weighted by the inverse of it). All rows are used when there are fewer. Words that
-occur in fewer than MIN_DOCS of them, or speak for toxicity by less than EVIDENCE, carry no weight: noisy labels would
-else be explained by rare words. Scoring reads whole texts and needs no shuffle.
+occur in fewer than MIN_DOCS of them, or speak too weakly for toxicity, carry no weight: noisy labels would else be
+explained by rare words. Evidence is the log-likelihood ratio of the counts of sampled documents, as they are, without
+weights. It must reach SHARE of what a word of all toxic and no clean documents would have, so that the filter is as
+strong on any number of labels, and CHANCE (about 5 in 10,000) where labels are few. Scoring reads whole texts and
+needs no shuffle.
 
 Null, empty or wordless text: no sentence, score 0. Labels that are null, or not 0 or 1, do not train; of documents
 labelled twice, every label row trains. With no toxic label at all, every score is 0. Repeated rows repeat.
@@ -25,8 +28,8 @@ from quillspark.llm import _common as C
 from quillspark.llm import _text as X
 
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MIN_DOCS = 1500, 2500, 1 << 15, 3
-#: Words whose document counts speak for toxicity by less than this log-likelihood ratio carry no weight either.
-EVIDENCE = 40.0
+#: Least evidence of a word, as a share of a perfect word's; and what chance alone exceeds once in 2,000 words.
+SHARE, CHANCE = 0.016, 12.0
 #: Bytes of the stems that count beside whole words.
 STEMS = (4, 6)
 ROUNDS, RATE, DECAY, BIAS = 200, 0.1, 2e-5, -8.0
@@ -109,6 +112,12 @@ def _evidence(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
     return 2 * (part(a, n, share) + part(b, m, share)) * np.sign(a / max(1e-9, n) - b / max(1e-9, m))
 
 
+def _least(n: int, m: int) -> float:
+    """Evidence asked of a word, given n toxic and m clean documents."""
+    perfect = float(_evidence(np.array([float(n)]), np.array([0.0]), n, m)[0])
+    return max(SHARE * perfect, min(CHANCE, perfect))
+
+
 def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> NoisyOr:
     """Gradient descent (Adam) on the weighted noisy-or likelihood; one entry of the lists a document."""
     docs = np.repeat(np.arange(len(sentence_words), dtype=np.int32), [len(w) for w in sentence_words])
@@ -119,10 +128,11 @@ def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], to
     hits = np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs)
     word, owner = hits // (len(sentence_words) + 1), hits % (len(sentence_words) + 1)
     df = np.bincount(word, minlength=len(vocab))
-    in_toxic = np.bincount(word, weights=(toxic * weight)[owner], minlength=len(vocab))
-    in_clean = np.bincount(word, weights=((1 - toxic) * weight)[owner], minlength=len(vocab))
+    in_toxic = np.bincount(word, weights=toxic[owner], minlength=len(vocab))
+    in_clean = df - in_toxic
     del hits, word, owner, docs
-    keep = (df >= MIN_DOCS) & (_evidence(in_toxic, in_clean, weight[toxic == 1].sum(), weight[toxic == 0].sum()) >= EVIDENCE)
+    n, m = int((toxic == 1).sum()), int((toxic == 0).sum())
+    keep = (df >= MIN_DOCS) & (_evidence(in_toxic, in_clean, n, m) >= _least(n, m))
     sizes = np.concatenate(sentence_sizes) if sentence_sizes else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sentence_sizes)), [len(s) for s in sentence_sizes])
     sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -134,7 +144,7 @@ def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], to
     rows, columns = pairs // len(vocab), number[pairs % len(vocab)]
     vocab = vocab[keep]
     in_toxic, in_clean = in_toxic[keep], in_clean[keep]
-    w = np.clip(np.log((in_toxic + 0.5) / (weight[toxic == 1].sum() + 1)) - np.log((in_clean + 0.5) / (weight[toxic == 0].sum() + 1)), 0, 8)
+    w = np.clip(np.log((in_toxic + 0.5) / (n + 1)) - np.log((in_clean + 0.5) / (m + 1)), 0, 8)
     theta = np.append(w, BIAS)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):

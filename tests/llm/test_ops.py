@@ -350,6 +350,24 @@ def test_sentences_are_located(spark):
             assert "nasty" in rows[r["doc_id"]][1][r["worst_start"] : r["worst_end"]]
 
 
+@pytest.mark.parametrize("toxic, clean, most", [(10, 70, (1500, 2500)), (1000, 3000, (1500, 2500)), (1000, 3000, (300, 500)), (4000, 12000, (300, 500))])
+def test_the_filter_does_not_follow_the_number_of_labels(spark, toxic, clean, most):
+    rng = np.random.default_rng(toxic)
+    bad, plain = ["scum", "moron"], [f"w{i}" for i in range(400)]
+
+    def text(i, k):
+        said = " ".join(rng.choice(plain, 12)) + ". " + " ".join(rng.choice(plain, 12))
+        slanted = " mild" if rng.random() < (0.32 if k else 0.28) else ""  # a word that says next to nothing
+        return said + slanted + (f" you {bad[i % 2]}!" if k else " you friend!")
+
+    rows = [(i, text(i, int(i < toxic)), int(i < toxic)) for i in range(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), *most)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(scores[i] >= 0.5) == bool(k) for i, _, k in rows]) > 0.99
+    assert len(model.words) <= 8  # two words and their stems; nothing by chance
+
+
 # 9
 
 
