@@ -214,6 +214,7 @@ class UnitCache:
 
     def __init__(self, path: str, remembered: int = 350_000):
         self.model, self.remembered = PieceModel(path), remembered
+        self.surface = {str(i).encode(): b for i, b in self.model.surface.items()}
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
 
@@ -237,6 +238,10 @@ class UnitCache:
         self.young.update(zip(hashes, got))
         return got
 
+    def spelled(self, ids: bytes) -> bytes:
+        """The bytes that decimal ids decode to."""
+        return b"".join(map(self.surface.__getitem__, ids.split(b" ")))
+
     def block(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, bytes, bytes]]:
         """(number of ids with the end id, their decimal form, decoded bytes) of each text."""
         raw = buf.tobytes()
@@ -260,8 +265,9 @@ class UnitCache:
         bounds = np.searchsorted(start, off)
         total = np.concatenate([[0], np.cumsum(sizes[inverse])])
         order, out = inverse.tolist(), []
-        for text, a, b, n in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), (total[bounds[1:]] - total[bounds[:-1]]).tolist()):
-            out.append((n + 1, b" ".join([*map(got.__getitem__, order[a:b]), end_id]), text[1:]))
+        said = [*map(self.spelled, got)]  # what each distinct unit's ids decode to
+        for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), (total[bounds[1:]] - total[bounds[:-1]]).tolist()):
+            out.append((n + 1, b" ".join([*map(got.__getitem__, order[a:b]), end_id]), b"".join(map(said.__getitem__, order[a:b]))[1:]))
         return out
 
 
@@ -285,6 +291,8 @@ def _run(path: str, full: bool):
                 text = buf[off[i] : off[i + 1]].tobytes().decode()
                 if rows[0][1].decode().split(" ") != [*map(str, units.model.library.encode(text, num_threads=1)), str(units.model.eos)]:
                     raise ValueError(f"document {names[i]} differs from the library's ids")
+                if rows[0][2].decode() != units.model.library.decode([*map(int, rows[0][1].split(b" "))]):
+                    raise ValueError(f"document {names[i]} differs from the library's text")
                 common = {"doc_id": names.slice(i, j - i), "n_tokens": [r[0] for r in rows]}
                 if full:
                     yield C.table_of(schema, **common, ids=[np.array(r[1].split(b" "), np.int32) for r in rows], decoded=[r[2].decode() for r in rows])

@@ -265,6 +265,19 @@ def test_pieces_match_the_library():
     assert model.batch_ids(units) == [model.unit_ids(u) for u in units]
 
 
+def test_decoded_text_comes_from_the_ids():
+    import public_tokenizers
+
+    units = piece_codec.UnitCache(public_tokenizers.path("piece_bpe_32k.model"))
+    raw = "one two".encode()
+    off = np.array([0, len(raw)])
+    assert units.block(np.frombuffer(raw, np.uint8), off)[0][2] == raw
+    wrong = " ".join(map(str, units.model.encode("six"))).encode()
+    for h in units.young:  # as if each hash had met another unit before
+        units.young[h] = wrong
+    assert units.block(np.frombuffer(raw, np.uint8), off)[0][2] == b"six six"
+
+
 def test_codec_query(spark, small):
     model = piece_codec.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
     got = {r["doc_id"]: r for r in piece_codec.op6_piece_codec(spark, DATA).collect()}
