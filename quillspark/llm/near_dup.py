@@ -7,13 +7,15 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
 0.8 a pair shares no band with a probability below 1e-6.
 
 1. Documents with equal sets form a class; one row a class goes on, so copies cost nothing further.
-2. Each bucket of a band links its classes to its smallest one (a star, not all pairs); links are verified on the full
-   sets; components follow by star contraction.
+2. Each bucket of a band proposes its smallest class (its centre) to its other classes: a star, not all pairs. A class
+   first verifies one link on the full sets, with the centre that shares most bands; components follow by star
+   contraction. Proposals that still join two components are then verified, one for each class and other component.
 3. In a bucket that still holds several components the rows outside the largest one meet each other and its rows, in
    blocks of about BLOCK rows: pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
    deviations of the threshold are verified likewise, each once. No bucket is capped: a large one is spread over blocks.
 
-Verification ships packed texts, grouped by the star's centre and cut into groups of at most about 64 links.
+So the members of a group cost one link each, and what is verified after that lies between components only.
+Verification ships packed texts, grouped by the link's centre and cut into groups of at most about FAN links.
 
 A document with fewer than k words, but some, has one shingle: the whole sequence. Null, empty or blank texts have no
 set, link with nothing and are kept. Rows with a null doc_id are no nodes: component null, kept. Rows that share a
@@ -38,6 +40,8 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BLOCK = 1024
+#: Links of one centre that a task verifies at once.
+FAN = 64
 #: Deviations below the threshold that a pair's estimate may lie to be verified still.
 DEVIATIONS = 4.5
 BROADCAST_BYTES = 32 << 20
@@ -115,12 +119,13 @@ def _sketch(k: int):
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
             names = batch.column("doc_id")
-            for i, j in C.blocks(buf, off):
+            for i, j in C.blocks(buf, off, 1 << 19):
                 sh, counts = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 reg = iter(registers(sh, counts))
                 ends = np.cumsum(counts)
                 digest = [hashlib.blake2b(sh[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends, counts)]
                 yield C.table_of(schema, doc_id=names.slice(i, j - i), n_shingles=counts, digest=digest, reg=[next(reg).tobytes() if c else None for c in counts])
+            C.trim()
 
     return run
 
@@ -131,6 +136,7 @@ def _bands(batches):
         reg = np.frombuffer(b"".join(batch.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keys = band_keys(reg)
         yield C.table_of(schema, band=keys.reshape(-1), node=np.repeat(batch.column("node").to_numpy(), BANDS), n=np.repeat(batch.column("n").to_numpy(), BANDS))
+        C.trim()
 
 
 def _pack_texts(batches):
@@ -138,6 +144,7 @@ def _pack_texts(batches):
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         yield C.table_of(schema, node=batch.column("doc_id"), body=[packer.compress((t or "").encode()) for t in batch.column("text").to_pylist()])
+        C.trim()
 
 
 def _verify(k: int, percent: int):
@@ -162,6 +169,8 @@ def _verify(k: int, percent: int):
             both = np.bincount(np.repeat(np.arange(j - i), counts), weights=hit, minlength=j - i).astype(np.int64)
             linked[i:j] = (100 * both >= percent * (len(centre) + counts - both)) & (counts > 0)
         node = table.column("node").to_numpy()
+        del buf, bodies
+        C.trim()
         return pa.table({"u": table.column("centre").to_numpy()[rows[linked]], "v": node[rows[linked]]}, schema=schema)
 
     return run
@@ -196,6 +205,7 @@ def _pairs(percent: int):
                 out_u.append(np.full(len(j), node[i]))
                 out_v.append(node[j])
         z = [np.zeros(0, np.int64)]
+        C.trim()
         return pa.table({"u": np.concatenate(out_u + z), "v": np.concatenate(out_v + z)}, schema=schema)
 
     return run
@@ -212,33 +222,47 @@ def _verified(docs: DataFrame, links: DataFrame, k: int, percent: int) -> DataFr
     links = C.stage(links)
     nodes = C.stage(links.select("node").union(links.select(F.col("centre").alias("node"))).distinct())
     texts = _texts(docs, nodes)
-    degree = links.groupBy("centre").agg(F.count("*").alias("degree"))
-    cut = links.join(degree, "centre").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / 64))).drop("degree")
+    hot = C.stage(links.groupBy("centre").agg(F.count("*").alias("degree")).filter(F.col("degree") > FAN))
+    cut = links.join(_sized(hot, 16), "centre", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("degree", F.lit(1)) / FAN))).drop("degree")
     members = cut.join(texts, "node").select("centre", "salt", "node", "body", F.lit(False).alias("head"))
     heads = cut.select("centre", "salt").distinct().join(texts.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.col("centre").alias("node"), "body", F.lit(True).alias("head"))
     out = C.stage(members.union(heads).groupBy("centre", "salt").applyInArrow(_verify(k, percent), "u bigint, v bigint"))
-    C.drop(links, nodes, texts)
+    C.drop(links, nodes, texts, hot)
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest linked doc_id), kept, for every row of docs (doc_id, text)."""
-    spark = C.tune(docs.sparkSession)
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = C.stage(slim.mapInArrow(_sketch(k), "doc_id bigint, n_shingles bigint, digest binary, reg binary"))
-    full = sketched.filter("digest is not null and doc_id is not null")
-    classes = C.stage(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("reg").alias("reg")))
-    bands = classes.select("node", "n", "reg").mapInArrow(_bands, "band bigint, node bigint, n bigint")
-    bands = C.stage(bands)
+def _sized(side: DataFrame, row_bytes: int) -> DataFrame:
+    """Marks a staged side for broadcast if its counted rows fit; otherwise the join shuffles."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+
+
+def _proposals(bands: DataFrame, percent: int) -> DataFrame:
+    """(centre, node, shared): the smallest class of each bucket and its other ones, with the number of bands they share."""
     centres = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("rows")).filter("rows > 1")
     close = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
-    stars = bands.join(centres, "band").filter((F.col("node") != F.col("c.node")) & close).select(F.col("c.node").alias("centre"), "node").distinct()
-    linked = _verified(slim, stars, k, percent)
-    forest = components(linked)
+    stars = bands.join(centres, "band").filter((F.col("node") != F.col("c.node")) & close)
+    return C.stage(stars.groupBy(F.col("c.node").alias("centre"), "node").agg(F.count("*").alias("shared")))
+
+
+def _best(proposals: DataFrame, *keys: str) -> DataFrame:
+    """Of the proposals of each key the one that shares most bands, then the smallest centre."""
+    return proposals.groupBy(*keys).agg(F.max(F.struct("shared", (-F.col("centre")).alias("less"))).alias("top")).select(*keys, (-F.col("top.less")).alias("centre"))
+
+
+def _rooted(rows: DataFrame, forest: DataFrame, node: str, root: str) -> DataFrame:
+    """Adds the component of a column of nodes."""
+    found = rows.join(forest.select(F.col("u").alias(node), F.col("v").alias(root)), node, "left")
+    return found.withColumn(root, F.coalesce(root, node))
+
 
-    # buckets that hold several components: all but the largest component's rows meet each other and that one's
-    named = bands.join(centres.select("band"), "band").join(forest.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("comp"))
-    named = C.stage(named)
+def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
+    return components(forest.union(links)) if links.limit(1).count() else forest
+
+
+def _mixed_pairs(bands: DataFrame, classes: DataFrame, forest: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs (centre, node) of different components, of the buckets that hold several."""
+    shared = bands.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1").select("band")
+    named = C.stage(_rooted(bands.join(shared, "band"), forest, "node", "comp").select("band", "node", "n", "comp"))
     per = named.groupBy("band", "comp").agg(F.count("*").alias("rows"))
     mixed = per.groupBy("band").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).filter("comps > 1")
     mixed = mixed.select("band", F.col("top.comp").alias("major"), F.ceil(F.col("top.rows") / BLOCK).alias("nj"), F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK).alias("ni"))
@@ -248,14 +272,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     spread = placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q")
     held = spread.join(classes.select("node", "reg"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg")
     pairs = held.groupBy("band", "across", "p", "q").applyInArrow(_pairs(percent), "u bigint, v bigint")
-    pairs = pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct()
+    out = C.stage(pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct())
+    C.drop(named)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest linked doc_id), kept, for every row of docs (doc_id, text)."""
+    C.tune(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched = C.stage(slim.mapInArrow(_sketch(k), "doc_id bigint, n_shingles bigint, digest binary, reg binary"))
+    full = sketched.filter("digest is not null and doc_id is not null")
+    classes = C.stage(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("reg").alias("reg")))
+    bands = C.stage(classes.select("node", "n", "reg").mapInArrow(_bands, "band bigint, node bigint, n bigint"))
+
+    proposals = _proposals(bands, percent)
+    first = C.stage(_best(proposals, "node"))
+    linked = _verified(slim, first.select("centre", "node"), k, percent)
+    forest = components(linked)
+    # proposals that join two components yet, but for those that have been verified
+    between = _rooted(_rooted(proposals.join(first, ["centre", "node"], "left_anti"), forest, "node", "root"), forest, "centre", "other").filter("root <> other")
+    again = _verified(slim, _best(between, "node", "other").select("centre", "node"), k, percent)
+    forest = _joined(forest, again)
+    pairs = _mixed_pairs(bands, classes, forest, percent)
     more = _verified(slim, pairs, k, percent)
-    final = components(forest.union(more)) if more.limit(1).count() else forest
+    final = _joined(forest, more)
     root = classes.select("digest", "node").join(final.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(root, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    C.drop(bands, named, linked, more)
+    C.drop(bands, proposals, first, linked, again, pairs, more)
     return result
 
 
