@@ -8,8 +8,9 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
 
 1. Documents with equal sets form a class; one row a class goes on, so copies cost nothing further.
 2. Each bucket of a band proposes its smallest class (its centre) to its other classes: a star, not all pairs. A class
-   first verifies one link on the full sets, with the centre that shares most bands; components follow by star
-   contraction. Proposals that still join two components are then verified, one for each class and other component.
+   verifies one link on the full sets, with the centre that shares most bands; components follow by star contraction.
+   Then each bucket holds one class for each of its components, and proposes the smallest component's to the others:
+   one link is verified for each two components.
 3. In a bucket that still holds several components the rows outside the largest one meet each other and its rows, in
    blocks of about BLOCK rows: pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
    deviations of the threshold are verified likewise, each once. No bucket is capped: a large one is spread over blocks.
@@ -236,33 +237,42 @@ def _sized(side: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
 
 
-def _proposals(bands: DataFrame, percent: int) -> DataFrame:
-    """(centre, node, shared): the smallest class of each bucket and its other ones, with the number of bands they share."""
+def _close(n: str, m: str, percent: int):
+    """Sizes of sets that can be similar enough."""
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
+def _first_links(bands: DataFrame, percent: int) -> DataFrame:
+    """(centre, node): one link for each class, with the centre of its buckets that shares most bands, then the smallest."""
     centres = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("rows")).filter("rows > 1")
-    close = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
-    stars = bands.join(centres, "band").filter((F.col("node") != F.col("c.node")) & close)
-    return C.stage(stars.groupBy(F.col("c.node").alias("centre"), "node").agg(F.count("*").alias("shared")))
+    stars = bands.join(centres, "band").filter((F.col("node") != F.col("c.node")) & _close("n", "c.n", percent))
+    shared = stars.groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("shared"))
+    best = shared.groupBy("node").agg(F.max(F.struct("shared", (-F.col("centre")).alias("less"))).alias("top"))
+    return C.stage(best.select((-F.col("top.less")).alias("centre"), "node"))
 
 
-def _best(proposals: DataFrame, *keys: str) -> DataFrame:
-    """Of the proposals of each key the one that shares most bands, then the smallest centre."""
-    return proposals.groupBy(*keys).agg(F.max(F.struct("shared", (-F.col("centre")).alias("less"))).alias("top")).select(*keys, (-F.col("top.less")).alias("centre"))
+def _links_between(named: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """(centre, node): one link for each two components whose smallest members in some bucket meet there."""
+    held = named.groupBy("band", "comp").agg(F.min(F.struct("node", "n")).alias("one"))
+    first = held.groupBy("band").agg(F.min(F.struct("comp", "one")).alias("c"), F.count("*").alias("comps")).filter("comps > 1")
+    met = held.join(first, "band").filter((F.col("comp") != F.col("c.comp")) & _close("one.n", "c.one.n", percent))
+    link = F.struct(F.col("c.one.node").alias("centre"), F.col("one.node").alias("node"))
+    links = met.groupBy(F.col("c.comp").alias("other"), "comp").agg(F.min(link).alias("link")).select("link.*")
+    return links.join(tested, ["centre", "node"], "left_anti")
 
 
-def _rooted(rows: DataFrame, forest: DataFrame, node: str, root: str) -> DataFrame:
-    """Adds the component of a column of nodes."""
-    found = rows.join(forest.select(F.col("u").alias(node), F.col("v").alias(root)), node, "left")
-    return found.withColumn(root, F.coalesce(root, node))
+def _named(rows: DataFrame, forest: DataFrame) -> DataFrame:
+    """Band rows (band, node, n) with their components, staged."""
+    roots = forest.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+    return C.stage(rows.join(roots, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp")))
 
 
 def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
     return components(forest.union(links)) if links.limit(1).count() else forest
 
 
-def _mixed_pairs(bands: DataFrame, classes: DataFrame, forest: DataFrame, percent: int) -> DataFrame:
+def _mixed_pairs(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Likely pairs (centre, node) of different components, of the buckets that hold several."""
-    shared = bands.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1").select("band")
-    named = C.stage(_rooted(bands.join(shared, "band"), forest, "node", "comp").select("band", "node", "n", "comp"))
     per = named.groupBy("band", "comp").agg(F.count("*").alias("rows"))
     mixed = per.groupBy("band").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).filter("comps > 1")
     mixed = mixed.select("band", F.col("top.comp").alias("major"), F.ceil(F.col("top.rows") / BLOCK).alias("nj"), F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK).alias("ni"))
@@ -272,9 +282,7 @@ def _mixed_pairs(bands: DataFrame, classes: DataFrame, forest: DataFrame, percen
     spread = placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q")
     held = spread.join(classes.select("node", "reg"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg")
     pairs = held.groupBy("band", "across", "p", "q").applyInArrow(_pairs(percent), "u bigint, v bigint")
-    out = C.stage(pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct())
-    C.drop(named)
-    return out
+    return C.stage(pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -286,22 +294,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = C.stage(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("reg").alias("reg")))
     bands = C.stage(classes.select("node", "n", "reg").mapInArrow(_bands, "band bigint, node bigint, n bigint"))
 
-    proposals = _proposals(bands, percent)
-    first = C.stage(_best(proposals, "node"))
-    linked = _verified(slim, first.select("centre", "node"), k, percent)
+    first = _first_links(bands, percent)
+    linked = _verified(slim, first, k, percent)
     forest = components(linked)
-    # proposals that join two components yet, but for those that have been verified
-    between = _rooted(_rooted(proposals.join(first, ["centre", "node"], "left_anti"), forest, "node", "root"), forest, "centre", "other").filter("root <> other")
-    again = _verified(slim, _best(between, "node", "other").select("centre", "node"), k, percent)
+    shared = bands.groupBy("band").agg(F.count("*").alias("rows")).filter("rows > 1").select("band")
+    named = _named(bands.join(shared, "band"), forest)
+    again = _verified(slim, _links_between(named, first, percent), k, percent)
     forest = _joined(forest, again)
-    pairs = _mixed_pairs(bands, classes, forest, percent)
+    final_names = _named(named.drop("comp"), forest)
+    pairs = _mixed_pairs(final_names, classes, percent)
     more = _verified(slim, pairs, k, percent)
     final = _joined(forest, more)
     root = classes.select("digest", "node").join(final.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(root, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    C.drop(bands, proposals, first, linked, again, pairs, more)
+    C.drop(bands, first, linked, named, again, final_names, pairs, more)
     return result
 
 
