@@ -12,11 +12,13 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
    Then each bucket holds one class for each of its components, and proposes the smallest component's to the others:
    one link is verified for each two components.
 3. In a bucket that still holds several components the rows outside the largest one meet each other and its rows, in
-   blocks of about BLOCK rows: pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
-   deviations of the threshold are verified likewise, each once. No bucket is capped: a large one is spread over blocks.
+   blocks of about BLOCK rows. Pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
+   deviations of the threshold are verified on the full sets in the same task, each in the first band that it shares; a
+   link joins its components there, so a row gives one link for each component that it joins, and pairs are no rows.
+   No bucket is capped: a large one is spread over blocks.
 
 So the members of a group cost one link each, and what is verified after that lies between components only.
-Verification ships packed texts, grouped by the link's centre and cut into groups of at most about FAN links.
+Steps 1 and 2 ship packed texts, grouped by the link's centre and cut into groups of at most about FAN links.
 
 A document with fewer than k words, but some, has one shingle: the whole sequence. Null, empty or blank texts have no
 set, link with nothing and are kept. Rows with a null doc_id are no nodes: component null, kept. Rows that share a
@@ -41,6 +43,8 @@ BANDS, ROWS = 48, 6
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 BLOCK = 1024
+#: Shingles of a block's rows; long texts make blocks of fewer rows.
+BLOCK_SHINGLES = 1 << 20
 #: Links of one centre that a task verifies at once.
 FAN = 64
 #: Deviations below the threshold that a pair's estimate may lie to be verified still.
@@ -177,37 +181,73 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _pairs(percent: int):
-    """Likely pairs of one pair of blocks of a bucket; a pair is given in the first band that it shares."""
+def _block_links(k: int, percent: int):
+    """Links between components in one pair of blocks of a bucket: likely pairs, verified on the full sets."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     low = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, n, blk = (table.column(c).to_numpy() for c in ("node", "comp", "n", "blk"))
-        major = table.column("in_major").to_numpy(zero_copy_only=False)
-        band, across, p, q = (table.column(c)[0].as_py() for c in ("band", "across", "p", "q"))
-        reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        here = int(np.flatnonzero(band_keys(reg[:1])[0] == band)[0])
+    def likely(reg, n, comp, band, sides):
+        """Of each row the rows it may be linked with."""
         cells = reg.reshape(len(reg), BANDS, ROWS)
-        if across:
-            left, right = np.flatnonzero(~major), np.flatnonzero(major)
-        else:
-            left = np.flatnonzero(blk == p)
-            right = left if p == q else np.flatnonzero(blk == q)
-        out_u, out_v = [], []
-        for i in left:
-            j = right[comp[right] != comp[i]] if across or p != q else right[(right > i) & (comp[right] != comp[i])]
+        here = int(np.flatnonzero(band_keys(reg[:1])[0] == band)[0])
+        for i, right in sides:
+            j = right[comp[right] != comp[i]]
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             if len(j) and here:
                 j = j[~(cells[j, :here] == cells[i, :here]).all(axis=2).any(axis=1)]
             if len(j):
                 greater, less = (reg[i] > reg[j]).sum(axis=1), (reg[i] < reg[j]).sum(axis=1)
                 j = j[likely_jaccard(greater, less, np.full(len(j), n[i], float), n[j].astype(float)) >= low]
-                out_u.append(np.full(len(j), node[i]))
-                out_v.append(node[j])
-        z = [np.zeros(0, np.int64)]
+            if len(j):
+                yield i, j
+
+    def sets(bodies, rows):
+        """Local numbers of the rows' shingles: (numbers, how many there are, begin and end of each row)."""
+        opener = zstandard.ZstdDecompressor()
+        texts = [opener.decompress(bodies[r].as_py()) for r in rows.tolist()]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        parts = [shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k) for i, j in C.blocks(buf, off)]
+        names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        ends = np.cumsum(np.concatenate([p[1] for p in parts]))
+        return at, len(names), np.concatenate([[0], ends[:-1]]), ends
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, n, blk = (table.column(c).to_numpy() for c in ("node", "comp", "n", "blk"))
+        comp = comp.copy()
+        major = table.column("in_major").to_numpy(zero_copy_only=False)
+        band, across, p, q = (table.column(c)[0].as_py() for c in ("band", "across", "p", "q"))
+        reg = np.frombuffer(b"".join(table.column("reg").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        if across:
+            right = np.flatnonzero(major)
+            sides = ((i, right) for i in np.flatnonzero(~major).tolist())
+        elif p == q:
+            sides = ((i, np.arange(i + 1, len(node))) for i in range(len(node)))
+        else:
+            right = np.flatnonzero(blk == q)
+            sides = ((i, right) for i in np.flatnonzero(blk == p).tolist())
+        found = list(likely(reg, n, comp, band, sides))
+        out: list[tuple[int, int]] = []
+        if found:
+            rows = np.unique(np.concatenate([np.append(j, i) for i, j in found]))
+            number, size, begin, end = sets(table.column("body"), rows)
+            mine = np.zeros(size, bool)
+            for i, j in found:
+                j = j[comp[j] != comp[i]]  # links found on the way may have joined them
+                if not len(j):
+                    continue
+                a, b = np.searchsorted(rows, i), np.searchsorted(rows, j)
+                own = number[begin[a] : end[a]]
+                mine[own] = True
+                count = end[b] - begin[b]
+                both = np.add.reduceat(mine[number[X.ragged(begin[b], count)]].astype(np.int64), np.cumsum(count) - count)
+                mine[own] = False
+                for x in j[100 * both >= percent * (len(own) + count - both)].tolist():
+                    if comp[x] != comp[i]:
+                        out.append((int(node[i]), int(node[x])))
+                        comp[comp == comp[x]] = comp[i]
         C.trim()
-        return pa.table({"u": np.concatenate(out_u + z), "v": np.concatenate(out_v + z)}, schema=schema)
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())}, schema=schema)
 
     return run
 
@@ -271,18 +311,22 @@ def _joined(forest: DataFrame, links: DataFrame) -> DataFrame:
     return components(forest.union(links)) if links.limit(1).count() else forest
 
 
-def _mixed_pairs(named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (centre, node) of different components, of the buckets that hold several."""
-    per = named.groupBy("band", "comp").agg(F.count("*").alias("rows"))
-    mixed = per.groupBy("band").agg(F.max(F.struct("rows", "comp")).alias("top"), F.sum("rows").alias("rows"), F.count("*").alias("comps")).filter("comps > 1")
-    mixed = mixed.select("band", F.col("top.comp").alias("major"), F.ceil(F.col("top.rows") / BLOCK).alias("nj"), F.ceil((F.col("rows") - F.col("top.rows")) / BLOCK).alias("ni"))
+def _links_in_mixed(docs: DataFrame, named: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (u, v) of the buckets that hold several components, staged."""
+    per = named.groupBy("band", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    mixed = per.groupBy("band").agg(F.max(F.struct("rows", "comp", "n")).alias("top"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES))
+    mixed = mixed.select("band", F.col("top.comp").alias("major"), blocks(F.col("top.rows"), F.col("top.n")).alias("nj"), blocks(F.col("rows") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("ni"))
     placed = named.join(mixed, "band").withColumn("in_major", F.col("comp") == F.col("major")).withColumn("blk", F.pmod(F.xxhash64("node"), F.when(F.col("in_major"), F.col("nj")).otherwise(F.col("ni"))))
     meets = """if(in_major, transform(sequence(0L, ni - 1), i -> struct(true as across, blk as p, i as q)),
       concat(transform(sequence(0L, nj - 1), j -> struct(true as across, j as p, blk as q)), transform(sequence(0L, ni - 1), i -> struct(false as across, least(blk, i) as p, greatest(blk, i) as q))))"""
-    spread = placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q")
-    held = spread.join(classes.select("node", "reg"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg")
-    pairs = held.groupBy("band", "across", "p", "q").applyInArrow(_pairs(percent), "u bigint, v bigint")
-    return C.stage(pairs.select(F.least("u", "v").alias("centre"), F.greatest("u", "v").alias("node")).distinct())
+    spread = C.stage(placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q"))
+    nodes = C.stage(spread.select("node").distinct())
+    texts = _texts(docs, nodes)
+    held = spread.join(classes.select("node", "reg").join(texts, "node"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg", "body")
+    out = C.stage(held.groupBy("band", "across", "p", "q").applyInArrow(_block_links(k, percent), "u bigint, v bigint"))
+    C.drop(spread, nodes, texts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,14 +346,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     again = _verified(slim, _links_between(named, first, percent), k, percent)
     forest = _joined(forest, again)
     final_names = _named(named.drop("comp"), forest)
-    pairs = _mixed_pairs(final_names, classes, percent)
-    more = _verified(slim, pairs, k, percent)
+    more = _links_in_mixed(slim, final_names, classes, k, percent)
     final = _joined(forest, more)
     root = classes.select("digest", "node").join(final.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(root, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     result = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    C.drop(bands, first, linked, named, again, final_names, pairs, more)
+    C.drop(bands, first, linked, named, again, final_names, more)
     return result
 
 
