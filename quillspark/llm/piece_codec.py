@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
 from quillspark.llm import _text as X
+from quillspark.llm._units import UnitTable
 
 MARK = "▁"
 #: Kinds of pieces in the model file (fixed values).
@@ -29,6 +31,26 @@ NORMAL, USER_DEFINED, BYTE = 1, 4, 6
 SHORT, NEVER = 48, np.iinfo(np.int32).max
 
 
+class Rows:
+    """Short rows of numbers behind one another."""
+
+    def __init__(self, rows: list, kind):
+        self.size = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.fromiter(itertools.chain.from_iterable(rows), kind, int(self.size.sum()))
+
+    def followed_by(self, other: Rows) -> Rows:
+        out = Rows([], self.flat.dtype)
+        out.flat, out.size = np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size])
+        out.start = np.cumsum(out.size) - out.size
+        return out
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows at, joined, and the size of each."""
+        size = self.size[at]
+        return self.flat[X.ragged(self.start[at], size)], size
+
+
 class PieceModel:
     """The vocabulary with its own encoder and decoder."""
 
@@ -55,15 +77,15 @@ class PieceModel:
             elif p.type == USER_DEFINED:
                 raise ValueError("user-defined pieces are not supported")
         self._tables()
+        self._spellings()
         self.eos = self.library.eos_id()
 
     def _tables(self) -> None:
         """Numbers the symbols and lists every pair of symbols that makes a piece, in a probed hash table."""
         names = list(self.rank)
         chars = sorted({c for p in names for c in p} - self.rank.keys())
-        number = {p: i for i, p in enumerate(names + chars)}
+        number = self._number = {p: i for i, p in enumerate(names + chars)}
         order = {x: i for i, x in enumerate(sorted({r[0] for r in self.rank.values()}))}
-        self.piece_id = np.array([self.rank[p][1] for p in names] + [-1] * len(chars), np.int32)
         self.char = np.full(0x110000, -1, np.int32)
         for p, i in number.items():
             if len(p) == 1:
@@ -82,13 +104,22 @@ class PieceModel:
             self.slot_key[h + step], self.slot_made[h + step], self.slot_cost[h + step] = k, m, c
             self.probes = max(self.probes, step + 1)
 
+    def _spellings(self) -> None:
+        """Ids that each symbol gives; and of every id its bytes and its decimal digits with a blank behind."""
+        symbols = sorted((i, c) for c, i in self._number.items())
+        own = [[self.rank[c][1]] if c in self.rank else [self.byte_ids[b] for b in c.encode()] for _, c in symbols]
+        self.own = Rows(own, np.int32)
+        ids = range(self.library.get_piece_size())
+        self.spoken = Rows([list(self.surface.get(i, b"")) for i in ids], np.uint8)
+        self.digits = Rows([list(b"%d " % i) for i in ids], np.uint8)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(X.RADIX)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _costs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cost (NEVER: no piece) and merged symbol of pairs."""
         keys = left.astype(np.int64) * self.size + right
-        keys[(left < 0) | (right < 0)] = -2
+        keys[(left < 0) | (right < 0) | (left >= self.size) | (right >= self.size)] = -2
         cost, made = np.full(keys.shape, NEVER, np.int32), np.zeros(keys.shape, np.int32)
         flat_cost, flat_made, keys = cost.reshape(-1), made.reshape(-1), keys.reshape(-1)
         at = self._slot(keys)
@@ -105,29 +136,43 @@ class PieceModel:
         return cost, made
 
     def batch_ids(self, units: list[str]) -> list[list[int]]:
-        """unit_ids of many units: one agenda a row, and each round every row merges its best leftmost pair."""
-        out: list = [None] * len(units)
+        """unit_ids of many units."""
+        flat, counts = self.flat_ids(units)
+        ends = np.cumsum(counts)
+        return [flat[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())]
+
+    def flat_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many units one after another, and how many each has.
+
+        One agenda a row: each round every row merges its best leftmost pair. Long units go through the heap.
+        """
         lengths = np.fromiter(map(len, units), np.int64, len(units))
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))]
         for low, high in ((0, 8), (8, 12), (12, 18), (18, 28), (28, SHORT)):
             mine = np.flatnonzero((lengths > low) & (lengths <= high))
             if len(mine):
-                self._rows(mine, [units[i] for i in mine], lengths[mine], high, out)
+                self._rows(mine, [units[i] for i in mine], lengths[mine], high, found)
         for i in np.flatnonzero((lengths > SHORT) | (lengths == 0)).tolist():
-            out[i] = self.unit_ids(units[i])
-        return out
-
-    def _rows(self, mine, units, lengths, width, out) -> None:
-        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+            ids = self.unit_ids(units[i])
+            found.append((np.array([i]), np.array([len(ids)]), np.array(ids, np.int32)))
+        who, counts, flat = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(who)
+        begins = np.cumsum(counts) - counts
+        return flat[X.ragged(begins[order], counts[order])], counts[order]
+
+    def _rows(self, mine, units, lengths, width, found) -> None:
+        points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int32)
         inside = np.arange(width) < lengths[:, None]
         sym = np.full((len(units), width), -2, np.int32)
-        sym[inside] = self.char[points]
+        known = self.char[points]
+        sym[inside] = np.where(known >= 0, known, self.size + points)  # characters of no piece are symbols of their own
         cost, made = self._costs(sym[:, :-1], sym[:, 1:])
         row, columns = np.arange(len(units)), np.arange(width - 1)
         while True:
             best = cost.argmin(axis=1)
             live = cost[np.arange(len(row)), best] != NEVER
             if not live.all():
-                self._finish(mine, units, row[~live], sym[~live], out)
+                self._finish(mine[row[~live]], sym[~live], found)
                 row, sym, cost, made, best = row[live], sym[live], cost[live], made[live], best[live]
             if not len(row):
                 return
@@ -143,12 +188,21 @@ class PieceModel:
                 ok = (at >= 0) & (at < width - 1)
                 cost[each[ok], at[ok]], made[each[ok], at[ok]] = self._costs(sym[each[ok], at[ok]], sym[each[ok], at[ok] + 1])
 
-    def _finish(self, mine, units, rows, sym, out) -> None:
-        ids = np.where(sym >= 0, self.piece_id[np.maximum(sym, 0)], sym)
-        counts = (sym != -2).sum(axis=1).tolist()
-        plain = ((ids >= 0) | (sym == -2)).all(axis=1).tolist()
-        for i, r, n, ok in zip(rows.tolist(), ids.tolist(), counts, plain):
-            out[mine[i]] = r[:n] if ok else self.unit_ids(units[i])
+    def _finish(self, who, sym, found) -> None:
+        """Ids of finished rows; a symbol that is no piece gives the ids of its bytes."""
+        there = sym != -2
+        symbols = sym[there]
+        rows = np.cumsum(there.sum(axis=1))
+        odd = symbols >= self.size
+        if odd.any():
+            points, at = np.unique(symbols[odd], return_inverse=True)
+            strange = Rows([[self.byte_ids[b] for b in chr(p - self.size).encode()] for p in points.tolist()], np.int32)
+            symbols[odd] = self.size + at
+            ids, sizes = self.own.followed_by(strange).take(symbols)
+        else:
+            ids, sizes = self.own.take(symbols)
+        total = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], rows])]
+        found.append((who, np.diff(total), ids))
 
     def symbols(self, unit: str) -> list[str]:
         """Merges adjacent symbols, best score first and leftmost among equals, until no pair is a piece.
@@ -212,63 +266,53 @@ class PieceModel:
 class UnitCache:
     """Encodes blocks of texts through their distinct units."""
 
-    def __init__(self, path: str, remembered: int = 350_000):
-        self.model, self.remembered = PieceModel(path), remembered
-        self.surface = {str(i).encode(): b for i, b in self.model.surface.items()}
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-
-    def units(self, hashes: list[int], texts) -> list[bytes]:
-        """Decimal ids joined by spaces, of each unit. A unit is remembered only if its ids decode to its own bytes."""
-        young, old, model = self.young, self.old, self.model
-        got = [young.get(h) or old.get(h) for h in hashes]
-        new = [i for i, g in enumerate(got) if g is None]
-        if new:
-            fresh = texts(new)
-            own = model.batch_ids(fresh)
-            theirs = model.library.encode([u[1:] for u in fresh], num_threads=1)
-            for i, u, a, b in zip(new, fresh, own, theirs):
-                if a != b and u != MARK:
-                    raise ValueError(f"unit {u!r}: {a} but the library says {b}")
-                if model.decode_bytes(a) != u.replace(MARK, " ").encode():
-                    raise ValueError(f"unit {u!r} does not decode to itself")
-                got[i] = " ".join(map(str, a)).encode()
-        if len(young) + len(hashes) > self.remembered:
-            self.old, self.young = young, {}
-        self.young.update(zip(hashes, got))
-        return got
-
-    def spelled(self, ids: bytes) -> bytes:
-        """The bytes that decimal ids decode to."""
-        return b"".join(map(self.surface.__getitem__, ids.split(b" ")))
-
-    def block(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-        """(number of ids with the end id, their decimal form, decoded bytes) of each text."""
+    def __init__(self, path: str):
+        self.model, self.table = PieceModel(path), UnitTable()
+
+    def fresh(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new units, checked against the library; they must decode to the units' own bytes."""
+        model = self.model
+        spans = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
+        units = [s.decode().replace(" ", MARK) for s in spans]
+        ids, counts = model.flat_ids(units)
+        # the library puts the first mark itself, and none before an empty text: a lone mark can't be asked of it
+        theirs = [b if u != MARK else model.unit_ids(u) for u, b in zip(units, model.library.encode([u[1:] for u in units], num_threads=1))]
+        agreed = np.array_equal(counts, np.fromiter(map(len, theirs), np.int64, len(theirs))) and np.array_equal(ids, np.fromiter(itertools.chain.from_iterable(theirs), np.int32))
+        if not agreed:
+            u, b = next((u, b) for u, a, b in zip(units, model.batch_ids(units), theirs) if a != b)
+            raise ValueError(f"unit {u!r} is {b} in the library")
+        if model.spoken.take(ids)[0].tobytes() != b"".join(spans):
+            raise ValueError("a new unit does not decode to itself")
+        return ids, counts
+
+    def block(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[int, bytes, bytes, np.ndarray]]:
+        """(number of ids with the end id, their decimal form, decoded bytes, ids without the end id) of each text."""
         raw = buf.tobytes()
         texts = [raw[a:b].replace(MARK.encode(), b" ") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
         texts = [b" " + t if t else t for t in texts]
-        buf = np.frombuffer(b"".join(texts), np.uint8)
+        raw = b"".join(texts)
+        buf = np.frombuffer(raw, np.uint8)
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         end_id = str(self.model.eos).encode()
         if not len(buf):
-            return [(1, end_id, b"")] * len(texts)
+            return [(1, end_id, b"", np.zeros(0, np.int32))] * len(texts)
         blank = buf == 32
         lead = np.zeros(len(buf) + 1, bool)
         lead[off] = True
         start = np.flatnonzero(blank & (lead[:-1] | np.concatenate([[True], ~blank[:-1]])))
         end = np.append(start[1:], len(buf))
-        h = X.span_hashes(X.prefix(buf), start, end)
-        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        got = self.units(distinct.tolist(), lambda new: [raw[start[at[i]] : end[at[i]]].decode().replace(" ", MARK) for i in new])
-        sizes = np.fromiter((g.count(b" ") + 1 for g in got), np.int64, len(got))
-        bounds = np.searchsorted(start, off)
-        total = np.concatenate([[0], np.cumsum(sizes[inverse])])
-        order, out = inverse.tolist(), []
-        said = [*map(self.spelled, got)]  # what each distinct unit's ids decode to
-        for a, b, n in zip(bounds[:-1].tolist(), bounds[1:].tolist(), (total[bounds[1:]] - total[bounds[:-1]]).tolist()):
-            out.append((n + 1, b" ".join([*map(got.__getitem__, order[a:b]), end_id]), b"".join(map(said.__getitem__, order[a:b]))[1:]))
-        return out
+        ids, sizes = self.table(X.span_hashes(X.prefix(buf), start, end), lambda i: self.fresh(raw, start[i], end[i]))
+        cut = _edges(sizes)[np.searchsorted(start, off)]  # where each text's ids begin
+        spoken, per = self.model.spoken.take(ids)
+        said = _edges(per)[cut].tolist()
+        digits, per = self.model.digits.take(ids)
+        written, spoken, digits = _edges(per)[cut].tolist(), spoken.tobytes(), digits.tobytes()
+        cut = cut.tolist()
+        return [(cut[i + 1] - cut[i] + 1, digits[written[i] : written[i + 1]] + end_id, spoken[said[i] + 1 : said[i + 1]], ids[cut[i] : cut[i + 1]]) for i in range(len(texts))]
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
 @functools.lru_cache(2)
@@ -295,7 +339,7 @@ def _run(path: str, full: bool):
                     raise ValueError(f"document {names[i]} differs from the library's text")
                 common = {"doc_id": names.slice(i, j - i), "n_tokens": [r[0] for r in rows]}
                 if full:
-                    yield C.table_of(schema, **common, ids=[np.array(r[1].split(b" "), np.int32) for r in rows], decoded=[r[2].decode() for r in rows])
+                    yield C.table_of(schema, **common, ids=[np.append(r[3], np.int32(units.model.eos)) for r in rows], decoded=[r[2].decode() for r in rows])
                 else:
                     yield C.table_of(schema, **common, ids_sha256=[hashlib.sha256(r[1]).hexdigest() for r in rows], decoded_sha256=[hashlib.sha256(r[2]).hexdigest() for r in rows])
 

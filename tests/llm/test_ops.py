@@ -272,9 +272,9 @@ def test_decoded_text_comes_from_the_ids():
     raw = "one two".encode()
     off = np.array([0, len(raw)])
     assert units.block(np.frombuffer(raw, np.uint8), off)[0][2] == raw
-    wrong = " ".join(map(str, units.model.encode("six"))).encode()
-    for h in units.young:  # as if each hash had met another unit before
-        units.young[h] = wrong
+    wrong, table = units.model.encode("six"), units.table
+    table.ids = np.array(wrong, np.int32)  # as if each hash had met another unit before
+    table.start[:], table.size[table.size >= 0], table.used = 0, len(wrong), len(wrong)
     assert units.block(np.frombuffer(raw, np.uint8), off)[0][2] == b"six six"
 
 
