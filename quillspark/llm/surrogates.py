@@ -6,8 +6,13 @@ entity gets one surrogate, made from SHA-256 of key, kind, value and attempt:
 
 - digits become digits and letters letters of the same case and script, punctuation and length stay; cards keep their
   Luhn check, quads stay quads, telephone numbers keep their country code, e-mail addresses their top-level domain;
-- names keep title, gender (by title: endings follow it), script (Latin, Greek, Cyrillic) and capitals;
-- mentions that differ only in case or in the digits' punctuation are one entity: coreference is kept.
+- e-mail addresses that differ only in case, and numbers that differ only in punctuation or in a leading +1, are one
+  entity; secrets are case-sensitive; every mention keeps its own case and punctuation;
+- a name's words are replaced one by one, so that "Mr. John Smith", "MR JOHN SMITH" and "Mr Smith" stay one person and
+  relatives share their surname. Words keep their script (Latin, Greek, Cyrillic) and the mention's capitals; given names
+  end by gender, as the titles beside them say. Titles and particles (von, de) stay. Initials move by a keyed step.
+- a document that names somebody with a title is searched for the same words in any case and, for two words or more,
+  without a title. A name never given with a title, or only in small letters, is not detected.
 
 Collision check: a surrogate that two entities share, or that occurs as an entity itself, is drawn again with the
 next attempt for all but one of them, until none is left; distinct entities stay distinct. After a few attempts words
@@ -19,7 +24,9 @@ kept. All other columns are kept, whatever their names; n_chars, if there, follo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
@@ -28,25 +35,36 @@ ATTEMPTS = 24
 BROADCAST_BYTES = 32 << 20
 KEY = "quillspark"
 
-#: Titles by gender (male, female, unknown).
+#: Titles by gender (male, female, unknown), and particles of names.
 TITLES = ("Mr|Herr|Monsieur|Señor|Sr|Signor|Sir", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Lady", "Dr|Prof|Mx")
-NAME = r"\p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+){0,2}"
+#: Country codes of one and two digits; all others have three.
+COUNTRY = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+PARTICLES = "von|van|de|del|della|di|da|la|le|du|der|den|zu"
+TITLE = "|".join((*TITLES, *(t.upper() for t in TITLES)))
+WORD = r"\p{Lu}(?:\.(?= \p{Lu})|[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*)"
+PLACED = rf"(?:(?:{PARTICLES}) ){{0,2}}{WORD}"
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)|(?<![\d+])(?=\+(?:[ .()-]*\d){8,15}(?!\d|[ .()-]\d))\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?){1,6}(?:[ .-]?\d{1,8})?(?!\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z])",
-    "name": rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? {NAME}",
+    "name": rf"(?<!\p{{L}})(?:{TITLE})\.? {PLACED}(?: {PLACED}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without these can't hold an entity (titles start names).
-HINT = rf"[0-9@]|(?:{'|'.join(TITLES)})\.? \p{{Lu}}|[a-fA-F]{{32}}|sk-|gh[pousr]_"
+HINT = rf"[0-9@]|(?:{TITLE})\.? (?:\p{{Lu}}|(?:{PARTICLES}) )|[a-fA-F]{{32}}|sk-|gh[pousr]_"
+
+
+def _raw(pattern: str) -> str:
+    """A SQL raw literal of a pattern."""
+    return "r'" + pattern.replace(chr(39), chr(92) + "x27") + "'"
 
 
 def _kind(value: str) -> str:
-    return "case " + " ".join(f"when {value} rlike r'^(?:{p.replace(chr(39), chr(92) + 'x27')})$' then '{k}'" for k, p in PATTERNS.items()) + " end"
+    """What matches no pattern by itself is a name that its document gives with a title elsewhere."""
+    return "case " + " ".join(f"when {value} rlike {_raw(f'^(?:{p})$')} then '{k}'" for k, p in PATTERNS.items()) + " else 'name' end"
 
 
 def _luhn(digits: str) -> str:
@@ -55,7 +73,9 @@ def _luhn(digits: str) -> str:
 
 
 def _canon(kind: str, value: str) -> str:
-    return f"case when {kind} in ('phone', 'card', 'ssn') then regexp_replace({value}, '[^0-9]', '') when {kind} = 'name' then {value} else lower({value}) end"
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return f"""case when {kind} in ('card', 'ssn') then {digits} when {kind} = 'phone' then if({digits} like '1__________', right({digits}, 10), concat(if({value} like '+%', '+', ''), {digits}))
+        when {kind} in ('name', 'secret') then {value} else lower({value}) end"""
 
 
 def _chars(value: str, draw: str, first: int = 1) -> str:
@@ -80,37 +100,39 @@ def _byte(at: str) -> str:
 
 def propose(rows: DataFrame, key: str) -> DataFrame:
     """The surrogate, in canonical form, that attempt proposes for each (kind, canon, attempt)."""
-    titled = f"^((?:{'|'.join(TITLES)})\\.?) (.*)$"
     rows = rows.withColumn("_key", F.lit(key))
     rows = rows.withColumn("draw", F.expr("sha2(concat_ws('|', _key, kind, canon, cast(attempt as string)), 256)"))
     rows = rows.withColumn("code", F.expr("sha2(concat_ws('|', _key, 'domain', substring_index(canon, '@', -1)), 256)"))
     rows = rows.withColumn("local", F.expr("concat(substring_index(canon, '@', 1), repeat('a', greatest(0, attempt - 2)))"))
     rows = rows.withColumn("host", F.expr("substring_index(canon, '@', -1)")).withColumn("labels", F.expr("left(host, greatest(0, length(host) - length(substring_index(host, '.', -1)) - 1))"))
-    rows = rows.withColumn("stem", F.expr("left(canon, greatest(0, length(canon) - 1))")).withColumn("tail", F.expr("right(canon, least(10, length(canon)))"))
+    rows = rows.withColumn("stem", F.expr("left(canon, greatest(0, length(canon) - 1))")).withColumn("area", F.regexp_extract("canon", rf"^\+(?:{COUNTRY})", 0)).withColumn("tail", F.expr("substring(canon, length(area) + 1)"))
     rows = rows.withColumn("body", F.expr(_chars("stem", "draw", 2)))
-    rows = rows.withColumn("title", F.regexp_extract("canon", titled, 1)).withColumn("person", F.regexp_extract("canon", titled, 2))
     rows = rows.withColumn("onset", F.expr(_by_script("бвгдклмнпрст", "βγδκλμνπρστ", "bdfgklmnprstv"))).withColumn("nucleus", F.expr(_by_script("аеиоу", "αειου", "aeiou"))).withColumn("coda", F.expr(_by_script("н", "ν", "n")))
-    rows = rows.withColumn("ending", F.expr(f"case when title rlike '^({TITLES[1]})' then {_by_script('а', 'α', 'a')} when title rlike '^({TITLES[0]})' then {_by_script('ов', 'ος', 'o')} else '' end"))
+    rows = rows.withColumn("ending", F.expr(f"case when canon like 'f:%' then {_by_script('а', 'α', 'a')} when canon like 'm:%' then {_by_script('ов', 'ος', 'o')} else coda end"))
     syllable = f"concat(substring(onset, 1 + {_byte('w * 12 + k * 4 + 1')} % length(onset), 1), substring(nucleus, 1 + {_byte('w * 12 + k * 4 + 3')} % length(nucleus), 1))"
-    word = f"initcap(concat(array_join(transform(sequence(0, 2), k -> {syllable}), ''), if(w = 0, ending, coda), repeat(left(nucleus, 1), greatest(0, attempt - 4))))"
+    part = f"concat(array_join(transform(sequence(0, 2), k -> {syllable}), ''), ending, repeat(left(nucleus, 1), greatest(0, attempt - 4)))"
     hexes = "array_join(transform(sequence(1, length(canon)), i -> substring(draw, (i - 1) % 64 + 1, 1)), '')"
     made = {
         "email": f"concat({_chars('local', 'draw')}, '@', {_chars('labels', 'code')}, '.', substring_index(host, '.', -1))",
         "ip": "concat_ws('.', transform(sequence(0, 3), i -> cast(1 + cast(conv(substring(draw, i * 4 + 1, 4), 16, 10) as int) % 254 as string)))",
-        "secret": f"if(canon rlike '^[0-9a-f]+$', {hexes}, {_chars('canon', 'draw', 5)})",
-        "phone": f"concat(left(canon, length(canon) - length(tail)), {_chars('tail', 'draw')})",
+        "secret": f"case when canon rlike '^[0-9a-f]+$' then {hexes} when canon rlike '^[0-9A-F]+$' then upper({hexes}) else {_chars('canon', 'draw', 5)} end",
+        "phone": f"concat(area, {_chars('tail', 'draw')})",
         "card": f"element_at(filter(transform(sequence(0, 9), d -> concat(body, cast(d as string))), c -> {_luhn('c')}), 1)",
-        "name": f"concat(title, ' ', array_join(transform(sequence(0, size(split(person, ' ')) - 1), w -> {word}), ' '))",
+        "word": f"array_join(transform(sequence(0, least(3, size(split(canon, '-')) - 1)), w -> {part}), '-')",
         "ssn": _chars("canon", "draw"),
     }
     return rows.withColumn("surrogate", F.expr("case kind " + " ".join(f"when '{k}' then {e}" for k, e in made.items()) + " end")).select("kind", "canon", "attempt", "surrogate")
 
 
+#: A word's canonical form is its gender (m, f or none), a colon and the word in small letters.
+REAL = "if(kind = 'word', substring_index(canon, ':', -1), canon)"
+
+
 def dictionary(found: DataFrame, key: str) -> DataFrame:
     """found (kind, canon), distinct, to a staged (kind, canon, surrogate) without collisions."""
     now = C.stage(propose(found.withColumn("attempt", F.lit(0)), key))
     for _ in range(ATTEMPTS):
-        own = now.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
+        own = now.select("kind", F.expr(REAL).alias("surrogate"), F.lit(True).alias("real")).distinct()
         # of the entities that share a surrogate the first keeps it, unless it is a real value
         first = now.groupBy("kind", "surrogate").agg(F.min("canon").alias("keeper"), F.count("*").alias("n"))
         clash = first.join(own, ["kind", "surrogate"], "left").filter("n > 1 or real").select("kind", "surrogate", F.when(F.col("real"), F.lit(None).cast("string")).otherwise(F.col("keeper")).alias("keeper"))
@@ -127,28 +149,83 @@ def dictionary(found: DataFrame, key: str) -> DataFrame:
     raise ValueError("a format has too few values for its entities")
 
 
+def _words(value: str) -> str:
+    """SQL: the words of a name's mention, without its title."""
+    return f"split(regexp_replace({value}, {_raw(f'^(?iu:{TITLE})' + chr(92) + '.? ')}, ''), ' ')"
+
+
+def _is_name_word(w: str) -> str:
+    return f"not ({w} rlike '^(?:{PARTICLES})$' or {w} rlike '^.[.]$')"
+
+
+def word_canons(names: DataFrame) -> DataFrame:
+    """(word, canon) of the words in mentions (value); a word takes the gender of the titles before it as a given name."""
+    title = F.regexp_extract("value", rf"^(?iu:({TITLE}))\.? ", 1)
+    of = lambda titles: title.rlike(f"^(?iu:{titles})$")
+    gender = F.when(of(TITLES[0]), "m").when(of(TITLES[1]), "f").otherwise("")
+    words = names.select("value").distinct().withColumn("gender", gender).withColumn("all", F.expr(f"filter({_words('value')}, w -> {_is_name_word('w')})"))
+    each = words.select(F.size("all").alias("n"), "gender", F.posexplode("all").alias("at", "w")).select(F.lower("w").alias("word"), F.when((F.col("at") == 0) & (F.col("n") > 1), F.col("gender")).otherwise("").alias("g"))
+    seen = each.groupBy("word").agg(F.max(F.col("g") == "m").alias("m"), F.max(F.col("g") == "f").alias("f"))
+    return seen.select("word", F.concat(F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise(""), F.lit(":"), F.col("word")).alias("canon"))
+
+
+def _shown_names(names: DataFrame, canons: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(value, shown) of the distinct mentions of names."""
+    step = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % 25
+    each = names.select("value").distinct().select("value", F.expr(f"{_words('value')}").alias("all")).select("value", F.posexplode("all").alias("at", "w"))
+    each = each.join(canons, F.lower("w") == F.col("word"), "left").join(words.filter("kind = 'word'"), "canon", "left")
+    proper = "array_join(transform(split(surrogate, '-'), p -> initcap(p)), '-')"
+    cased = f"case when surrogate is null or not ({_is_name_word('w')}) then w when w = upper(w) and length(w) > 1 then upper(surrogate) when w = lower(w) then surrogate else {proper} end"
+    moved = f"if(w rlike '^[A-Z][.]$', concat(char(65 + (ascii(w) - 65 + {step}) % 26), '.'), {cased})"
+    back = each.groupBy("value").agg(F.sort_array(F.collect_list(F.struct("at", F.expr(moved).alias("x")))).alias("all"))
+    return back.select("value", F.concat(F.regexp_extract("value", rf"^((?iu:{TITLE})\.? )?", 0), F.array_join(F.col("all.x"), " ")).alias("shown"))
+
+
+def _name_patterns(names: DataFrame, id_column: str) -> DataFrame:
+    """(id, pattern) of the texts that name somebody: the names' words again, in any case."""
+    people = names.select(id_column, F.expr(_words("value")).alias("all")).groupBy(id_column).agg(F.collect_set("all").alias("people"))
+    # the longest first; of the characters in names only the dot means something in a pattern
+    full = F.expr("array_join(transform(array_sort(transform(filter(people, p -> size(p) > 1), p -> struct(-length(array_join(p, ' ')) as n, replace(array_join(p, ' '), '.', '[.]') as x))), s -> s.x), '|')")
+    single = F.expr(f"array_join(array_distinct(transform(filter(flatten(people), w -> {_is_name_word('w')}), w -> replace(w, '.', '[.]'))), '|')")
+    title = rf"(?<!\p{{L}})(?iu:{TITLE})\.? "
+    whole = F.when(F.length("full") > 0, F.concat(F.lit(rf"(?:{title}|(?<!\p{{L}}))(?iu:"), F.col("full"), F.lit(r")(?!\p{L})|"))).otherwise("")
+    alone = F.when(F.length("single") > 0, F.concat(F.lit(rf"(?!(?:{PATTERNS['name']})){title}(?iu:"), F.col("single"), F.lit(r")(?!\p{L})|"))).otherwise("")
+    return people.withColumn("full", full).withColumn("single", single).select(id_column, F.concat(whole, alone, F.lit(ANY)).alias("pattern"))
+
+
 def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) -> DataFrame:
     """The documents with surrogates in their texts; count_column, if named, gets the number of mentions replaced."""
     C.tune(docs.sparkSession)
     work = "_pii"
     while any(c.lower().startswith(work) for c in docs.columns):
         work = "_" + work
+    text_id, found_by = f"{work}_id", f"{work}_pattern"
     counted = [count_column] if count_column else []
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     plain = docs.filter(~hinted)
     for c in counted:
         plain = plain.withColumn(c, F.lit(0).cast("bigint"))
-    risky = docs.filter(hinted).withColumn(f"{work}_id", F.sha2("text", 256))
-    values = risky.select(f"{work}_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))).alias("value")).distinct()
-    kinds = values.withColumn("kind", F.expr(_kind("value"))).filter("kind is not null").withColumn("canon", F.expr(_canon("kind", "value")))
-    kinds = C.stage(kinds.filter(f"kind <> 'card' or {_luhn('canon')}"))
-    words = dictionary(kinds.select("kind", "canon").distinct(), key)
-    side = F.broadcast(words) if words.count() * 200 <= BROADCAST_BYTES else words
-    digits = "array_join(transform(sequence(1, length(value)), i -> if(substring(value, i, 1) between '0' and '9', substring(surrogate, length(regexp_replace(left(value, i), '[^0-9]', '')), 1), substring(value, i, 1))), '')"
-    shown = f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind <> 'name' and value = upper(value) and value <> lower(value) then upper(surrogate) else surrogate end"
-    per_text = kinds.join(side, ["kind", "canon"]).groupBy(f"{work}_id").agg(F.map_from_entries(F.collect_set(F.struct("value", F.expr(shown).alias("shown")))).alias(f"{work}_map"))
-    fixed = risky.join(per_text, f"{work}_id", "left")
-    fixed = fixed.withColumn(f"{work}_found", F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1))).withColumn(f"{work}_parts", F.split("text", ANY, -1))
+    risky = docs.filter(hinted).withColumn(text_id, F.sha2("text", 256))
+    mentions = lambda rows, pattern: rows.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all("text", F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)))).alias("value")).distinct()
+    typed = lambda values: values.withColumn("kind", F.expr(_kind("value"))).withColumn("canon", F.expr(_canon("kind", "value"))).filter(f"kind <> 'card' or {_luhn('canon')}")
+    first = C.stage(typed(mentions(risky, F.lit(ANY))))
+    patterns = C.stage(_name_patterns(first.filter("kind = 'name'"), text_id).withColumnRenamed("pattern", found_by))
+    again = risky.join(_sized(patterns, 4096), text_id)
+    kinds = C.stage(first.join(patterns, text_id, "left_anti").union(typed(mentions(again, F.col(found_by)))))
+    names = kinds.filter("kind = 'name'")
+    canons = C.stage(word_canons(names))
+    entities = kinds.filter("kind <> 'name'").select("kind", "canon").distinct().union(canons.select(F.lit("word").alias("kind"), "canon"))
+    words = dictionary(entities, key)
+    digits = "array_join(transform(sequence(1, length(value)), i -> if(substring(value, i, 1) between '0' and '9' and length(regexp_replace(substring(value, i), '[^0-9]', '')) <= length(surrogate), substring(surrogate, length(surrogate) + 1 - length(regexp_replace(substring(value, i), '[^0-9]', '')), 1), substring(value, i, 1))), '')"
+    cased = "if(length(value) = length(surrogate), array_join(transform(sequence(1, length(value)), i -> if(substring(value, i, 1) between 'A' and 'Z', upper(substring(surrogate, i, 1)), substring(surrogate, i, 1))), ''), if(value = upper(value), upper(surrogate), surrogate))"
+    digits = digits.replace("surrogate", "replace(surrogate, '+', '')")
+    shown = f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind = 'email' then {cased} else surrogate end"
+    others = kinds.filter("kind <> 'name'").join(_sized(words, 200), ["kind", "canon"]).select(text_id, "value", F.expr(shown).alias("shown"))
+    named = names.select(text_id, "value").join(_shown_names(names, canons, words, key), "value").select(text_id, "value", "shown")
+    per_text = others.union(named).groupBy(text_id).agg(F.map_from_entries(F.collect_set(F.struct("value", "shown"))).alias(f"{work}_map"))
+    fixed = risky.join(per_text, text_id, "left").join(_sized(patterns, 4096), text_id, "left")
+    mine = F.coalesce(F.col(found_by), F.lit(ANY))
+    fixed = fixed.withColumn(f"{work}_found", F.regexp_extract_all("text", F.concat(F.lit("("), mine, F.lit(")")), F.lit(1))).withColumn(f"{work}_parts", F.split("text", mine, -1))
     swapped = f"array_join(zip_with({work}_parts, {work}_found, (p, e) -> concat(p, coalesce({work}_map[e], e, ''))), '')"
     fixed = fixed.withColumn("text", F.when(F.col(f"{work}_map").isNotNull(), F.expr(swapped)).otherwise(F.col("text")))
     for c in counted:
@@ -159,6 +236,11 @@ def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) ->
     return plain.unionByName(fixed.select(*docs.columns, *counted))
 
 
+def _sized(side: DataFrame, row_bytes: int) -> DataFrame:
+    """Marks a side for broadcast if its counted rows fit; otherwise the join shuffles."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+
+
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return replace(docs.select("doc_id", "text"), count_column="n_replaced")

@@ -401,6 +401,50 @@ def test_surrogates(spark):
     assert "version 2.0.1" in two and "1234567812345678" in two and "123-45-6789" not in two and "10.2.3.44" not in two
 
 
+def replaced(spark, *texts):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    return [r["text"] for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+
+
+def test_secrets_are_case_sensitive(spark):
+    key = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"
+    (out,) = replaced(spark, f"ghp_{key} ghp_{key.swapcase()}")
+    a, b = out.split()
+    assert a != b and a[:4] == b[:4] == "ghp_" and key not in out
+    assert [c.isupper() for c in a] == [c.isupper() for c in f"ghp_{key}"] and [c.isupper() for c in b] == [c.isupper() for c in f"ghp_{key.swapcase()}"]
+
+
+def test_one_person_keeps_one_name(spark):
+    one, two, three = replaced(spark, "Mr. John Smith came. Mr Smith left, Mr. Smith too. MR JOHN SMITH and mr john smith are John Smith. The John Smithers stays.", "Mrs Jane Smith saw Mr John Brown.", "John Smith alone")
+    first, last = re.match(r"Mr\. (\w+) (\w+) came", one).groups()
+    assert one == f"Mr. {first} {last} came. Mr {last} left, Mr. {last} too. MR {first.upper()} {last.upper()} and mr {first.lower()} {last.lower()} are {first} {last}. The John Smithers stays."
+    jane, smith, john, brown = re.match(r"Mrs (\w+) (\w+) saw Mr (\w+) (\w+)\.", two).groups()
+    assert (smith, john) == (last, first) and len({jane, smith, john, brown}) == 4
+    assert jane.endswith("a") and john.endswith("o") and three == "John Smith alone"
+
+
+def test_forms_of_names(spark):
+    (out,) = replaced(spark, "Mr O'Brien met Dr. McDonald, Frau Anne-Marie Weber and Mr. J. Smith; Herr von Braun; Mr Иван Петров. Miss the bus.")
+    for gone in ("Brien", "Donald", "Mc", "Anne", "Marie", "Weber", "J.", "Smith", "Braun", "Иван"):
+        assert gone not in out
+    assert re.search(r"Herr von \p{Lu}\p{Ll}+; Mr [А-Я][а-я]+ [А-Я][а-я]+\. Miss the bus\.$".replace("\\p{Lu}", "[A-Z]").replace("\\p{Ll}", "[a-z]"), out)
+
+
+def test_telephone_numbers(spark):
+    (out,) = replaced(spark, "+1 415-555-2671, (415) 555-2671, +14155552671; +44 20 7946 0958; +49 30 901820; +33 1 23 45 67 89; +351 912 345 678. 5 + 44 20.")
+    a, b, c = out.split(";")[0].split(", ")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in (a, b, c)}) == 1 and a.startswith("+1 ") and b.startswith("(") and c.startswith("+1")
+    assert re.search(r"; \+44 \d\d \d{4} \d{4}; \+49 \d\d \d{6}; \+33 \d \d\d \d\d \d\d \d\d; \+351 \d{3} \d{3} \d{3}\. 5 \+ 44 20\.$", out)
+    for gone in ("7946", "901820", "23 45 67", "912 345"):
+        assert gone not in out
+
+
+def test_mail_keeps_its_capitals(spark):
+    (out,) = replaced(spark, "John.Smith@Example.com john.smith@example.com JOHN.SMITH@EXAMPLE.COM")
+    a, b, c = out.split()
+    assert a.lower() == b == c.lower() and c.isupper() and [x.isupper() for x in a] == [x.isupper() for x in "John.Smith@Example.com"]
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"x{i % 7}@a.example.com and {c}@b.example.com") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
