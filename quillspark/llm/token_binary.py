@@ -18,6 +18,8 @@ Null or empty text: only the end id. Repeated doc_ids keep all their rows, order
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import struct
 import uuid
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
 from quillspark.llm import _text as X
+from quillspark.llm._units import UnitTable
 
 PRECISION = 22
 LOW = 1 << 31
@@ -173,32 +176,50 @@ def special_docs(raw: bytes, off: np.ndarray, specials: tuple[bytes, ...]) -> np
     return np.unique(np.searchsorted(off, np.array(hits, np.int64), side="right") - 1)
 
 
+#: The settings that the vectorised pre-tokenizer is made for.
+EXPECTED = {"normalizer": None, "truncation": None, "padding": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+
+
+def check_settings(spec: dict) -> None:
+    """Raises if the tokenizer splits texts in another way than pretokens does."""
+    for name, value in EXPECTED.items():
+        if spec.get(name) != value:
+            raise ValueError(f"tokenizer setting {name} is {spec.get(name)!r}; only {value!r} is supported")
+    if spec["model"].get("type") != "BPE" or spec["model"].get("dropout"):
+        raise ValueError("a byte-level BPE model without dropout is needed")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens that take in white space or stand between words only are not supported")
+
+
 class UnitEncoder:
-    """Encodes blocks of texts; each distinct piece of the pre-tokenizer meets the library's model once while remembered."""
+    """Encodes blocks of texts; each distinct piece of the pre-tokenizer meets the library's model once while remembered.
+
+    The longest text of up to SAMPLE_BYTES of every block is encoded whole by the library too; a difference raises.
+    """
+
+    SAMPLE_BYTES = 4096
 
-    def __init__(self, path: str, end_id: int, remembered: int = 250_000):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.remembered = Tokenizer.from_file(path), end_id, remembered
+        self.tokenizer, self.end_id, self.table = Tokenizer.from_file(path), end_id, UnitTable()
+        check_settings(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.specials = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that byte-level vocabularies write as themselves
-        rest = [b for b in range(256) if b not in printable]
-        self.spell = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-
-    def units(self, hashes: list[int], texts) -> list[bytes]:
-        young, old, merge, spell = self.young, self.old, self.model.tokenize, self.spell
-        got = [young.get(h) or old.get(h) for h in hashes]
-        new = [i for i, g in enumerate(got) if g is None]
-        for i, text in zip(new, texts(new)):
-            got[i] = struct.pack(f"<{len(ids)}i", *ids) if (ids := [t.id for t in merge(text.decode("latin-1").translate(spell))]) else b""
-        if len(young) + len(hashes) > self.remembered:
-            self.old, self.young = young, {}
-        self.young.update(zip(hashes, got))
-        return got
+        self.spell = np.arange(256, dtype=np.uint32)
+        self.spell[[b for b in range(256) if b not in printable]] = 256 + np.arange(256 - len(printable))
+
+    def fresh(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces by the library's model."""
+        size = end - start
+        text = self.spell[buf[X.ragged(start, size)]].tobytes().decode("utf-32-le")
+        last = np.cumsum(size)
+        merge = self.model.tokenize
+        ids = [[t.id for t in merge(text[a:b])] for a, b in zip((last - size).tolist(), last.tolist())]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with their end ids, and how many each text has."""
@@ -211,32 +232,36 @@ class UnitEncoder:
         start = at_byte[pretokens(cp, np.searchsorted(at_byte, off))]
         end = np.append(start[1:], len(buf))
         odd = special_docs(raw, off, self.specials)
-        doc = np.searchsorted(off, start, side="right") - 1
+        bounds = np.searchsorted(start, off)  # pieces of each text
         if len(odd):
-            keep = ~np.isin(doc, odd)
-            start, end, doc = start[keep], end[keep], doc[keep]
-        h = X.span_hashes(X.prefix(buf), start, end)
-        distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        got = self.units(distinct.tolist(), lambda new: [raw[start[at[i]] : end[at[i]]] for i in new])
-        sizes = np.fromiter((len(g) >> 2 for g in got), np.int64, len(got))
-        flat = np.frombuffer(b"".join(got), np.int32)
-        begins = np.cumsum(sizes) - sizes
-        per = sizes[inverse]
-        ids = flat[X.ragged(begins[inverse], per)]
-        total = np.bincount(doc, weights=per, minlength=n).astype(np.int64) + 1
+            keep = np.ones(len(start), bool)
+            for d in odd.tolist():
+                keep[bounds[d] : bounds[d + 1]] = False
+            start, end = start[keep], end[keep]
+            bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
+        ids, per = self.table(X.span_hashes(X.prefix(buf), start, end), lambda i: self.fresh(buf, start[i], end[i]))
+        total = np.diff(np.concatenate([[0], np.cumsum(per)])[bounds]) + 1
         whole = {int(d): encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode()) for d in odd}
         for d, p in whole.items():
             total[d] = len(p) + 1
         out = np.empty(int(total.sum()), np.int32)
         ends = np.cumsum(total)
-        regular = np.repeat(~np.isin(np.arange(n), odd), total)
+        regular = np.ones(len(out), bool)
         regular[ends - 1] = False
-        out[regular] = ids
-        out[ends - 1] = self.end_id
         for d, p in whole.items():
             out[ends[d] - 1 - len(p) : ends[d] - 1] = p
+            regular[ends[d] - 1 - len(p) : ends[d] - 1] = False
+        out[regular] = ids
+        out[ends - 1] = self.end_id
+        self._compare(raw, off, out, total, ends)
         return out, total
 
+    def _compare(self, raw: bytes, off: np.ndarray, out: np.ndarray, total: np.ndarray, ends: np.ndarray) -> None:
+        sizes = np.diff(off)
+        d = int(np.where(sizes <= self.SAMPLE_BYTES, sizes, -1).argmax())
+        if sizes[d] <= self.SAMPLE_BYTES and not np.array_equal(out[ends[d] - total[d] : ends[d] - 1], encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode())):
+            raise ValueError(f"text {d} of a block differs from the library's ids")
+
 
 @functools.lru_cache(2)
 def encoder(path: str, end_id: int) -> UnitEncoder:
