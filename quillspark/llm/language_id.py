@@ -7,16 +7,15 @@ contexts escape free of charge; below order 0 all 256 bytes are alike. A text's
 over its bytes; the shortest wins and the score is its posterior under equal priors with lengths tempered per byte.
 
 Training takes at most about SAMPLE_DOCS documents a language (a documented bound: every document stays with the same
-chance, by a hash of its text); with fewer, all of them. Statistics are counts of (DEPTH+1)-byte strings,
-summed before they are shuffled. Every whole text is scored. A text that is null or has no letter is `und` with score
-0. Texts are compared with A-Z lower-cased and DEPTH leading line breaks. Ties go to the alphabetically first language.
+chance, by a hash of its text and id); with fewer, all of them. Statistics are counts of (DEPTH+1)-byte strings,
+summed before they are shuffled. Every whole text is scored. A text that is null or has no letter (Unicode's classes L) is `und`
+with score 0. Texts are compared with A-Z lower-cased and DEPTH leading line breaks. Ties go to the alphabetically first language.
 Null languages never train; with no language to learn every text is `und`. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,6 @@ DEPTH = 3
 SAMPLE_DOCS = 8_000
 #: Code lengths are compared at this weight (nats of posterior for each bit of difference a text, at most).
 SHARPNESS = 0.3
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +141,9 @@ def _count(langs: list[str]):
                 c = np.bincount(at, weights=c).astype(np.int64)
             held[k] = (g, c)
 
+        place = {k: i for i, k in enumerate(langs)}
         for batch in batches:
-            lang = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64)
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
             buf, off = C.texts_of(batch.column("text"))
             for i, j in C.blocks(buf, off):
                 grams, bounds = _grams(buf[off[i] : off[j]], off[i : j + 1] - off[i])
@@ -158,16 +157,17 @@ def _count(langs: list[str]):
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Ppm | None:
-    """Learns from (text, lang) of the given rows; None if no row has a language."""
+    """Learns from (text, lang) of the given rows; None if no row has a language. doc_id, if there, only draws the sample."""
     C.tune(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null")
+    mark = F.xxhash64("text", "doc_id") if "doc_id" in docs.columns else F.xxhash64("text")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), mark.alias("mark")).filter("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return None
     rate = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / totals[k])))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.filter(draw < rate[F.col("lang")])
+    draw = F.pmod("mark", F.lit(1 << 30)) / float(1 << 30)
+    chosen = rows.filter(draw < rate[F.col("lang")]).select("text", "lang")
     counted = chosen.mapInArrow(_count(langs), "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (counted.column(c).to_numpy() for c in ("lang", "gram", "n"))
     if not len(gram):  # only empty texts
@@ -186,7 +186,7 @@ def _predict(model, extra: pa.Schema):
             buf, off = C.texts_of(texts)
             names, scores = [], []
             for i, j in C.blocks(buf, off):
-                letters = [t is not None and LETTER.search(t) is not None for t in texts.slice(i, j - i).to_pylist()]
+                letters = [t is not None and any(map(str.isalpha, t)) for t in texts.slice(i, j - i).to_pylist()]
                 if ppm is None:
                     names += ["und"] * (j - i)
                     scores += [0.0] * (j - i)
