@@ -5,10 +5,11 @@ document is toxic unless none of its sentences is: 1 - prod(1 - p). Weights come
 likelihood of the document labels, so the sentences that explain a label are found without sentence labels.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows: about MAX_TOXIC toxic and MAX_CLEAN clean
-documents of at most MAX_BYTES bytes (documented bounds; each document has the same chance within its class, by a
-hash of its text, and is weighted by the inverse of it). All rows are used when there are fewer. Words that
-occur in fewer than MIN_DOCS of them, or speak too weakly for toxicity, carry no weight: noisy labels would else be
-explained by rare words. Evidence is the log-likelihood ratio of the counts of sampled documents, as they are, without
+documents (documented bounds; each document has the same chance within its class, by a hash of its id, and is weighted
+by the inverse of it). All rows are used when there are fewer; texts are taken whole, of any length. Executors count in
+how many sampled documents each word occurs, and the driver sees those that may carry weight, then only where these
+stand. Words that occur in fewer than MIN_DOCS documents, or speak too weakly for toxicity, carry no weight: noisy
+labels would else be explained by rare words. Evidence is the log-likelihood ratio of the counts of sampled documents, as they are, without
 weights. It must reach SHARE of what a word of all toxic and no clean documents would have, so that the filter is as
 strong on any number of labels, and CHANCE (about 5 in 10,000) where labels are few. Scoring reads whole texts and
 needs no shuffle.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import _common as C
 from quillspark.llm import _text as X
 
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES, MIN_DOCS = 1500, 2500, 1 << 15, 3
+MAX_TOXIC, MAX_CLEAN, MIN_DOCS = 1500, 2500, 3
 #: Least evidence of a word, as a share of a perfect word's; and what chance alone exceeds once in 2,000 words.
 SHARE, CHANCE = 0.016, 12.0
 #: Bytes of the stems that count beside whole words.
@@ -118,51 +119,70 @@ def _least(n: int, m: int) -> float:
     return max(SHARE * perfect, min(CHANCE, perfect))
 
 
-def train(sentence_words: list[np.ndarray], sentence_sizes: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray) -> NoisyOr:
-    """Gradient descent (Adam) on the weighted noisy-or likelihood; one entry of the lists a document."""
-    docs = np.repeat(np.arange(len(sentence_words), dtype=np.int32), [len(w) for w in sentence_words])
-    flat = np.concatenate(sentence_words) if sentence_words else np.zeros(0, np.uint64)
-    vocab, index = np.unique(flat, return_inverse=True)
-    index = index.astype(np.int32)
-    del flat
-    hits = np.unique(index.astype(np.int64) * (len(sentence_words) + 1) + docs)
-    word, owner = hits // (len(sentence_words) + 1), hits % (len(sentence_words) + 1)
-    df = np.bincount(word, minlength=len(vocab))
-    in_toxic = np.bincount(word, weights=toxic[owner], minlength=len(vocab))
-    in_clean = df - in_toxic
-    del hits, word, owner, docs
+def select(words: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Which words carry weight, given in how many of the n toxic and m clean documents they occur."""
+    return (in_toxic + in_clean >= MIN_DOCS) & (_evidence(in_toxic, in_clean, n, m) >= _least(n, m))
+
+
+def train(words, in_toxic, in_clean, toxic, weight, rows, columns, owner, silent) -> NoisyOr:
+    """Gradient descent (Adam) on the weighted noisy-or likelihood.
+
+    words (ascending) with their document counts by class; toxic and weight of each document; rows and columns: sentence
+    and word of each place where a word stands; owner: document of each such sentence; silent: each document's other
+    sentences, which hold no word and score the bias alone.
+    """
     n, m = int((toxic == 1).sum()), int((toxic == 0).sum())
-    keep = (df >= MIN_DOCS) & (_evidence(in_toxic, in_clean, n, m) >= _least(n, m))
-    sizes = np.concatenate(sentence_sizes) if sentence_sizes else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sentence_sizes)), [len(s) for s in sentence_sizes])
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    if not toxic.any() or not keep.any():
+    if not n or not len(words):
         return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), BIAS)
-    use = keep[index]
-    pairs = np.unique(sentence[use].astype(np.int64) * len(vocab) + index[use])
-    number = np.cumsum(keep) - 1
-    rows, columns = pairs // len(vocab), number[pairs % len(vocab)]
-    vocab = vocab[keep]
-    in_toxic, in_clean = in_toxic[keep], in_clean[keep]
     w = np.clip(np.log((in_toxic + 0.5) / (n + 1)) - np.log((in_clean + 0.5) / (m + 1)), 0, 8)
     theta = np.append(w, BIAS)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, ROUNDS + 1):
-        z = theta[-1] + np.bincount(rows, weights=theta[columns], minlength=len(sizes))
+        z = theta[-1] + np.bincount(rows, weights=theta[columns], minlength=len(owner))
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        calm = np.bincount(owner, weights=-np.logaddexp(0.0, z), minlength=len(toxic))
+        p0 = 1 / (1 + np.exp(-np.clip(theta[-1], -40, 40)))
+        calm = np.bincount(owner, weights=-np.logaddexp(0.0, z), minlength=len(toxic)) - silent * np.logaddexp(0.0, theta[-1])
         pull = np.where(toxic == 1, -1 / np.maximum(np.expm1(-calm), 1e-9), 1.0) * weight
         g_z = p * pull[owner]
-        g = np.append(np.bincount(columns, weights=g_z[rows], minlength=len(vocab)), g_z.sum()) / weight.sum()
+        g = np.append(np.bincount(columns, weights=g_z[rows], minlength=len(words)), g_z.sum() + p0 * (silent * pull).sum()) / weight.sum()
         g[:-1] += DECAY * theta[:-1]
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     solid = np.abs(theta[:-1]) > 1e-3
-    return NoisyOr(vocab[solid], theta[:-1][solid], float(theta[-1]))
+    return NoisyOr(words[solid], theta[:-1][solid], float(theta[-1]))
+
+
+def _sums(word: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Counts added up by word."""
+    distinct, at = np.unique(word, return_inverse=True)
+    return distinct, np.bincount(at, weights=a, minlength=len(distinct)).astype(np.int64), np.bincount(at, weights=b, minlength=len(distinct)).astype(np.int64)
+
+
+def _occurrences():
+    """In how many toxic and clean documents each word occurs, summed a task."""
+    schema = pa.schema([("word", pa.int64()), ("in_toxic", pa.int64()), ("in_clean", pa.int64())])
+
+    def run(batches):
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for batch in batches:
+            buf, off = C.texts_of(batch.column("text"))
+            toxic = batch.column("toxic").to_numpy()
+            for i, j in C.blocks(buf, off):
+                h, sentence, doc, _, _ = instances(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                owner = doc[sentence] if len(doc) else np.zeros(0, np.int64)
+                order = np.lexsort((owner, h))
+                h, owner = h[order], owner[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+                bad = toxic[i:j][owner[new]]
+                held = _sums(*(np.concatenate(x) for x in zip(held, (h[new], bad, 1 - bad))))
+        yield C.table_of(schema, word=held[0].view(np.int64), in_toxic=held[1], in_clean=held[2])
+
+    return run
 
 
-def _features():
-    schema = pa.schema([("toxic", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary())])
+def _features(words: np.ndarray):
+    """Where the given words stand: of each document (sentence, word) pairs, and how many sentences hold none."""
+    schema = pa.schema([("toxic", pa.int32()), ("pairs", pa.binary()), ("silent", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -170,14 +190,18 @@ def _features():
             toxic = batch.column("toxic").to_pylist()
             for i, j in C.blocks(buf, off):
                 h, sentence, doc, _, _ = instances(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                sizes = np.bincount(sentence, minlength=len(doc))
-                cut = np.searchsorted(doc, np.arange(j - i + 1))
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                known = words[at] == h
+                pairs = np.unique(sentence[known] * len(words) + at[known])
+                where = pairs // len(words)
+                speaking = np.bincount(doc[np.unique(where)], minlength=j - i)
+                cut = np.searchsorted(doc[where], np.arange(j - i + 1))
+                begin = np.searchsorted(doc, np.arange(j - i))
                 yield C.table_of(
                     schema,
                     toxic=toxic[i:j],
-                    words=[C.pack(h[bounds[a] : bounds[b]]) for a, b in zip(cut, cut[1:])],
-                    sizes=[C.pack(sizes[a:b].astype(np.int64)) for a, b in zip(cut, cut[1:])],
+                    pairs=[C.pack(pairs[a:b] - begin[k] * len(words)) for k, (a, b) in enumerate(zip(cut, cut[1:]))],
+                    silent=np.bincount(doc, minlength=j - i) - speaking,
                 )
 
     return run
@@ -191,13 +215,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     rate = {k: min(1.0, most / max(1, n.get(k, 0))) for k, most in ((1, max_toxic), (0, max_clean))}
     draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
     chosen = marks.filter(draw < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= MAX_BYTES)
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most about max_toxic + max_clean labels
-    got = rows.mapInArrow(_features(), "toxic int, words binary, sizes binary").collect()
-    got.sort(key=lambda r: (r["toxic"], r["words"]))  # the order of rows must not matter
-    toxic = np.array([r["toxic"] for r in got], np.int64)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = C.stage(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))  # at most about max_toxic + max_clean labels
+    drawn = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = drawn.get(1, 0), drawn.get(0, 0)
+    counts = rows.mapInArrow(_occurrences(), "word bigint, in_toxic bigint, in_clean bigint").groupBy("word").agg(F.sum("in_toxic").alias("in_toxic"), F.sum("in_clean").alias("in_clean"))
+    # a word that speaks for toxicity has the larger share there; fewer than half of the words that recur do
+    counts = counts.filter((F.col("in_toxic") + F.col("in_clean") >= MIN_DOCS) & (F.col("in_toxic") * float(max(1, n_clean)) > F.col("in_clean") * float(max(1, n_toxic)))).toArrow()
+    words, in_toxic, in_clean = (counts.column(c).to_numpy() for c in ("word", "in_toxic", "in_clean"))
+    words = words.view(np.uint64)
+    order = np.argsort(words)
+    order = order[select(words, in_toxic, in_clean, n_toxic, n_clean)[order]] if len(order) else order
+    words, in_toxic, in_clean = words[order], in_toxic[order], in_clean[order]
+    got = rows.mapInArrow(_features(words), "toxic int, pairs binary, silent bigint").collect() if len(words) else []
+    C.drop(rows)
+    got.sort(key=lambda r: (r["toxic"], r["silent"], bytes(r["pairs"])))  # the order of rows must not matter
+    toxic, silent = np.array([r["toxic"] for r in got], np.int64), np.array([r["silent"] for r in got], np.int64)
     weight = np.array([1 / rate[r["toxic"]] for r in got])
-    return train([C.unpack(r["words"], np.uint64) for r in got], [C.unpack(r["sizes"], np.int64) for r in got], toxic, weight)
+    pairs = [C.unpack(r["pairs"], np.int64) for r in got]
+    document = np.repeat(np.arange(len(got)), [len(p) for p in pairs])
+    flat = np.concatenate([*pairs, np.zeros(0, np.int64)])
+    place = flat // max(1, len(words))  # sentence inside its document
+    new = np.concatenate([[True], (place[1:] != place[:-1]) | (document[1:] != document[:-1])]) if len(flat) else np.zeros(0, bool)
+    return train(words, in_toxic, in_clean, toxic, weight, np.cumsum(new) - 1, flat % max(1, len(words)), document[new], silent)
 
 
 def _score(model, keep: pa.Schema):
