@@ -95,6 +95,11 @@ def conditional(p: Process, tp, t, tn) -> tuple[Column, Column, Column]:
     return p.phi(tp, t) - gain * p.phi(tp, tn), gain, p.cov(tp, t, t) - p.cov(tp, t, tn) * gain
 
 
+def interpolant(x0: Column, x1: Column, t) -> Column:
+    """Straight line between vectors."""
+    return F.zip_with(x0, x1, lambda a, b: (F.lit(1.0) - col(t)) * a + col(t) * b)
+
+
 def forward_score(p: Process, x: Column, x_next: Column, t, tn) -> Column:
     """Of one component."""
     f = p.phi(t, tn)
@@ -146,6 +151,7 @@ def repa_weights(t, mode: str) -> tuple[Column, Column]:
 
 
 def guided(conditional_value: Column, unconditional: Column, s: float) -> Column:
+    """Away from the unconditional value by s times the difference; s = 0 keeps the conditional one."""
     return conditional_value + F.lit(s) * (conditional_value - unconditional)
 
 

@@ -10,6 +10,11 @@ def doubles(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: what a lambda captures is evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
 
@@ -41,12 +46,12 @@ def axpy(s, a: Column, t, b: Column) -> Column:
 
 def normalise(v: Column, eps: float = 1e-12) -> Column:
     """v / (|v| + eps), the reader's convention."""
-    return F.transform(v, lambda x: x / (norm(v) + F.lit(eps)))
+    return let(norm(v) + F.lit(eps), lambda n: F.transform(v, lambda x: x / n))
 
 
 def normalise_clamped(v: Column, eps: float = 1e-12) -> Column:
     """v / max(|v|, eps), the losses' convention."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(eps)))
+    return let(F.greatest(norm(v), F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def truncate(v: Column, d: int) -> Column:
@@ -54,18 +59,27 @@ def truncate(v: Column, d: int) -> Column:
     return normalise(F.slice(v, 1, d))
 
 
+def posterior(mean: Column, logvar: Column, noise: Column) -> Column:
+    """A draw: mean + exp(logvar / 2) noise."""
+    return F.transform(F.arrays_zip(mean.alias("m"), logvar.alias("l"), noise.alias("g")), lambda z: z["m"] + F.exp(F.lit(0.5) * z["l"]) * z["g"])
+
+
 def finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
 
 
 def slerp(a: Column, b: Column, s) -> Column:
     """Spherical interpolation of unit vectors; a where they are (anti)parallel."""
-    omega = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
-    flat = F.abs(F.sin(omega)) < F.lit(1e-6)
     s = F.lit(s) if not isinstance(s, Column) else s
-    wa = F.when(flat, F.lit(1.0)).otherwise(F.sin((F.lit(1.0) - s) * omega) / F.sin(omega))
-    wb = F.when(flat, F.lit(0.0)).otherwise(F.sin(s * omega) / F.sin(omega))
-    return axpy(wa, a, wb, b)
+
+    def weights(omega: Column) -> Column:
+        flat = F.abs(F.sin(omega)) < F.lit(1e-6)
+        wa = F.when(flat, F.lit(1.0)).otherwise(F.sin((F.lit(1.0) - s) * omega) / F.sin(omega))
+        wb = F.when(flat, F.lit(0.0)).otherwise(F.sin(s * omega) / F.sin(omega))
+        return F.struct(wa.alias("a"), wb.alias("b"))
+
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+    return let(let(angle, weights), lambda w: axpy(w["a"], a, w["b"], b))
 
 
 def packed(v: Column, channels: int, height: int, width: int, patch: int) -> Column:
@@ -92,6 +106,13 @@ def unpacked(v: Column, channels: int, height: int, width: int, patch: int) -> C
     return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")), lambda t: F.get(v, source(t).cast("int")))
 
 
+def patch_positions(tokens: int, patches: int, layout: str = "row_major") -> Column:
+    """Patches that each token owns, in order; row_major is the only layout."""
+    if layout != "row_major":
+        raise ValueError(f"unknown token layout {layout}")
+    return F.transform(F.sequence(F.lit(0), F.lit(tokens - 1)), lambda t: F.sequence(t * patches, t * patches + (patches - 1)))
+
+
 def token_norms(v: Column, dim: int, unit_scale: float = 1.0) -> Column:
     """Norm of each dim-sized token of a flat vector, after division by unit_scale."""
     count = F.floor(F.size(v) / dim).cast("int")
@@ -104,5 +125,10 @@ def first_true(flags: Column) -> Column:
     return F.when(at < 0, F.size(flags).cast("bigint")).otherwise(at)
 
 
+def pad_id_stop(ids: Column, pad: int) -> Column:
+    """Position of the first pad id, or the length."""
+    return first_true(F.transform(ids, lambda x: x == pad))
+
+
 def argmax(v: Column) -> Column:
     return F.array_position(v, F.array_max(v)) - 1

@@ -40,6 +40,11 @@ def keeps_condition(h: Column, p_drop: float) -> Column:
     return det.unit(h) > F.lit(p_drop) if p_drop > 0 else F.lit(True)
 
 
+def process_ends(x0: Column, x1: Column, noise0: Column, noise1: Column, start_as_noise: bool = False, end_as_noise: bool = False) -> dict[str, Column]:
+    """Ends of the process, either of which may be noise, and the conditions, which stay the data."""
+    return {"x0": noise0 if start_as_noise else x0, "x1": noise1 if end_as_noise else x1, "cond0": x0, "cond1": x1}
+
+
 def noised(x: Column, far: Column, p: bridge.Process, t, noise: Column) -> Column:
     """Bridge sample at t between x and a far endpoint, which may itself be noise."""
     w0, w1, var = bridge.conditional(p, 0.0, t, 1.0)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICE_ROWS = 100_000  # rows that are ordered to find a cut
+
 
 def dense_index(df: DataFrame, key: str, name: str, slices: int | None = None) -> DataFrame:
     """0..n-1 in ascending order of a unique numeric key, like row_number over everything less one.
@@ -41,6 +45,45 @@ def round_robin(df: DataFrame, key: str, world: int) -> DataFrame:
     return dense_index(df, key, "idx").withColumn("rank", F.pmod("idx", F.lit(world)).cast("int"))
 
 
+def first_short(df: DataFrame, key: str, length: Column, most: int, n: int) -> DataFrame:
+    """The first n rows by key whose length is at most `most`; a row of unknown length is not short."""
+    return df.filter(length <= most).orderBy(key).limit(n)
+
+
+def order_cuts(df: DataFrame, digest: Column, key: str, ranks: Callable[[int], list[int]]) -> list[Column]:
+    """Conditions "among the k least rows by (digest, key)", for the counts k that ranks gives for the number of rows.
+
+    Counts by leading hex digits (at most 65,536 of them reach the driver) find the slice that holds each cut; only the
+    rows of that slice are ordered. No task holds the k rows.
+    """
+    held = df.select(digest.alias("_h"), F.col(key).alias("_k"))
+    width = 4
+
+    def counts(prefix: str) -> list:
+        size = len(prefix) + width
+        rows = held.filter(F.startswith("_h", F.lit(prefix))) if prefix else held
+        return sorted((r["p"], r["n"]) for r in rows.groupBy(F.substring("_h", 1, size).alias("p")).agg(F.count("*").alias("n")).collect())
+
+    whole = counts("")
+    out = []
+    for k in ranks(sum(n for _, n in whole)):
+        if k <= 0:
+            out.append(F.lit(False))
+            continue
+        found, prefix, left = whole, "", k
+        while True:
+            for prefix, n in found:
+                if left <= n:
+                    break
+                left -= n
+            if n <= SLICE_ROWS or len(prefix) >= 32:
+                break
+            found = counts(prefix)
+        last = held.filter(F.startswith("_h", F.lit(prefix))).orderBy("_h", "_k").limit(left).agg(F.max(F.struct("_h", "_k")).alias("m")).first()["m"]
+        out.append((digest < F.lit(last["_h"])) | ((digest == F.lit(last["_h"])) & (F.col(key) <= F.lit(last["_k"]))))
+    return out
+
+
 def best_by_digest(df: DataFrame, digest: Column, key: str, n: int) -> DataFrame:
     """The n rows of least digest (a seeded sample without replacement), in key order."""
     return df.withColumn("_h", digest).orderBy("_h", key).limit(n).drop("_h").orderBy(key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vec
 from quillspark.operators import tokens
+from quillspark.operators.indexing import dense_index
 
 PAIR_BLOCK = 2048  # rows a side of one pairwise block
 FEW = 20_000  # values that a quantile's last cell may hold
@@ -267,6 +268,18 @@ def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
 # ---------------------------------------------------------------- series
 
 
+def log_means(log: DataFrame, window: str, rank: str, key: str, value: str) -> DataFrame:
+    """(window, key, mean, worst, straggler): mean over ranks of each rank's mean, the greatest, and the first rank that has it."""
+    local = log.groupBy(window, key, rank).agg(F.avg(value).alias("_m"))
+    best = F.max(F.struct("_m", (-F.col(rank)).alias("_r")))
+    return local.groupBy(window, key).agg(F.avg("_m").alias("mean"), best.alias("_b")).select(window, key, "mean", F.col("_b._m").alias("worst"), (-F.col("_b._r")).alias("straggler"))
+
+
+def metric_key(name: Column, guidance: Column, ode: Column) -> Column:
+    """Name of an evaluation metric with the sampler it was taken with."""
+    return F.concat(name, F.lit("_cfg_"), guidance.cast("string"), F.lit("_"), F.when(ode, "ode").otherwise("sde"))
+
+
 def slow_runs(series: DataFrame, step: str, value: str, threshold: float, most: int) -> DataFrame:
     """Runs of consecutive values below the threshold that reach `most` windows: (first_step, last_step, length)."""
     order = Window.orderBy(step)  # one row a logging window
@@ -277,7 +290,8 @@ def slow_runs(series: DataFrame, step: str, value: str, threshold: float, most:
 
 
 def ema(series: DataFrame, step: str, value: str, decay: float) -> DataFrame:
-    """Final exponential average of an ordered series (one row a step), starting from its first value."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(step, value))), lambda r: r[value])
-    held = series.agg(ordered.alias("v"))
-    return held.select(F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.get("v", F.lit(0)), lambda s, x: F.lit(decay) * s + F.lit(1 - decay) * x).alias("ema"), F.size("v").cast("bigint").alias("n"))
+    """Final exponential average of an ordered series (one row a step), starting from its first value: a sum of weights."""
+    n = series.count()
+    age = F.lit(float(n - 1)) - F.col("_i")
+    weight = F.pow(F.lit(decay), age) * F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(1 - decay))
+    return dense_index(series, step, "_i").agg(F.sum(F.col(value) * weight).alias("ema"), F.count("*").alias("n"))

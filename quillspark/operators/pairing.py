@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import det
+from quillspark.operators.indexing import order_cuts
 
+#: Fixed value: what counts as a number in a time label.
 NUMBER = r"[-+]?(?:\d*\.\d+|\d+)"
 
 
@@ -30,15 +32,31 @@ def endpoints(df: DataFrame, time: Column, clone: str, early: float, late: float
 
 def assign_clones(coo: DataFrame, row: str, clone: str, allow_multi: bool = False) -> DataFrame:
     """Per row: its only clone; with several the first stored one if allowed, else none."""
-    g = coo.groupBy(row).agg(F.countDistinct(clone).alias("n_clones"), F.min(clone).alias("first_clone"))
     keep = F.col("n_clones") == 1 if not allow_multi else F.col("n_clones") >= 1
-    return g.select(row, "n_clones", F.when(keep, F.col("first_clone")).alias("clone_id"))
+    return clone_counts(coo, row, clone).select(row, "n_clones", F.when(keep, F.col("first_clone")).alias("clone_id"))
+
+
+def clone_counts(coo: DataFrame, row: str, clone: str) -> DataFrame:
+    """Per row: how many clones it has, and the first stored one."""
+    return coo.groupBy(row).agg(F.countDistinct(clone).alias("n_clones"), F.min(clone).alias("first_clone"))
+
+
+def _first_ranks(cells: DataFrame, clone: str, cell: str, seed: int, most: int) -> DataFrame:
+    """Rank of the first `most` cells of each clone and side by digest; each task keeps only these before the shuffle."""
+    order = Window.partitionBy(clone, "side").orderBy("_h", cell)
+    held = cells.withColumn("_h", det.digest(seed, "rank", F.col("side"), F.col(cell)))
+    return held.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).withColumn("r", (F.col("r") - 1).cast("bigint")).drop("_h")
 
 
 def _ranked(cells: DataFrame, clone: str, cell: str, seed: int) -> DataFrame:
-    """Rank of each cell within its clone and side by digest."""
-    order = Window.partitionBy(clone, "side").orderBy(det.digest(seed, "rank", F.col("side"), F.col(cell)), cell)
-    return cells.withColumn("r", (F.row_number().over(order) - 1).cast("bigint"))
+    """Rank of each cell within its clone and side by digest. A clone is ranked in 256 slices, so a large one is spread."""
+    h = det.digest(seed, "rank", F.col("side"), F.col(cell))
+    cut = cells.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 2))
+    sizes = cut.groupBy(clone, "side", "_s").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(clone, "side").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
+    offsets = sizes.select(clone, "side", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(clone, "side", "_s").orderBy("_h", cell)) - 1
+    return cut.withColumn("_in", inside).join(offsets, [clone, "side", "_s"]).withColumn("r", (F.col("_in") + F.col("_before")).cast("bigint")).drop("_h", "_s", "_in", "_before")
 
 
 def eligible(cells: DataFrame, clone: str, least: int) -> DataFrame:
@@ -49,7 +67,7 @@ def eligible(cells: DataFrame, clone: str, least: int) -> DataFrame:
 def sampled_pairs(cells: DataFrame, clone: str, cell: str, per_clone: int, seed: int = 0, least: int = 1) -> DataFrame:
     """per_clone pairs a clone: each side drawn on its own, with replacement only where it is smaller than per_clone."""
     ok = eligible(cells, clone, least)
-    ranked = _ranked(cells.join(ok.select(clone), clone), clone, cell, seed)
+    ranked = _first_ranks(cells.join(ok.select(clone), clone), clone, cell, seed, per_clone)
     draws = ok.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_clone - 1).cast("bigint"))))
     for side, n in (("e", "n_early"), ("l", "n_late")):
         again = det.below(det.digest(seed, "draw" + side, F.col(clone), F.col("k")), F.col(n))
@@ -85,10 +103,10 @@ def split_sizes(n: int, test: float, reserve: float) -> tuple[int, int, int]:
 
 def group_split(groups: DataFrame, key: str, test: float = 0.1, reserve: float = 0.1, seed: int = 0) -> DataFrame:
     """(key, split): 2 reserved, 1 test, 0 train; whole groups, by the order of their digests."""
-    n = groups.count()
-    r, t, _ = split_sizes(n, test, reserve)
-    h = det.digest(seed, "split", F.col(key))
-    first = groups.withColumn("_h", h).orderBy("_h", key).limit(r + t)
-    ranked = first.withColumn("_r", F.row_number().over(Window.orderBy("_h", key)))
-    marked = ranked.select(key, F.when(F.col("_r") <= r, 2).otherwise(1).alias("split"))
-    return groups.join(marked, key, "left").select(key, F.coalesce("split", F.lit(0)).alias("split"))
+
+    def ranks(n: int) -> list[int]:
+        r, t, _ = split_sizes(n, test, reserve)
+        return [r, r + t]
+
+    reserved, tested = order_cuts(groups, det.digest(seed, "split", F.col(key)), key, ranks)
+    return groups.select(key, F.when(reserved, 2).when(tested, 1).otherwise(0).alias("split"))

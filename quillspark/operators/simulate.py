@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.bridge import Process, vp
+from quillspark.functions.bridge import Process, forward_score, reverse_score, vp
 
 Score = Callable[[Column, Column, Column], Column]
 Noise = Callable[[Column, Column], Column]
@@ -42,6 +42,31 @@ def euler(x0: Column, p: Process, score: Score, steps: int, reverse: bool = Fals
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), x0, step)
 
 
+def probability_flow(x0: Column, p: Process, score: Score, steps: int, start: Column, noise: Noise, reverse: bool = False) -> Column:
+    """Deterministic transport by half of sigma squared times the difference of score and the base process's own score.
+
+    The base score is singular at the start: the first step is a stochastic one. start is the vector x0 began from; the
+    process must have no drift.
+    """
+    if p.drift:
+        raise ValueError("the probability flow needs a process without drift")
+    dt = 1.0 / steps
+
+    def step(x: Column, k: Column) -> Column:
+        t = F.lit(1.0) - k / F.lit(float(steps)) if reverse else k / F.lit(float(steps))
+        s = p.sigma(t)
+
+        def move(v: Column, i: Column) -> Column:
+            own = F.get(start, i)
+            base = forward_score(p, v, own, t, 1.0) if reverse else reverse_score(p, v, own, t)
+            first = s * s * score(v, t, i) * F.lit(dt) + s * F.lit(dt**0.5) * noise(k, i)
+            return v + F.when(k == 0, first).otherwise(F.lit(0.5) * s * s * (score(v, t, i) - base) * F.lit(dt))
+
+        return F.transform(x, move)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), x0, step)
+
+
 def euler_path(x0: Column, p: Process, score: Score, steps: int) -> Column:
     """All states of a noise-free forward run, the start first: array of vectors."""
     dt = 1.0 / steps
@@ -60,11 +85,16 @@ def snapshot(k: Column, steps: int, every: int) -> Column:
 
 
 def flow(x0: Column, velocity: Score, steps: int, reverse: bool = False, ascending: bool = False) -> Column:
-    """Euler on a velocity field; in reverse time falls, unless `ascending` asks for the single-cell convention."""
+    """Euler on a velocity field; in reverse time falls and the field is followed backwards.
+
+    `ascending` asks for the single-cell convention: time rises and the field is followed forwards in both directions.
+    """
+    back = reverse and not ascending
+
     def step(x: Column, k: Column) -> Column:
         t = k / F.lit(float(steps))
-        t = F.lit(1.0) - t if reverse and not ascending else t
-        return F.transform(x, lambda v, i: v + F.lit((-1.0 if reverse else 1.0) / steps) * velocity(v, t, i))
+        t = F.lit(1.0) - t if back else t
+        return F.transform(x, lambda v, i: v + F.lit((-1.0 if back else 1.0) / steps) * velocity(v, t, i))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), x0, step)
 

@@ -26,10 +26,8 @@ def endpoint_cells(spark, sf_dir):
 @query("""select l_orderkey, n as n_clones, case when n = 1 then c end as clone_id, c as clone_multi from
   (select l_orderkey, count(distinct l_partkey) as n, min(l_partkey) as c from lineitem group by l_orderkey)""")
 def clone_assign(spark, sf_dir):
-    coo = table(spark, sf_dir, "lineitem")
-    strict = pairing.assign_clones(coo, "l_orderkey", "l_partkey")
-    multi = pairing.assign_clones(coo, "l_orderkey", "l_partkey", allow_multi=True)
-    return strict.join(multi.select("l_orderkey", F.col("clone_id").alias("clone_multi")), "l_orderkey")
+    found = pairing.clone_counts(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return found.select("l_orderkey", "n_clones", F.when(F.col("n_clones") == 1, F.col("first_clone")).alias("clone_id"), F.col("first_clone").alias("clone_multi"))
 
 
 @query("""with x as (select distinct coalesce(event_type, 'unknown') as label from events), y as (select distinct coalesce(json_extract_string(props, '$.k'), 'none') as label from events)
@@ -174,9 +172,8 @@ def failure_ledger(spark, sf_dir):
 @query("""with n as (select count(*) as n from documents) select doc_id, r <= round_even(n * 0.05::double, 0) as is_val from (select doc_id, row_number() over (order by md5('3:val:' || doc_id), doc_id) as r from documents), n""")
 def train_val_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
-    n = round(d.count() * 0.05)
-    val = indexing.best_by_digest(d, det.digest(3, "val", F.col("doc_id")), "doc_id", n).select("doc_id", F.lit(True).alias("is_val"))
-    return d.join(val, "doc_id", "left").select("doc_id", F.coalesce("is_val", F.lit(False)).alias("is_val"))
+    (held,) = indexing.order_cuts(d, det.digest(3, "val", F.col("doc_id")), "doc_id", lambda n: [round(n * 0.05)])
+    return d.select("doc_id", held.alias("is_val"))
 
 
 @query("select vec_id from (select vec_id, row_number() over (order by md5('5:sub:' || vec_id), vec_id) as r from embeddings) where r <= 100 order by vec_id")

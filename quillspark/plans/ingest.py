@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from quillspark.operators import records
 from quillspark.plans.base import query, table
+from quillspark.session import shared_dir
 from quillspark.sources import readers
 from quillspark.streaming import ingest
 
 
 def scratch(spark) -> str:
-    """A new folder that all executors share; a local one only where no shared folder is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-")
-    return f"{base}/scratch-{uuid.uuid4().hex}"
+    """A new folder that all executors share; a local one only where one machine does all the work."""
+    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query("select l_orderkey - 1 as row, (l_partkey - 1)::int as col, l_quantity as value from lineitem where l_orderkey > 0")

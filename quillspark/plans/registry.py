@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import etl, ingest, measures, process, sweeps, vectors  # noqa: F401  they register their queries
+from quillspark.plans import etl, ingest, measures, process, samplers, sweeps, vectors  # noqa: F401  they register their queries
 from quillspark.plans.base import ORACLES, QUERIES
 
 

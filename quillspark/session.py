@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -10,6 +11,19 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode; else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        if not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return context.getCheckpointDir().get()
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Lets Python workers import this package from where the driver did (on a cluster, ship it with --py-files)."""
     env = spark.sparkContext.environment

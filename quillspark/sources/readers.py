@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import csv
-import io
 import json
+import os
 import tarfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,14 +61,15 @@ def resolve(columns: list[str], candidates: list[str], required: bool = True) ->
     return None
 
 
-def pair_members(content: bytes):
+def pair_members(stream):
     """(key, caption_type, caption, image) of an archive's json and image members that share a key.
 
     A key is the name without its known last extension. Broken json gives a record of nulls; members without a partner go.
+    The archive is read as a stream: only members that wait for their partner are in memory.
     """
     texts, images = {}, {}
     try:
-        archive = tarfile.open(fileobj=io.BytesIO(content), mode="r:*")
+        archive = tarfile.open(fileobj=stream, mode="r|*")
     except tarfile.TarError:
         return
     with archive:
@@ -92,22 +94,74 @@ def pair_members(content: bytes):
 
 
 def archives(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
-    """(path, key, caption_type, caption, image) of all *.tar below path whose names hold any of the splits."""
-    from pyspark.sql.functions import udtf
+    """(path, key, caption_type, caption, image) of all *.tar below path whose names hold any of the splits.
 
-    @udtf(returnType="key string, caption_type string, caption string, image binary")
-    class ReadTar:
-        def eval(self, content: bytes):
-            yield from pair_members(bytes(content))
+    Spark lists the files; each is then opened where its task runs (local and shared folders, HDFS, S3) and streamed, so
+    an archive may be larger than a task's memory.
+    """
+    schema = pa.schema([("path", pa.string()), ("key", pa.string()), ("caption_type", pa.string()), ("caption", pa.string()), ("image", pa.binary())])
+
+    def read(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, inner = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    for record in pair_members(stream):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((path, *record), schema)], schema=schema)
 
-    spark.udtf.register("quillspark_read_tar", ReadTar)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(path)
     if splits:
         files = files.filter(F.exists(F.array(*map(F.lit, splits)), lambda s: F.contains(F.col("path"), s)))
     if not files.limit(1).count():
         raise FileNotFoundError(f"no archive below {path}")
-    files.createOrReplaceTempView("quillspark_archives")
-    return spark.sql("select a.path, t.* from quillspark_archives a, lateral quillspark_read_tar(a.content) t")
+    return files.select("path").mapInArrow(read, "path string, key string, caption_type string, caption string, image binary")
+
+
+def discover_shards(files: DataFrame, table_mode: bool = True) -> DataFrame:
+    """Shards in a listing (path): shard_id, and the paths of its latents, filled map and optional sidecars.
+
+    A shard counts with latents and a filled map. A sidecar that has a map of its own is there only with it; tokens are
+    there with ids, mask, lengths and filled map, and with embeddings unless those come from a table.
+    """
+    name = F.substring_index("path", "/", -1)
+    kinds = ["latents", "filled", "text", "logvar", "dino", "dino_filled", "gtext", "gtext_filled", "token_emb", "token_ids", "token_mask", "token_lengths", "token_filled"]
+    known = files.select("path", F.regexp_extract(name, r"^([a-z_]+)_\d+\.", 1).alias("kind"), F.regexp_extract(name, r"_(\d+)\.", 1).try_cast("int").alias("shard_id"))
+    by = known.filter(F.col("kind").isin(*kinds) & F.col("shard_id").isNotNull()).groupBy("shard_id").pivot("kind", kinds).agg(F.min("path"))
+    for side in ("dino", "gtext"):
+        whole = F.col(side).isNotNull() & F.col(f"{side}_filled").isNotNull()
+        by = by.withColumn(side, F.when(whole, F.col(side)))
+        by = by.withColumn(f"{side}_filled", F.when(F.col(side).isNotNull(), F.col(f"{side}_filled")))
+    whole = F.lit(True)
+    for k in kinds:
+        if k.startswith("token_") and not (table_mode and k == "token_emb"):
+            whole = whole & F.col(k).isNotNull()
+    return by.filter("latents is not null and filled is not null").withColumn("has_tokens", whole)
+
+
+def cached_result(files: DataFrame, step: int | None = None) -> int:
+    """The step of a cached evaluation in a listing (path): the last tensor file by name, or the one asked for, with its metrics."""
+    name = F.substring_index("path", "/", -1)
+    kept = files.select(F.regexp_extract(name, r"^(eval_tensors|metrics)_\d+\.", 1).alias("kind"), F.regexp_extract(name, r"_(\d+)\.", 1).alias("step")).filter("kind <> ''")
+    if step is None:
+        last = kept.filter("kind = 'eval_tensors'").agg(F.max("step")).first()[0]
+        if last is None:
+            raise FileNotFoundError("no cached evaluation")
+        step = int(last)
+    there = {r["kind"] for r in kept.filter(F.col("step").cast("bigint") == step).select("kind").distinct().collect()}
+    for kind in ("eval_tensors", "metrics"):
+        if kind not in there:
+            raise FileNotFoundError(f"missing {kind} of step {step}")
+    return step
+
+
+def raw_path(root: str, dataset: str, url: str) -> str:
+    """Where a downloaded file of a dataset lies; the error says how to get it."""
+    path = os.path.join(root, dataset, url.rstrip("/").rsplit("/", 1)[-1])
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{path} is missing; download {url} to it")
+    return path
 
 
 def missing_members(manifest: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -18,9 +18,13 @@ def ingest(spark: SparkSession, source: str, schema, prepare: Callable[[DataFram
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        good, bad = ledger(prepare(batch))
-        good.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-        bad.write.mode("overwrite").parquet(f"{failures}/batch={epoch}")
+        held = prepare(batch).persist()  # prepared once for both tables; lost blocks are computed again
+        try:
+            good, bad = ledger(held)
+            good.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
+            bad.write.mode("overwrite").parquet(f"{failures}/batch={epoch}")
+        finally:
+            held.unpersist()
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -35,11 +39,14 @@ def fill_sidecar(source: DataFrame, path: str, key: str, compute: Callable[[Data
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         done = spark.createDataFrame([], source.select(key).schema)
-    rest = todo(source, done, key)
-    n = rest.count()
-    if n:
-        compute(rest).write.mode("append").parquet(path)
-    return n
+    rest = todo(source, done, key).persist()
+    try:
+        n = rest.count()
+        if n:
+            compute(rest).write.mode("append").parquet(path)
+        return n
+    finally:
+        rest.unpersist()
 
 
 def slow_windows(stream: DataFrame, step: str, value: str, threshold: float, minutes: str = "10 minutes") -> DataFrame:
