@@ -22,13 +22,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """Runs of window starts that share an anchor: (document, first start, last start, anchor hash), starts in buf's positions.
+    """Runs of window starts that share an anchor: (document, first start, last start, anchor hash, anchor position), in buf's positions.
 
     Documents shorter than length have no window.
     """
     z = np.zeros(0, np.int64)
     if len(buf) < length:
-        return z, z, z, z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64), z
     sums = X.prefix(buf)
     at = np.arange(len(buf) - gram + 1)
     g = X.span_hashes(sums, at, at + gram)
@@ -43,4 +43,5 @@ def runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
     new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return owner[first], start[first], start[last], X.mix(g[anchor[first].astype(np.int64)])  # least hashes crowd near 0: spread them
+    place = anchor[first].astype(np.int64)
+    return owner[first], start[first], start[last], X.mix(g[place]), place  # least hashes crowd near 0: spread them

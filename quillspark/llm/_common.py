@@ -5,15 +5,15 @@ from __future__ import annotations
 import atexit
 import functools
 import struct
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.session import attach
+from quillspark.session import attach, shared_dir
 
 #: Arrow rows a batch; texts can be long, so batches are kept short.
 ARROW_ROWS = 1000
@@ -32,15 +32,9 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

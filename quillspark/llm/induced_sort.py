@@ -189,6 +189,8 @@ def repeated(text: np.ndarray, cap: int, budget: int = 64 << 20) -> np.ndarray:
     flags = np.zeros(n, bool)
     if n == 0:
         return flags
+    if n > np.iinfo(np.int32).max:
+        raise ValueError("a shard holds at most 2^31 - 1 symbols; use more shards")
     stype, run = _types(text)
     run = np.minimum(run, cap)  # int16, as the tuples
     lms = np.flatnonzero(stype[1:] & ~stype[:-1]) + 1

@@ -10,12 +10,17 @@ Only suffixes that can have a partner are sorted, and equal ones meet in one sha
    sends its distinct (anchor, segment hash) pairs once; the owner of a range of anchors answers with a code:
    0 the anchor occurs once: no window of the run has a partner; 1 it occurs again and all its segments are equal: one
    copy stands for all and every window has a partner; 2 and 3 segments differ, this one is single (2) or not (3).
-2. Segments of codes 2 and 3 go, each distinct one once a chunk, to the shard of their anchor. A shard sorts the suffixes
-   of its segments by external induction (induced_sort) and flags those that share LENGTH bytes with a neighbour.
+   Anchors with more than HOT differing segments are marked (HOT_BIT).
+2. Segments of codes 2 and 3 go, each distinct one once a chunk, to the shard of their anchor. Those of a marked anchor
+   are cut into PIECES pieces of neighbouring windows first, and a piece goes to the shard of the bytes that all its
+   windows share: equal windows lie equally far from their anchor and meet, while the anchor's segments part.
+   A shard sorts the suffixes of its segments by external induction (induced_sort) and flags those that share LENGTH
+   bytes with a neighbour.
 3. Flags return to the documents that asked. Documents without open runs are finished before, without a shuffle.
 
-Hashes have 64 bits; equal hashes count as equal strings. An anchor that very many differing segments share puts these
-into one shard, whose tuples then wait on the task's own disk; that disk space is freed with the task.
+Anchors and segments are told apart by hashes, of 64 bits for an anchor (a collision costs time only) and of 128 bits
+for a segment; equal ones count as equal strings. The number of shards and of ranges follows the bytes of the input. A
+shard's tuples wait on the task's own disk beyond a budget; that disk space is freed with the task.
 The input is read twice and must be a table; rows that move between the readings raise. Empty tables give no rows.
 """
 
@@ -37,31 +42,45 @@ from quillspark.llm import induced_sort as I
 LENGTH, GRAM = 400, 232
 CHUNK_BYTES = 4 << 20
 SHARDS_A_PART = 4
+#: Bytes of the corpus that one shard, and one range of anchors, stands for at most.
+SHARD_TEXT, RANGE_TEXT = 4 << 20, 256 << 20
+#: Differing segments of an anchor beyond which its windows are spread over several shards.
+HOT, HOT_BIT, PIECES = 4096, 4, 8
+
+
+def _sums(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of two polynomial hashes."""
+    second = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(SECOND[part] * X.powers(len(part) + 1)[0][: len(part)], out=second[1:])
+    return X.prefix(part), second
+
+
+SECOND = X.mix(X.BYTE + X.U(0x632BE59BD9B4E019))
 
 
 def _runs(buf: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """Runs of all documents blockwise: (document, first and last start in buf, anchor, segment hash)."""
+    """Runs of all documents blockwise: (document, first and last start, anchor and its position, two hashes of the segment)."""
     out = []
     for i, j in C.blocks(buf, off, 1 << 19):
         part = buf[off[i] : off[j]]
-        doc, first, last, anchor = A.runs(part, off[i : j + 1] - off[i], length, gram)
+        doc, first, last, anchor, place = A.runs(part, off[i : j + 1] - off[i], length, gram)
         if len(doc):
-            seg = X.span_hashes(X.prefix(part), first, last + length)
-            out.append((doc + i, first + off[i], last + off[i], anchor, seg))
+            one, two = _sums(part)
+            out.append((doc + i, first + off[i], last + off[i], anchor, place + off[i], X.span_hashes(one, first, last + length), X.span_hashes(two, first, last + length)))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, z.astype(np.uint64), z, z.astype(np.uint64), z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _distinct(anchor: np.ndarray, seg: np.ndarray):
-    """Distinct (anchor, segment) pairs in order, where each run stands among them, and their counts."""
-    order = np.lexsort((seg, anchor))
-    a, s = anchor[order], seg[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]) if len(a) else np.zeros(0, bool)
+def _distinct(anchor: np.ndarray, seg: np.ndarray, seg2: np.ndarray):
+    """Distinct (anchor, segment) in order, where each run stands among them, and a run of each."""
+    order = np.lexsort((seg2, seg, anchor))
+    a, s, t = anchor[order], seg[order], seg2[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(a) else np.zeros(0, bool)
     place = np.empty(len(a), np.int64)
     place[order] = np.cumsum(new) - 1
-    return a[new], s[new], place, order[new]
+    return a[new], s[new], t[new], place, order[new]
 
 
 def _send(n: int, length: int, gram: int):
@@ -69,30 +88,40 @@ def _send(n: int, length: int, gram: int):
 
     def run(batches):
         for chunk, table in C.Chunks(["text"], CHUNK_BYTES)(batches):
-            _, _, _, anchor, seg = _runs(*C.texts_of(table.column("text")), length, gram)
-            a, s, place, _ = _distinct(anchor, seg)
+            _, _, _, anchor, _, seg, seg2 = _runs(*C.texts_of(table.column("text")), length, gram)
+            a, s, t, place, _ = _distinct(anchor, seg, seg2)
             counts = np.minimum(np.bincount(place, minlength=len(a)), 2).astype(np.uint8)
             cut = C.slices(a, n)
-            for r in range(n):
+            for r in np.flatnonzero(np.diff(cut)).tolist():
                 i, j = int(cut[r]), int(cut[r + 1])
-                yield C.table_of(schema, target=[r], chunk=[chunk], anchors=[a[i:j].tobytes()], segs=[s[i:j].tobytes()], counts=[C.pack(counts[i:j])])
+                yield C.table_of(schema, target=[r], chunk=[chunk], anchors=[a[i:j].tobytes()], segs=[s[i:j].tobytes() + t[i:j].tobytes()], counts=[C.pack(counts[i:j])])
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(hot: int):
     schema = pa.schema([("chunk", pa.int64()), ("target", pa.int32()), ("n", pa.int64()), ("codes", pa.binary())])
-    blocks = [(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(s.as_py(), np.uint64), C.unpack(c.as_py(), np.uint8)) for a, s, c in zip(table.column("anchors"), table.column("segs"), table.column("counts"))]
-    anchor, seg, count = (np.concatenate(x) for x in zip(*blocks))
-    a, s, place, _ = _distinct(anchor, seg)
-    total = np.bincount(place, weights=count, minlength=len(a)).astype(np.int64)
-    first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    kinds, members = np.bincount(group, minlength=0), np.bincount(group, weights=total).astype(np.int64)
-    code = np.where(members[group] == 1, 0, np.where(kinds[group] == 1, 1, np.where(total > 1, 3, 2))).astype(np.uint8) if len(a) else np.zeros(0, np.uint8)
-    codes = code[place]
-    ends = np.cumsum([len(b[0]) for b in blocks])
-    return pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "n": [len(b[0]) for b in blocks], "codes": [C.pack(codes[e - len(b[0]) : e]) for e, b in zip(ends, blocks)]}, schema=schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = []
+        for a, s, c in zip(table.column("anchors"), table.column("segs"), table.column("counts")):
+            a, s = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(s.as_py(), np.uint64)
+            blocks.append((a, s[: len(a)], s[len(a) :], C.unpack(c.as_py(), np.uint8)))
+        anchor, seg, seg2, count = (np.concatenate(x) for x in zip(*blocks))
+        a, s, _, place, _ = _distinct(anchor, seg, seg2)
+        total = np.bincount(place, weights=count, minlength=len(a)).astype(np.int64)
+        first = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
+        group = np.cumsum(first) - 1
+        kinds, members = np.bincount(group, minlength=0), np.bincount(group, weights=total).astype(np.int64)
+        code = np.where(members[group] == 1, 0, np.where(kinds[group] == 1, 1, np.where(total > 1, 3, 2))).astype(np.uint8) if len(a) else np.zeros(0, np.uint8)
+        code += np.where(kinds[group] > hot, HOT_BIT, 0).astype(np.uint8) if len(a) else code
+        codes = code[place]
+        ends = np.cumsum([len(b[0]) for b in blocks])
+        out = pa.table({"chunk": table.column("chunk"), "target": table.column("target"), "n": [len(b[0]) for b in blocks], "codes": [C.pack(codes[e - len(b[0]) : e]) for e, b in zip(ends, blocks)]}, schema=schema)
+        C.trim()
+        return out
+
+    return run
 
 
 def _carry():
@@ -131,6 +160,21 @@ def _finished(**columns) -> pa.Table:
     return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in STATE}, schema=STATE)
 
 
+def _pieces(buf, off, doc, first, last, place, length: int, gram: int):
+    """Runs cut by how far their windows start before the anchor: (document, first and last start, key of the bytes all share)."""
+    room = length - gram + 1  # distances 0 .. room - 1
+    out = []
+    for k in range(PIECES):
+        near, far = room * k // PIECES, room * (k + 1) // PIECES - 1
+        x, y = np.maximum(first, place - far), np.minimum(last, place - near)
+        mine = np.flatnonzero((x <= y) & (far >= near))
+        for r in mine.tolist():
+            shared = buf[max(off[doc[r]], place[r] - near) : min(off[doc[r] + 1], place[r] - far + length)]
+            digest = hashlib.blake2b(shared.tobytes(), digest_size=8, key=bytes([k])).digest()
+            out.append((doc[r], x[r], y[r], np.frombuffer(digest, np.uint64)[0]))
+    return [np.array(c, t) for c, t in zip(zip(*out), (np.int64, np.int64, np.int64, np.uint64))] if out else [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)]
+
+
 def _judge(length: int, gram: int, shards: int):
     def run(documents: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(answers.column("target").to_numpy())
@@ -139,11 +183,11 @@ def _judge(length: int, gram: int, shards: int):
         for chunk, packed in zip(documents.column("chunk").to_pylist(), documents.column("docs")):
             table = pa.ipc.open_stream(packed.as_py()).read_all()
             buf, off = C.texts_of(table.column("text"))
-            doc, first, last, anchor, seg = _runs(buf, off, length, gram)
-            a, s, place, sample = _distinct(anchor, seg)
+            doc, first, last, anchor, spot, seg, seg2 = _runs(buf, off, length, gram)
+            a, _, _, place, sample = _distinct(anchor, seg, seg2)
             if len(a) != len(codes):
                 raise RuntimeError("the input changed between two readings; write it to a table first")
-            code = codes[place]
+            hot, code = codes[place] >= HOT_BIT, codes[place] % HOT_BIT
             sure, asked = (code == 1) | (code == 3), code == 2
             names = table.column("doc_id").to_pylist()
             bounds = np.searchsorted(doc, np.arange(len(names) + 1))
@@ -158,17 +202,23 @@ def _judge(length: int, gram: int, shards: int):
                 for k, v in {"kind": OPEN if wait else DONE, "idx": d, "doc_id": name, "n_bytes": len(text), "n_removed": removed, "n_spans": 0 if wait else len(spans), "kept_sha256": None if wait else hashlib.sha256(rest).hexdigest(), "spans": np.stack([x, y]).tobytes() if wait else spans.tobytes(), "body": packer.compress(text.tobytes()) if wait else None}.items():
                     rows[k].append(v)
             out.append(_finished(**rows, chunk=[chunk] * len(names)))
-            ship = sample[codes >= 2]  # one run for each distinct segment that must be compared
+            ship = sample[codes % HOT_BIT >= 2]  # one run for each distinct segment that must be compared
             if len(ship):
-                target = ((anchor[ship] >> X.U(32)) * X.U(shards) >> X.U(32)).astype(np.int32)
-                order2 = np.argsort(target, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(target[order2]) != 0, [True]]))
+                calm, torn = ship[~hot[ship]], ship[hot[ship]]
+                cut = _pieces(buf, off, doc[torn], first[torn], last[torn], spot[torn], length, gram)
+                # starts of a chunk's runs ascend and don't overlap, so a piece's start finds its run
+                run_of = np.searchsorted(first, cut[1], side="right") - 1
+                owner, begin, end = (np.concatenate([x[calm], y]) for x, y in ((doc, cut[0]), (first, cut[1]), (last, cut[2])))
+                key, asks = np.concatenate([anchor[calm], cut[3]]), asked[np.concatenate([calm, run_of])]
+                target = ((key >> X.U(32)) * X.U(shards) >> X.U(32)).astype(np.int32)
+                order = np.argsort(target, kind="stable")
+                edges = np.flatnonzero(np.concatenate([[True], np.diff(target[order]) != 0, [True]]))
                 blobs, targets = [], []
                 for i, j in zip(edges[:-1], edges[1:]):
-                    r = ship[order2[i:j]]
-                    head = np.stack([seg[r].view(np.int64), np.where(asked[r], doc[r], -1), first[r] - off[doc[r]], last[r] - first[r] + 1])
-                    blobs.append(packer.compress(np.int64(len(r)).tobytes() + head.tobytes() + b"".join(buf[x : y + length].tobytes() for x, y in zip(first[r].tolist(), last[r].tolist()))))
-                    targets.append(int(target[order2[i]]))
+                    r = order[i:j]
+                    head = np.stack([np.where(asks[r], owner[r], -1), begin[r] - off[owner[r]], end[r] - begin[r] + 1])
+                    blobs.append(packer.compress(np.int64(len(r)).tobytes() + head.tobytes() + b"".join(buf[x : y + length].tobytes() for x, y in zip(begin[r].tolist(), end[r].tolist()))))
+                    targets.append(int(target[r[0]]))
                 out.append(_finished(kind=[SEGMENTS] * len(blobs), chunk=[chunk] * len(blobs), doc_id=[None] * len(blobs), body=blobs, target=targets))
         C.trim()
         return pa.concat_tables(out) if out else STATE.empty_table()
@@ -183,30 +233,30 @@ def _sort_shard(length: int, budget: int):
     """Sorts a shard's segments and returns, by chunk, the window starts (document, first, last) that have partners."""
 
     def run(table: pa.Table) -> pa.Table:
-        opener, parts, heads, chunks = zstandard.ZstdDecompressor(), [], [], []
-        seen: set[int] = set()
+        opener, known, again = zstandard.ZstdDecompressor(), {}, set()
+        askers: list[tuple] = []
         for chunk, body in zip(table.column("chunk").to_pylist(), table.column("body")):
             raw = opener.decompress(body.as_py())
             n = int(np.frombuffer(raw[:8], np.int64)[0])
-            head = np.frombuffer(raw[8 : 8 + 32 * n], np.int64).reshape(4, n)
-            at = 8 + 32 * n
-            for k in range(n):
-                size = int(head[3, k]) + length - 1
-                h = int(head[0, k])
-                if h not in seen:  # the same segment from several chunks is one
-                    seen.add(h)
-                    parts.append(raw[at : at + size])
-                    heads.append((int(head[1, k]), int(head[2, k]), int(head[3, k])))
-                    chunks.append(chunk)
-                at += size
-        text, begins = I.text_of(parts)
-        del parts
+            head = np.frombuffer(raw[8 : 8 + 24 * n], np.int64).reshape(3, n)
+            at = 8 + 24 * n
+            for doc, first, count in head.T.tolist():
+                part = raw[at : at + count + length - 1]
+                at += len(part)
+                before = len(known)
+                which = known.setdefault(part, before)  # compared as bytes: the same segment from several places is one
+                if len(known) == before:
+                    again.add(which)
+                askers.append((which, chunk, doc, first, count))
+        text, begins = I.text_of(list(known))
         flags = I.repeated(text, length, budget)
         by: dict[int, list] = {}
-        for chunk, (doc, first, count), b in zip(chunks, heads, begins.tolist()):
+        for which, chunk, doc, first, count in askers:
             if doc < 0:
                 continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], flags[b : b + count].astype(np.int8), [0]])))
+            b = int(begins[which])
+            mine = np.ones(count, np.int8) if which in again else flags[b : b + count].astype(np.int8)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], mine, [0]])))
             by.setdefault(chunk, []).extend((doc, first + x, first + y - 1) for x, y in edge.reshape(-1, 2).tolist())
         C.trim()
         return pa.table({"chunk": list(by), "flags": [np.array(v, np.int64).tobytes() for v in by.values()]}, schema=FLAGS)
@@ -232,22 +282,25 @@ def _finish(length: int):
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | None = None, sort_budget: int = 64 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (pairs of int64: begin and end of each removed run)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (boolean), spans (pairs of int64: begin and end of each removed run)."""
     spark = C.tune(docs.sparkSession)
     gram = gram or max(1, min(length, round(length * GRAM / LENGTH)))
-    n = C.parts(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = C.text_bytes(slim)
+    n = max(C.parts(spark), -(-size // RANGE_TEXT))
+    shards = max(C.parts(spark) * SHARDS_A_PART, -(-size // SHARD_TEXT))
     sent = slim.mapInArrow(_send(n, length, gram), "target int, chunk bigint, anchors binary, segs binary, counts binary")
-    answers = sent.groupBy("target").applyInArrow(_answer, "chunk bigint, target int, n bigint, codes binary")
+    answer = _answer(HOT)
+    answers = sent.groupBy("target").applyInArrow(lambda t: answer(t), "chunk bigint, target int, n bigint, codes binary")
     carried = slim.mapInArrow(_carry(), "chunk bigint, docs binary")
-    judge, sort, finish = _judge(length, gram, n * SHARDS_A_PART), _sort_shard(length, sort_budget), _finish(length)
+    judge, sort, finish = _judge(length, gram, shards), _sort_shard(length, sort_budget), _finish(length)
     state = C.stage(carried.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: judge(a, b), STATE_SQL))
     segments = state.filter(F.col("kind") == SEGMENTS).select("target", "chunk", "body")
     flags = segments.groupBy("target").applyInArrow(lambda t: sort(t), "chunk bigint, flags binary")
     waiting = state.filter(F.col("kind") == OPEN)
     finished = waiting.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, b), STATE_SQL)
     done = state.filter(F.col("kind") == DONE).unionByName(finished)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), "spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,11 +189,38 @@ def test_induced_sort(batch, monkeypatch):
                 assert [bool(flags[b + i]) for i in range(len(p) - cap + 1)] == [c[p[i : i + cap]] > 1 for i in range(len(p) - cap + 1)]
 
 
+def repeats(df, length):
+    rows = suffix_dedup.repeated_strings(df, length).collect()
+    assert all(r["repeated"] == (r["n_removed"] > 0) for r in rows)
+    return sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows)
+
+
 def test_repeated_strings(spark, small, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 50_000)
     docs = [(d, t.encode()) for d, t in texts(small)]
-    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeated_strings(small, 120).collect())
-    assert got == brute_repeats(docs, 120)
+    assert repeats(small, 120) == brute_repeats(docs, 120)
+
+
+def test_repeated_strings_of_full_length(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_repeats([(d, t.encode()) for d, t in texts(docs)], 400)
+    assert sum(x[2] > 0 for x in want) > 100 and repeats(docs, 400) == want
+
+
+@pytest.mark.parametrize("hot", [0, 3])
+def test_one_passage_between_many_texts(spark, monkeypatch, hot):
+    """A passage with differing neighbours is one anchor's; beyond HOT segments its windows are spread."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcd "), n))
+    passage, docs = word(70), []
+    for i in range(40):
+        left, right = word(60), word(60)
+        docs.append((i, left + passage + right))
+        if i % 3 == 0:
+            docs.append((100 + i, word(9) + left[-int(rng.integers(5, 60)) :] + passage + right[: int(rng.integers(5, 60))] + word(9)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert repeats(df, 100) == brute_repeats([(d, t.encode()) for d, t in docs], 100)
 
 
 # 5
