@@ -10,7 +10,8 @@ A document's tokens are its lower-cased (A-Z) words [^\\x20\\x09-\\x0D]+ and one
 Words are known by 64-bit hashes of their bytes.
 
 How counts reach the documents. Documents are read in chunks. Each chunk sends its distinct n-grams once, as sorted
-blocks of keys cut into value ranges (a word, however common, is one key of a chunk, so no range is hot). The owner of
+blocks of keys cut into value ranges, whose number follows the bytes of the input (a word, however common, is one key of
+a chunk, so no range is hot). The owner of
 a range adds up what all chunks sent and answers each chunk with the totals in the order of its keys. The chunk's text
 meets the answers in a second task. Nothing of the corpus is sent to the driver but the grid and two totals.
 
@@ -36,6 +37,8 @@ GRID, OCTAVES = 16, 40  # cells an octave, octaves below 1
 ROUNDS = 60
 BUCKETS = 34  # 0: unseen context; else 1 + floor(log2 c(v))
 CHUNK_BYTES = 4 << 20
+#: Bytes of the corpus that one value range of keys stands for at most.
+RANGE_TEXT = 64 << 20
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,7 +88,7 @@ def _send(n: int):
             counts = np.zeros(len(every), np.uint32)
             counts[np.searchsorted(every, mine[first])] = np.diff(np.append(first, len(mine)))
             cut = C.slices(every, n)
-            for r in range(n):
+            for r in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = int(cut[r]), int(cut[r + 1])
                 yield C.table_of(schema, target=[r], chunk=[chunk], keys=[every[a:b].tobytes()], counts=[C.pack(counts[a:b])])
 
@@ -260,8 +263,8 @@ def _score(lam: np.ndarray, total_words: int, types: int):
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, train (boolean). One row a document with base and model log10 probabilities."""
     spark = C.tune(docs.sparkSession)
-    n = C.parts(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("train").cast("boolean").alias("train"))
+    n = max(C.parts(spark), -(-C.text_bytes(slim) // RANGE_TEXT))
     sent = slim.mapInArrow(_send(n), "target int, chunk bigint, keys binary, counts binary")
     answers = C.stage(sent.groupBy("target").applyInArrow(_answer, ANSWER))
     total = answers.filter("chunk = -1").agg(F.sum("n").alias("n"), F.sum("types").alias("v")).first()
