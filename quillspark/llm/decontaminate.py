@@ -37,8 +37,14 @@ BLANK = r"[\x20\x09-\x0D]"
 
 
 def _fold(text: Column) -> Column:
-    """One case for all letters: ß is SS in capitals, and σ has two small forms."""
-    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """One case for all letters: ß is SS in capitals, and σ has two small forms. Most texts have neither."""
+    swapped = lambda t, a, b: F.when(F.contains(t, F.lit(a)), F.replace(t, F.lit(a), F.lit(b))).otherwise(t)
+    return _let(F.lower(text), lambda low: _let(swapped(low, "ß", "ss"), lambda t: swapped(t, "ς", "σ")))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _typed(text: Column) -> Column:
@@ -67,9 +73,18 @@ def tokens(text: Column) -> Column:
 
 
 def windows(hashes: Column, size: int) -> Column:
-    """Hashes of the windows of the given size, by position."""
+    """Hashes of the windows of the given size, by position: a window joins two halves, or a shorter one and a token."""
+    joined = lambda a, b, shift: F.zip_with(a, F.slice(b, F.lit(shift + 1), F.size(b)), lambda x, y: F.xxhash64(x, y))
+
+    def of(k: int, h: Column) -> Column:
+        if k == 1:
+            return h
+        if k % 2:
+            return _let(of(k - 1, h), lambda w: joined(w, h, k - 1))
+        return _let(of(k // 2, h), lambda w: joined(w, w, k // 2))
+
     last = F.size(hashes) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.slice(of(size, hashes), F.lit(1), F.greatest(last + 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _hashes(tok: Column) -> Column:
@@ -81,11 +96,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").distinct()
     t = items.select("item_id", tokens(canonical(F.col("text"))).alias("tok"), tokens(plain(F.col("text"))).alias("low")).filter(F.size("tok") > 0)
     size = F.least(F.lit(WINDOW), F.size("tok"))
-    t = t.withColumn("size", size).withColumn("h", _hashes(F.col("tok"))).withColumn("g", _hashes(F.col("low")))
+    of_size = lambda c: F.coalesce(*[F.when(F.col("size") == s, windows(F.col(c), s)) for s in range(1, WINDOW + 1)])
+    t = t.withColumn("size", size).withColumn("h", _hashes(F.col("tok"))).withColumn("g", _hashes(F.col("low"))).withColumn("wh", of_size("h")).withColumn("wg", of_size("g"))
     rows = t.select(
         "item_id",
         "size",
-        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(xxhash64(slice(h, i, size)), xxhash64(slice(g, i, size)))) as keys, size(filter(slice(tok, i, size), x -> not (contains(x, '#') or contains(x, '@') or contains(x, '%u')))) as literals))")).alias("bpos", "w"),
+        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(wh[i - 1], wg[i - 1])) as keys, size(filter(slice(tok, i, size), x -> not (contains(x, '#') or contains(x, '@') or contains(x, '%u')))) as literals))")).alias("bpos", "w"),
     ).select("item_id", "size", "bpos", F.col("w.keys").alias("keys"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
     some = rows.groupBy("item_id").agg(F.max("counts").alias("any"), F.sum(F.col("counts").cast("int")).alias("n_good"), F.count("*").alias("n_all"))
     rows = rows.join(some, "item_id").filter("counts or not any")
