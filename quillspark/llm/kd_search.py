@@ -7,7 +7,7 @@ found. Each query first searches one home shard; its kth score there travels wit
 below it stay closed. Queries travel in blocks of at most QUERY_BLOCK, so no task holds more than a shard and a block.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id. Vectors
-of different lengths never match. Rows that repeat an id count as the query's own. Fewer than k candidates: all of them.
+of different lengths never match. Rows that repeat an id count as the query's own; of a query's the least vector is asked. Fewer than k candidates: all of them.
 Ties go to the smaller id. Scores that exceed a 64-bit integer raise.
 """
 
@@ -174,5 +174,5 @@ def quantised(rows: DataFrame, scale: float = 256.0) -> DataFrame:
 
 def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    queries = vectors.filter(F.col("vec_id") % 50 == 0).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id")
+    queries = vectors.filter(F.col("vec_id") % 50 == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     return top_k(vectors, queries)

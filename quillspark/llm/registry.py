@@ -24,6 +24,33 @@ select query_id, rank, vec_id, score from r where rank <= 5
 """
 
 
+OP4_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+     n as (select doc_id, b, octet_length(b) as n from d),
+     w as (select doc_id, s, md5(b[s + 1 : s + 400]) as h from (select doc_id, b, unnest(range(n - 399)) as s from n where n >= 400)),
+     c as (select h from w group by h having count(*) > 1),
+     r as (select doc_id, s from w where h in (select h from c)),
+     g as (select doc_id, s, case when s - lag(s) over (partition by doc_id order by s) <= 400 then 0 else 1 end as new from r),
+     k as (select doc_id, s, sum(new) over (partition by doc_id order by s) as span from g),
+     p as (select doc_id, span, min(s) as x, max(s) + 400 as y from k group by doc_id, span),
+     q as (select doc_id, count(*) as n_spans, sum(y - x)::bigint as n_removed, list(x order by x) as xs, list(y order by x) as ys from p group by doc_id)
+select n.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, coalesce(n_removed, 0) > 0 as repeated,
+       case when n_spans is null then sha256(b) else sha256(unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda i: hex(b[case when i = 0 then 1 else ys[i] + 1 end : case when i = n_spans then n else xs[i + 1] end])), ''))) end as kept_sha256
+from n left join q on n.doc_id = q.doc_id
+"""
+
+OP7_SQL = r"""
+with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+     s as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+     e as (select doc_id, len(s) as n, unnest(s) as g from s),
+     p as (select a.doc_id as u, b.doc_id as v, a.n as n, b.n as m, count(*) as k from e as a join e as b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.doc_id, b.doc_id, a.n, b.n),
+     l as (select u, v from p where 100 * k >= 80 * (n + m - k)),
+     r as (select doc_id as a, doc_id as b from documents union select r.a, l.v from r join l on r.b = l.u),
+     c as (select a, min(b) as component_id from r group by a)
+select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id as kept from s join c on doc_id = a
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -40,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_kd_search": OP3_SQL}
+    return {"op3_kd_search": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_near_dup": OP7_SQL}
