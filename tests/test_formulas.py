@@ -118,3 +118,60 @@ def test_best_attempt(spark):
 def test_strip_thinking(spark):
     df = spark.createDataFrame([('<think>a</think>b</think> "Hi." ',)], "t string")
     assert df.select(tokens.strip_thinking(F.col("t"))).first()[0] == "Hi."
+
+
+def test_spectral_queries_match_numpy(spark):
+    """Fréchet distance against its recorded value; singular values and principal axes (up to sign) against NumPy."""
+    from quillspark.plans import measures
+
+    data = "/root/testdata/sf0.01"
+    rows = sorted((r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect())
+    x = np.array([v for _, v in rows], float)
+    assert measures.frechet_distance(spark, data).first()["distance"] == pytest.approx(0.136380198, abs=1e-6)
+    got = [r["value"] for r in measures.svd_latents(spark, data).orderBy("component").collect()]
+    assert got == pytest.approx(np.linalg.svd(x, compute_uv=False)[: len(got)], abs=1e-5)
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    mine = {r["vec_id"]: (r["pc1"], r["pc2"]) for r in measures.pca_projection(spark, data).collect()}
+    mine = np.array([mine[i] for i, _ in rows])
+    assert np.abs(mine) == pytest.approx(np.abs(centred @ axes.T), abs=1e-5)
+
+
+def test_probability_flow_and_layouts(spark):
+    a, b = F.array(F.lit(0.0)), F.array(F.lit(3.0))
+    p = bridge.Uniform(0.5)
+    # the base process's own score leaves nothing but the first, stochastic step
+    own = lambda v, t, i: bridge.reverse_score(p, v, F.lit(0.0), F.greatest(t, F.lit(1e-9)))
+    out = value(spark, simulate.probability_flow(a, p, own, 4, a, lambda k, i: F.lit(1.0)))
+    assert out == pytest.approx([0.25])
+    with pytest.raises(ValueError):
+        simulate.probability_flow(a, bridge.Uniform(drift=1.0), own, 4, a, lambda k, i: F.lit(0.0))
+    assert value(spark, bridge.interpolant(a, b, 0.25)) == [0.75]
+    assert value(spark, bridge.guided(F.lit(2.0), F.lit(1.0), 0.5)) == 2.5
+    assert value(spark, vec.patch_positions(2, 3)) == [[0, 1, 2], [3, 4, 5]]
+    with pytest.raises(ValueError):
+        vec.patch_positions(2, 3, "local_2x2")
+    ids = F.array(*map(F.lit, (5, 7, 0, 7)))
+    assert [value(spark, vec.pad_id_stop(ids, pad)) for pad in (7, 9)] == [1, 4]
+
+
+def test_order_cuts(spark, monkeypatch):
+    from quillspark.functions import det
+    from quillspark.operators import indexing
+
+    monkeypatch.setattr(indexing, "SLICE_ROWS", 1)  # look into every slice
+    df = spark.range(500).select(F.col("id").alias("k"))
+    h = det.digest(1, "x", F.col("k"))
+    order = [r["k"] for r in df.orderBy(h, "k").collect()]
+    cuts = indexing.order_cuts(df, h, "k", lambda n: [0, 1, 37, n])
+    rows = df.select("k", *[c.alias(f"c{i}") for i, c in enumerate(cuts)]).collect()
+    assert [{r["k"] for r in rows if r[f"c{i}"]} for i in range(4)] == [set(order[:k]) for k in (0, 1, 37, 500)]
+
+
+def test_ema(spark):
+    df = spark.createDataFrame([(i, float(i * i % 7)) for i in range(9)], "s long, v double")
+    want = 0.0
+    for i in range(9):
+        want = float(i * i % 7) if i == 0 else 0.9 * want + 0.1 * (i * i % 7)
+    got = metrics.ema(df, "s", "v", 0.9).first()
+    assert got["ema"] == pytest.approx(want) and got["n"] == 9

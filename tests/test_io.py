@@ -134,3 +134,54 @@ def test_captions(spark):
     assert sorted(map(tuple, readers.captions(rows, meta, "row").collect())) == [(1, "a"), (2, "")]
     with pytest.raises(Exception, match="disagree"):
         readers.captions(rows, meta.union(spark.createDataFrame([(1, "b")], meta.schema)), "row").collect()
+
+
+def test_raw_files(tmp_path):
+    (tmp_path / "vitro").mkdir()
+    (tmp_path / "vitro" / "counts.mtx.gz").write_bytes(b"")
+    url = "https://example.org/a/counts.mtx.gz/"
+    assert readers.raw_path(str(tmp_path), "vitro", url).endswith("vitro/counts.mtx.gz")
+    with pytest.raises(FileNotFoundError, match="download"):
+        readers.raw_path(str(tmp_path), "vivo", url)
+
+
+def test_cached_results(spark):
+    listing = lambda *names: spark.createDataFrame([(f"/o/{n}",) for n in names], "path string")
+    files = listing("eval_tensors_0000010.pt", "eval_tensors_0000200.pt", "metrics_0000200.json", "metrics_0000010.json", "eval_tensors_0000300.pt")
+    assert readers.cached_result(files, 10) == 10 and readers.cached_result(files.limit(4)) == 200
+    with pytest.raises(FileNotFoundError, match="metrics"):
+        readers.cached_result(files)
+    with pytest.raises(FileNotFoundError):
+        readers.cached_result(listing("x.pt"))
+
+
+def test_token_embeddings_may_come_from_a_table(spark):
+    names = ["latents", "filled", "token_ids", "token_mask", "token_lengths", "token_filled", "gtext"]
+    files = spark.createDataFrame([(f"/d/{n}_00007.bin",) for n in names] + [("/d/latents_00008.bin",)], "path string")
+    for mode in (True, False):
+        (row,) = readers.discover_shards(files, table_mode=mode).collect()
+        assert row["shard_id"] == 7 and row["has_tokens"] == mode and row["gtext"] is None
+
+
+def test_sharded_tables_and_documents(spark, tmp_path):
+    df = spark.range(25).select(F.col("id").alias("row"))
+    writers.sharded(df, "row", 10, str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted((r["shard_id"], r["count"]) for r in back.groupBy("shard_id").count().collect()) == [(0, 10), (1, 10), (2, 5)]
+    assert sorted((r["row"], r["shard_id"] * 10 + r["local_row"]) for r in back.collect()) == [(i, i) for i in range(25)]
+    writers.gz_table(df.coalesce(1), str(tmp_path / "t"))
+    (part,) = (tmp_path / "t").glob("*.csv.gz")
+    assert gzip.open(part, "rt").read().split() == ["row", *map(str, range(25))]
+    writers.document({"b": 2.0, "a": 1.0}, spark, str(tmp_path / "m"))
+    assert json.loads(spark.read.text(str(tmp_path / "m")).first()[0]) == {"a": 1.0, "b": 2.0}
+
+
+def test_streaming_watchdog(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00", float(m)) for m in range(30)], "t string, v double").select(F.to_timestamp("t").alias("t"), "v")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = ingest.slow_windows(stream, "t", "v", 10.0).writeStream.format("memory").queryName("slow").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["v"], r["slow"]) for r in spark.table("slow").collect()) == [(4.5, True), (14.5, False), (24.5, False)]
