@@ -125,7 +125,7 @@ def select(words: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray, n: int
 
 
 def train(words, in_toxic, in_clean, toxic, weight, rows, columns, owner, silent) -> NoisyOr:
-    """Gradient descent (Adam) on the weighted noisy-or likelihood.
+    """Gradient descent (Adam) on the weighted noisy-or likelihood, with a weak pull towards each word's log ratio of shares.
 
     words (ascending) with their document counts by class; toxic and weight of each document; rows and columns: sentence
     and word of each place where a word stands; owner: document of each such sentence; silent: each document's other
@@ -142,10 +142,10 @@ def train(words, in_toxic, in_clean, toxic, weight, rows, columns, owner, silent
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         p0 = 1 / (1 + np.exp(-np.clip(theta[-1], -40, 40)))
         calm = np.bincount(owner, weights=-np.logaddexp(0.0, z), minlength=len(toxic)) - silent * np.logaddexp(0.0, theta[-1])
-        pull = np.where(toxic == 1, -1 / np.maximum(np.expm1(-calm), 1e-9), 1.0) * weight
+        pull = np.where(toxic == 1, -1 / np.maximum(np.expm1(np.minimum(-calm, 500.0)), 1e-9), 1.0) * weight
         g_z = p * pull[owner]
         g = np.append(np.bincount(columns, weights=g_z[rows], minlength=len(words)), g_z.sum() + p0 * (silent * pull).sum()) / weight.sum()
-        g[:-1] += DECAY * theta[:-1]
+        g[:-1] += DECAY * (theta[:-1] - w)  # words that nothing speaks against keep their evidence
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         theta -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     solid = np.abs(theta[:-1]) > 1e-3

@@ -379,6 +379,45 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(p and t for p, t in said) / max(1, sum(t for _, t in said)) > 0.75  # the labels hold noise
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.99), ("sf0.01", 0.9), ("sf0.1", 0.95)])
+def test_toxicity_ranks_documents_at_every_size(spark, sf, least):
+    data = f"/root/testdata/{sf}"
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in toxicity.op8_toxicity(spark, data).collect()}
+    held = [(got[r["doc_id"]][1], r["toxic"]) for r in spark.read.parquet(f"{data}/labels.parquet").collect() if got[r["doc_id"]][0]]
+    bad, fine = (np.array([s for s, t in held if t == k]) for k in (1, 0))
+    assert np.mean([(s > fine).mean() + (s == fine).mean() / 2 for s in bad]) >= least
+    assert len({s for _, s in got.values()}) > 20 and (fine >= 0.5).mean() < 0.02
+
+
+def test_noisy_or_by_hand():
+    """Scores against sums over Python sets of words and stems."""
+    rng = np.random.default_rng(8)
+    words = ["alpha", "betagamma", "delta", "epsilonzeta", "é", "x1"]
+    mark = lambda w: toxicity.instances(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].tolist()
+    table = {h: float(rng.normal()) for w in words[:4] for h in mark(w)}
+    keys = np.array(sorted(table), np.uint64)
+    model = toxicity.NoisyOr(keys, np.array([table[int(k)] for k in keys]), -1.5)
+    cases = ["", "...", *("".join(rng.choice([*words, "Alpha", ".", "!", "? ", "\n", " ", " "], 12).tolist()) for _ in range(200))]
+    raw = [c.encode() for c in cases]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    got = model.score(np.frombuffer(b"".join(raw), np.uint8), off)[0]
+    for c, s in zip(cases, got):
+        calm = 1.0
+        for sentence in re.split(r"[.!?\n\r]+", c):
+            found = re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", sentence)
+            if found:
+                z = -1.5 + sum(table.get(h, 0.0) for h in {h for w in found for h in mark(w.lower())})
+                calm *= 1 - 1 / (1 + math.exp(-z))
+        assert s == pytest.approx(1 - calm, abs=1e-12), c
+
+
+def test_no_toxic_labels(spark):
+    docs = spark.createDataFrame([(1, "a word"), (2, None), (3, "")], "doc_id long, text string")
+    for labels in ([(1, 0)], [(1, None)], [(1, 1)]):
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
+
+
 def test_sentences_are_located(spark):
     rows = [(i, f"A calm line number {i}. You are a {'nasty' if i % 2 else 'kind'} person! Then it ends.") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
