@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import records
 from quillspark.plans.base import query, table
 from quillspark.session import shared_dir
-from quillspark.sources import readers
+from quillspark.sources import readers, writers
 from quillspark.streaming import ingest
 
 
@@ -50,3 +50,108 @@ def crop_geometry(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", (F.lit(300) + F.col("p_size")).alias("w"), (F.lit(200) + F.col("p_partkey") % 300).alias("h"))
     g = records.crop_geometry(F.col("w"), F.col("h"), 256)
     return p.select("p_partkey", g["new_w"].alias("new_w"), g["new_h"].alias("new_h"))
+
+
+def _put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder from the driver."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system.create_dir(inner.rsplit("/", 1)[0])
+    with system.open_output_stream(inner, compression=None) as out:
+        out.write(data)
+
+
+@query("select row_number() over (order by n_name) - 1 as idx, n_name as line from nation")
+def line_list_scan(spark, sf_dir):
+    """Lines with blanks around them and empty lines between."""
+    names = [r["n_name"] for r in table(spark, sf_dir, "nation").orderBy("n_name").collect()]  # 25 rows
+    path = f"{scratch(spark)}/names.txt"
+    _put(path, "\n\n".join(f"  {n} " for n in names).encode())
+    return readers.line_list(spark, path)
+
+
+@query("select n_nationkey::int as key, n_name as name, n_regionkey::int as region from nation")
+def metadata_scan(spark, sf_dir):
+    """A table whose delimiter is not the usual one, and columns found under another case."""
+    rows = table(spark, sf_dir, "nation").collect()  # 25 rows
+    path = f"{scratch(spark)}/cells.txt"
+    _put(path, "\n".join(["Key ;Nation Name; region", *(f"{r['n_nationkey']};{r['n_name']};{r['n_regionkey']}" for r in rows)]).encode())
+    found = readers.metadata(spark, path)
+    pick = lambda *names: F.col(f"`{readers.resolve(found.columns, list(names))}`")
+    return found.select(pick("key").cast("int").alias("key"), pick("label", "NATION NAME").alias("name"), pick("Region").cast("int").alias("region"))
+
+
+@query("select n_name as key, 'short' as caption_type, 'of ' || n_regionkey as caption, length(n_name)::int as bytes from nation where n_nationkey % 2 = 0")
+def archive_pairs(spark, sf_dir):
+    """Archives of json and image members: pairs come out, broken json gives nulls, single members and other splits nothing."""
+    import io
+    import json
+    import tarfile
+
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    base = scratch(spark)
+    for split in ("train", "other"):
+        data = io.BytesIO()
+        with tarfile.open(fileobj=data, mode="w") as archive:
+            for r in rows:
+                name, members = r["n_name"], {}
+                members[f"{name}.json"] = json.dumps({"key": name, "caption_type": "short", "caption": f" of {r['n_regionkey']} "}).encode() if r["n_nationkey"] % 4 != 3 else b"{broken"
+                if r["n_nationkey"] % 2 == 0 or r["n_nationkey"] % 4 == 3:
+                    members[f"{name}.JPG"] = name.encode()
+                for member, body in members.items():
+                    info = tarfile.TarInfo(member)
+                    info.size = len(body)
+                    archive.addfile(info, io.BytesIO(body))
+        _put(f"{base}/{split}_0.tar", data.getvalue())
+    found = readers.archives(spark, base, ["train"]).filter("key is not null")
+    return found.select("key", "caption_type", "caption", F.octet_length("image").alias("bytes"))
+
+
+@query("select f / 4.0::double as fraction, m as metric, f + length(m)::double as value from range(5) as a(f), (values ('cosine'), ('fid')) as b(m)")
+def result_files(spark, sf_dir):
+    import json
+
+    path = f"{scratch(spark)}/results.json"
+    _put(path, json.dumps({"by_fraction": {str(f / 4): {m: f + len(m) for m in ("cosine", "fid")} for f in range(5)}}, indent=1).encode())
+    return readers.results(spark, path)
+
+
+@query("""with p as (select vec_id, (vec_id + 1) % (select count(*) from embeddings) as late, vec_id % 3 as split from embeddings)
+  select p.vec_id as early_idx, round(a.embedding[1]::double, 6) + 0.0 as x0, round(b.embedding[1]::double, 6) + 0.0 as x1 from p join embeddings a on a.vec_id = p.vec_id join embeddings b on b.vec_id = p.late where split = 1""")
+def pair_dataset_scan(spark, sf_dir):
+    """The prepared dataset written and its test split read back with both latents."""
+    e = table(spark, sf_dir, "embeddings")
+    latents = e.select(F.col("vec_id").alias("compact_cell_id"), F.col("embedding").cast("array<double>").alias("latent"))
+    n = e.count()
+    pairs = e.select(F.col("vec_id").alias("early_idx"), F.pmod(F.col("vec_id") + 1, F.lit(n)).alias("late_idx"), (F.col("vec_id") % 3).alias("split"))
+    path = scratch(spark)
+    writers.prepared(latents.select("compact_cell_id"), latents, pairs, path)
+    got = writers.pair_dataset(spark, path, "test")
+    first = lambda c: F.round(F.get(c, F.lit(0)), 6) + F.lit(0.0)
+    return got.select("early_idx", first("x_0").alias("x0"), first("x_1").alias("x1"))
+
+
+@query("select doc_id // 64 as shard_id, count(*) as n, sum(doc_id % 64)::bigint as local from documents group by 1")
+def sharded_write(spark, sf_dir):
+    """A sharded table written and read back by its partitions."""
+    path = scratch(spark)
+    writers.sharded(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 64, path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("shard_id").cast("bigint").alias("shard_id")).agg(F.count("*").alias("n"), F.sum("local_row").alias("local"))
+
+
+@query("select * from (values (4, 4, 4, 2, 4, 16, true), (4, 4, 4, 3, 4, 16, false), (4, 4, 4, 2, 4, 8, false), (16, 32, 32, 2, 64, 256, true)) as t(channels, height, width, patch, tokens, dim, fits)")
+def bridge_geometries(spark, sf_dir):
+    """Which token layouts fold into a tensor."""
+    from quillspark.config import BridgeGeometry
+
+    def fits(*sizes: int) -> bool:
+        try:
+            BridgeGeometry(*sizes)
+        except ValueError:
+            return False
+        return True
+
+    cases = [(4, 4, 4, 2, 4, 16), (4, 4, 4, 3, 4, 16), (4, 4, 4, 2, 4, 8), (16, 32, 32, 2, 64, 256)]
+    return spark.createDataFrame([(*c, fits(*c)) for c in cases], "channels int, height int, width int, patch int, tokens int, dim int, fits boolean")
