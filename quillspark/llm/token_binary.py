@@ -12,7 +12,8 @@ File format. A dataset is a folder of Parquet containers, one row a block, in as
 
 The frequency table (one for the dataset, 2^PRECISION in total) is written beside it as (id, freq). It is counted over
 all ids of all documents. Every block decodes alone, so readers work in parallel and a damaged block is named.
-Null or empty text: only the end id. Repeated doc_ids keep all their rows, ordered by (doc_id, text); null doc_ids first.
+Null or empty text: only the end id. Repeated doc_ids keep all their rows, ordered by a hash of the text, then the text;
+null doc_ids come first. Ranges are cut by doc_id and that hash, so neither nulls nor a repeated id fall into one task.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ import functools
 import itertools
 import json
 import os
-import struct
-import uuid
 import zlib
 
 import numpy as np
@@ -359,8 +358,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
     vocab = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
     n = C.parts(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    staged = C.stage(ordered.mapInArrow(_tokenise(tokenizer_path, end_id, vocab), STAGED))
+    ordered = slim.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+    staged = C.stage(ordered.drop("mark").mapInArrow(_tokenise(tokenizer_path, end_id, vocab), STAGED))
     hist = staged.filter("kind = 1").select("ids").coalesce(8).mapInArrow(_sum_counts(vocab), "ids binary").collect()
     counts = sum((C.unpack(r["ids"], np.int64) for r in hist), np.zeros(vocab, np.int64))
     freq = frequencies(counts)
@@ -389,6 +388,6 @@ def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = f"{C.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    out = C.scratch(spark, "tokens")
     write_tokens(docs, out, public_tokenizers.path("byte_bpe_50k.json"))
     return read_tokens(spark, out)
