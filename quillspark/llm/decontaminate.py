@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Canonical form: runs of digits (with separators) become `#`, a unit of measure or currency beside a number becomes `%u`,
-capitalised words become `@`, the rest is folded to one case. White space stays as it is, so token i of the canonical
+Canonical form: runs of digits (with separators), units of measure or currency beside a number, and capitalised words
+become placeholders of three types (private code points), the rest is folded to one case. White space stays as it is, so token i of the canonical
 text is token i of the text. A second, plain form leaves capitalised words as folded literals, so that copies in another
 case match. Templates are compared in windows of WINDOW tokens (a shorter item is one window):
 
@@ -32,6 +32,8 @@ BROADCAST_BYTES = 32 << 20
 
 #: Units that may stand beside a number.
 UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|in|yd|ml|cl|l|litres?|liters?|hours?|hrs?|h|minutes?|mins?|min|seconds?|secs?|s|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|pounds?|cents?|percent|mph|kmh|kph|°c|°f|%"
+#: Placeholders of numbers, names and units.
+NUM, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -49,13 +51,13 @@ def _let(value: Column, body) -> Column:
 
 def _typed(text: Column) -> Column:
     """Placeholders in place of numbers and units."""
-    t = F.regexp_replace(text, NUMBER, "#")
-    t = F.regexp_replace(t, r"(?i)(#" + BLANK + r"*)(?:" + UNITS + r")(?![\p{L}\p{N}])", "$1%u")
-    return F.regexp_replace(t, r"[$€£](?=#)", "%u")
+    t = F.regexp_replace(text, NUMBER, NUM)
+    t = F.regexp_replace(t, rf"(?i)({NUM}{BLANK}*)(?:{UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}")
+    return F.regexp_replace(t, rf"[$€£](?={NUM})", UNIT)
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<![\p{L}\p{N}%])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", "@")
+    return F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
 
 
 def canonical(text: Column) -> Column:
@@ -101,7 +103,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     rows = t.select(
         "item_id",
         "size",
-        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(wh[i - 1], wg[i - 1])) as keys, size(filter(slice(tok, i, size), x -> not (contains(x, '#') or contains(x, '@') or contains(x, '%u')))) as literals))")).alias("bpos", "w"),
+        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(wh[i - 1], wg[i - 1])) as keys, size(filter(slice(tok, i, size), x -> x = translate(x, '%s', ''))) as literals))" % (NUM + NAME + UNIT))).alias("bpos", "w"),
     ).select("item_id", "size", "bpos", F.col("w.keys").alias("keys"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
     some = rows.groupBy("item_id").agg(F.max("counts").alias("any"), F.sum(F.col("counts").cast("int")).alias("n_good"), F.count("*").alias("n_all"))
     rows = rows.join(some, "item_id").filter("counts or not any")
@@ -171,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pieces = asked.join(raw_docs, "doc_id").withColumn("all", F.expr(f"transform(filter(all, c -> {inside}), c -> struct(c as c, transform(c.lines, l -> struct(l.at as at, l.low as low, slice(dtok, l.shift + l.low + 1, l.span) as seg)) as parts))"))
     aligned = pieces.select("doc_id", F.explode("all").alias("x")).select("doc_id", "x.c.item_id", "x.c.n_windows", "x.c.size", "x.c.n_matched", "x.parts")
     raw_items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text").cast("string")).alias("btok")).distinct()
-    if n * 48 <= BROADCAST_BYTES:
-        raw_items = F.broadcast(raw_items)  # an item is no longer than its windows
+    if int(benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 64)).first()[0] or 0) <= BROADCAST_BYTES // 4:
+        raw_items = F.broadcast(raw_items)  # by the bytes of its texts; tokens and array slots take a few times as much
     strip = "regexp_replace(x, '^[^\\\\p{L}\\\\p{N}]+|[^\\\\p{L}\\\\p{N}]+$', '')"
     aligned = aligned.join(raw_items, "item_id").withColumn("pairs", F.expr("array_distinct(flatten(transform(parts, l -> transform(array_distinct(flatten(transform(l.at, b -> sequence(b, b + size - 1)))), i -> struct(btok[i] as b, l.seg[i - l.low] as d)))))"))
     aligned = aligned.withColumn("slots", F.expr(f"array_distinct(transform(pairs, p -> struct(transform(array(p.b), x -> {strip})[0] as b, transform(array(p.d), x -> {strip})[0] as d)))"))

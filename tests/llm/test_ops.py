@@ -125,6 +125,30 @@ def test_slots_drawn_alike(spark):
     assert {(r["doc_id"], r["exact"]) for r in got} == {(1, False), (2, False)}
 
 
+def test_recall_of_reparameterised_items(spark):
+    """All numbers, names and units are drawn anew, each value for the same one everywhere; the README states this recall."""
+    rng = np.random.default_rng(11)
+    names, units = ["Ann", "Tom", "Eve", "Karl", "Mia", "Ivan", "José", "Zoë"], ["kg", "miles", "hours", "dollars", "km", "minutes"]
+    fill = [f"{a}{b}" for a in ("ba", "do", "ki", "lu", "me", "ra", "so", "ti") for b in ("ner", "lom", "sik", "pat", "vel")]
+
+    def draw():
+        return {"n": rng.choice(names, 3, replace=False), "u": rng.choice(units, 2, replace=False), "x": rng.choice(np.arange(2, 999), 4, replace=False)}
+
+    items, docs = [], []
+    for i in range(150):
+        parts = []
+        for _ in range(int(rng.integers(4, 9))):
+            words = " ".join(rng.choice(fill, rng.integers(3, 6)))
+            a, b, c, d = (int(k) for k in rng.integers(0, [3, 4, 2, 4]))
+            parts.append(lambda v, words=words, a=a, b=b, c=c, d=d: f"{v['n'][a]} {words} {v['x'][b]} {v['u'][c]} and {v['x'][d]} more")
+        say = lambda v, parts=parts: ", then ".join(p(v) for p in parts) + "."
+        items.append((i, say(draw())))
+        docs.append((i, " ".join(rng.choice(fill, 30)) + " " + say(draw()) + " " + " ".join(rng.choice(fill, 30))))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert sum((i, i) in pairs for i in range(150)) >= 0.95 * 150 and all(d == i for d, i in pairs)
+
+
 def test_native_plan(spark, small, capsys):
     for df in (decontaminate.contaminated(small, spark.read.parquet(f"{DATA}/benchmark.parquet")), surrogates.replace(small)):
         df.explain()
