@@ -238,10 +238,11 @@ def bigram_perplexity(docs: DataFrame) -> DataFrame:
     w = docs.select(tokens.words(F.col("text")).alias("w")).filter(F.size("w") >= 2)
     grams = w.select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] as a, w[i + 1] as b))")).alias("g"))
     pair = grams.groupBy("g.a", "g.b").agg(F.count("*").alias("n"))
-    context = pair.groupBy("a").agg(F.sum("n").alias("c"))
+    # the sum of n log((n + 1) / (c + size)) splits into one over pairs and one over contexts: no join
+    context = pair.groupBy("a").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.log(F.col("n") + 1.0)).alias("s"))
     size = w.select(F.explode("w").alias("x")).distinct().count()
-    nll = -F.log((F.col("n") + 1.0) / (F.col("c") + F.lit(float(size))))
-    return pair.join(context, "a").agg(F.sum("n").alias("n_tokens"), F.exp(F.sum(F.col("n") * nll) / F.sum("n")).alias("perplexity"))
+    nll = F.sum(F.col("c") * F.log(F.col("c") + F.lit(float(size)))) - F.sum("s")
+    return context.agg(F.sum("c").alias("n_tokens"), F.exp(nll / F.sum("c")).alias("perplexity"))
 
 
 def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
