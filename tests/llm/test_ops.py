@@ -64,6 +64,23 @@ def test_code_lengths_are_exact():
         assert got == pytest.approx(want, abs=1e-9)
 
 
+def test_letters_ties_and_plain_predictions(spark):
+    """Texts without a letter are undetermined, ties go to the first language, the rest follow the code lengths."""
+    train = [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, "der hund und die katze", "at"), (4, "le chat est sur la table", "fr")]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    texts = ["² ½ ①", "Ⅷ 12", "", None, "the mat", "der hund", "la table", "é", "中文"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()}
+    assert [got[i] for i in range(4)] == [("und", 0.0)] * 4
+    assert [got[i][0] for i in (4, 5, 6)] == ["en", "at", "fr"] and got[7][0] != "und" and got[8][0] != "und"
+    raw = [t.encode() for t in texts[4:]]
+    bits = model.lengths(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]))
+    for i, row in enumerate(bits):
+        best = min(range(len(row)), key=lambda k: (row[k], k))
+        assert got[4 + i][0] == model.langs[best]
+        assert got[4 + i][1] == pytest.approx(1 / sum(2 ** (-min(1000.0, language_id.SHARPNESS * (x - row[best]))) for x in row))
+
+
 # 2
 
 
@@ -181,6 +198,13 @@ def test_odd_vectors(spark):
     assert kd_search.top_k(df.limit(0), queries.limit(0)).count() == 0
 
 
+def test_a_repeated_query_id_asks_its_least_vector(spark, tmp_path):
+    rows = [(0, [0.5, 1.0]), (0, [0.25, 2.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in kd_search.op3_kd_search(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 2, 512 * 256), (0, 2, 1, 64 * 256)]
+
+
 # 4
 
 
