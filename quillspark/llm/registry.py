@@ -34,7 +34,7 @@ with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
      k as (select doc_id, s, sum(new) over (partition by doc_id order by s) as span from g),
      p as (select doc_id, span, min(s) as x, max(s) + 400 as y from k group by doc_id, span),
      q as (select doc_id, count(*) as n_spans, sum(y - x)::bigint as n_removed, list(x order by x) as xs, list(y order by x) as ys from p group by doc_id)
-select n.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, coalesce(n_removed, 0) > 0 as repeated,
+select n.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, coalesce(n_removed, 0) > 0 as repeated, coalesce(n_removed, 0) = 0 as kept,
        case when n_spans is null then sha256(b) else sha256(unhex(array_to_string(list_transform(range(0, n_spans + 1), lambda i: hex(b[case when i = 0 then 1 else ys[i] + 1 end : case when i = n_spans then n else xs[i + 1] end])), ''))) end as kept_sha256
 from n left join q on n.doc_id = q.doc_id
 """

@@ -282,7 +282,11 @@ def _finish(length: int):
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | None = None, sort_budget: int = 64 << 20) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (boolean), spans (pairs of int64: begin and end of each removed run)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated, kept, spans.
+
+    repeated: the document holds a repeated string; kept: its text stays whole (the opposite); spans: pairs of int64, begin
+    and end of each removed run.
+    """
     spark = C.tune(docs.sparkSession)
     gram = gram or max(1, min(length, round(length * GRAM / LENGTH)))
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -300,7 +304,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | None = N
     waiting = state.filter(F.col("kind") == OPEN)
     finished = waiting.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(lambda a, b: finish(a, b), STATE_SQL)
     done = state.filter(F.col("kind") == DONE).unionByName(finished)
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), "spans")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeated"), (F.col("n_removed") == 0).alias("kept"), "spans")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
