@@ -146,7 +146,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     # the typed text is made once for both forms
     forms = F.transform(F.array(_typed(F.col("text"))), lambda t: F.array(_hashes(tokens(_fold(_named(t)))), _hashes(tokens(_fold(t)))))
-    hashed = slim.select("doc_id", forms[0].alias("forms")).select("doc_id", F.col("forms")[0].alias("h"), F.col("forms")[1].alias("g"))
+    # exploding the one row of forms makes them columns of a plan node: a filter on their size is not computed from the text
+    hashed = slim.select("doc_id", F.explode(forms).alias("forms")).select("doc_id", F.col("forms")[0].alias("h"), F.col("forms")[1].alias("g"))
     per_size = []
     for s in sizes:
         keys = F.transform(F.array(windows(F.col("h"), s)), lambda w: F.concat(w, F.zip_with(windows(F.col("g"), s), w, lambda a, b: F.when(a != b, a))))[0]  # noqa: B023  called at once
