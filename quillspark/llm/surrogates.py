@@ -53,8 +53,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{TITLE})\.? {PLACED}(?: {PLACED}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without these can't hold an entity (titles start names).
-HINT = rf"[0-9@]|(?:{TITLE})\.? (?:\p{{Lu}}|(?:{PARTICLES}) )|[a-fA-F]{{32}}|sk-|gh[pousr]_"
+#: A text without these can't hold an entity (titles start names). One look at the first letter spares trying all titles.
+HINT = rf"[0-9@]|(?=[{''.join(sorted({t[0] for t in TITLE.split('|')}))}])(?:{TITLE})\.? (?:\p{{Lu}}|(?:{PARTICLES}) )|[a-fA-F]{{32}}|sk-|gh[pousr]_"
 
 
 def _raw(pattern: str) -> str:
@@ -205,7 +205,7 @@ def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) ->
     plain = docs.filter(~hinted)
     for c in counted:
         plain = plain.withColumn(c, F.lit(0).cast("bigint"))
-    risky = docs.filter(hinted).withColumn(text_id, F.sha2("text", 256))
+    risky = C.stage(docs.filter(hinted).withColumn(text_id, F.sha2("text", 256)))
     mentions = lambda rows, pattern: rows.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all("text", F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1)))).alias("value")).distinct()
     typed = lambda values: values.withColumn("kind", F.expr(_kind("value"))).withColumn("canon", F.expr(_canon("kind", "value"))).filter(f"kind <> 'card' or {_luhn('canon')}")
     first = C.stage(typed(mentions(risky, F.lit(ANY))))
