@@ -210,7 +210,7 @@ def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) ->
     typed = lambda values: values.withColumn("kind", F.expr(_kind("value"))).withColumn("canon", F.expr(_canon("kind", "value"))).filter(f"kind <> 'card' or {_luhn('canon')}")
     first = C.stage(typed(mentions(risky, F.lit(ANY))))
     patterns = C.stage(_name_patterns(first.filter("kind = 'name'"), text_id).withColumnRenamed("pattern", found_by))
-    again = risky.join(_sized(patterns, 4096), text_id)
+    again = risky.join(_sized(patterns), text_id)
     kinds = C.stage(first.join(patterns, text_id, "left_anti").union(typed(mentions(again, F.col(found_by)))))
     names = kinds.filter("kind = 'name'")
     canons = C.stage(word_canons(names))
@@ -220,10 +220,10 @@ def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) ->
     cased = "if(length(value) = length(surrogate), array_join(transform(sequence(1, length(value)), i -> if(substring(value, i, 1) between 'A' and 'Z', upper(substring(surrogate, i, 1)), substring(surrogate, i, 1))), ''), if(value = upper(value), upper(surrogate), surrogate))"
     digits = digits.replace("surrogate", "replace(surrogate, '+', '')")
     shown = f"case when kind in ('phone', 'card', 'ssn') then {digits} when kind = 'email' then {cased} else surrogate end"
-    others = kinds.filter("kind <> 'name'").join(_sized(words, 200), ["kind", "canon"]).select(text_id, "value", F.expr(shown).alias("shown"))
+    others = kinds.filter("kind <> 'name'").join(_sized(words), ["kind", "canon"]).select(text_id, "value", F.expr(shown).alias("shown"))
     named = names.select(text_id, "value").join(_shown_names(names, canons, words, key), "value").select(text_id, "value", "shown")
     per_text = others.union(named).groupBy(text_id).agg(F.map_from_entries(F.collect_set(F.struct("value", "shown"))).alias(f"{work}_map"))
-    fixed = risky.join(per_text, text_id, "left").join(_sized(patterns, 4096), text_id, "left")
+    fixed = risky.join(per_text, text_id, "left").join(_sized(patterns), text_id, "left")
     mine = F.coalesce(F.col(found_by), F.lit(ANY))
     fixed = fixed.withColumn(f"{work}_found", F.regexp_extract_all("text", F.concat(F.lit("("), mine, F.lit(")")), F.lit(1))).withColumn(f"{work}_parts", F.split("text", mine, -1))
     swapped = f"array_join(zip_with({work}_parts, {work}_found, (p, e) -> concat(p, coalesce({work}_map[e], e, ''))), '')"
@@ -236,9 +236,10 @@ def replace(docs: DataFrame, key: str = KEY, count_column: str | None = None) ->
     return plain.unionByName(fixed.select(*docs.columns, *counted))
 
 
-def _sized(side: DataFrame, row_bytes: int) -> DataFrame:
-    """Marks a side for broadcast if its counted rows fit; otherwise the join shuffles."""
-    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
+def _sized(side: DataFrame) -> DataFrame:
+    """Marks a side of strings for broadcast if its bytes fit; otherwise the join shuffles."""
+    held = sum((F.octet_length(c) for c in side.columns), F.lit(32 * (1 + len(side.columns))))
+    return F.broadcast(side) if int(side.agg(F.sum(held)).first()[0] or 0) <= BROADCAST_BYTES else side
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

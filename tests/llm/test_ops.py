@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from quillspark.llm import decontaminate, induced_sort, kd_search, language_id, lm_scoring, near_dup, piece_codec, registry, suffix_dedup, surrogates, token_binary, toxicity
+from quillspark.llm._units import UnitTable
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -287,6 +288,36 @@ def test_ans_round_trip():
             assert (token_binary.decode_block(n, lanes, states, words, freq, cum, np.repeat(np.arange(5000), freq)) == ids).all()
 
 
+def test_unit_table_forgets_but_never_errs():
+    """Few slots and a small limit: units are pushed out and encoded again, always to their own ids."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    own = {int(h): rng.integers(0, 1000, rng.integers(0, 5)).tolist() for h in pool}
+    table, asked = UnitTable(slots=64, limit=200), 0
+    for _ in range(60):
+        h = rng.choice(pool, rng.integers(0, 120))
+
+        def encode(which, h=h):
+            nonlocal asked
+            asked += len(which)
+            rows = [own[int(x)] for x in h[which]]
+            return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64)
+
+        ids, counts = table(h, encode)
+        assert counts.tolist() == [len(own[int(x)]) for x in h] and ids.tolist() == [i for x in h for i in own[int(x)]]
+    assert 300 < asked < 60 * 60
+
+
+def test_another_tokenizer_setting_raises():
+    import json
+
+    spec = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    token_binary.check_settings(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        with pytest.raises(ValueError, match="tokenizer setting"):
+            token_binary.check_settings({**spec, **change})
+
+
 def test_token_files(spark, small):
     from tokenizers import Tokenizer
 
