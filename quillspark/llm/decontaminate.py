@@ -5,8 +5,9 @@ become placeholders of three types (private code points), the rest is folded to
 text is token i of the text. A second, plain form leaves capitalised words as folded literals, so that copies in another
 case match. Templates are compared in windows of WINDOW tokens (a shorter item is one window):
 
-1. Windows of all documents, in both forms where they differ, are hashed and joined with the benchmark's (broadcast if
-   its windows fit in BROADCAST_BYTES, else by shuffle). Windows with fewer than LITERALS literal tokens in the first
+1. Windows of all documents, in both forms, are hashed and joined with the benchmark's (broadcast if its windows fit in
+   BROADCAST_BYTES, else by shuffle). A window whose first two tokens begin no window of the benchmark is not made: a bit
+   map of these pairs tells, unless the benchmark has more than MAX_LEADS. Windows with fewer than LITERALS literal tokens in the first
    form don't count, unless an item has no other.
 2. Matches are gathered on alignments (document position minus item position). Candidates are each alignment alone, the
    alignments of one passage (shifts that follow within GAP tokens) and all alignments of a document and item; together
@@ -29,6 +30,8 @@ from quillspark.llm import _common as C
 
 WINDOW, LITERALS, COVERAGE, RUN, GAP = 8, 3, 0.5, 40, 32
 BROADCAST_BYTES = 32 << 20
+#: Pairs of leading tokens that a bit map may hold, at 64 bits a pair.
+MAX_LEADS = 200_000
 
 #: Units that may stand beside a number.
 UNITS = "kg|mg|g|lbs?|oz|km|cm|mm|m|mi|miles?|ft|feet|inch(?:es)?|in|yd|ml|cl|l|litres?|liters?|hours?|hrs?|h|minutes?|mins?|min|seconds?|secs?|s|days?|weeks?|months?|years?|usd|eur|gbp|dollars?|euros?|pounds?|cents?|percent|mph|kmh|kph|°c|°f|%"
@@ -57,7 +60,7 @@ def _typed(text: Column) -> Column:
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
+    return F.regexp_replace(text, r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", NAME)
 
 
 def canonical(text: Column) -> Column:
@@ -89,12 +92,50 @@ def windows(hashes: Column, size: int) -> Column:
     return F.when(last >= 0, F.slice(of(size, hashes), F.lit(1), F.greatest(last + 1, F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def window_at(hashes: Column, i: Column, size: int) -> Column:
+    """The hash of the one window that starts at position i (from 0), as windows gives it."""
+
+    def of(k: int, shift: int) -> Column:
+        if k == 1:
+            return F.get(hashes, i + shift)
+        a = k - 1 if k % 2 else k // 2
+        return F.xxhash64(of(a, shift), of(k - a, shift + a))
+
+    return of(size, 0)
+
+
+def bit_map(values: list[int]) -> tuple[str, int]:
+    """A map of 64-bit hashes as a list of words in text, and the number of its bits as a power of two."""
+    bits = max(12, (64 * max(1, len(values)) - 1).bit_length())
+    words: dict[int, int] = {}
+    for v in values:
+        v &= (1 << 64) - 1
+        place = v >> (70 - bits)
+        words[place] = words.get(place, 0) | 1 << (v & 63)
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    return ",".join(str(signed(words.get(i, 0))) for i in range(1 << (bits - 6))), bits
+
+
+def _hits(hashes: Column, size: int, held: tuple[str, int]) -> Column:
+    """(pos, key) of the windows whose leading tokens are in the bit map."""
+    text, bits = held
+    words = F.split(F.lit(text), ",").cast("array<bigint>")  # folded to a constant
+
+    def there(x: Column) -> Column:
+        return F.getbit(F.get(words, F.shiftrightunsigned(x, 70 - bits).cast("int")), x.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+
+    places = F.sequence(F.lit(0), F.size(hashes) - size)
+    leads = F.zip_with(hashes, F.slice(hashes, F.lit(2), F.size(hashes)), lambda x, y: F.xxhash64(x, y)) if size > 1 else hashes
+    kept = _let(leads, lambda p: F.filter(places, lambda i: there(F.get(p, i))))
+    return F.transform(kept, lambda i: F.struct(i.alias("pos"), window_at(hashes, i, size).alias("key")))
+
+
 def _hashes(tok: Column) -> Column:
     return F.transform(tok, lambda x: F.xxhash64(x))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(key, item_id, bpos, n_windows, n_tokens, size): the windows that count, of every item, in one or both forms."""
+    """(key, lead, item_id, bpos, n_windows, n_tokens, size): the windows that count, of every item, in one or both forms."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null").distinct()
     t = items.select("item_id", tokens(canonical(F.col("text"))).alias("tok"), tokens(plain(F.col("text"))).alias("low")).filter(F.size("tok") > 0)
     size = F.least(F.lit(WINDOW), F.size("tok"))
@@ -103,13 +144,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     rows = t.select(
         "item_id",
         "size",
-        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(wh[i - 1], wg[i - 1])) as keys, size(filter(slice(tok, i, size), x -> x = translate(x, '%s', ''))) as literals))" % (NUM + NAME + UNIT))).alias("bpos", "w"),
+        F.posexplode(F.expr("transform(sequence(1, size(tok) - size + 1), i -> struct(array_distinct(array(struct(wh[i - 1] as key, if(size > 1, xxhash64(h[i - 1], h[i]), h[i - 1]) as lead), struct(wg[i - 1] as key, if(size > 1, xxhash64(g[i - 1], g[i]), g[i - 1]) as lead))) as keys, size(filter(slice(tok, i, size), x -> x = translate(x, '%s', ''))) as literals))" % (NUM + NAME + UNIT))).alias("bpos", "w"),
     ).select("item_id", "size", "bpos", F.col("w.keys").alias("keys"), (F.col("w.literals") >= F.least(F.lit(LITERALS), F.col("size"))).alias("counts"))
     some = rows.groupBy("item_id").agg(F.max("counts").alias("any"), F.sum(F.col("counts").cast("int")).alias("n_good"), F.count("*").alias("n_all"))
     rows = rows.join(some, "item_id").filter("counts or not any")
     inside = rows.groupBy("item_id").agg(F.expr("size(array_distinct(flatten(collect_list(sequence(bpos, bpos + size - 1)))))").alias("n_tokens"))
     rows = rows.join(inside, "item_id")
-    return rows.select(F.explode("keys").alias("key"), "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"), "n_tokens")
+    rows = rows.withColumn("k", F.explode("keys"))
+    return rows.select("k.key", "k.lead", "item_id", "bpos", "size", F.when(F.col("any"), F.col("n_good")).otherwise(F.col("n_all")).alias("n_windows"), "n_tokens")
 
 
 def _sets(lined: DataFrame) -> DataFrame:
@@ -142,16 +184,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, exact (no slot differs)."""
     spark = C.tune(docs.sparkSession)
     bench = C.stage(item_windows(benchmark))
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW values
+    leads = bench.select("size", "lead").distinct()
+    sizes = {r["size"]: r["n"] for r in leads.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most WINDOW values
+    maps = {s: bit_map([r["lead"] for r in leads.filter(F.col("size") == s).select("lead").collect()]) for s, n in sizes.items() if n <= MAX_LEADS}
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     # the typed text is made once for both forms
     forms = F.transform(F.array(_typed(F.col("text"))), lambda t: F.array(_hashes(tokens(_fold(_named(t)))), _hashes(tokens(_fold(t)))))
     # exploding the one row of forms makes them columns of a plan node: a filter on their size is not computed from the text
     hashed = slim.select("doc_id", F.explode(forms).alias("forms")).select("doc_id", F.col("forms")[0].alias("h"), F.col("forms")[1].alias("g"))
     per_size = []
-    for s in sizes:
+    for s in sorted(sizes):
+        long = hashed.filter(F.size("h") >= s)
+        if s in maps:
+            # the plain form gives only the windows that differ
+            other = F.filter(_hits(F.col("g"), s, maps[s]), lambda w: w["key"] != window_at(F.col("h"), w["pos"], s))  # noqa: B023  called at once
+            found = long.select("doc_id", F.explode(F.concat(_hits(F.col("h"), s, maps[s]), other)).alias("w"))
+            per_size.append(found.select("doc_id", "w.pos", "w.key", F.lit(s).alias("size")))
+            continue
         keys = F.transform(F.array(windows(F.col("h"), s)), lambda w: F.concat(w, F.zip_with(windows(F.col("g"), s), w, lambda a, b: F.when(a != b, a))))[0]  # noqa: B023  called at once
-        both = hashed.filter(F.size("h") >= s).select("doc_id", (F.size("h") - s + 1).alias("n"), F.posexplode(keys).alias("at", "key"))
+        both = long.select("doc_id", (F.size("h") - s + 1).alias("n"), F.posexplode(keys).alias("at", "key"))
         per_size.append(both.filter("key is not null").select("doc_id", F.expr("at % n").alias("pos"), "key", F.lit(s).alias("size")))
     if not per_size:
         return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, exact boolean")
@@ -159,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for more in per_size[1:]:
         wide = wide.union(more)
     n = bench.count()
-    keys = bench.withColumnRenamed("size", "bsize")
+    keys = bench.drop("lead").withColumnRenamed("size", "bsize")
     side = F.broadcast(keys) if n * 48 <= BROADCAST_BYTES else keys
     hits = wide.join(side, (wide["key"] == keys["key"]) & (wide["size"] == keys["bsize"])).select("doc_id", "item_id", "bpos", (F.col("pos") - F.col("bpos")).alias("shift"), "n_windows", "n_tokens", "bsize")
     # repeated rows of a document give the same matches again: distinct positions count
