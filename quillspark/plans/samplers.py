@@ -105,11 +105,11 @@ def pad_id_stop(spark, sf_dir):
     return t.select("doc_id", vec.pad_id_stop(F.col("token_ids"), 0).alias("stop"))
 
 
-@query(f"""with l as (select day(ts)::int as day, event_type as key, user_id % 8 as rank, avg(value) as m from events where user_id is not null group by all),
+@query(f"""with l as (select day(ts)::int as day, event_type as key, user_id % 8 as rank, avg(ln(1 + abs(value))) as m from events where user_id is not null group by all),
   w as (select day, key, max(m) as worst from l group by day, key)
   select l.day, l.key, {q6('avg(m)')} as mean, {q6('any_value(worst)')} as worst, min(rank) filter (m = worst) as straggler from l join w on l.day = w.day and l.key = w.key group by l.day, l.key""")
 def log_means(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id is not null").select(F.dayofmonth("ts").alias("day"), (F.col("user_id") % 8).alias("rank"), F.col("event_type").alias("key"), "value")
+    e = table(spark, sf_dir, "events").filter("user_id is not null").select(F.dayofmonth("ts").alias("day"), (F.col("user_id") % 8).alias("rank"), F.col("event_type").alias("key"), F.log(F.abs("value") + 1.0).alias("value"))
     return metrics.log_means(e, "day", "rank", "key", "value").select("day", "key", r6(F.col("mean")).alias("mean"), r6(F.col("worst")).alias("worst"), "straggler")
 
 
