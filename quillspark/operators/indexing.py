@@ -65,10 +65,11 @@ def order_cuts(df: DataFrame, digest: Column, key: str, ranks: Callable[[int], l
         return sorted((r["p"], r["n"]) for r in rows.groupBy(F.substring("_h", 1, size).alias("p")).agg(F.count("*").alias("n")).collect())
 
     whole = counts("")
-    out = []
-    for k in ranks(sum(n for _, n in whole)):
+    wanted = ranks(sum(n for _, n in whole))
+    slices: list[tuple[str, int] | None] = []
+    for k in wanted:
         if k <= 0:
-            out.append(F.lit(False))
+            slices.append(None)
             continue
         found, prefix, left = whole, "", k
         while True:
@@ -79,9 +80,18 @@ def order_cuts(df: DataFrame, digest: Column, key: str, ranks: Callable[[int], l
             if n <= SLICE_ROWS or len(prefix) >= 32:
                 break
             found = counts(prefix)
-        last = held.filter(F.startswith("_h", F.lit(prefix))).orderBy("_h", "_k").limit(left).agg(F.max(F.struct("_h", "_k")).alias("m")).first()["m"]
-        out.append((digest < F.lit(last["_h"])) | ((digest == F.lit(last["_h"])) & (F.col(key) <= F.lit(last["_k"]))))
-    return out
+        slices.append((prefix, left))
+    ends = {}
+    for size in {len(s[0]) for s in slices if s}:  # one round for all cuts, but for slices that had to be looked into
+        here = [s for s in slices if s and len(s[0]) == size]
+        mine = held.withColumn("_p", F.substring("_h", 1, size)).filter(F.col("_p").isin([p for p, _ in here]))
+        ranked = mine.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_h", "_k")))
+        asked = F.lit(False)
+        for p, left in here:
+            asked = asked | ((F.col("_p") == p) & (F.col("_r") == left))
+        ends |= {(r["_p"], r["_r"]): (r["_h"], r["_k"]) for r in ranked.filter(asked).collect()}
+    below = lambda h, k: (digest < F.lit(h)) | ((digest == F.lit(h)) & (F.col(key) <= F.lit(k)))
+    return [below(*ends[s]) if s else F.lit(False) for s in slices]
 
 
 def best_by_digest(df: DataFrame, digest: Column, key: str, n: int) -> DataFrame:

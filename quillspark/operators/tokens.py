@@ -11,13 +11,16 @@ from quillspark.operators.records import small
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK, -1), lambda w: w != "")
+def words(text: Column, most: int | None = None) -> Column:
+    """Words of a text, the first `most` if given: the rest of the text is not cut up then."""
+    pieces = F.split(F.coalesce(text, F.lit("")), BLANK, -1 if most is None else most + 2)  # blanks in front give an empty piece
+    found = F.filter(pieces, lambda w: w != "")
+    return found if most is None else F.slice(found, 1, most)
 
 
-def hashed_ids(docs: DataFrame, vocab: int) -> DataFrame:
-    """(doc_id, ids): each word's id in 1..vocab by its digest; 0 is left for padding."""
-    return docs.select("doc_id", F.transform(words(F.col("text")), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % vocab + 1).cast("int")).alias("ids"))
+def hashed_ids(docs: DataFrame, vocab: int, most: int | None = None) -> DataFrame:
+    """(doc_id, ids): each word's id in 1..vocab by its digest, of the first `most` words if given; 0 is left for padding."""
+    return docs.select("doc_id", F.transform(words(F.col("text"), most), lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("bigint") % vocab + 1).cast("int")).alias("ids"))
 
 
 def padded(df: DataFrame, size: int, pad: int = 0) -> DataFrame:

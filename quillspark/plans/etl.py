@@ -85,7 +85,7 @@ def clone_pairs_all(spark, sf_dir):
 
 @query(f"with {SAMPLED}{SPLIT} select user_id, split::int as split from split")
 def clone_split(spark, sf_dir):
-    return pairing.group_split(pairs(spark, sf_dir).select("user_id").distinct(), "user_id")
+    return pairing.group_split(pairing.eligible(cells(spark, sf_dir), "user_id", 1).select("user_id"), "user_id")  # each of them has pairs
 
 
 @query(f"with {SAMPLED}{SPLIT} select split::int as split, count(*) as n_pairs, count(distinct user_id) as n_clones from pairs join split using (user_id) group by split")
@@ -187,13 +187,13 @@ TOKENS = """w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text
 
 @query(f"with {TOKENS} select doc_id, array_to_string(list_concat(ids[1:16], list_transform(range(greatest(0, 16 - len(ids))), lambda x: 0)), ' ') as token_ids, least(len(ids), 16)::bigint as length from t")
 def token_pad_mask(spark, sf_dir):
-    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400), 16)
+    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400, 16), 16)
     return t.select("doc_id", F.concat_ws(" ", F.col("token_ids").cast("array<string>")).alias("token_ids"), F.col("length").cast("bigint").alias("length"))
 
 
 @query(f"with {TOKENS} select doc_id, array_to_string(list_concat(ids[1:8], list_transform(range(greatest(0, 8 - len(ids))), lambda x: 999)), ' ') as token_ids, least(len(ids), 8)::bigint as length from t")
 def pad_id_remap(spark, sf_dir):
-    t = tokens.remapped(tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400), 16), 8, 999)
+    t = tokens.remapped(tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400, 16), 16), 8, 999)
     return t.select("doc_id", F.concat_ws(" ", F.col("token_ids").cast("array<string>")).alias("token_ids"), F.col("length").cast("bigint").alias("length"))
 
 
@@ -201,7 +201,7 @@ def pad_id_remap(spark, sf_dir):
   u as (select vec_id, list_transform(e[1:16], lambda v: v / (sqrt(list_inner_product(e[1:16], e[1:16])) + 1e-12)) as e from e)
   select doc_id, pos::int as pos, {q6('e[1] * sqrt(16)')} as first, {q6('list_sum(e) * sqrt(16)')} as total from x join u on u.vec_id = x.id""")
 def vocab_lookup(spark, sf_dir):
-    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400), 8)
+    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400, 8), 8)
     out = tokens.embedded(t, vectors(spark, sf_dir).select(F.col("vec_id").alias("token_id"), F.col("e").alias("vec")), 16)
     return out.select("doc_id", "pos", r6(F.get("unit", F.lit(0)) * 4.0).alias("first"), r6(vec.total(F.col("unit")) * 4.0).alias("total"))
 

@@ -101,7 +101,7 @@ def noise_start(spark, sf_dir):
 
 @query(f"with {TOKENS} select doc_id, least(len(ids), 16)::bigint as stop from t")
 def pad_id_stop(spark, sf_dir):
-    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400), 16)
+    t = tokens.padded(tokens.hashed_ids(table(spark, sf_dir, "documents"), 400, 16), 16)
     return t.select("doc_id", vec.pad_id_stop(F.col("token_ids"), 0).alias("stop"))
 
 
@@ -121,7 +121,7 @@ def metric_keys(spark, sf_dir):
 
 @query(f"with {TOKENS} select doc_id, len(ids)::bigint as length from t where len(ids) <= 120 order by doc_id limit 40")
 def short_captions(spark, sf_dir):
-    t = tokens.hashed_ids(table(spark, sf_dir, "documents"), 400).select("doc_id", F.size("ids").cast("bigint").alias("length"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.words(F.col("text"))).cast("bigint").alias("length"))
     return indexing.first_short(t, "doc_id", F.col("length"), 120, 40)
 
 
