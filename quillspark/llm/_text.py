@@ -1,4 +1,9 @@
-"""Vectorised text kernels: words, units and 64-bit hashes over blocks of UTF-8 bytes."""
+"""Vectorised text kernels: words, units and hashes over blocks of UTF-8 bytes.
+
+`exact_hashes` is polynomial modulo the prime 2^61-1 and fit for strings of any length. `prefix` and `span_hashes` work
+modulo 2^64, where some strings of 1024 bytes and more have equal hashes whatever the radix: they are for grams and
+segments below that length, and for features of a model.
+"""
 
 from __future__ import annotations
 
@@ -61,6 +66,60 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(raw + (end - start).astype(np.uint64) * U(0xA0761D6478BD642F))
 
 
+#: The modulus of exact_hashes, a prime; and the longest span whose sums don't overflow.
+PRIME, LONG = U((1 << 61) - 1), 1 << 22
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 bits."""
+    low = U((1 << 31) - 1)
+    ah, al, bh, bl = a >> U(31), a & low, b >> U(31), b & low
+    middle = ah * bl + al * bh
+    return _reduce(_reduce(ah * bh * U(2) + (middle >> U(30)) + ((middle & U((1 << 30) - 1)) << U(31))) + _reduce(al * bl))
+
+
+@functools.lru_cache(1)
+def _prime_powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper and lower 31 bits of r^i, and r^-i, modulo the prime."""
+    p = int(PRIME)
+
+    def chain(r: int) -> np.ndarray:
+        out = np.ones(size, np.uint64)
+        done, step = 1, r
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = _times(out[:more], np.full(1, step, np.uint64))
+            step, done = step * step % p, done + more
+        return out
+
+    up = chain(RADIX % p)
+    return up >> U(31), up & U((1 << 31) - 1), chain(pow(RADIX % p, -1, p))
+
+
+def exact_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end), polynomial modulo 2^61-1, mixed with the length."""
+    high, low, back = _prime_powers(max(1 << 21, 1 << int(len(buf) + 1).bit_length()))
+    value = buf.astype(np.uint64) + U(1)
+    tops, bottoms = np.zeros(len(buf) + 1, np.uint64), np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(value * high[: len(buf)], out=tops[1:])
+    np.cumsum(value * low[: len(buf)], out=bottoms[1:])
+
+    def sums(a, b):
+        top = _reduce(tops[b] - tops[a])  # exact: differences of sums that may have wrapped
+        return _reduce(((top & U((1 << 30) - 1)) << U(31)) + (top >> U(30)) + _reduce(bottoms[b] - bottoms[a]))
+
+    raw = sums(start, np.minimum(end, start + LONG))
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        for a in range(int(start[i]) + LONG, int(end[i]), LONG):
+            raw[i] = _reduce(raw[i : i + 1] + sums(np.array([a]), np.array([min(a + LONG, int(end[i]))])))[0]
+    return mix(_times(raw, back[start]) + (end - start).astype(np.uint64) * U(0xA0761D6478BD642F))
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document index of the words [^\\x20\\x09-\\x0D]+; words never cross documents."""
     n = len(buf)
@@ -83,7 +142,7 @@ def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Hashes of the words, A-Z lower-cased, and each document's number of words."""
     low = LOWER[buf]
     start, end, doc = words(low, off)
-    return span_hashes(prefix(low), start, end), np.bincount(doc, minlength=len(off) - 1)
+    return exact_hashes(low, start, end), np.bincount(doc, minlength=len(off) - 1)
 
 
 def chain_hash(parts: list[np.ndarray]) -> np.ndarray:

@@ -6,7 +6,8 @@ register = floor(1 - log_BASE(minimum)). Registers merge by maximum and agree be
 their Jaccard similarity. BANDS bands of registers are hashed; sets that agree in a band are candidates. At similarity
 0.8 a pair shares no band with a probability below 1e-6.
 
-1. Documents with equal sets form a class; one row a class goes on, so copies cost nothing further.
+1. Documents with equal words (by a 128-bit BLAKE2 digest) form a class; one row a class goes on, so copies cost nothing
+   further.
 2. Each bucket of a band proposes its smallest class (its centre) to its other classes: a star, not all pairs. A class
    verifies one link on the full sets, with the centre that shares most bands; components follow by star contraction.
    Then each bucket holds one class for each of its components, and proposes the smallest component's to the others:
@@ -20,6 +21,8 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
 So the members of a group cost one link each, and what is verified after that lies between components only.
 Steps 1 and 2 ship packed texts, grouped by the link's centre and cut into groups of at most about FAN links.
 
+Sets are compared by 61-bit hashes first; every link is then confirmed on the shingles' own bytes.
+
 A document with fewer than k words, but some, has one shingle: the whole sequence. Null, empty or blank texts have no
 set, link with nothing and are kept. Rows with a null doc_id are no nodes: component null, kept. Rows that share a
 doc_id are one node.
@@ -76,6 +79,23 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return sh, np.bincount(doc, minlength=len(n))
 
 
+def plain_words(body: bytes) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return body.translate(X.LOWER.tobytes()).split()  # bytes split at exactly \x20 and \x09-\x0D
+
+
+def linked_exactly(a: bytes, b: bytes, k: int, percent: int) -> bool:
+    """Whether the shingle sets of two texts, as strings, are similar enough: confirms what their hashes say."""
+
+    def shingles(body: bytes) -> set:
+        w = plain_words(body)
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+    one, two = shingles(a), shingles(b)
+    both = len(one & two)
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def registers(sh: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """SetSketch registers (uint16) of the documents that have a set."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
@@ -127,8 +147,9 @@ def _sketch(k: int):
             for i, j in C.blocks(buf, off, 1 << 19):
                 sh, counts = shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k)
                 reg = iter(registers(sh, counts))
-                ends = np.cumsum(counts)
-                digest = [hashlib.blake2b(sh[e - c : e].tobytes(), digest_size=16).digest() if c else None for e, c in zip(ends, counts)]
+                raw = buf[off[i] : off[j]].tobytes()
+                body = [raw[a - off[i] : b - off[i]] for a, b in zip(off[i:j], off[i + 1 : j + 1])]
+                digest = [hashlib.blake2b(b" ".join(plain_words(b)), digest_size=16).digest() if c else None for b, c in zip(body, counts)]
                 yield C.table_of(schema, doc_id=names.slice(i, j - i), n_shingles=counts, digest=digest, reg=[next(reg).tobytes() if c else None for c in counts])
             C.trim()
 
@@ -173,6 +194,8 @@ def _verify(k: int, percent: int):
             hit = (centre[at] == sh) if len(centre) else np.zeros(len(sh), bool)
             both = np.bincount(np.repeat(np.arange(j - i), counts), weights=hit, minlength=j - i).astype(np.int64)
             linked[i:j] = (100 * both >= percent * (len(centre) + counts - both)) & (counts > 0)
+        for i in np.flatnonzero(linked).tolist():
+            linked[i] = linked_exactly(centre_body, bodies[i], k, percent)
         node = table.column("node").to_numpy()
         del buf, bodies
         C.trim()
@@ -201,6 +224,9 @@ def _block_links(k: int, percent: int):
             if len(j):
                 yield i, j
 
+    def opened(bodies, row) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(bodies[row].as_py())
+
     def sets(bodies, rows):
         """Local numbers of the rows' shingles: (numbers, how many there are, begin and end of each row)."""
         opener = zstandard.ZstdDecompressor()
@@ -230,7 +256,8 @@ def _block_links(k: int, percent: int):
         out: list[tuple[int, int]] = []
         if found:
             rows = np.unique(np.concatenate([np.append(j, i) for i, j in found]))
-            number, size, begin, end = sets(table.column("body"), rows)
+            bodies = table.column("body")
+            number, size, begin, end = sets(bodies, rows)
             mine = np.zeros(size, bool)
             for i, j in found:
                 j = j[comp[j] != comp[i]]  # links found on the way may have joined them
@@ -243,7 +270,7 @@ def _block_links(k: int, percent: int):
                 both = np.add.reduceat(mine[number[X.ragged(begin[b], count)]].astype(np.int64), np.cumsum(count) - count)
                 mine[own] = False
                 for x in j[100 * both >= percent * (len(own) + count - both)].tolist():
-                    if comp[x] != comp[i]:
+                    if comp[x] != comp[i] and linked_exactly(opened(bodies, i), opened(bodies, x), k, percent):
                         out.append((int(node[i]), int(node[x])))
                         comp[comp == comp[x]] = comp[i]
         C.trim()

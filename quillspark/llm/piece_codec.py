@@ -301,7 +301,7 @@ class UnitCache:
         lead[off] = True
         start = np.flatnonzero(blank & (lead[:-1] | np.concatenate([[True], ~blank[:-1]])))
         end = np.append(start[1:], len(buf))
-        ids, sizes = self.table(X.span_hashes(X.prefix(buf), start, end), lambda i: self.fresh(raw, start[i], end[i]))
+        ids, sizes = self.table(buf, start, end, lambda i: self.fresh(raw, start[i], end[i]))
         cut = _edges(sizes)[np.searchsorted(start, off)]  # where each text's ids begin
         spoken, per = self.model.spoken.take(ids)
         said = _edges(per)[cut].tolist()

@@ -238,7 +238,7 @@ class UnitEncoder:
                 keep[bounds[d] : bounds[d + 1]] = False
             start, end = start[keep], end[keep]
             bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
-        ids, per = self.table(X.span_hashes(X.prefix(buf), start, end), lambda i: self.fresh(buf, start[i], end[i]))
+        ids, per = self.table(buf, start, end, lambda i: self.fresh(buf, start[i], end[i]))
         total = np.diff(np.concatenate([[0], np.cumsum(per)])[bounds]) + 1
         whole = {int(d): encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode()) for d in odd}
         for d, p in whole.items():

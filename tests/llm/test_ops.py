@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from quillspark.llm import decontaminate, induced_sort, kd_search, language_id, lm_scoring, near_dup, piece_codec, registry, suffix_dedup, surrogates, token_binary, toxicity
+from quillspark.llm import _text, decontaminate, induced_sort, kd_search, language_id, lm_scoring, near_dup, piece_codec, registry, suffix_dedup, surrogates, token_binary, toxicity
 from quillspark.llm._units import UnitTable
 
 DATA = "/root/testdata/sf0.001"
@@ -288,24 +288,117 @@ def test_ans_round_trip():
             assert (token_binary.decode_block(n, lanes, states, words, freq, cum, np.repeat(np.arange(5000), freq)) == ids).all()
 
 
-def test_unit_table_forgets_but_never_errs():
-    """Few slots and a small limit: units are pushed out and encoded again, always to their own ids."""
+@pytest.mark.parametrize("clash", [False, True])
+def test_unit_table_forgets_but_never_errs(clash, monkeypatch):
+    """Few slots and a small limit: units are pushed out and encoded again, always to their own ids. So too where hashes are all but useless."""
+    if clash:
+        monkeypatch.setattr(_text, "exact_hashes", lambda buf, start, end: (buf[start] % 7).astype(np.uint64) << np.uint64(60))
     rng = np.random.default_rng(6)
-    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    own = {int(h): rng.integers(0, 1000, rng.integers(0, 5)).tolist() for h in pool}
+    pool = sorted({bytes(rng.integers(97, 103, rng.integers(1, 9)).astype(np.uint8)) for _ in range(300)})
+    own = {u: rng.integers(0, 1000, rng.integers(0, 5)).tolist() for u in pool}
     table, asked = UnitTable(slots=64, limit=200), 0
     for _ in range(60):
-        h = rng.choice(pool, rng.integers(0, 120))
+        units = [pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 120))]
+        buf = np.frombuffer(b"".join(units), np.uint8)
+        end = np.cumsum([len(u) for u in units])
 
-        def encode(which, h=h):
+        def encode(which, units=units):
             nonlocal asked
             asked += len(which)
-            rows = [own[int(x)] for x in h[which]]
+            rows = [own[units[i]] for i in which.tolist()]
             return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64)
 
-        ids, counts = table(h, encode)
-        assert counts.tolist() == [len(own[int(x)]) for x in h] and ids.tolist() == [i for x in h for i in own[int(x)]]
-    assert 300 < asked < 60 * 60
+        ids, counts = table(buf, end - [len(u) for u in units], end, encode)
+        assert counts.tolist() == [len(own[u]) for u in units] and ids.tolist() == [i for u in units for i in own[u]]
+    assert len(pool) < asked < 60 * 60
+
+
+# long words that hash alike under any polynomial modulo 2^64
+
+
+def folded(n, other):
+    """n letters a and b by the parity of the bits of their place (a Thue-Morse word), or with a and b swapped."""
+    return "".join("ab"[i.bit_count() + other & 1] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def alike(spark):
+    rows = [(2 * k + o + 1, folded(n, o) + tail) for k, (n, tail) in enumerate([(1024, ""), (2048, ""), (4096, ""), (2048, " more words behind it"), (4096, " and a tail")]) for o in (0, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_exact_hashes():
+    p = int(_text.PRIME)
+    rng = np.random.default_rng(8)
+    buf = rng.integers(0, 256, 3000).astype(np.uint8)
+    start = rng.integers(0, 1500, 40)
+    end = start + rng.integers(0, 1500, 40)
+    got = _text.exact_hashes(buf, start, end)
+    for a, b, h in zip(start.tolist(), end.tolist(), got):
+        value = sum((x + 1) * pow(_text.RADIX % p, i, p) for i, x in enumerate(buf[a:b].tolist())) % p
+        assert _text.mix(np.array([value + (b - a) * 0xA0761D6478BD642F & _text.MASK], np.uint64))[0] == h
+
+
+def test_exact_hashes_of_long_spans(monkeypatch):
+    buf = np.random.default_rng(9).integers(0, 256, 5000).astype(np.uint8)
+    start, end = np.array([0, 7]), np.array([5000, 4000])
+    want = _text.exact_hashes(buf, start, end)
+    monkeypatch.setattr(_text, "LONG", 300)
+    assert (_text.exact_hashes(buf, start, end) == want).all()
+
+
+def test_codec_of_words_that_hash_alike(spark, alike):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = dict(texts(alike))
+    for r in piece_codec.encode_decode(alike, public_tokenizers.path("piece_bpe_32k.model")).collect():
+        assert r["ids"] == [*library.encode(want[r["doc_id"]]), library.eos_id()] and r["decoded"] == want[r["doc_id"]]
+
+
+def test_token_files_of_words_that_hash_alike(spark, alike, tmp_path):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    out = token_binary.write_tokens(alike, str(tmp_path / "out"), public_tokenizers.path("byte_bpe_50k.json"))
+    want = dict(texts(alike))
+    for r in token_binary.read_tokens(spark, out, with_ids=True).collect():
+        assert r["ids"] == [*own.encode(want[r["doc_id"]], add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_groups_of_words_that_hash_alike(spark, alike, k):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(alike, k).collect()}
+    assert got == brute_groups(texts(alike), k) and sum(kept for _, _, kept in got.values()) == 10
+
+
+def test_links_are_confirmed_on_bytes(spark, small, monkeypatch):
+    """With hashes that say only how long a word is, candidates abound; links stay those of the strings."""
+    honest = _text.exact_hashes
+    monkeypatch.setattr(_text, "exact_hashes", lambda buf, start, end: honest(np.full(len(buf), 97, np.uint8), start, end))
+    rows = [(1, "one two six"), (2, "ten old cat"), (3, "one two six"), (4, "four five nine"), (5, "Four five nine"), (6, "five four nine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    table = near_dup.pa.table({"centre": [1, 1, 1], "salt": [0, 0, 0], "node": [1, 2, 3], "body": [near_dup.zstandard.compress(dict(rows)[i].encode()) for i in (1, 2, 3)], "head": [True, False, False]})
+    assert near_dup._verify(2, 80)(table).to_pylist() == [{"u": 1, "v": 3}]
+    assert {k: v[1:] for k, v in brute_groups(rows, 2).items()} == {1: (1, True), 2: (2, True), 3: (1, False), 4: (4, True), 5: (4, False), 6: (6, True)}
+    assert df.count() == 6
+
+
+def test_lm_counts_of_words_that_hash_alike(spark):
+    a, b = folded(2048, 0), folded(2048, 1)
+    df = spark.createDataFrame([(1, a, True), (2, b, False)], "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: (r["n_tokens"], r["n_known"], r["train_tokens"]) for r in lm_scoring.score_documents(df).collect()}
+    assert got == {1: (2, 2, 2), 2: (2, 1, 2)}
+
+
+def test_pipeline_stages_keep_words_that_hash_alike(spark, alike):
+    import corpus_pipeline
+
+    docs = alike.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+    kept = corpus_pipeline.near_dup(spark, docs, DATA)
+    assert kept.count() == 10
+    want = dict(texts(alike))
+    assert {r["doc_id"]: r["decoded"] for r in corpus_pipeline.pieces(spark, kept, DATA).collect()} == want
 
 
 def test_another_tokenizer_setting_raises():
