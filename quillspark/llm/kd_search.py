@@ -164,12 +164,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def quantised(rows: DataFrame, scale: float = 256.0) -> DataFrame:
-    """(vec_id, v) of the rows that take part; components become floor(scale * x)."""
-    wide = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+def quantised(rows: DataFrame, scale: float = 256.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, columns to keep, v) of the rows that take part; components become floor(scale * x)."""
+    wide = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), *keep, F.col("embedding").cast("array<double>").alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ok = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & fine
-    return wide.filter(ok).select("vec_id", F.transform("e", lambda x: F.expr("0D") + F.rint(x * scale) - (F.rint(x * scale) > x * scale).cast("double")).alias("v"))
+    return wide.filter(ok).select("vec_id", *keep, F.transform("e", lambda x: F.expr("0D") + F.rint(x * scale) - (F.rint(x * scale) > x * scale).cast("double")).alias("v"))
 
 
 def op3_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quillspark.llm.alignment import op12_alignment
 from quillspark.llm.decontaminate import op2_decontaminate
+from quillspark.llm.hard_negatives import op11_hard_negatives
 from quillspark.llm.kd_search import op3_kd_search
 from quillspark.llm.language_id import op1_language_id
 from quillspark.llm.lm_scoring import op10_lm_scoring
@@ -51,6 +53,19 @@ select doc_id, len(s)::bigint as n_shingles, component_id, doc_id = component_id
 """
 
 
+OP11_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+           where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     s as (select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_inner_product(a.e, v.e)::bigint as score
+           from v as a join v on a.vec_id <> v.vec_id and len(a.e) = len(v.e) where a.vec_id % 100 = 0),
+     p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+     n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::integer as rank
+           from p join s on p.anchor_id = s.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -63,8 +78,10 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_surrogates": op9_surrogates,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_alignment": op12_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_kd_search": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_near_dup": OP7_SQL}
+    return {"op3_kd_search": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_near_dup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
