@@ -14,6 +14,7 @@ from quillspark.llm.suffix_dedup import op4_suffix_dedup
 from quillspark.llm.surrogates import op9_surrogates
 from quillspark.llm.token_binary import op5_token_binary
 from quillspark.llm.toxicity import op8_toxicity
+from quillspark.llm.vector_dedup import op13_vector_dedup
 
 OP3_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
@@ -66,6 +67,18 @@ select anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+OP13_SQL = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+     f as (select vec_id, min(e) as e from v where vec_id is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0 group by vec_id),
+     l as (select a.vec_id as u, b.vec_id as w from f as a join f as b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+     r as (select vec_id as a, vec_id as b from f union select r.a, l.w from r join l on r.b = l.u),
+     c as (select a, min(b) as root from r group by a),
+     n as (select u, count(*) as n from l group by u)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(root, v.vec_id) as component_id, coalesce(v.vec_id = coalesce(root, v.vec_id), true) as kept
+from v left join c on v.vec_id = a left join n on v.vec_id = u
+"""
+
+
 def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
@@ -80,8 +93,9 @@ def queries() -> dict:
         "op10_lm_scoring": op10_lm_scoring,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_alignment": op12_alignment,
+        "op13_vector_dedup": op13_vector_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_kd_search": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_near_dup": OP7_SQL, "op11_hard_negatives": OP11_SQL}
+    return {"op3_kd_search": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op7_near_dup": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_dedup": OP13_SQL}
