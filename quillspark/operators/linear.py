@@ -1,12 +1,23 @@
-"""Spectral operators: only the moments, whose size is the dimension squared, reach the driver."""
+"""Spectral operators.
+
+Dense rows of a small dimension: only the moments, whose size is the dimension squared, reach the driver. Sparse matrices
+of any shape: a randomised block Krylov method whose bases stay distributed on either side; the driver sees the R factors of
+tree-wise QR decompositions, whose side is the number of basis vectors.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import det
 from quillspark.operators.metrics import second_moments
+from quillspark.session import stage
+
+#: R factors that one task stacks; a small side is broadcast up to this many bytes.
+FAN, BROADCAST_BYTES = 32, 32 << 20
 
 
 def _gram(df: DataFrame, column: str, dim: int) -> np.ndarray:
@@ -37,3 +48,146 @@ def principal(df: DataFrame, key: str, column: str, dim: int, k: int) -> DataFra
     mean, basis = right_basis(df, column, dim, k, True)
     axes = [F.aggregate(F.zip_with(F.col(column), F.array(*map(F.lit, b.tolist())), lambda x, y: x * y), F.lit(float(-mean @ b)), lambda s, x: s + x) for b in basis]
     return df.select(key, F.array(*axes).alias("z"))
+
+
+# ---------------------------------------------------------------- sparse matrices
+
+
+def _matrix(batch, column: str) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _stacked(blocks) -> np.ndarray | None:
+    """R of rows that come in blocks."""
+    r = None
+    for block in blocks:
+        if len(block):
+            r = np.linalg.qr(block if r is None else np.concatenate([r, block]), mode="r")
+    return r
+
+
+_R = pa.schema([("part", pa.int64()), ("r", pa.binary())])
+
+
+def _r_row(part: int, r: np.ndarray) -> dict:
+    return {"part": pa.array([part], pa.int64()), "r": pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())}
+
+
+def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
+    """R (width x width) of the QR decomposition of the rows whose entries lie in the array columns, one behind the other.
+
+    A factor a partition, then two rounds of stacking FAN of them; the driver stacks what is left.
+    """
+
+    def leaf(batches):
+        from pyspark import TaskContext
+
+        r = _stacked(np.concatenate([_matrix(b, c) for c in columns], axis=1) for b in batches if b.num_rows)
+        if r is not None:
+            yield pa.RecordBatch.from_pydict(_r_row(TaskContext.get().partitionId(), r), schema=_R)
+
+    def join(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("part").to_numpy())
+        r = _stacked(np.frombuffer(table.column("r")[int(i)].as_py()).reshape(-1, width) for i in order)
+        return pa.table(_r_row(table.column("part")[int(order[0])].as_py() // FAN, r), schema=_R)
+
+    held = df.select(*columns).mapInArrow(leaf, "part bigint, r binary")
+    for _ in range(2):
+        held = held.groupBy(F.expr(f"part div {FAN}")).applyInArrow(join, "part bigint, r binary")
+    rest = sorted((r["part"], r["r"]) for r in held.collect())
+    r = _stacked(np.frombuffer(b).reshape(-1, width) for _, b in rest)
+    out = np.zeros((width, width))
+    if r is not None:
+        out[: len(r)] = r
+    return out
+
+
+def _times(coo: DataFrame, side: DataFrame, by: str, to: str, width: int) -> DataFrame:
+    """(to, y): the sparse matrix, or its transpose, times a block (by, z) of width columns."""
+    small = F.broadcast(side) if side.count() * width * 8 <= BROADCAST_BYTES else side
+    joined = coo.join(small, by)
+    return joined.groupBy(to).agg(*[F.sum(F.col("value") * F.get("z", F.lit(i))).alias(f"_{i}") for i in range(width)]).select(to, F.array(*[f"_{i}" for i in range(width)]).alias("y"))
+
+
+def _mapped(df: DataFrame, key: str, columns: dict[str, str], fn) -> DataFrame:
+    """(key, columns): rows as matrices through fn, which takes and returns dicts of them."""
+    schema = pa.schema([(key, pa.int64()), *((c, pa.list_(pa.float64())) for c in columns)])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                out = fn({c: _matrix(b, c) for c in b.schema.names if c != key})
+                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32) if x.shape[1] else np.zeros(b.num_rows + 1, np.int32), x.reshape(-1)) for x in (out[c] for c in columns)]
+                yield pa.RecordBatch.from_arrays([b.column(key), *lists], schema=schema)
+
+    return df.mapInArrow(run, f"{key} bigint, " + ", ".join(f"{c} array<double>" for c in columns))
+
+
+def _orthogonal(state: DataFrame, held: int, width: int) -> tuple[DataFrame, int]:
+    """(row, q, z) from (row, q, y): z spans what y adds to the orthonormal q; its number of columns. Done twice, as rounding asks."""
+    for turn in range(2):
+        r = r_factor(state, ["q", "y"], held + width)
+        along, across = np.linalg.solve(r[:held, :held], r[:held, held:]), r[held:, held:]  # the basis is orthonormal up to signs
+        _, s, vt = np.linalg.svd(across)
+        scale = np.sqrt((r[:, held:] ** 2).sum(axis=0)).max(initial=0)
+        keep = s > 1e-11 * scale if turn == 0 else s > 0.1
+        turned = vt[keep].T / s[keep]
+        state = _mapped(state, "row", {"q": "", "y": ""}, lambda m, a=along, t=turned: {"q": m["q"], "y": (m["y"] - m["q"] @ a) @ t})
+        width = int(keep.sum())
+        if not width:
+            break
+    return state.withColumnRenamed("y", "z"), width
+
+
+class SparseSvd:
+    """values: the k greatest singular values; left (row, z): rows times the right axes; right (col, axis)."""
+
+    def __init__(self, values: list[float], left: DataFrame, right: DataFrame):
+        self.values, self.left, self.right = values, left, right
+
+
+def sparse_svd(coo: DataFrame, k: int, oversample: int = 8, seed: int = 0, tolerance: float = 1e-13, most: int = 64) -> SparseSvd:
+    """Truncated SVD of a sparse matrix given as (row, col, value); entries of one place add up.
+
+    k is cut to one less than either side, as the smaller side allows. A random block (a function of seed and column) is
+    multiplied by the matrix and its transpose in turn; each product's new directions join the basis. It ends once the
+    values stand still within the tolerance, or nothing new comes; after `most` blocks without that it raises. Each axis points where
+    its largest component (of ties the one of the smallest column) is positive. Null, non-finite and zero entries count as not there.
+    """
+    cells = coo.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("value").cast("double").alias("value"))
+    coo = stage(cells.filter("row is not null and col is not null and abs(value) < double('inf')").groupBy("row", "col").agg(F.sum("value").alias("value")).filter("value <> 0"))
+    rows, columns = stage(coo.select("row").distinct()), stage(coo.select("col").distinct())
+    sides = (rows.count(), columns.count())
+    k = min(k, sides[0] - 1, sides[1] - 1)
+    if k < 1:
+        raise ValueError(f"a matrix of {sides[0]} x {sides[1]} has no truncated decomposition")
+    width = min(k + oversample, *sides)
+    block = columns.select("col", F.array(*[det.gauss(det.digest(seed, "omega", F.col("col"), F.lit(i))) for i in range(width)]).alias("z"))
+    basis = rows.withColumn("q", F.array().cast("array<double>"))
+    image = columns.withColumn("q", F.array().cast("array<double>"))  # the transpose times the basis
+    held, before = 0, None
+    for _ in range(most):
+        state = stage(basis.join(_times(coo, block, "col", "row", width), "row"))
+        state, new = _orthogonal(state, held, width)
+        if new:
+            state = stage(state)
+            pushed = _times(coo, state.select("row", "z"), "row", "col", new)
+            image = stage(image.join(pushed.withColumnRenamed("y", "z"), "col").select("col", F.concat("q", "z").alias("q"), "z"))
+            basis = state.select("row", F.concat("q", "z").alias("q"))
+            block, image = image.select("col", "z"), image.select("col", "q")
+            held, width = held + new, new
+            _, s, turn = np.linalg.svd(r_factor(image, ["q"], held))
+            still = before is not None and len(before) >= k and np.abs(s[:k] - before[:k]).max() <= tolerance * s[0]
+            before = s
+        if not new or still or held == min(sides):
+            break
+    else:
+        raise ArithmeticError(f"the singular values still move after {most} blocks")
+    turn = turn[: min(k, int((s > 0).sum()))].T
+    s = s[: turn.shape[1]]
+    right = _mapped(image, "col", {"axis": ""}, lambda m: {"axis": m["q"] @ turn / s})
+    tops = right.agg(*[F.max(F.struct(F.abs(F.get("axis", F.lit(i))).alias("a"), (-F.col("col")).alias("c"), F.get("axis", F.lit(i)).alias("v"))).alias(f"_{i}") for i in range(len(s))]).first()
+    signs = np.array([1.0 if t["v"] >= 0 else -1.0 for t in tops])
+    right = _mapped(right, "col", {"axis": ""}, lambda m: {"axis": m["axis"] * signs})
+    left = _mapped(basis, "row", {"z": ""}, lambda m: {"z": m["q"] @ turn * (s * signs)})
+    return SparseSvd(s.tolist(), left, right)

@@ -78,13 +78,16 @@ def sampled_pairs(cells: DataFrame, clone: str, cell: str, per_clone: int, seed:
 
 
 def all_pairs(cells: DataFrame, clone: str, cell: str, most: int, seed: int = 0, least: int = 1) -> DataFrame:
-    """The cross product of a clone's sides, thinned evenly to at most `most` pairs; never more rows than it returns."""
+    """The cross product of a clone's sides; of more than `most` pairs so many are drawn without replacement.
+
+    Pairs are numbered, and a keyed permutation of the numbers gives the drawn ones: never more rows than it returns.
+    """
     ok = eligible(cells, clone, least)
     ranked = _ranked(cells.join(ok.select(clone), clone), clone, cell, seed)
     size = F.col("n_early") * F.col("n_late")
     kept = F.least(size, F.lit(most).cast("bigint"))
     draws = ok.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), kept - 1)))
-    at = F.expr(f"(k * n_early * n_late) div least(n_early * n_late, {most}L)")
+    at = F.when(size > most, det.permuted(seed, "pairs", F.col(clone), F.col("k"), size)).otherwise(F.col("k"))
     draws = draws.withColumn("at", at).withColumn("re", F.expr("at div n_late")).withColumn("rl", F.pmod("at", F.col("n_late")))
     early = ranked.filter("side = 'e'").select(clone, F.col("r").alias("re"), F.col(cell).alias("early_id"))
     late = ranked.filter("side = 'l'").select(clone, F.col("r").alias("rl"), F.col(cell).alias("late_id"))

@@ -76,9 +76,19 @@ def clone_pairs(spark, sf_dir):
     return pairs(spark, sf_dir)
 
 
-@query(f"""with {PAIRS}, draws as (select user_id, unnest(range(least(ne * nl, 50))) as k, ne, nl from ok),
-  d2 as (select user_id, k, (k * ne * nl) // least(ne * nl, 50) as at, nl from draws)
-  select d.user_id, d.k, a.event_id as early_id, b.event_id as late_id from d2 d join ranked a on a.user_id = d.user_id and a.side = 'e' and a.r = d.at // d.nl join ranked b on b.user_id = d.user_id and b.side = 'l' and b.r = d.at % d.nl""")
+def _turn_sql() -> str:
+    """One turn of the permutation on s(u, k, n, a, b, turn, place): its rounds as selects inside each other."""
+    inner = "select u, k, n, a, b, turn, place // b as x, place % b as y from s where turn = 0 or place >= n"
+    for r in range(det.ROUNDS):
+        known, side, moved, other = ("x", "b", "y", "x") if r % 2 == 0 else ("y", "a", "x", "y")
+        inner = f"select u, k, n, a, b, turn, {other}, ({moved} + ('0x' || substr(md5('0:pairs:' || u || ':{r}:' || {known}), 1, 8))::ubigint::bigint % {side}) % {side} as {moved} from ({inner})"
+    return f"select u, k, n, a, b, turn + 1, x * b + y from ({inner})"
+
+
+@query(f"""with recursive {PAIRS}, sized as (select user_id as u, unnest(range(50)) as k, (ne * nl)::bigint as n, ceil(sqrt((ne * nl)::double))::bigint as a from ok where ne * nl > 50),
+  s as (select u, k, n, a, (n + a - 1) // a as b, 0 as turn, k as place from sized union all {_turn_sql()}),
+  d as (select u as user_id, k, place from s where turn > 0 and place < n union all select user_id, unnest(range(ne * nl)) as k, unnest(range(ne * nl)) as place from ok where ne * nl <= 50)
+  select d.user_id, d.k, a.event_id as early_id, b.event_id as late_id from d join ok using (user_id) join ranked a on a.user_id = d.user_id and a.side = 'e' and a.r = d.place // ok.nl join ranked b on b.user_id = d.user_id and b.side = 'l' and b.r = d.place % ok.nl""")
 def clone_pairs_all(spark, sf_dir):
     return pairing.all_pairs(cells(spark, sf_dir), "user_id", "event_id", 50)
 

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillspark.operators import records
 from quillspark.plans.base import query, table
-from quillspark.session import shared_dir
+from quillspark.session import scratch
 from quillspark.sources import readers, writers
 from quillspark.streaming import ingest
 
 
-def scratch(spark) -> str:
-    """A new folder that all executors share; a local one only where one machine does all the work."""
-    return f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-
-
 @query("select l_orderkey - 1 as row, (l_partkey - 1)::int as col, l_quantity as value from lineitem where l_orderkey > 0")
 def matrix_market_scan(spark, sf_dir):
     path = scratch(spark)

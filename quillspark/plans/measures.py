@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import vec
 from quillspark.operators import metrics, tokens
-from quillspark.operators.linear import principal, singular_values
+from quillspark.operators.linear import principal, singular_values, sparse_svd
 from quillspark.plans.base import E, q6, query, r6, table, vectors
 from quillspark.plans.vectors import NEXT, neighbours
 
@@ -154,6 +154,24 @@ def svd_latents(spark, sf_dir):
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "component int, value double")
 
 
+def shipped(spark, sf_dir):
+    """Orders by months of shipping, a sparse matrix of log1p of the quantities shipped."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("col"), F.col("l_quantity").cast("double").alias("q"))
+    return li.groupBy("row", "col").agg(F.log1p(F.sum("q")).alias("value"))
+
+
+@query()
+def sparse_svd_values(spark, sf_dir):
+    found = sparse_svd(shipped(spark, sf_dir), 4)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(found.values)], "component int, value double")
+
+
+@query()
+def sparse_svd_latents(spark, sf_dir):
+    z = sparse_svd(shipped(spark, sf_dir), 4).left
+    return z.select(F.col("row").alias("l_orderkey"), F.posexplode("z").alias("component", "value")).select("l_orderkey", "component", r6(F.col("value")).alias("value"))
+
+
 @query()
 def pca_projection(spark, sf_dir):
     return principal(vectors(spark, sf_dir), "vec_id", "e", 64, 2).select("vec_id", r6(F.get("z", F.lit(0))).alias("pc1"), r6(F.get("z", F.lit(1))).alias("pc2"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -31,3 +33,26 @@ def attach(spark: SparkSession) -> SparkSession:
     if ROOT not in held.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (held, ROOT) if x)
     return spark
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ours; nothing happens if it, or the session, is gone."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new folder below the shared one, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes a table to the shared folder and returns it read back: cuts lineage and survives lost executors."""
+    path = scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -175,3 +175,34 @@ def test_ema(spark):
         want = float(i * i % 7) if i == 0 else 0.9 * want + 0.1 * (i * i % 7)
     got = metrics.ema(df, "s", "v", 0.9).first()
     assert got["ema"] == pytest.approx(want) and got["n"] == 9
+
+
+def test_permutation_is_one_to_one_and_even(spark):
+    from quillspark.functions import det
+
+    for n in (1, 2, 3, 7, 50, 99, 1000):
+        df = spark.range(n).select(det.permuted(3, "p", F.lit("c"), F.col("id"), F.lit(n)).alias("at"))
+        assert sorted(r["at"] for r in df.collect()) == list(range(n))
+    # of 12 numbers 3 are drawn under 4000 keys: each number, and each set of three, about equally often
+    rows = spark.range(4000).select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).select("id", det.permuted(3, "p", F.col("id"), F.col("k"), F.lit(12)).alias("at")).collect()
+    sets = {}
+    for r in rows:
+        sets.setdefault(r["id"], set()).add(r["at"])
+    single = np.bincount([x for s in sets.values() for x in s], minlength=12)
+    assert all(len(s) == 3 for s in sets.values()) and ((single - 1000) ** 2 / 1000).sum() < 40
+    triples = np.unique([sum(1 << x for x in s) for s in sets.values()], return_counts=True)[1]
+    expected = 4000 / 220
+    assert ((triples - expected) ** 2 / expected).sum() + (220 - len(triples)) * expected < 300  # 219 degrees of freedom
+
+
+def test_capped_pairs_are_drawn_without_replacement(spark):
+    from quillspark.operators import pairing
+
+    cells = [(c, f"{s}{c}{i}", s) for c, sizes in (("big", (40, 30)), ("small", (3, 4)), ("lone", (1, 200))) for s, n in zip("el", sizes) for i in range(n)]
+    got = pairing.all_pairs(spark.createDataFrame(cells, "clone string, cell string, side string"), "clone", "cell", 60).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["clone"], []).append((r["early_id"], r["late_id"]))
+    assert {c: len(set(p)) for c, p in by.items()} == {c: len(p) for c, p in by.items()} == {"big": 60, "small": 12, "lone": 60}
+    gaps = np.bincount([sum(a == e for a, _ in by["big"]) for e in {f"ebig{i}" for i in range(40)}])
+    assert len(gaps) > 3  # an even stride would give every early cell one or two pairs
