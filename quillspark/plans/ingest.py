@@ -8,7 +8,7 @@ from quillspark.operators import records
 from quillspark.plans.base import query, table
 from quillspark.session import scratch
 from quillspark.sources import readers, writers
-from quillspark.streaming import ingest
+from quillspark.streaming import archives, ingest
 
 
 @query("select l_orderkey - 1 as row, (l_partkey - 1)::int as col, l_quantity as value from lineitem where l_orderkey > 0")
@@ -101,6 +101,37 @@ def archive_pairs(spark, sf_dir):
     return found.select("key", "caption_type", "caption", F.octet_length("image").alias("bytes"))
 
 
+@query("select p_partkey % 7 as archive, 'p' || p_partkey as key, 'short' as caption_type, p_name as caption, p_size::int as bytes, p_partkey % 7 >= 3 as later from part where p_partkey % 5 <> 0")
+def archive_stream(spark, sf_dir):
+    """Archives of parts through the streaming source in two runs, the second after the manifest has grown; broken json goes to the ledger."""
+    import io
+    import json
+    import tarfile
+
+    base = scratch(spark)
+
+    def pack(table):
+        n, data = table.column("tar")[0].as_py(), io.BytesIO()
+        with tarfile.open(fileobj=data, mode="w") as archive:
+            for r in table.to_pylist():
+                text = json.dumps({"key": f"p{r['p_partkey']}", "caption_type": "short", "caption": f" {r['p_name']}\n"}) if r["p_partkey"] % 5 else "{broken"
+                for name, body in ((f"p{r['p_partkey']}.json", text.encode()), (f"p{r['p_partkey']}.png", b"." * r["p_size"])):
+                    info = tarfile.TarInfo(name)
+                    info.size = len(body)
+                    archive.addfile(info, io.BytesIO(body))
+        _put(f"{base}/{'early' if n < 3 else 'late'}-{n}.tar", data.getvalue())
+        return table.select(["tar"]).slice(0, 1)
+
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("tar"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
+    rows.groupBy("tar").applyInArrow(pack, "tar bigint").count()
+    for splits in (["early"], ["early", "late"]):
+        archives.freeze(spark, base, f"{base}/manifest.txt", splits, extend=True)
+        archives.ingest_archives(spark, f"{base}/manifest.txt", f"{base}/out", f"{base}/bad", f"{base}/progress", per_batch=2)
+    number = F.regexp_extract("archive", r"-(\d+)\.tar$", 1).cast("bigint")
+    found = spark.read.parquet(f"{base}/out")
+    return found.select(number.alias("archive"), "key", "caption_type", "caption", F.octet_length("image").alias("bytes"), (F.col("batch") >= 2).alias("later"))
+
+
 @query("select f / 4.0::double as fraction, m as metric, f + length(m)::double as value from range(5) as a(f), (values ('cosine'), ('fid')) as b(m)")
 def result_files(spark, sf_dir):
     import json

@@ -6,6 +6,7 @@ import csv
 import json
 import os
 import tarfile
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,43 +62,69 @@ def resolve(columns: list[str], candidates: list[str], required: bool = True) ->
     return None
 
 
+def _members(archive: tarfile.TarFile):
+    """(name, bytes) of an archive's files; one that breaks off raises ValueError."""
+    try:
+        for member in archive:
+            if member.isfile():
+                yield member.name, archive.extractfile(member).read()
+    except (tarfile.TarError, EOFError, zlib.error) as broken:
+        raise ValueError(f"broken off: {broken}") from broken
+
+
 def pair_members(stream):
     """(key, caption_type, caption, image) of an archive's json and image members that share a key.
 
     A key is the name without its known last extension. Broken json gives a record of nulls; members without a partner go.
-    The archive is read as a stream: only members that wait for their partner are in memory.
+    The archive is read as a stream: only members that wait for their partner are in memory. A file that is no archive, or
+    one that breaks off, raises ValueError, the latter after the records before the break.
     """
     texts, images = {}, {}
     try:
         archive = tarfile.open(fileobj=stream, mode="r|*")
-    except tarfile.TarError:
-        return
+    except tarfile.TarError as broken:
+        raise ValueError(f"no archive: {broken}") from broken
     with archive:
-        for member in archive:
-            if not member.isfile():
-                continue
-            data = archive.extractfile(member).read()
-            if member.name.endswith(".json"):
-                key = member.name[: -len(".json")]
+        for name, data in _members(archive):
+            if name.endswith(".json"):
+                key = name[: -len(".json")]
                 try:
                     x = json.loads(data)
                     texts[key] = (x.get("key"), x.get("caption_type"), (x.get("caption") or "").strip()) if isinstance(x, dict) else (None,) * 3
                 except (ValueError, AttributeError):
                     texts[key] = (None,) * 3
             else:
-                suffix = next((s for s in IMAGE_SUFFIXES if member.name.lower().endswith(s)), None)
+                suffix = next((s for s in IMAGE_SUFFIXES if name.lower().endswith(s)), None)
                 if suffix:
-                    images[member.name[: -len(suffix)]] = data
-            key = member.name.rsplit(".", 1)[0]
+                    images[name[: -len(suffix)]] = data
+            key = name.rsplit(".", 1)[0]
             if key in texts and key in images:
                 yield (*texts.pop(key), images.pop(key))
 
 
+def _named_errors(path: str, records):
+    try:
+        yield from records
+    except ValueError as broken:
+        raise ValueError(f"{path}: {broken}") from broken
+
+
+def archive_files(spark: SparkSession, path: str, splits: list[str] | None = None) -> list[str]:
+    """All *.tar below path whose names hold any of the splits, in order; empty files too, which Spark's own listing leaves out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, names = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(at, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if name.endswith(".tar") and (not splits or any(s in name for s in splits)):
+            names.append(name)
+    return sorted(names)
+
+
 def archives(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
     """(path, key, caption_type, caption, image) of all *.tar below path whose names hold any of the splits.
 
-    Spark lists the files; each is then opened where its task runs (local and shared folders, HDFS, S3) and streamed, so
-    an archive may be larger than a task's memory.
+    The driver lists the files' names; each file is opened where its task runs (local and shared folders, HDFS, S3) and streamed, so
+    an archive may be larger than a task's memory. One that can't be read raises.
     """
     schema = pa.schema([("path", pa.string()), ("key", pa.string()), ("caption_type", pa.string()), ("caption", pa.string()), ("image", pa.binary())])
 
@@ -108,15 +135,14 @@ def archives(spark: SparkSession, path: str, splits: list[str] | None = None) ->
             for path in batch.column("path").to_pylist():
                 system, inner = fs.FileSystem.from_uri(path)
                 with system.open_input_stream(inner, compression=None) as stream:
-                    for record in pair_members(stream):
+                    for record in _named_errors(path, pair_members(stream)):
                         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((path, *record), schema)], schema=schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.tar").load(path)
-    if splits:
-        files = files.filter(F.exists(F.array(*map(F.lit, splits)), lambda s: F.contains(F.col("path"), s)))
-    if not files.limit(1).count():
+    names = archive_files(spark, path, splits)
+    if not names:
         raise FileNotFoundError(f"no archive below {path}")
-    return files.select("path").mapInArrow(read, "path string, key string, caption_type string, caption string, image binary")
+    files = spark.createDataFrame([(n,) for n in names], "path string").repartition(len(names))
+    return files.mapInArrow(read, "path string, key string, caption_type string, caption string, image binary")
 
 
 def discover_shards(files: DataFrame, table_mode: bool = True) -> DataFrame:

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from quillspark.operators.records import ledger, todo
 
 
-def ingest(spark: SparkSession, source: str, schema, prepare: Callable[[DataFrame], DataFrame], out: str, failures: str, checkpoint: str, files_per_trigger: int = 100) -> None:
-    """Reads the files that are new, prepares them (a column `reason` marks failures) and appends both kinds.
+def exactly_once(prepare: Callable[[DataFrame], DataFrame], out: str, failures: str) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: prepared rows (a column `reason` marks failures) to two tables.
 
     Each batch writes below its own id and replaces what a broken attempt left there, so a repeated batch adds nothing.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
 
     def write(batch: DataFrame, epoch: int) -> None:
         held = prepare(batch).persist()  # prepared once for both tables; lost blocks are computed again
@@ -26,7 +25,13 @@ def ingest(spark: SparkSession, source: str, schema, prepare: Callable[[DataFram
         finally:
             held.unpersist()
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write
+
+
+def ingest(spark: SparkSession, source: str, schema, prepare: Callable[[DataFrame], DataFrame], out: str, failures: str, checkpoint: str, files_per_trigger: int = 100) -> None:
+    """Reads the files that are new, prepares them and appends accepted rows and failures."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    q = stream.writeStream.foreachBatch(exactly_once(prepare, out, failures)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
