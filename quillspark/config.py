@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Latent shapes by preset (fixed values: channels, height, width).
 PRESETS = {"sd": (4, 32, 32), "flux": (16, 32, 32)}
 
@@ -30,6 +33,16 @@ class BridgeGeometry:
             raise ValueError("tokens must fill whole patches")
 
 
+def geometry_fits(channels: str, height: str, width: str, patch: str, tokens: str, dim: str) -> Column:
+    """Whether sizes in columns make a BridgeGeometry; null sizes don't."""
+    c, h, w, p, t, d = map(F.col, (channels, height, width, patch, tokens, dim))
+    cell = p * p * c
+    positive = F.least(c, h, w, p, t, d) >= 1
+    none_null = c.isNotNull() & h.isNotNull() & w.isNotNull() & p.isNotNull() & t.isNotNull() & d.isNotNull()
+    rest = lambda a, b: F.try_mod(a, b) == 0
+    return F.coalesce(none_null & positive & rest(h, p) & rest(w, p) & (t * d == c * h * w) & (rest(cell, d) | rest(d, cell)), F.lit(False))
+
+
 def latent_shape(explicit: str | None = None, manifest: dict | None = None) -> tuple[int, int, int]:
     """Preset order: the explicit one, the manifest's bridge preset, its autoencoder's kind, sd."""
     m = manifest or {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.config import geometry_fits
 from quillspark.operators import records
 from quillspark.plans.base import query, table
 from quillspark.session import scratch
@@ -132,12 +133,15 @@ def archive_stream(spark, sf_dir):
     return found.select(number.alias("archive"), "key", "caption_type", "caption", F.octet_length("image").alias("bytes"), (F.col("batch") >= 2).alias("later"))
 
 
-@query("select f / 4.0::double as fraction, m as metric, f + length(m)::double as value from range(5) as a(f), (values ('cosine'), ('fid')) as b(m)")
+@query("""with r as (select (vec_id % 5) / 4.0::double as fraction, count(*)::double as rows, round(sum(embedding[1]::double), 6) + 0.0 as first from embeddings group by 1)
+  select fraction, 'rows' as metric, rows as value from r union all select fraction, 'first', first from r""")
 def result_files(spark, sf_dir):
+    """Results by fraction of the embeddings, written as a document and read back."""
     import json
 
+    by = table(spark, sf_dir, "embeddings").groupBy(((F.col("vec_id") % 5) / F.lit(4.0)).alias("fraction")).agg(F.count("*").cast("double").alias("rows"), (F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 6) + F.lit(0.0)).alias("first"))
     path = f"{scratch(spark)}/results.json"
-    _put(path, json.dumps({"by_fraction": {str(f / 4): {m: f + len(m) for m in ("cosine", "fid")} for f in range(5)}}, indent=1).encode())
+    _put(path, json.dumps({"by_fraction": {str(r["fraction"]): {"rows": r["rows"], "first": r["first"]} for r in by.collect()}}, indent=1).encode())  # 5 rows
     return readers.results(spark, path)
 
 
@@ -165,17 +169,10 @@ def sharded_write(spark, sf_dir):
     return back.groupBy(F.col("shard_id").cast("bigint").alias("shard_id")).agg(F.count("*").alias("n"), F.sum("local_row").alias("local"))
 
 
-@query("select * from (values (4, 4, 4, 2, 4, 16, true), (4, 4, 4, 3, 4, 16, false), (4, 4, 4, 2, 4, 8, false), (16, 32, 32, 2, 64, 256, true)) as t(channels, height, width, patch, tokens, dim, fits)")
+@query("""with p as (select p_partkey, 4 * (1 + p_partkey % 2) as channels, p_size as side, 1 + p_partkey % 4 as patch, 2 * (1 + p_partkey % 3) * (1 + p_partkey % 4) as dim from part), t as (select *, channels * side * side // dim as tokens from p)
+  select p_partkey, (tokens >= 1 and side % patch = 0 and tokens * dim = channels * side * side and ((patch * patch * channels) % dim = 0 or dim % (patch * patch * channels) = 0)) as fits from t""")
 def bridge_geometries(spark, sf_dir):
-    """Which token layouts fold into a tensor."""
-    from quillspark.config import BridgeGeometry
-
-    def fits(*sizes: int) -> bool:
-        try:
-            BridgeGeometry(*sizes)
-        except ValueError:
-            return False
-        return True
-
-    cases = [(4, 4, 4, 2, 4, 16), (4, 4, 4, 3, 4, 16), (4, 4, 4, 2, 4, 8), (16, 32, 32, 2, 64, 256)]
-    return spark.createDataFrame([(*c, fits(*c)) for c in cases], "channels int, height int, width int, patch int, tokens int, dim int, fits boolean")
+    """Which token layouts fold into a tensor, a layout a part."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.lit(4) * (F.lit(1) + F.col("p_partkey") % 2)).alias("channels"), F.col("p_size").cast("bigint").alias("side"), (F.lit(1) + F.col("p_partkey") % 4).alias("patch"))
+    p = p.withColumn("dim", F.lit(2) * (F.lit(1) + F.col("p_partkey") % 3) * F.col("patch")).withColumn("tokens", F.expr("channels * side * side div dim"))
+    return p.select("p_partkey", geometry_fits("channels", "side", "side", "patch", "tokens", "dim").alias("fits"))

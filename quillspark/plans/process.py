@@ -9,15 +9,16 @@ from quillspark.operators import metrics, simulate
 from quillspark.plans.base import E, q6, query, r6, vectors
 from quillspark.plans.vectors import NEXT, gauss_sql, neighbours
 
-GRID = "g as (select i / 20.0::double as t from range(1, 20) as r(i))"
+#: Every vector has a time of its own.
+GRID = "g as (select vec_id, (1 + vec_id % 19) / 20.0::double as t from embeddings)"
 
 
-def grid(spark):
-    return spark.range(1, 20).select((F.col("id") / F.lit(20.0)).alias("t"))
+def grid(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", ((F.lit(1) + F.col("vec_id") % 19) / F.lit(20.0)).alias("t"))
 
 
-def coefficients(spark, p):
-    return grid(spark).select("t", r6(p.sigma(F.col("t"))).alias("sigma"), r6(p.phi(F.col("t"), 1.0)).alias("phi"), r6(p.cov(0.0, F.col("t"), F.col("t"))).alias("c_t"), r6(p.cov(0.0, F.col("t"), 1.0)).alias("c_t1"), r6(p.cov(F.col("t"), 1.0, 1.0)).alias("c_rest"))
+def coefficients(spark, sf_dir, p):
+    return grid(spark, sf_dir).select("vec_id", "t", r6(p.sigma(F.col("t"))).alias("sigma"), r6(p.phi(F.col("t"), 1.0)).alias("phi"), r6(p.cov(0.0, F.col("t"), F.col("t"))).alias("c_t"), r6(p.cov(0.0, F.col("t"), 1.0)).alias("c_t1"), r6(p.cov(F.col("t"), 1.0, 1.0)).alias("c_rest"))
 
 
 def energy_sql(f: str) -> str:
@@ -31,24 +32,24 @@ HALF = "(3 * 0.9025::double / 8 + 0.95::double * 0.05 + 0.0025) * (({u}) - 1) -
 FALL = "(0.265::double ** 2 + 0.5 * 0.235::double ** 2) * ({u}) + 2 * 0.265::double * 0.235 / pi() * sin(pi() * ({u})) + 0.235::double ** 2 / (4 * pi()) * sin(2 * pi() * ({u}))"
 
 
-@query(f"with {GRID} select t, 0.5::double as sigma, {q6('exp(-(1 - t))')} as phi, {q6('0.25 * exp(-2 * t) * (exp(2 * t) - 1) / 2')} as c_t, {q6('0.25 * exp(-(t + 1)) * (exp(2 * t) - 1) / 2')} as c_t1, {q6('0.25 * exp(-2::double) * (exp(2::double) - exp(2 * t)) / 2')} as c_rest from g")
+@query(f"with {GRID} select vec_id, t, 0.5::double as sigma, {q6('exp(-(1 - t))')} as phi, {q6('0.25 * exp(-2 * t) * (exp(2 * t) - 1) / 2')} as c_t, {q6('0.25 * exp(-(t + 1)) * (exp(2 * t) - 1) / 2')} as c_t1, {q6('0.25 * exp(-2::double) * (exp(2::double) - exp(2 * t)) / 2')} as c_rest from g")
 def sde_coeffs_uniform(spark, sf_dir):
-    return coefficients(spark, bridge.Uniform(0.5, 1.0))
+    return coefficients(spark, sf_dir, bridge.Uniform(0.5, 1.0))
 
 
-@query(f"with {GRID} select t, {q6('0.475::double * (1 - cos(2 * pi() * t)) + 0.05')} as sigma, 1.0::double as phi, {energy_sql(PERIODIC)} from g")
+@query(f"with {GRID} select vec_id, t, {q6('0.475::double * (1 - cos(2 * pi() * t)) + 0.05')} as sigma, 1.0::double as phi, {energy_sql(PERIODIC)} from g")
 def sde_coeffs_periodic(spark, sf_dir):
-    return coefficients(spark, bridge.Periodic())
+    return coefficients(spark, sf_dir, bridge.Periodic())
 
 
-@query(f"with {GRID} select t, {q6('0.475::double * (1 + cos(pi() * t)) + 0.05')} as sigma, 1.0::double as phi, {energy_sql(HALF)} from g")
+@query(f"with {GRID} select vec_id, t, {q6('0.475::double * (1 + cos(pi() * t)) + 0.05')} as sigma, 1.0::double as phi, {energy_sql(HALF)} from g")
 def sde_coeffs_cosine(spark, sf_dir):
-    return coefficients(spark, bridge.cosine_decaying())
+    return coefficients(spark, sf_dir, bridge.cosine_decaying())
 
 
-@query(f"with {GRID} select t, {q6('0.03 + 0.235::double * (1 + cos(pi() * t))')} as sigma, 1.0::double as phi, {energy_sql(FALL)} from g")
+@query(f"with {GRID} select vec_id, t, {q6('0.03 + 0.235::double * (1 + cos(pi() * t))')} as sigma, 1.0::double as phi, {energy_sql(FALL)} from g")
 def sde_coeffs_cosine_k(spark, sf_dir):
-    return coefficients(spark, bridge.CosineDecay())
+    return coefficients(spark, sf_dir, bridge.CosineDecay())
 
 
 T = "(0.1::double + (vec_id % 9) * 0.1::double)"
@@ -83,26 +84,26 @@ def score_targets(spark, sf_dir):
     return x.select("vec_id", r6(bridge.forward_score(p, F.col("x"), F.col("b"), F.col("t"), 1.0)).alias("forward"), r6(bridge.reverse_score(p, F.col("x"), F.col("a"), F.col("t"))).alias("reverse"))
 
 
-@query(f"""with {GRID}, v as (select t, (1 - t) ** 2 * 1.5::double + t ** 2 * 2 + 2 * t * (1 - t) * 0.3::double + 0.25 * t * (1 - t) as var from g)
-  select t, {q6('1 / sqrt(var)')} as c_in, {q6('(t * 2 + (1 - t) * 0.3::double) / var')} as f_skip, {q6('sqrt(2 - (t * 2 + (1 - t) * 0.3::double) ** 2 / var)')} as f_out, {q6('0.25 * (1 - t)')} as f_denom,
+@query(f"""with {GRID}, v as (select vec_id, t, (1 - t) ** 2 * 1.5::double + t ** 2 * 2 + 2 * t * (1 - t) * 0.3::double + 0.25 * t * (1 - t) as var from g)
+  select vec_id, t, {q6('1 / sqrt(var)')} as c_in, {q6('(t * 2 + (1 - t) * 0.3::double) / var')} as f_skip, {q6('sqrt(2 - (t * 2 + (1 - t) * 0.3::double) ** 2 / var)')} as f_out, {q6('0.25 * (1 - t)')} as f_denom,
    {q6('((1 - t) * 1.5::double + t * 0.3::double) / var')} as r_skip, {q6('sqrt(1.5::double - ((1 - t) * 1.5::double + t * 0.3::double) ** 2 / var)')} as r_out, {q6('0.25 * t')} as r_denom from v""")
 def edm_coeffs(spark, sf_dir):
     f, r = (bridge.edm(bridge.Uniform(0.5), F.col("t"), 1.5, 2.0, 0.3, forward=x) for x in (True, False))
-    return grid(spark).select("t", r6(f["c_in"]).alias("c_in"), *[r6(d[k]).alias(f"{n}_{s}") for n, d in (("f", f), ("r", r)) for k, s in (("c_skip", "skip"), ("c_out", "out"), ("denom", "denom"))])
+    return grid(spark, sf_dir).select("vec_id", "t", r6(f["c_in"]).alias("c_in"), *[r6(d[k]).alias(f"{n}_{s}") for n, d in (("f", f), ("r", r)) for k, s in (("c_skip", "skip"), ("c_out", "out"), ("denom", "denom"))])
 
 
-@query(f"with {GRID} select t, {q6('sqrt(greatest(1 - t * t, 1e-6))')} as alpha, {q6('least(0.999::double, t)')} as sigma from g")
+@query(f"with {GRID} select vec_id, t, {q6('sqrt(greatest(1 - t * t, 1e-6))')} as alpha, {q6('least(0.999::double, t)')} as sigma from g")
 def vp_coeffs(spark, sf_dir):
     a, s = bridge.vp(F.col("t"))
-    return grid(spark).select("t", r6(a).alias("alpha"), r6(s).alias("sigma"))
+    return grid(spark, sf_dir).select("vec_id", "t", r6(a).alias("alpha"), r6(s).alias("sigma"))
 
 
-@query(f"with {GRID} select t, mode, {q6('w_text')} as w_text, {q6('w_image')} as w_image from (select t, 'equal' as mode, 0.5::double as w_text, 0.5::double as w_image from g union all select t, 'image_up', 1 - t, t from g union all select t, 'text_up', t, 1 - t from g)")
+@query(f"with {GRID} select vec_id, t, mode, {q6('w_text')} as w_text, {q6('w_image')} as w_image from (select vec_id, t, 'equal' as mode, 0.5::double as w_text, 0.5::double as w_image from g union all select vec_id, t, 'image_up', 1 - t, t from g union all select vec_id, t, 'text_up', t, 1 - t from g)")
 def repa_weights(spark, sf_dir):
     out = None
     for mode in ("equal", "image_up", "text_up"):
         a, b = bridge.repa_weights(F.col("t"), mode)
-        x = grid(spark).select("t", F.lit(mode).alias("mode"), r6(a).alias("w_text"), r6(b).alias("w_image"))
+        x = grid(spark, sf_dir).select("vec_id", "t", F.lit(mode).alias("mode"), r6(a).alias("w_text"), r6(b).alias("w_image"))
         out = x if out is None else out.union(x)
     return out
 
@@ -209,7 +210,7 @@ def cycle_metrics(spark, sf_dir):
     return x.agg(mse("f", "b").alias("forward_mse"), mse("r", "a").alias("reverse_mse"), mse("rf", "a").alias("cycle_start_mse"), mse("fr", "b").alias("cycle_end_mse"))
 
 
-@query("select x / 10.0::double as fraction, greatest(1, round_even(25 * (x / 10.0::double), 0))::int as steps from range(0, 11) as r(x)")
+@query("select vec_id, (vec_id % 11) / 10.0::double as fraction, greatest(1, round_even(25 * ((vec_id % 11) / 10.0::double), 0))::int as steps from embeddings")
 def nfe_scaling(spark, sf_dir):
-    f = spark.range(0, 11).select((F.col("id") / F.lit(10.0)).alias("fraction"))
-    return f.select("fraction", bridge.nfe(25, F.col("fraction")).alias("steps"))
+    f = vectors(spark, sf_dir).select("vec_id", ((F.col("vec_id") % 11) / F.lit(10.0)).alias("fraction"))
+    return f.select("vec_id", "fraction", bridge.nfe(25, F.col("fraction")).alias("steps"))

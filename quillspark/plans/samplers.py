@@ -85,10 +85,11 @@ def posterior_sample(spark, sf_dir):
     return summary(neighbours(spark, sf_dir).withColumn("g", normal(14, "post")).withColumn("x", vec.posterior(F.col("a"), F.col("b"), F.col("g"))), "x")
 
 
-@query("select t::int as token, p::int as slot, (t * 4 + p)::int as patch from range(16) as a(t), range(4) as b(p)")
+@query(f"with {E}, t as (select vec_id, e, unnest(range(16)) as token from e) select vec_id, token::int as token, token * 4 as first, {q6('e[token * 4 + 1] + e[token * 4 + 2] + e[token * 4 + 3] + e[token * 4 + 4]')} as total from t")
 def patch_positions(spark, sf_dir):
-    rows = spark.range(1).select(F.posexplode(vec.patch_positions(16, 4)).alias("token", "own"))
-    return rows.select("token", F.posexplode("own").alias("slot", "patch"))
+    """What each of a vector's 16 tokens owns, and the sum of it."""
+    rows = vectors(spark, sf_dir).select("vec_id", "e", F.posexplode(vec.patch_positions(16, 4)).alias("token", "own"))
+    return rows.select("vec_id", "token", F.get("own", F.lit(0)).cast("bigint").alias("first"), r6(vec.total(F.transform("own", lambda i: F.get("e", i)))).alias("total"))
 
 
 @query(f"""with {E}, {NEXT}, x as (select vec_id, list_sum(list_transform(range(64), lambda i: {gauss_sql(15, 'start', 'vec_id', 'i')})) as n, a, b from p)
@@ -113,10 +114,12 @@ def log_means(spark, sf_dir):
     return metrics.log_means(e, "day", "rank", "key", "value").select("day", "key", r6(F.col("mean")).alias("mean"), r6(F.col("worst")).alias("worst"), "straggler")
 
 
-@query("select 'eval/fid_cfg_' || s || '_' || m as name from (values ('0.0'), ('0.5')) as a(s), (values ('ode'), ('sde')) as b(m)")
+@query("select 'eval/' || event_type || '_cfg_' || (case event_id % 3 when 0 then '0.0' when 1 then '0.5' else '1.0' end) || '_' || (case when event_id % 2 = 0 then 'ode' else 'sde' end) as name, count(*) as n from events where event_type is not null group by name")
 def metric_keys(spark, sf_dir):
-    rows = spark.createDataFrame([(s, o) for s in (0.0, 0.5) for o in (True, False)], "s double, o boolean")
-    return rows.select(metrics.metric_key(F.lit("eval/fid"), F.col("s"), F.col("o")).alias("name"))
+    """Events counted under the name of a metric and the sampler that it would have been taken with."""
+    rows = table(spark, sf_dir, "events").filter("event_type is not null")
+    name = metrics.metric_key(F.concat(F.lit("eval/"), "event_type"), (F.col("event_id") % 3) / F.lit(2.0), F.col("event_id") % 2 == 0)
+    return rows.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
 
 
 @query(f"with {TOKENS} select doc_id, len(ids)::bigint as length from t where len(ids) <= 120 order by doc_id limit 40")
@@ -177,7 +180,8 @@ def think_stripped(spark, sf_dir):
     return c.select("conv_id", "turn", tokens.strip_thinking(said).alias("text"))
 
 
-@query("""select sha256('{"preset": "sd", "shard": ' || r || '}') as hash, r from range(3) as t(r)""")
+@query("""select event_id, sha256('{"preset": "' || event_type || '", "shard": ' || user_id || '}') as hash from events where event_type is not null and user_id is not null""")
 def config_hashes(spark, sf_dir):
-    """Settings that change speed alone don't change the hash."""
-    return spark.createDataFrame([(writers.config_hash({"shard": r, "preset": "sd", "batch_size": 10 * r}), r) for r in range(3)], "hash string, r bigint")
+    """Hashes of settings, one an event; those that change speed alone don't change the hash."""
+    rows = table(spark, sf_dir, "events").filter("event_type is not null and user_id is not null")
+    return rows.select("event_id", writers.settings_hash({"shard": F.col("user_id"), "batch_size": F.col("event_id"), "preset": F.col("event_type")}, text=("preset",)).alias("hash"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from quillspark.config import run_mode
 from quillspark.functions import bridge, det, vec
 from quillspark.operators import editing, simulate
-from quillspark.plans.base import E, q6, query, r6, vectors
-from quillspark.plans.process import GRID, T, components, grid, pinned, timed  # noqa: F401
+from quillspark.plans.base import E, q6, query, r6, table, vectors
+from quillspark.plans.process import T, components, pinned, timed
 from quillspark.plans.vectors import NEXT, gauss_sql, neighbours
 
 
@@ -23,10 +23,13 @@ def token_choice(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.concat_ws(" ", p.cast("array<string>")).alias("picked"))
 
 
-@query(f"""with c as (select r // 4 as row, r % 4 as col from range(16) as t(r)), d as (select row, col, unnest(list_concat(list_transform(range(4), lambda i: sin(col / pow(10000.0::double, i / 4.0::double))), list_transform(range(4), lambda i: cos(col / pow(10000.0::double, i / 4.0::double))),
-  list_transform(range(4), lambda i: sin(row / pow(10000.0::double, i / 4.0::double))), list_transform(range(4), lambda i: cos(row / pow(10000.0::double, i / 4.0::double))))) as v, unnest(range(16))::int as i from c) select row, col, i, {q6('v')} as v from d""")
+@query(f"""with {E}, c as (select vec_id, e, (vec_id % 16) // 4 as row, vec_id % 4 as col from e), w as (select vec_id, e, row, col, list_concat(list_transform(range(4), lambda i: sin(col / pow(10000.0::double, i / 4.0::double))), list_transform(range(4), lambda i: cos(col / pow(10000.0::double, i / 4.0::double))),
+  list_transform(range(4), lambda i: sin(row / pow(10000.0::double, i / 4.0::double))), list_transform(range(4), lambda i: cos(row / pow(10000.0::double, i / 4.0::double)))) as w from c) select vec_id, row, col, {q6('w[3]')} as third, {q6('list_inner_product(e[1:16], w)')} as product from w""")
 def position_table(spark, sf_dir):
-    return editing.position_table(spark, 4, 16).select("row", "col", F.posexplode("pos").alias("i", "v")).select("row", "col", "i", r6(F.col("v")).alias("v"))
+    """Each vector with its cell's position: the product of its first 16 components with it."""
+    e = vectors(spark, sf_dir).select("vec_id", "e", F.expr("(vec_id % 16) div 4").alias("row"), (F.col("vec_id") % 4).alias("col"))
+    held = e.join(F.broadcast(editing.position_table(spark, 4, 16)), ["row", "col"])  # 16 rows
+    return held.select("vec_id", "row", "col", r6(F.get("pos", F.lit(2))).alias("third"), r6(vec.dot(F.slice("e", 1, 16), F.col("pos"))).alias("product"))
 
 
 @query(f"""select vec_id, {q6('0.001::double + ' + uniform_sql(6, 'time', 'vec_id') + ' * 0.998::double')} as uniform, {q6('least(0.999::double, greatest(0.001::double, 1 / (1 + exp(-(' + gauss_sql(6, 'time', 'vec_id') + ')))))')} as logit_normal,
@@ -71,9 +74,12 @@ def edm_loss(spark, sf_dir):
     return x.select(editing.edm_loss(F.lit(0.5) * F.col("x"), F.col("x"), F.col("b"), c).alias("l")).agg(r6(F.avg("l")).alias("loss"))
 
 
-@query("select * from (values ('data2data', 1, 'd2d_single'), ('data2data', 2, 'd2d_two'), ('noise2data', 1, 'n2d_single'), ('noise2data', 2, 'n2d_two')) as t(process, models, mode)")
+@query("""select (case when event_id % 2 = 0 then 'd2d' else 'n2d' end) || (case when user_id % 2 = 0 then '_single' else '_two' end) as mode, count(*) as n from events where user_id is not null group by mode""")
 def run_modes(spark, sf_dir):
-    return spark.createDataFrame([(p, m, run_mode(p, m)) for p in ("data2data", "noise2data") for m in (1, 2)], "process string, models int, mode string")
+    """Runs by mode, a run an event: its process and its number of models from the ids."""
+    modes = spark.createDataFrame([(p, m, run_mode(p, m)) for p in ("data2data", "noise2data") for m in (1, 2)], "process string, models int, mode string")  # 4 rows
+    runs = table(spark, sf_dir, "events").filter("user_id is not null").select(F.when(F.col("event_id") % 2 == 0, "data2data").otherwise("noise2data").alias("process"), (F.lit(1) + F.col("user_id") % 2).cast("int").alias("models"))
+    return runs.join(F.broadcast(modes), ["process", "models"]).groupBy("mode").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {E}, {NEXT}, u as (select list_transform(a, lambda x: x / greatest(sqrt(list_inner_product(a, a)), 1e-12)) as a, list_transform(b, lambda x: x / greatest(sqrt(list_inner_product(b, b)), 1e-12)) as b from p), x as (select acos(greatest(-1, least(1, list_inner_product(a, b)))) as x from u)

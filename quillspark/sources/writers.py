@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.records import addressed
@@ -18,6 +18,13 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps({k: v for k, v in config.items() if k not in SPEED_ONLY}, sort_keys=True).encode()).hexdigest()
 
 
+def settings_hash(settings: dict[str, Column], text: tuple[str, ...] = ()) -> Column:
+    """config_hash of settings that stand in columns: whole numbers and, where named in text, ASCII strings."""
+    value = lambda k: F.regexp_extract(F.to_json(F.struct(settings[k].alias("x"))), r"^\{\"x\":(.*)\}$", 1) if k in text else settings[k].cast("string")
+    items = [F.concat(F.lit(json.dumps(k) + ": "), value(k)) for k in sorted(settings) if k not in SPEED_ONLY]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *items), F.lit("}")), 256)
+
+
 def guard(df_dir: str, spark, config: dict) -> None:
     """Writes the configuration on the first run; a later run with another content raises."""
     want = config_hash(config)
