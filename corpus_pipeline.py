@@ -7,7 +7,7 @@ them (no score, no links, no windows).
 1. toxicity      drops documents that the noisy-or model, learned from labels, scores at 0.5 or more
 2. near_dup      of each group linked at similarity 0.8 on five-word shingles only the smallest doc_id stays
 3. decontaminate drops documents that hold a benchmark item's template
-4. surrogates    replaces personal data by keyed surrogates
+4. surrogates    replaces personal data by keyed surrogates (the session's key; a session without one draws its own)
 5. pieces        SentencePiece ids (with end id) and the text decoded from them
 """
 
@@ -41,7 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _surrogates.replace(docs)
+    return _surrogates.replace(docs, _surrogates.session_key(spark, draw=True))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

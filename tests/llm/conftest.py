@@ -1,9 +1,14 @@
+import os
+
 import numpy as np
 import pytest
 
 from quillspark.llm import _common
 
 
+os.environ.setdefault("QUILLSPARK_SURROGATE_KEY", "a key of the tests")
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""

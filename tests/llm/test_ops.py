@@ -694,6 +694,83 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(seen.values())) == len(seen) and not set(seen) & set(seen.values())
 
 
+def test_possessives_and_untitled_repeats(spark):
+    (out, plain) = replaced(spark, "Mr. John Smith called. Mr Smith's dog and MR. SMITH'S cat; Smith is back, J. Smith too, SMITH. A smith, Smithson and Smith@example.com stay apart.", "Smith's dog and J. Smith")
+    first, last = re.match(r"Mr\. (\w+) (\w+) called", out).groups()
+    initial = re.search(r"back, (\w)\. ", out)[1]
+    assert initial != "J" and last != "Smith" and first != "John"
+    mail = re.search(r"\S+@\S+", out)[0]
+    assert out == f"Mr. {first} {last} called. Mr {last}'s dog and MR. {last.upper()}'S cat; {last} is back, {initial}. {last} too, {last.upper()}. A smith, Smithson and {mail} stay apart."
+    assert "Smith@" not in out and plain == "Smith's dog and J. Smith"
+
+
+def test_initials_are_no_shift():
+    cycles = set()
+    for key in ("a", "b", "c"):
+        order = sorted(map(chr, range(65, 91)), key=lambda c: hashlib.sha256(f"{key}|initial|{c}".encode()).digest())
+        cycles.add("".join(order))
+        assert len({(ord(order[(i + 1) % 26]) - ord(order[i])) % 26 for i in range(26)}) > 3
+    assert len(cycles) == 3
+
+
+def test_more_numbers_and_secrets(spark):
+    values = ["4155552671", "0044 20 7946 0958", "030 1234567", "123 45 6789", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "2001:db8::ff00:42:8329", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "fe80::1", "AIza" + "Sy4" * 11 + "Qz", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"]
+    outs = replaced(spark, *[f"see {v}, please" for v in values])
+    for v, out in zip(values, outs):
+        new = out[4:-8]
+        assert out.startswith("see ") and out.endswith(", please") and new != v and len(new) == len(v), (v, out)
+        assert re.sub(r"[0-9A-Za-z]", "x", new) == re.sub(r"[0-9A-Za-z]", "x", v) and (":" in v or new[:2].isdigit() == v[:2].isdigit())
+        if v[:2] in ("GB", "DE"):
+            a = new.replace(" ", "")
+            assert a[:2] == v[:2] and int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+    assert outs[1].startswith("see 0044 ")
+    stay = ["12:30:45 and 10:20", "a::b and std::vector", "AB12 CDEF GHIJ KLMN", "order 1234567890", "12,345,678.90 or 0.4155552671", "version 2.10.3", "item 100 2000 300 of 12 34 56", "GB83 WEST 1234 5698 7654 32", "2024-01-02 03:04:05"]
+    assert replaced(spark, *stay) == stay
+
+
+def test_one_number_in_many_forms(spark):
+    (out,) = replaced(spark, "4155552671 (415) 555-2671 +1 415 555 2671; 0044 20 7946 0958 +44 20 7946 0958")
+    a, b = out.split("; ")
+    assert len({re.sub(r"\D", "", x)[-10:] for x in (a[:10], a[11:25], a[26:])}) == 1
+    assert re.sub(r"\D", "", b[:17])[2:] == re.sub(r"\D", "", b[18:])
+
+
+def test_the_key_is_needed_and_decides(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "mail a.b@mail.example.com")], "doc_id long, text string")
+    monkeypatch.delenv(surrogates.VARIABLE)
+    with pytest.raises(ValueError, match="secret key"):
+        surrogates.replace(df)
+    one, two, again = (surrogates.replace(df, k).first()["text"] for k in ("k1", "k2", "k1"))
+    assert one == again != two
+    monkeypatch.setenv(surrogates.VARIABLE, "k2")
+    assert surrogates.replace(df).first()["text"] == two
+    monkeypatch.delenv(surrogates.VARIABLE)
+    try:
+        drawn = surrogates.session_key(spark, draw=True)
+        assert len(drawn) == 64 and surrogates.session_key(spark) == drawn
+    finally:
+        spark.conf.unset(surrogates.SETTING)
+
+
+def test_surrogates_are_one_to_one_over_a_corpus(spark):
+    """Every mention of an entity becomes the same, of different entities different things, over documents and forms."""
+    rng = np.random.default_rng(12)
+    first, last = ["John", "Jane", "Rosa", "Igor"], ["Smith", "Brown", "O'Neil", "Weber-Lang"]
+    rows = []
+    for i in range(60):
+        f, n, k = rng.choice(first), rng.choice(last), int(rng.integers(0, 12))
+        rows.append((i, f"Dr. {f} {n}|{n}|x{k}@mail.example.com|10.1.2.{k}|212 555 {1000 + k}|fe80::{k:x}"))
+    seen: dict = {}
+    for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        old, new = rows[r["doc_id"]][1].split("|"), r["text"].split("|")
+        assert new[0].split(" ", 2)[2] == new[1]
+        for kind, (a, b) in enumerate(zip([*old[0].split(" ")[1:], *old[1:]], [*new[0].split(" ")[1:], *new[1:]])):
+            assert seen.setdefault((min(kind, 2) if kind < 3 else kind, a), b) == b and a != b
+    for kind in range(7):
+        mine = [b for (k, _), b in seen.items() if k == kind]
+        assert len(mine) == len(set(mine))
+
+
 # 10
 
 
