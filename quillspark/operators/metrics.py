@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import vec
 from quillspark.operators import tokens
 from quillspark.operators.indexing import dense_index
+from quillspark.session import stage
 
 PAIR_BLOCK = 2048  # rows a side of one pairwise block
 FEW = 20_000  # values that a quantile's last cell may hold
+SHARE = 200  # an n-gram of one reference in so many is common
+STEP = 18  # bits by which a cell of doubles is cut further
 
 
 # ---------------------------------------------------------------- edits
@@ -116,120 +119,96 @@ def frechet(df: DataFrame, column: str, dim: int) -> float:
 # ---------------------------------------------------------------- pairwise, in blocks
 
 
-def _pair_blocks(df: DataFrame, n: int) -> DataFrame:
-    """Rows dealt to blocks; every unordered pair of blocks is one group."""
-    blocks = max(1, -(-n // PAIR_BLOCK))
-    placed = df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    return placed.withColumn("p", F.least("_b", "_o")).withColumn("q", F.greatest("_b", "_o"))
+def _met_blocks(df: DataFrame, n: int) -> DataFrame:
+    """Every unordered pair of blocks of rows (side, id, e) as one staged row: (same, u, us, v, vs), vectors and sides packed.
 
-
-def _distances(table: pa.Table):
-    """Distances, pair mask (each unordered pair once, i < j) and sides of one group."""
-    x = np.asarray(table.column("e").combine_chunks().flatten()).reshape(table.num_rows, -1)
-    side, b = table.column("side").to_numpy(), table.column("_b").to_numpy()
-    same = table.column("p")[0].as_py() == table.column("q")[0].as_py()
-    first = np.flatnonzero(b == table.column("p")[0].as_py())
-    second = first if same else np.flatnonzero(b != table.column("p")[0].as_py())
-    u, v = x[first], x[second]
-    d2 = np.zeros((len(u), len(v)))
-    for k in range(x.shape[1]):  # plain differences: no cancellation
-        d2 += (u[:, k][:, None] - v[:, k][None, :]) ** 2
-    mask = np.triu(np.ones(d2.shape, bool), 1) if same else np.ones(d2.shape, bool)
-    return d2, mask, side[first], side[second], same
-
-
-def rbf_mmd(df: DataFrame) -> float:
-    """Squared discrepancy (V-statistic) of sides 0 and 1 of (side, id, e); bandwidth: lower median of non-zero distances."""
-    counts = {r["side"]: r["n"] for r in df.groupBy("side").agg(F.count("*").alias("n")).collect()}
-    n = sum(counts.values())
-    held = _pair_blocks(df, n)
-    group = held.groupBy("p", "q")
-    top = 2.0 * float(df.agg(F.max(vec.norm(F.col("e")))).first()[0]) + 1e-9
-
-    def cells(low: float, high: float, bins: int):
-        def run(table: pa.Table) -> pa.Table:
-            d2, mask, *_ = _distances(table)
-            d = np.sqrt(d2[mask & (d2 > 0)])
-            at, count = np.unique(np.where(d < low, -1, np.where(d > high, bins, np.floor((d - low) / (high - low) * bins))).clip(-1, bins).astype(np.int64), return_counts=True)
-            return pa.table({"cell": at, "n": count})
+    Rows are packed by block once; the pairs are dealt by one shuffle, and all passes read what it wrote.
+    """
+    blocks = max(1, -(-n // PAIR_BLOCK), min(8, -(-n // 256)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy())
+        x = np.asarray(table.column("e").combine_chunks().flatten(), float).reshape(table.num_rows, -1)[order]
+        return pa.table({"b": table.column("b")[:1], "x": [x.tobytes()], "s": [table.column("side").to_numpy()[order].astype(np.int64).tobytes()]})
+
+    held = df.select("side", "id", "e", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(pack, "b bigint, x binary, s binary")
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    met = held.withColumn("o", every).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), F.struct("b", "x", "s").alias("one"))
+    pair = met.groupBy("p", "q").agg(F.min("one").alias("u"), F.max("one").alias("v"))  # a row or two a pair
+    return stage(pair.select((F.col("p") == F.col("q")).alias("same"), F.col("u.x").alias("u"), F.col("u.s").alias("us"), F.col("v.x").alias("v"), F.col("v.s").alias("vs")).filter("same or u <> v").repartition(min(blocks * (blocks + 1) // 2, 4096)))
+
+
+def _distances(batches):
+    """(squared distances, pair mask, sides) of each pair of blocks, each unordered pair of rows once."""
+    for b in batches:
+        for r in b.to_pylist():
+            s1, s2 = np.frombuffer(r["us"], np.int64), np.frombuffer(r["vs"], np.int64)
+            u, v = np.frombuffer(r["u"]).reshape(len(s1), -1), np.frombuffer(r["v"]).reshape(len(s2), -1)
+            d2 = np.zeros((len(u), len(v)))
+            for k in range(u.shape[1]):  # plain differences: no cancellation
+                d2 += (u[:, k][:, None] - v[:, k][None, :]) ** 2
+            yield d2, np.triu(np.ones(d2.shape, bool), 1) if r["same"] else np.ones(d2.shape, bool), s1, s2
+
+
+def _median_distance(met: DataFrame) -> float | None:
+    """Lower median of the non-zero distances: counts by leading bits of the doubles, which order as the numbers do, then the values of one cell."""
+
+    def cells(bits: int, above: int | None):
+        def run(batches):
+            for d2, mask, *_ in _distances(batches):
+                whole = np.sqrt(d2[mask & (d2 > 0)]).view(np.int64)
+                if above is not None:
+                    whole = whole[whole >> (64 - bits + STEP) == above]
+                at, n = np.unique(whole >> (64 - bits), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["cell", "n"])
 
         return run
 
-    def inside(low: float, high: float, bins: int, cell: int):
-        def run(table: pa.Table) -> pa.Table:
-            d2, mask, *_ = _distances(table)
-            d = np.sqrt(d2[mask & (d2 > 0)])
-            return pa.table({"d": d[np.floor((d - low) / (high - low) * bins).astype(np.int64) == cell]})
+    def inside(bits: int, cell: int):
+        def run(batches):
+            for d2, mask, *_ in _distances(batches):
+                d = np.sqrt(d2[mask & (d2 > 0)])
+                yield pa.RecordBatch.from_arrays([pa.array(d[d.view(np.int64) >> (64 - bits) == cell])], names=["d"])
 
         return run
 
-    low, high, bins = 0.0, top, 4096
+    rank, above, bits = None, None, 28
     while True:
-        got = {r["cell"]: r["n"] for r in group.applyInArrow(cells(low, high, bins), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-        total = sum(got.values())
-        if not total:
-            sigma = 1.0
-            break
-        rank, seen = (total - 1) // 2, 0
-        for cell in sorted(got):
-            if seen + got[cell] > rank:
+        got = sorted((r["cell"], r["n"]) for r in met.mapInArrow(cells(bits, above), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect())
+        if not got:
+            return None
+        rank = (sum(n for _, n in got) - 1) // 2 if rank is None else rank
+        for cell, n in got:
+            if rank < n:
                 break
-            seen += got[cell]
-        a, b = low + (high - low) * cell / bins, low + (high - low) * (cell + 1) / bins
-        if got[cell] <= FEW or b - a < 1e-13:
-
-            values = sorted(r["d"] for r in group.applyInArrow(inside(low, high, bins, cell), "d double").collect()) if got[cell] <= FEW else [a] * (rank - seen + 1)
-            sigma = max(values[rank - seen], 1e-6)
-            break
-        low, high = a, b
+            rank -= n
+        if n <= FEW:
+            return sorted(r["d"] for r in met.mapInArrow(inside(bits, cell), "d double").collect())[rank]
+        if bits == 64:
+            return float(np.array([cell], np.int64).view(np.float64)[0])
+        above, bits = cell, bits + STEP
+
+
+def rbf_mmd(df: DataFrame) -> float:
+    """Squared discrepancy (V-statistic) of sides 0 and 1 of (side, id, e); bandwidth: lower median of non-zero distances."""
+    counts = {r["side"]: r["n"] for r in df.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    met = _met_blocks(df, sum(counts.values()))
+    median = _median_distance(met)
+    sigma = 1.0 if median is None else max(median, 1e-6)
     gamma = 1.0 / (2 * sigma * sigma)
 
-    def sums(table: pa.Table) -> pa.Table:
-        d2, mask, s1, s2, same = _distances(table)
-        k = np.exp(-gamma * d2) * mask
-        out = [float(k[np.ix_(s1 == a, s2 == a)].sum()) for a in (0, 1)]
-        cross = float(k[np.ix_(s1 == 0, s2 == 1)].sum() + k[np.ix_(s1 == 1, s2 == 0)].sum())
-        return pa.table({"xx": [out[0]], "yy": [out[1]], "xy": [cross]})
+    def sums(batches):
+        for d2, mask, s1, s2 in _distances(batches):
+            k = np.exp(-gamma * d2) * mask
+            own = [float(k[np.ix_(s1 == a, s2 == a)].sum()) for a in (0, 1)]
+            cross = float(k[np.ix_(s1 == 0, s2 == 1)].sum() + k[np.ix_(s1 == 1, s2 == 0)].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*own, cross)], names=["xx", "yy", "xy"])
 
-    s = group.applyInArrow(sums, "xx double, yy double, xy double").agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
+    s = met.mapInArrow(sums, "xx double, yy double, xy double").agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
     nx, ny = counts.get(0, 0), counts.get(1, 0)
     return (2 * s["xx"] + nx) / nx**2 + (2 * s["yy"] + ny) / ny**2 - 2 * s["xy"] / (nx * ny)
 
 
-def nearest(queries: DataFrame, reference: DataFrame) -> DataFrame:
-    """(query_id, ref_id, d2) of the nearest reference row, ties to the smaller id. queries (query_id, q), reference (ref_id, e).
-
-    A block of queries meets a shard of reference rows in one task; each sends back one row a query.
-    """
-    shards = max(1, -(-reference.count() // 8192))
-    blocks = max(1, -(-queries.count() // 4096))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("s", every(shards))
-    right = reference.withColumn("s", F.pmod(F.xxhash64("ref_id"), F.lit(shards))).withColumn("b", every(blocks))
-    schema = pa.schema([("query_id", pa.int64()), ("ref_id", pa.int64()), ("d2", pa.float64())])
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        b = b.sort_by("ref_id")
-        q = np.asarray(a.column("q").combine_chunks().flatten()).reshape(a.num_rows, -1)
-        r = np.asarray(b.column("e").combine_chunks().flatten()).reshape(b.num_rows, -1)
-        best, at = np.full(len(q), np.inf), np.zeros(len(q), np.int64)
-        for i in range(0, len(r), 512):
-            part = r[i : i + 512]
-            d2 = np.zeros((len(q), len(part)))
-            for k in range(q.shape[1]):
-                d2 += (q[:, k][:, None] - part[:, k][None, :]) ** 2
-            j = d2.argmin(axis=1)
-            d = d2[np.arange(len(q)), j]
-            better = d < best
-            best[better], at[better] = d[better], i + j[better]
-        return pa.table({"query_id": a.column("query_id").to_numpy(), "ref_id": b.column("ref_id").to_numpy()[at], "d2": best}, schema=schema)
-
-    found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInArrow(lambda a, b: run(a, b), "query_id bigint, ref_id bigint, d2 double")
-    return found.groupBy("query_id").agg(F.min(F.struct("d2", "ref_id")).alias("m")).select("query_id", "m.ref_id", "m.d2")
-
-
 # ---------------------------------------------------------------- text
 
 
@@ -246,20 +225,25 @@ def bigram_perplexity(docs: DataFrame) -> DataFrame:
 
 
 def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
-    """(pair_id, score): TF-IDF cosine of n-grams, averaged over n, times 10. pairs: pair_id, ref, hyp; idf over all refs."""
+    """(pair_id, score): TF-IDF cosine of n-grams, averaged over n, times 10. pairs: pair_id, ref, hyp; idf over all refs.
+
+    n-grams travel as pairs of 64-bit hashes. The document frequencies of the common ones (a reference in SHARE has them) are few, and broadcast;
+    only the others meet their frequencies by a shuffle, so no key of it is held by more than that share of the references.
+    """
     total = pairs.count()
-    grams = None
-    for side in ("ref", "hyp"):
-        w = pairs.select("pair_id", F.lit(side).alias("side"), tokens.words(F.col(side)).alias("w"))
-        for n in range(1, top + 1):
-            windows = F.expr(f"case when size(w) >= {n} then transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')) else array() end")
-            g = w.select("pair_id", "side", F.lit(n).alias("n"), F.explode(windows).alias("g"))
-            grams = g if grams is None else grams.union(g)
-    tf = grams.groupBy("pair_id", "n", "g").agg(F.sum((F.col("side") == "ref").cast("bigint")).alias("r"), F.sum((F.col("side") == "hyp").cast("bigint")).alias("h"))
-    df = tf.filter("r > 0").groupBy("n", "g").agg(F.count("*").alias("df"))
+    w = pairs.select("pair_id", tokens.words(F.col("ref")).alias("ref"), tokens.words(F.col("hyp")).alias("hyp"))
+    spans = lambda side: F.flatten(F.array(*[F.expr(f"case when size({side}) >= {n} then transform(sequence(1, size({side}) - {n - 1}), i -> named_struct('n', {n}, 'g', array_join(slice({side}, i, {n}), ' '), 'side', '{side}')) else array() end") for n in range(1, top + 1)]))
+    sizes = [F.struct(F.size("ref").alias("ref"), F.size("hyp").alias("hyp")).alias("sizes")]
+    grams = w.select("pair_id", *sizes, F.explode(F.concat(spans("ref"), spans("hyp"))).alias("x")).select("pair_id", "sizes", "x.n", "x.side", F.xxhash64("x.g").alias("g"), F.hash("x.g").alias("g2"))
+    tf = stage(grams.groupBy("pair_id", "sizes", "n", "g", "g2").agg(F.sum((F.col("side") == "ref").cast("bigint")).alias("r"), F.sum((F.col("side") == "hyp").cast("bigint")).alias("h")))
+    df = stage(tf.filter("r > 0").groupBy("n", "g", "g2").agg(F.count("*").alias("df")))
+    keys, common = ["n", "g", "g2"], F.col("df") * SHARE >= F.lit(total)
+    often, seldom = df.filter(common), df.filter(~common)
+    near = tf.join(F.broadcast(often), keys, "left")  # at most SHARE times the n-grams of a mean reference
+    known, rest = near.filter("df is not null"), near.filter("df is null").drop("df").join(seldom, keys, "left")
     weight = F.log(F.lit(float(total)) / F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
-    size = Window.partitionBy("pair_id", "n")  # the n-grams of one pair
-    x = tf.join(df, ["n", "g"], "left").withColumn("gr", F.col("r") / F.greatest(F.lit(1), F.sum("r").over(size)) * weight).withColumn("gh", F.col("h") / F.greatest(F.lit(1), F.sum("h").over(size)) * weight)
+    of = lambda side: F.greatest(F.lit(1), F.col("sizes")[side] - F.col("n") + 1)
+    x = known.unionByName(rest).withColumn("gr", F.col("r") / of("ref") * weight).withColumn("gh", F.col("h") / of("hyp") * weight)
     by = x.groupBy("pair_id", "n").agg(F.sum(F.col("gr") * F.col("gh")).alias("d"), F.sqrt(F.sum(F.col("gr") * F.col("gr"))).alias("a"), F.sqrt(F.sum(F.col("gh") * F.col("gh"))).alias("b"))
     score = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / (F.col("a") * F.col("b"))).otherwise(F.lit(0.0))
     scored = by.groupBy("pair_id").agg((F.sum(score) / F.lit(float(top)) * 10).alias("score"))

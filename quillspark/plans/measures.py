@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import vec
 from quillspark.operators import metrics, tokens
 from quillspark.operators.linear import principal, singular_values, sparse_svd
+from quillspark.operators.neighbours import nearest
 from quillspark.plans.base import E, q6, query, r6, table, vectors
 from quillspark.plans.vectors import NEXT, neighbours
 
@@ -24,7 +25,7 @@ def rbf_mmd(spark, sf_dir):
 def knn_label_acc(spark, sf_dir):
     e = vectors(spark, sf_dir)
     q, r = e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1")
-    near = metrics.nearest(q.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), r.select(F.col("vec_id").alias("ref_id"), "e"))
+    near = nearest(q.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), r.select(F.col("vec_id").alias("ref_id"), "e"))
     labels = near.join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(r.select(F.col("vec_id").alias("ref_id"), F.col("label").alias("b")), "ref_id")
     return labels.agg(r6(F.avg((F.col("a") == F.col("b")).cast("double"))).alias("accuracy"), F.count("*").alias("n"))
 
@@ -144,7 +145,7 @@ def ema_series(spark, sf_dir):
   s as (select q.vec_id, arg_min(token_id, (round(list_distance(q.u, v.u) ** 2, 9), token_id)) as token_id from q, v group by q.vec_id) select vec_id, token_id from s""")
 def snap_nearest(spark, sf_dir):
     u = vectors(spark, sf_dir).select("vec_id", vec.normalise(F.col("e")).alias("e"))
-    near = metrics.nearest(u.filter("vec_id >= 100").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), u.filter("vec_id < 100").select(F.col("vec_id").alias("ref_id"), "e"))
+    near = nearest(u.filter("vec_id >= 100").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), u.filter("vec_id < 100").select(F.col("vec_id").alias("ref_id"), "e"))
     return near.select(F.col("query_id").alias("vec_id"), F.col("ref_id").alias("token_id"))
 
 
