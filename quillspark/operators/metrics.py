@@ -215,11 +215,13 @@ def rbf_mmd(df: DataFrame) -> float:
 def bigram_perplexity(docs: DataFrame) -> DataFrame:
     """(n_tokens, perplexity) of next-word targets under an add-one bigram model of the same documents."""
     w = docs.select(tokens.words(F.col("text")).alias("w")).filter(F.size("w") >= 2)
-    grams = w.select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] as a, w[i + 1] as b))")).alias("g"))
+    # the last word of a text stands without a next one, so the pairs hold every word as their first
+    grams = w.select(F.explode(F.expr("transform(sequence(0, size(w) - 1), i -> struct(w[i] as a, get(w, i + 1) as b))")).alias("g"))
     pair = grams.groupBy("g.a", "g.b").agg(F.count("*").alias("n"))
     # the sum of n log((n + 1) / (c + size)) splits into one over pairs and one over contexts: no join
-    context = pair.groupBy("a").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.log(F.col("n") + 1.0)).alias("s"))
-    size = w.select(F.explode("w").alias("x")).distinct().count()
+    real = F.when(F.col("b").isNotNull(), F.col("n"))
+    context = stage(pair.groupBy("a").agg(F.coalesce(F.sum(real), F.lit(0)).alias("c"), F.coalesce(F.sum(real * F.log(real + 1.0)), F.lit(0.0)).alias("s")))
+    size = context.count()
     nll = F.sum(F.col("c") * F.log(F.col("c") + F.lit(float(size)))) - F.sum("s")
     return context.agg(F.sum("c").alias("n_tokens"), F.exp(nll / F.sum("c")).alias("perplexity"))
 

@@ -106,9 +106,10 @@ WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[\\x20\\x09-\\x0D
 
 @query(f"""with w as (select {WORDS.format(t='text')} as w from documents), v as (select w from w where len(w) >= 2), g as (select unnest(w[1 : len(w) - 1]) as a, unnest(w[2:]) as b from v),
   p as (select a, b, count(*) as n from g group by a, b), c as (select a, sum(n) as c from p group by a), z as (select count(distinct x) as v from (select unnest(w) as x from v))
-  select sum(n)::bigint as n_tokens, {q6('exp(sum(n * -ln((n + 1.0::double) / (c + v))) / sum(n))')} as perplexity from p join c using (a), z""")
+  select sum(n)::bigint as n_tokens, round(exp(sum(n * -ln((n + 1.0::double) / (c + v))) / sum(n)), 3) as perplexity from p join c using (a), z""")
 def ngram_perplexity(spark, sf_dir):
-    return metrics.bigram_perplexity(table(spark, sf_dir, "documents")).select("n_tokens", r6(F.col("perplexity")).alias("perplexity"))
+    """Three decimals: of a value of five digits the order of summation leaves no more."""
+    return metrics.bigram_perplexity(table(spark, sf_dir, "documents")).select("n_tokens", F.round("perplexity", 3).alias("perplexity"))
 
 
 @query(f"""with {TURNS}, w as (select conv_id * 1000 + turn as pair_id, {WORDS.format(t='ref')} as r, {WORDS.format(t='hyp')} as h from t), k as (select unnest(range(1, 5)) as n),
