@@ -1,8 +1,9 @@
 """Near-duplicates of embeddings by cosine: a navigable small-world graph a shard, every shard asked, links verified.
 
-1. Vectors are dealt to shards by a hash of their id; a shard holds at most SHARD_ROWS rows and SHARD_BYTES. Each shard's graph
-   is built once and staged. Rows within half the linking angle of a node are that node's members (a ball): any two of
-   a ball are linked, so a group of copies is few nodes, and its links inside a ball need no look.
+1. Vectors are dealt to shards by a hash of their id; a shard holds about SHARD_ROWS rows and SHARD_BYTES. Every shard is asked
+   by all rows, so few large shards mean less work. Each shard's graph is built once and staged. Rows within half the
+   linking angle of a node are that node's members (a ball): any two of a ball are linked, so a group of copies is few
+   nodes, and its links inside a ball need no look.
 2. Every two shards meet (and each meets itself): the nodes of one ask the graph of the other for all nodes whose balls may hold a
    linked pair. A beam that is full of such nodes is doubled, at last all nodes are looked at. Each meeting audits its
    recall: up to AUDIT of its own queries against all nodes, and as many probes turned from nodes by just the linking
@@ -32,7 +33,7 @@ from quillspark.llm.components import components
 from quillspark.llm.hnsw import Graph
 from quillspark.llm.kd_search import _matrix
 
-SHARD_ROWS, SHARD_BYTES, LEAST_ROWS = 16384, 32 << 20, 4096
+SHARD_ROWS, SHARD_BYTES = 32768, 32 << 20
 BEAM, AUDIT, RECALL = 32, 64, 0.99
 #: Angles closer than this to a bound are not decided by it.
 MARGIN = 1e-6
@@ -204,11 +205,11 @@ def usable(rows: DataFrame) -> DataFrame:
 
 def near_vectors(rows: DataFrame, cosine: float = 0.95) -> DataFrame:
     """rows: vec_id, embedding. vec_id, n_links, component_id (smallest linked vec_id), kept, for every row."""
-    spark = C.tune(rows.sparkSession)
+    C.tune(rows.sparkSession)
     vectors = C.stage(usable(rows).withColumn("dim", F.size("v")))
     per = vectors.groupBy("dim").agg(F.count("*").alias("n"))
     fit = F.greatest(F.lit(1), F.least(F.lit(SHARD_ROWS), F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim")))))
-    per = C.stage(per.select("dim", F.greatest(F.ceil(F.col("n") / fit), F.least(F.lit(C.parts(spark)), F.ceil(F.col("n") / LEAST_ROWS))).cast("bigint").alias("shards")))
+    per = C.stage(per.select("dim", F.ceil(F.col("n") / fit).cast("bigint").alias("shards")))
     dealt = vectors.join(per, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
     graphs = C.stage(dealt.select("dim", "shard", "vec_id", "v").groupBy("dim", "shard").applyInArrow(_build(cosine), "dim int, shard bigint, body binary"))
     other = F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)
