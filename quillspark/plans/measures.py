@@ -10,6 +10,8 @@ from quillspark.operators.linear import principal, singular_values, sparse_svd
 from quillspark.operators.neighbours import nearest
 from quillspark.plans.base import E, q6, query, r6, table, vectors
 from quillspark.plans.vectors import NEXT, neighbours
+from quillspark.session import scratch, stage
+from quillspark.streaming import watchdog
 
 
 @query(f"""with {E}, s as (select label % 2 as side, vec_id as id, e from e), d as (select a.side as s, b.side as r, a.id as i, b.id as j, list_distance(a.e, b.e) as d from s a, s b),
@@ -137,6 +139,21 @@ def watchdog_runs(spark, sf_dir):
     return metrics.slow_runs(d, "step", "v", d.agg(F.avg("v")).first()[0], 2)
 
 
+@query("""with d as (select event_type as series, dayofyear(ts)::bigint as step, count(*)::double as v from events where event_type is not null and ts is not null group by 1, 2),
+  m as (select *, v < (select avg(v) from d) as slow from d), g as (select *, sum((not slow)::int) over (partition by series order by step) as g from m), r as (select series, step, min(step) over (partition by series, g) as first_step, row_number() over (partition by series, g order by step) as length from g where slow)
+  select series, step, first_step, length from r where length >= 2""")
+def watchdog_stream(spark, sf_dir):
+    """Daily counts by type as a stream in three parts, a run of the watchdog after each."""
+    base = scratch(spark)
+    e = table(spark, sf_dir, "events").filter("event_type is not null and ts is not null")
+    d = stage(e.groupBy(F.col("event_type").alias("series"), F.dayofyear("ts").cast("bigint").alias("step")).agg(F.count("*").cast("double").alias("value")))
+    mean, low, high = d.agg(F.avg("value"), F.min("step"), F.max("step")).first()
+    for k in range(3):
+        d.filter(F.floor((F.col("step") - low) * 3 / (high - low + 1)) == k).write.mode("append").parquet(f"{base}/in")
+        watchdog.watch(spark, f"{base}/in", f"{base}/out", f"{base}/progress", mean, 2)
+    return spark.read.parquet(f"{base}/out").select("series", "step", "first_step", "length")
+
+
 @query(f"with recursive {DAILY}, o as (select v, row_number() over (order by step) as i from d), s as (select i, v as ema from o where i = 1 union all select o.i, 0.9::double * s.ema + 0.1::double * o.v from s join o on o.i = s.i + 1) select {q6('ema')} as ema, i as n from s order by i desc limit 1")
 def ema_series(spark, sf_dir):
     return metrics.ema(daily(spark, sf_dir), "step", "v", 0.9).select(r6(F.col("ema")).alias("ema"), "n")
