@@ -8,7 +8,7 @@ from quillspark.config import geometry_fits
 from quillspark.operators import records
 from quillspark.plans.base import query, table
 from quillspark.session import scratch
-from quillspark.sources import readers, writers
+from quillspark.sources import committed, readers, writers
 from quillspark.streaming import archives, ingest
 
 
@@ -169,6 +169,17 @@ def sharded_write(spark, sf_dir):
     return back.groupBy(F.col("shard_id").cast("bigint").alias("shard_id")).agg(F.count("*").alias("n"), F.sum("local_row").alias("local"))
 
 
+@query("select doc_id % 5 as part, count(*) as n, sum(doc_id)::bigint as total from documents where doc_id is not null group by 1")
+def committed_write(spark, sf_dir):
+    """A writer that stopped between a part's rows and its commit shows nothing of them; the next run completes the table."""
+    path, docs = scratch(spark), table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(5)).alias("part")).filter("doc_id is not null")
+    parts = [(f"p{k}", lambda k=k: docs.filter(F.col("part") == k)) for k in range(5)]
+    committed.write_parts(spark, path, parts[:2])
+    committed.attempt(docs.filter("part = 2"), path, "p2")  # never committed
+    committed.write_parts(spark, path, parts)
+    return committed.read(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
+
+
 @query("""with p as (select p_partkey, 4 * (1 + p_partkey % 2) as channels, p_size as side, 1 + p_partkey % 4 as patch, 2 * (1 + p_partkey % 3) * (1 + p_partkey % 4) as dim from part), t as (select *, channels * side * side // dim as tokens from p)
   select p_partkey, (tokens >= 1 and side % patch = 0 and tokens * dim = channels * side * side and ((patch * patch * channels) % dim = 0 or dim % (patch * patch * channels) = 0)) as fits from t""")
 def bridge_geometries(spark, sf_dir):

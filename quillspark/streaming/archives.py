@@ -15,36 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from quillspark.session import attach
+from quillspark.sources.files import located, read_text, replace_text
 from quillspark.sources.readers import archive_files, pair_members
 from quillspark.streaming.ingest import exactly_once
 
 SCHEMA = "archive string, place int, key string, caption_type string, caption string, image binary, reason string"
 
 
-def _file(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _read(path: str) -> str | None:
-    system, inner = _file(path)
-    try:
-        with system.open_input_stream(inner, compression=None) as stream:
-            return stream.read().decode()
-    except FileNotFoundError:
-        return None
-
-
-def _write(path: str, text: str) -> None:
-    """Beside the place first, then moved there: a reader sees the old or the new text."""
-    system, inner = _file(path)
-    system.create_dir(inner.rsplit("/", 1)[0])
-    with system.open_output_stream(f"{inner}.new", compression=None) as out:
-        out.write(text.encode())
-    system.move(f"{inner}.new", inner)
-
-
 class Archive(InputPartition):
     def __init__(self, place: int, path: str):
         self.place, self.path = place, path
@@ -57,7 +34,7 @@ class ArchiveReader(DataSourceStreamReader):
         self.manifest, self.progress, self.step = options["manifest"], options["progress"], int(options.get("per_batch", "16"))
 
     def _names(self) -> list[str]:
-        held = _read(self.manifest)
+        held = read_text(self.manifest)
         if held is None:
             raise FileNotFoundError(f"no manifest {self.manifest}")
         return held.split("\n")[:-1]
@@ -66,13 +43,13 @@ class ArchiveReader(DataSourceStreamReader):
         return {"archives": 0}
 
     def latestOffset(self) -> dict:
-        held = _read(self.progress)
+        held = read_text(self.progress)
         offered, there = int(json.loads(held)["archives"]) if held else 0, len(self._names())
         if there < offered:
             raise ValueError(f"the manifest has {there} archives; {offered} were read: it may only grow")
         if getattr(self, "settled", True) and offered < there:  # the last offer has become a batch
             offered, self.settled = min(there, offered + self.step), False
-            _write(self.progress, json.dumps({"archives": offered}))
+            replace_text(self.progress, json.dumps({"archives": offered}))
         return {"archives": offered}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
@@ -85,7 +62,7 @@ class ArchiveReader(DataSourceStreamReader):
 
     def read(self, partition: Archive) -> Iterator[tuple]:
         """Records of an archive; what can't be read is a record with a reason. A file system that fails raises, to be tried again."""
-        system, inner = _file(partition.path)
+        system, inner = located(partition.path)
         with system.open_input_stream(inner, compression=None) as stream:
             try:
                 for record in pair_members(stream):
@@ -108,12 +85,12 @@ class ArchiveSource(DataSource):
 
 def freeze(spark: SparkSession, path: str, manifest: str, splits: list[str] | None = None, extend: bool = False) -> int:
     """Lists the archives below path in the manifest, once and for all; extend adds those that are new at its end. Their number."""
-    held = _read(manifest)
+    held = read_text(manifest)
     names = held.split("\n")[:-1] if held else []
     if held is None or extend:
         known = set(names)
         names += [n for n in archive_files(spark, path, splits) if n not in known]
-        _write(manifest, "".join(f"{n}\n" for n in names))
+        replace_text(manifest, "".join(f"{n}\n" for n in names))
     return len(names)
 
 
