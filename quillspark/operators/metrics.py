@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import vec
 from quillspark.operators import tokens
 from quillspark.operators.indexing import dense_index
+from quillspark.operators.quantiles import order_statistics
 from quillspark.session import stage
 
 PAIR_BLOCK = 2048  # rows a side of one pairwise block
@@ -47,21 +48,23 @@ def time_embedding(t: Column, dim: int, time_scale: float = 1000.0) -> Column:
 
 
 def robust_limits(df: DataFrame, column: str, pad: float, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """Padded interpolated quantiles by component, from neighbouring order statistics (rank error at most 1e-6 of the rows)."""
-    rows = df.select(F.posexplode(column).alias("pos", "v"))
-    n = df.count()
-    out = rows.groupBy("pos")
-    if n < 20:
-        out = out.agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    else:
-        ranks = [p * (n - 1) for p in (low, high)]
-        points = [(k + 0.5) / n for r in ranks for k in (math.floor(r), math.ceil(r))]
-        out = out.agg(F.percentile_approx("v", points, 1_000_000).alias("q"))
-        share = [r - math.floor(r) for r in ranks]
-        q = [F.get("q", F.lit(i)) for i in range(4)]
-        out = out.select("pos", (q[0] + (q[1] - q[0]) * F.lit(share[0])).alias("a"), (q[2] + (q[3] - q[2]) * F.lit(share[1])).alias("b"))
-    width = F.greatest(F.col("b") - F.col("a"), F.lit(1e-6))
-    return out.select("pos", (F.col("a") - F.lit(pad) * width).alias("low"), (F.col("b") + F.lit(pad) * width).alias("high"))
+    """(pos, low, high): padded interpolated quantiles by component, from exact order statistics; of fewer than 20 values the least and greatest."""
+    first = df.select(F.size(column).alias("n")).filter("n > 0").first()  # vectors are of one length
+    dim = first["n"] if first else 0
+
+    def ranks(n: int) -> list[int]:
+        wanted = [p * (n - 1) for p in (low, high)] if n >= 20 else [0, max(0, n - 1)]
+        return [k for r in wanted for k in (math.floor(r), math.ceil(r))]
+
+    counts, q = order_statistics(df, column, dim, ranks) if dim else ([], [])
+    rows = []
+    for pos, (n, v) in enumerate(zip(counts, q)):
+        if n:
+            share = [p * (n - 1) - math.floor(p * (n - 1)) if n >= 20 else 0.0 for p in (low, high)]
+            a, b = v[0] + (v[1] - v[0]) * share[0], v[2] + (v[3] - v[2]) * share[1]
+            width = max(b - a, 1e-6)
+            rows.append((pos, float(a - pad * width), float(b + pad * width)))
+    return df.sparkSession.createDataFrame(rows, "pos int, low double, high double")  # a row a component
 
 
 def mean_std(value: Column) -> tuple[Column, Column]:
