@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import det, vec
 from quillspark.operators import indexing, pairing, records, tokens
 from quillspark.plans.base import E, q6, query, r6, table, vectors
+from quillspark.sources import layouts
 
 CELLS = """cells as (select event_id, user_id, day(ts)::double as t, event_type, props from events
   where user_id is not null and (abs(day(ts)::double - 2) <= 1e-8 + 1e-5 * 2 or abs(day(ts)::double - 6) <= 1e-8 + 1e-5 * 6)),
@@ -116,6 +117,18 @@ def fate_pairs_mse(spark, sf_dir):
     return d.groupBy("split").agg(F.count("*").alias("n_rows"), r6(F.avg("d")).alias("mse"))
 
 
+@query(f"""with {SAMPLED}, {E}, c as (select count(*) as n from e)
+  select user_id, k, {q6('list_distance(a.e, b.e)')} as distance from pairs p, c, e a, e b where a.vec_id = early_id % n and b.vec_id = late_id % n""")
+def bucketed_pairs(spark, sf_dir):
+    """Distances of the pairs' endpoints, both gathered from one table in buckets: the vectors are written once and not exchanged again."""
+    e = vectors(spark, sf_dir).select("vec_id", "e")
+    n = e.count()
+    held = layouts.bucketed(e, "vec_id", 8)
+    p = pairs(spark, sf_dir).withColumn("i", F.pmod("early_id", F.lit(n))).withColumn("j", F.pmod("late_id", F.lit(n)))
+    both = layouts.gather(layouts.gather(p, held, "vec_id", {"a": "e"}, "i"), held, "vec_id", {"b": "e"}, "j")
+    return both.select("user_id", "k", r6(vec.dist(F.col("a"), F.col("b"))).alias("distance"))
+
+
 @query(f"with {SAMPLED} select * from pairs order by user_id, k limit 64")
 def first_batch(spark, sf_dir):
     return pairs(spark, sf_dir).orderBy("user_id", "k").limit(64)

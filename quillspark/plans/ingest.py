@@ -8,7 +8,7 @@ from quillspark.config import geometry_fits
 from quillspark.operators import records
 from quillspark.plans.base import query, table
 from quillspark.session import scratch
-from quillspark.sources import committed, readers, writers
+from quillspark.sources import committed, layouts, readers, writers
 from quillspark.streaming import archives, ingest
 
 
@@ -180,6 +180,15 @@ def committed_write(spark, sf_dir):
     return committed.read(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.sum("doc_id").alias("total"))
 
 
+@query("select d.doc_id, length(d.text)::bigint as n from documents d where d.doc_id in (select doc_id from labels where doc_id is not null)")
+def addressed_rows(spark, sf_dir):
+    """The labelled documents, by row number from a sharded table."""
+    path = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter("doc_id is not null")
+    layouts.write_shards(docs, "doc_id", 64, path)
+    return layouts.read_rows(spark, path, table(spark, sf_dir, "labels"), "doc_id", 64).select("doc_id", F.length("text").cast("bigint").alias("n"))
+
+
 @query("""with p as (select p_partkey, 4 * (1 + p_partkey % 2) as channels, p_size as side, 1 + p_partkey % 4 as patch, 2 * (1 + p_partkey % 3) * (1 + p_partkey % 4) as dim from part), t as (select *, channels * side * side // dim as tokens from p)
   select p_partkey, (tokens >= 1 and side % patch = 0 and tokens * dim = channels * side * side and ((patch * patch * channels) % dim = 0 or dim % (patch * patch * channels) = 0)) as fits from t""")
 def bridge_geometries(spark, sf_dir):
