@@ -13,10 +13,12 @@ their Jaccard similarity. BANDS bands of registers are hashed; sets that agree i
    Then each bucket holds one class for each of its components, and proposes the smallest component's to the others:
    one link is verified for each two components.
 3. In a bucket that still holds several components the rows outside the largest one meet each other and its rows, in
-   blocks of about BLOCK rows. Pairs of different components whose joint maximum-likelihood estimate is within DEVIATIONS
-   deviations of the threshold are verified on the full sets in the same task, each in the first band that it shares; a
-   link joins its components there, so a row gives one link for each component that it joins, and pairs are no rows.
-   No bucket is capped: a large one is spread over blocks.
+   blocks of about BLOCK rows. At first only registers are sent: a pair of blocks tells which of its rows have a partner
+   of another component whose joint maximum-likelihood estimate is within DEVIATIONS deviations of the threshold. Only
+   these rows are sent again with their texts, and verified on the full sets, each pair in the first band that it
+   shares; a link joins its components there, so a row gives one link for each component that it joins, and pairs are
+   no rows. No bucket is capped: a large one is spread over blocks. A bucket of n rows that are not linked still sends
+   the registers (576 bytes) of each n/BLOCK times, but no text.
 
 So the members of a group cost one link each, and what is verified after that lies between components only.
 Steps 1 and 2 ship packed texts, grouped by the link's centre and cut into groups of at most about FAN links.
@@ -204,9 +206,13 @@ def _verify(k: int, percent: int):
     return run
 
 
-def _block_links(k: int, percent: int):
-    """Links between components in one pair of blocks of a bucket: likely pairs, verified on the full sets."""
+def _block_links(k: int, percent: int, scout: bool = False):
+    """Links between components in one pair of blocks of a bucket: likely pairs, verified on the full sets.
+
+    A scout needs no texts: it returns the rows of the pair of blocks that have a likely partner, not the pairs.
+    """
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    seen = pa.schema([("band", pa.int64()), ("across", pa.bool_()), ("p", pa.int64()), ("q", pa.int64()), ("node", pa.int64())])
     low = percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     def likely(reg, n, comp, band, sides):
@@ -252,6 +258,13 @@ def _block_links(k: int, percent: int):
         else:
             right = np.flatnonzero(blk == q)
             sides = ((i, right) for i in np.flatnonzero(blk == p).tolist())
+        if scout:
+            partner = np.zeros(len(node), bool)
+            for i, j in likely(reg, n, comp, band, sides):
+                partner[i] = True
+                partner[j] = True
+            where = np.flatnonzero(partner)
+            return table.select(["band", "across", "p", "q", "node"]).take(pa.array(where)).cast(seen)
         found = list(likely(reg, n, comp, band, sides))
         out: list[tuple[int, int]] = []
         if found:
@@ -348,11 +361,15 @@ def _links_in_mixed(docs: DataFrame, named: DataFrame, classes: DataFrame, k: in
     meets = """if(in_major, transform(sequence(0L, ni - 1), i -> struct(true as across, blk as p, i as q)),
       concat(transform(sequence(0L, nj - 1), j -> struct(true as across, j as p, blk as q)), transform(sequence(0L, ni - 1), i -> struct(false as across, least(blk, i) as p, greatest(blk, i) as q))))"""
     spread = C.stage(placed.withColumn("g", F.explode(F.expr(meets))).select("band", "node", "n", "comp", "in_major", "blk", "g.across", "g.p", "g.q"))
-    nodes = C.stage(spread.select("node").distinct())
+    keys = ["band", "across", "p", "q"]
+    columns = [*keys, "node", "n", "comp", "in_major", "blk", "reg"]
+    sketched = spread.join(classes.select("node", "reg"), "node").select(*columns)
+    met = C.stage(sketched.groupBy(*keys).applyInArrow(_block_links(k, percent, scout=True), "band bigint, across boolean, p bigint, q bigint, node bigint"))
+    nodes = C.stage(met.select("node").distinct())
     texts = _texts(docs, nodes)
-    held = spread.join(classes.select("node", "reg").join(texts, "node"), "node").select("band", "across", "p", "q", "node", "n", "comp", "in_major", "blk", "reg", "body")
-    out = C.stage(held.groupBy("band", "across", "p", "q").applyInArrow(_block_links(k, percent), "u bigint, v bigint"))
-    C.drop(spread, nodes, texts)
+    held = sketched.join(met, [*keys, "node"], "left_semi").join(texts, "node").select(*columns, "body")
+    out = C.stage(held.groupBy(*keys).applyInArrow(_block_links(k, percent), "u bigint, v bigint"))
+    C.drop(spread, met, nodes, texts)
     return out
 
 

@@ -525,6 +525,27 @@ def test_chains_and_mixed_buckets(spark, monkeypatch):
     assert got == brute_groups(docs, 2)
 
 
+@pytest.mark.parametrize("across", [False, True])
+def test_texts_that_are_not_alike_are_not_shipped(monkeypatch, across):
+    """Of a bucket's rows, all of different components, the scout asks for the texts of those alone that have a likely partner."""
+    rng = np.random.default_rng(3)
+    pool = [f"w{i}" for i in range(4000)]
+    docs = [(i, " ".join(rng.choice(pool, 60))) for i in range(60)]
+    docs += [(100, docs[0][1] + " one more"), (101, docs[0][1] + " two more")]
+    bodies = [t.encode() for _, t in docs]
+    off = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    sh, counts = near_dup.shingle_sets(np.frombuffer(b"".join(bodies), np.uint8), off, 2)
+    reg = near_dup.registers(sh, counts)
+    monkeypatch.setattr(near_dup, "band_keys", lambda reg: np.tile(np.arange(near_dup.BANDS), (len(reg), 1)))
+    ids, n = [d for d, _ in docs], len(docs)
+    table = near_dup.pa.table({"band": [0] * n, "across": [across] * n, "p": [0] * n, "q": [0] * n, "node": ids, "n": counts, "comp": ids, "in_major": [across and i == 0 for i in ids], "blk": [0] * n, "reg": [r.tobytes() for r in reg], "body": [near_dup.zstandard.compress(b) for b in bodies]})
+    scouted = near_dup._block_links(2, 80, scout=True)(table.drop_columns(["body"]))
+    assert sorted(scouted.column("node").to_pylist()) == [0, 100, 101]
+    few = table.filter(near_dup.pa.array([i in (0, 100, 101) for i in ids]))
+    links = [near_dup._block_links(2, 80)(t).to_pylist() for t in (table, few)]
+    assert links[0] == links[1] and len(links[0]) == 2
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(3)
     for want in (0.5, 0.8, 0.95):
