@@ -37,6 +37,8 @@ PRECISION = 22
 LOW = 1 << 31
 BLOCK = 1 << 17  # ids a block closes at
 LANES = 512
+#: Bytes of text that one range of documents holds, about.
+RANGE_TEXT = 64 << 20
 
 STAGED = "kind int, part int, block int, doc_ids array<bigint>, lengths array<int>, n_tokens bigint, ids binary"
 BLOCKS = "part int, block int, doc_ids array<bigint>, lengths array<int>, n_tokens bigint, lanes int, states binary, words binary, crc32 bigint"
@@ -356,8 +358,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
 
     spark = C.tune(docs.sparkSession)
     vocab = max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
-    n = C.parts(spark)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = max(C.parts(spark), -(-C.text_bytes(slim) // RANGE_TEXT))
     ordered = slim.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
     staged = C.stage(ordered.drop("mark").mapInArrow(_tokenise(tokenizer_path, end_id, vocab), STAGED))
     hist = staged.filter("kind = 1").select("ids").coalesce(8).mapInArrow(_sum_counts(vocab), "ids binary").collect()
