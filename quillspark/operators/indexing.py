@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 SLICE_ROWS = 100_000  # rows that are ordered to find a cut
 
@@ -45,8 +46,24 @@ def round_robin(df: DataFrame, key: str, world: int) -> DataFrame:
     return dense_index(df, key, "idx").withColumn("rank", F.pmod("idx", F.lit(world)).cast("int"))
 
 
+#: Shares of the rows, by key, that are looked at in turn until enough are found.
+SHARES = (0.001, 0.01, 0.1)
+
+
 def first_short(df: DataFrame, key: str, length: Column, most: int, n: int) -> DataFrame:
-    """The first n rows by key whose length is at most `most`; a row of unknown length is not short."""
+    """The first n rows by a numeric key (null first) whose length is at most `most`; a row of unknown length is not short.
+
+    Lengths are taken of a first share of the rows, by approximate quantiles of the key, and of a larger one only if
+    that holds too few short ones; the key's bound is pushed to the scan.
+    """
+    cuts = df.approxQuantile(key, list(SHARES), 0.0005) if n > 0 else []
+    kind = df.schema[key].dataType
+    whole = isinstance(kind, IntegralType)
+    for cut in cuts:
+        bound = F.lit(int(cut // 1) if whole else cut).cast(kind)  # of the key's own type, or it would not reach the scan
+        some = df.filter((F.col(key) <= bound) | F.col(key).isNull()).filter(length <= most)
+        if some.limit(n).count() == n:
+            return some.orderBy(key).limit(n)
     return df.filter(length <= most).orderBy(key).limit(n)
 
 

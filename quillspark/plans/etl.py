@@ -31,6 +31,12 @@ def clone_assign(spark, sf_dir):
     return found.select("l_orderkey", "n_clones", F.when(F.col("n_clones") == 1, F.col("first_clone")).alias("clone_id"), F.col("first_clone").alias("clone_multi"))
 
 
+@query("select l_orderkey, count(distinct l_partkey) as n_clones, min(l_partkey) as clone_id from lineitem where l_partkey is not null group by l_orderkey")
+def clone_assign_multi(spark, sf_dir):
+    """Rows of several clones go to the first stored one."""
+    return pairing.assign_clones(table(spark, sf_dir, "lineitem").filter("l_partkey is not null"), "l_orderkey", "l_partkey", allow_multi=True)
+
+
 @query("""with x as (select distinct coalesce(event_type, 'unknown') as label from events), y as (select distinct coalesce(json_extract_string(props, '$.k'), 'none') as label from events)
   select 'fate' as kind, label, row_number() over (order by label) - 1 as code from x union all select 'context', label, row_number() over (order by label) - 1 from y""")
 def label_encode(spark, sf_dir):

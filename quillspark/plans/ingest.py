@@ -189,6 +189,23 @@ def addressed_rows(spark, sf_dir):
     return layouts.read_rows(spark, path, table(spark, sf_dir, "labels"), "doc_id", 64).select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
+@query("select s_suppkey, s_nationkey, round(s_acctbal, 2) as s_acctbal from supplier")
+def gz_table_write(spark, sf_dir):
+    """A compressed delimited table, written and read back."""
+    path, rows = scratch(spark), table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+    writers.gz_table(rows, path)
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@query("""with t as (select coalesce(event_type, 'none') as key, count(*)::double as value from events group by 1) select key, value from t""")
+def metrics_document(spark, sf_dir):
+    """Metrics of all events as one document, written and read back."""
+    path = scratch(spark)
+    per = table(spark, sf_dir, "events").groupBy(F.coalesce("event_type", F.lit("none")).alias("key")).agg(F.count("*").cast("double").alias("value"))
+    writers.document({r["key"]: r["value"] for r in per.collect()}, spark, path)  # a row a type
+    return spark.read.schema("value string").text(path).select(F.explode(F.from_json("value", "map<string, double>")).alias("key", "value"))
+
+
 @query("""with p as (select p_partkey, 4 * (1 + p_partkey % 2) as channels, p_size as side, 1 + p_partkey % 4 as patch, 2 * (1 + p_partkey % 3) * (1 + p_partkey % 4) as dim from part), t as (select *, channels * side * side // dim as tokens from p)
   select p_partkey, (tokens >= 1 and side % patch = 0 and tokens * dim = channels * side * side and ((patch * patch * channels) % dim = 0 or dim % (patch * patch * channels) = 0)) as fits from t""")
 def bridge_geometries(spark, sf_dir):

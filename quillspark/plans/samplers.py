@@ -124,8 +124,8 @@ def metric_keys(spark, sf_dir):
 
 @query(f"with {TOKENS} select doc_id, len(ids)::bigint as length from t where len(ids) <= 120 order by doc_id limit 40")
 def short_captions(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.size(tokens.words(F.col("text"))).cast("bigint").alias("length"))
-    return indexing.first_short(t, "doc_id", F.col("length"), 120, 40)
+    t = table(spark, sf_dir, "documents").withColumn("length", F.size(tokens.words(F.col("text"))).cast("bigint"))
+    return indexing.first_short(t, "doc_id", F.col("length"), 120, 40).select("doc_id", "length")
 
 
 @query("select vec_id, vec_id % 5 as kind from embeddings where vec_id % 5 not in (1, 2, 3)")

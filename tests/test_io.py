@@ -185,3 +185,18 @@ def test_streaming_watchdog(spark, tmp_path):
     q = ingest.slow_windows(stream, "t", "v", 10.0).writeStream.format("memory").queryName("slow").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r["v"], r["slow"]) for r in spark.table("slow").collect()) == [(4.5, True), (14.5, False), (24.5, False)]
+
+
+@pytest.mark.parametrize("short", [0, 3, 200])
+def test_first_short_rows_stop_early(spark, tmp_path, short):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x" * (2 if i < short or i > 4990 else 50)) for i in range(5000)] + [(None, "x")]
+    spark.createDataFrame(rows, "k long, text string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for n in (0, 1, 4, 150):
+        got = indexing.first_short(df, "k", F.length("text"), 10, n)
+        want = [None, *[k for k, t in rows if k is not None and len(t) <= 10]][:n]
+        assert [r["k"] for r in got.collect()] == want
+        if short == 200 and n == 4:
+            assert "LessThanOrEqual(k" in got._jdf.queryExecution().executedPlan().toString()
