@@ -266,7 +266,7 @@ def log_means(log: DataFrame, window: str, rank: str, key: str, value: str) -> D
 
 
 def metric_key(name: Column, guidance: Column, ode: Column) -> Column:
-    """Name of an evaluation metric with the sampler it was taken with."""
+    """Name of an evaluation metric with the sampler it was taken with (fixed values: how the parts are joined)."""
     return F.concat(name, F.lit("_cfg_"), guidance.cast("string"), F.lit("_"), F.when(ode, "ode").otherwise("sde"))
 
 

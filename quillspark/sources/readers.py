@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Suffixes of image members, and the kinds of files that make up a shard.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".webp")
+SHARD_FILES = ("latents", "filled", "text", "logvar", "dino", "dino_filled", "gtext", "gtext_filled", "token_emb", "token_ids", "token_mask", "token_lengths", "token_filled")
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +154,7 @@ def discover_shards(files: DataFrame, table_mode: bool = True) -> DataFrame:
     there with ids, mask, lengths and filled map, and with embeddings unless those come from a table.
     """
     name = F.substring_index("path", "/", -1)
-    kinds = ["latents", "filled", "text", "logvar", "dino", "dino_filled", "gtext", "gtext_filled", "token_emb", "token_ids", "token_mask", "token_lengths", "token_filled"]
+    kinds = list(SHARD_FILES)
     known = files.select("path", F.regexp_extract(name, r"^([a-z_]+)_\d+\.", 1).alias("kind"), F.regexp_extract(name, r"_(\d+)\.", 1).try_cast("int").alias("shard_id"))
     by = known.filter(F.col("kind").isin(*kinds) & F.col("shard_id").isNotNull()).groupBy("shard_id").pivot("kind", kinds).agg(F.min("path"))
     for side in ("dino", "gtext"):
