@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 docs. All but the last return the columns of documents. Rows with null ids or texts pass the filters that can't judge
 them (no score, no links, no windows).
 
-1. toxicity      drops documents that the noisy-or model, learned from labels, scores at 0.5 or more
+1. toxicity      drops documents that the noisy-or model, learned from all labels, scores at 0.5 or more
 2. near_dup      of each group linked at similarity 0.8 on five-word shingles only the smallest doc_id stays
 3. decontaminate drops documents that hold a benchmark item's template
 4. surrogates    replaces personal data by keyed surrogates (the session's key; a session without one draws its own)

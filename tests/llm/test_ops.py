@@ -826,6 +826,40 @@ def test_lm_probabilities_sum_to_one():
         assert total == pytest.approx(1)
 
 
+def test_lm_weights_by_brute_force(spark):
+    """Weights by plain EM over single tokens, each with its own occurrence deleted, and the scores that they give."""
+    rng = np.random.default_rng(11)
+    pool = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(pool, rng.integers(5, 40), p=np.arange(1, 31)[::-1] / 465)), i % 5 != 0) for i in range(80)]
+    toks = {d: [*t.split(), None] for d, t, _ in docs}
+    before = {d: ["<", *x[:-1]] for d, x in toks.items()}
+    learn = [d for d, _, train in docs if train]
+    c, pair = Counter(w for d in learn for w in toks[d]), Counter(p for d in learn for p in zip(before[d], toks[d]))
+    start = Counter(before_w for d in learn for before_w in before[d])
+    total, types = sum(c.values()), len(c)
+    bucket = lambda v: 1 + int(math.log2(v)) if v > 0 else 0
+    ways = [(bucket(start[v] - 1), [(pair[v, w] - 1) / (start[v] - 1) if start[v] > 1 else 0.0, (c[w] - 1) / (total - 1), 1 / (types + 1)]) for d in learn for v, w in zip(before[d], toks[d])]
+    lam = {b: [0.0, 0.5, 0.5] if b == 0 else [1 / 3] * 3 for b, _ in ways} | {b: [1 / 3] * 3 for b in range(1, 40)}
+    for _ in range(lm_scoring.ROUNDS):
+        new = {b: [0.0] * 3 for b in lam}
+        for b, parts in ways:
+            share = [x * y for x, y in zip(lam[b], parts)]
+            for k in range(3):
+                new[b][k] += share[k] / max(1e-300, sum(share))
+        pooled = np.sum([new[b] for b in new if b], axis=0)
+        for b in new:
+            new[b] = np.array(new[b]) + (pooled / pooled.sum() if b else [0, 0.5, 0.5])
+            new[b] = (new[b] / new[b].sum()).tolist()
+        lam.update(new)
+    df = spark.createDataFrame(docs, "doc_id long, text string, train boolean")
+    for r in lm_scoring.score_documents(df).collect():
+        d, want = r["doc_id"], 0.0
+        for v, w in zip(before[d], toks[d]):
+            l2, l1, l0 = lam[bucket(start[v])]
+            want += math.log10(l2 * pair[v, w] / max(start[v], 1) + l1 * c[w] / total + l0 / (types + 1))
+        assert r["score"] == pytest.approx(want, rel=0.01)  # the operator's grid rounds frequencies to sixteenths of an octave
+
+
 def test_sql_agrees(spark):
     import duckdb
 
