@@ -13,6 +13,7 @@ from quillspark.functions import vec
 from quillspark.operators import tokens
 from quillspark.operators.indexing import dense_index
 from quillspark.operators.quantiles import order_statistics
+from quillspark.operators.records import small
 from quillspark.session import stage
 
 PAIR_BLOCK = 2048  # rows a side of one pairwise block
@@ -232,8 +233,8 @@ def bigram_perplexity(docs: DataFrame) -> DataFrame:
 def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
     """(pair_id, score): TF-IDF cosine of n-grams, averaged over n, times 10. pairs: pair_id, ref, hyp; idf over all refs.
 
-    n-grams travel as pairs of 64-bit hashes. The document frequencies of the common ones (a reference in SHARE has them) are few, and broadcast;
-    only the others meet their frequencies by a shuffle, so no key of it is held by more than that share of the references.
+    n-grams travel as a 64-bit and a 32-bit hash. Common ones (a reference in SHARE has them) meet their document frequencies
+    by broadcast if counting finds few of them; of the others, which meet them by shuffle, no key is in more references.
     """
     total = pairs.count()
     w = pairs.select("pair_id", tokens.words(F.col("ref")).alias("ref"), tokens.words(F.col("hyp")).alias("hyp"))
@@ -244,7 +245,7 @@ def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
     df = stage(tf.filter("r > 0").groupBy("n", "g", "g2").agg(F.count("*").alias("df")))
     keys, common = ["n", "g", "g2"], F.col("df") * SHARE >= F.lit(total)
     often, seldom = df.filter(common), df.filter(~common)
-    near = tf.join(F.broadcast(often), keys, "left")  # at most SHARE times the n-grams of a mean reference
+    near = tf.join(small(often), keys, "left")  # at most SHARE times the n-grams of a mean reference
     known, rest = near.filter("df is not null"), near.filter("df is null").drop("df").join(seldom, keys, "left")
     weight = F.log(F.lit(float(total)) / F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
     of = lambda side: F.greatest(F.lit(1), F.col("sizes")[side] - F.col("n") + 1)

@@ -47,9 +47,11 @@ class Watchdog(StatefulProcessor):
 
 
 def alarms(stream: DataFrame, threshold: float, most: int) -> DataFrame:
-    """stream: series string, step bigint, value double (null series or steps take no part; a null value is not slow)."""
+    """stream: series string, step bigint, value double (null series or steps take no part; a null value is not slow).
+
+    State of this kind needs the RocksDB store: set STORE to ROCKS while the query starts, as watch does.
+    """
     rows = stream.filter("series is not null and step is not null").withColumn("value", F.coalesce("value", F.lit(float("inf"))))
-    stream.sparkSession.conf.set(STORE, ROCKS)
     return rows.groupBy("series").transformWithStateInPandas(statefulProcessor=Watchdog(threshold, most), outputStructType=ALARMS, outputMode="Append", timeMode="None")
 
 
@@ -67,5 +69,10 @@ def watch(spark: SparkSession, source: str, out: str, checkpoint: str, threshold
     """Reads the window files (series, step, value) that are new and writes their alarms, a folder a batch."""
     stream = spark.readStream.schema("series string, step bigint, value double").option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/batch={epoch}")
-    q = alarms(stream, threshold, most).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        q = alarms(stream, threshold, most).writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
