@@ -6,7 +6,7 @@ import pytest
 from quillspark.operators import metrics, quantiles
 
 
-@pytest.mark.parametrize("bins", [2, 256])
+@pytest.mark.parametrize("bins", [16, 256])
 def test_order_statistics(spark, monkeypatch, bins):
     monkeypatch.setattr(quantiles, "BINS", bins)
     rng = np.random.default_rng(bins)
