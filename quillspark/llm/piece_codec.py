@@ -267,7 +267,7 @@ class UnitCache:
     """Encodes blocks of texts through their distinct units."""
 
     def __init__(self, path: str):
-        self.model, self.table = PieceModel(path), UnitTable()
+        self.model, self.table = PieceModel(path), UnitTable(slots=1 << 20, limit=2 << 20)  # workers live on beside other stages
 
     def fresh(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new units, checked against the library; they must decode to the units' own bytes."""
@@ -342,6 +342,7 @@ def _run(path: str, full: bool):
                     yield C.table_of(schema, **common, ids=[np.append(r[3], np.int32(units.model.eos)) for r in rows], decoded=[r[2].decode() for r in rows])
                 else:
                     yield C.table_of(schema, **common, ids_sha256=[hashlib.sha256(r[1]).hexdigest() for r in rows], decoded_sha256=[hashlib.sha256(r[2]).hexdigest() for r in rows])
+            C.trim()
 
     return run
 
