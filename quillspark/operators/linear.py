@@ -1,8 +1,9 @@
 """Spectral operators.
 
 Dense rows of a small dimension: only the moments, whose size is the dimension squared, reach the driver. Sparse matrices
-of any shape: a randomised block Krylov method whose bases stay distributed on either side; the driver sees the R factors of
-tree-wise QR decompositions, whose side is the number of basis vectors.
+with a side of at most DENSE: one tree-wise QR decomposition of the other side's rows, whose R factor has all values and
+axes. Of other shapes: a randomised block Krylov method whose bases stay distributed on either side; the driver sees the R
+factors of tree-wise QR decompositions, whose side is the number of basis vectors.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import det
 from quillspark.operators.metrics import second_moments
-from quillspark.session import stage
+from quillspark.session import remove, scratch, stage
 
-#: R factors that one task stacks; a small side is broadcast up to this many bytes.
-FAN, BROADCAST_BYTES = 32, 32 << 20
+#: R factors that one task stacks; a small side is broadcast up to this many bytes; a dense block of sparse rows has so many.
+FAN, BROADCAST_BYTES, BLOCK_BYTES = 32, 32 << 20, 16 << 20
+#: A side of at most so many rows or columns needs no basis: its R factor (8 MB at most) goes to the driver.
+DENSE = 1024
 
 
 def _gram(df: DataFrame, column: str, dim: int) -> np.ndarray:
@@ -73,8 +76,8 @@ def _r_row(part: int, r: np.ndarray) -> dict:
     return {"part": pa.array([part], pa.int64()), "r": pa.array([np.ascontiguousarray(r).tobytes()], pa.binary())}
 
 
-def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
-    """R (width x width) of the QR decomposition of the rows whose entries lie in the array columns, one behind the other.
+def _r_of(df: DataFrame, blocks, width: int) -> np.ndarray:
+    """R (width x width) of the QR decomposition of the rows that blocks makes of a partition's batches.
 
     A factor a partition, then two rounds of stacking FAN of them; the driver stacks what is left.
     """
@@ -82,7 +85,7 @@ def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
     def leaf(batches):
         from pyspark import TaskContext
 
-        r = _stacked(np.concatenate([_matrix(b, c) for c in columns], axis=1) for b in batches if b.num_rows)
+        r = _stacked(blocks(batches))
         if r is not None:
             yield pa.RecordBatch.from_pydict(_r_row(TaskContext.get().partitionId(), r), schema=_R)
 
@@ -91,7 +94,7 @@ def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
         r = _stacked(np.frombuffer(table.column("r")[int(i)].as_py()).reshape(-1, width) for i in order)
         return pa.table(_r_row(table.column("part")[int(order[0])].as_py() // FAN, r), schema=_R)
 
-    held = df.select(*columns).mapInArrow(leaf, "part bigint, r binary")
+    held = df.mapInArrow(leaf, "part bigint, r binary")
     for _ in range(2):
         held = held.groupBy(F.expr(f"part div {FAN}")).applyInArrow(join, "part bigint, r binary")
     rest = sorted((r["part"], r["r"]) for r in held.collect())
@@ -102,6 +105,11 @@ def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
     return out
 
 
+def r_factor(df: DataFrame, columns: list[str], width: int) -> np.ndarray:
+    """R of the rows whose entries lie in the array columns, one behind the other."""
+    return _r_of(df.select(*columns), lambda batches: (np.concatenate([_matrix(b, c) for c in columns], axis=1) for b in batches if b.num_rows), width)
+
+
 def _times(coo: DataFrame, side: DataFrame, by: str, to: str, width: int) -> DataFrame:
     """(to, y): the sparse matrix, or its transpose, times a block (by, z) of width columns."""
     small = F.broadcast(side) if side.count() * width * 8 <= BROADCAST_BYTES else side
@@ -146,33 +154,93 @@ class SparseSvd:
         self.values, self.left, self.right = values, left, right
 
 
+def _dense(batches, columns: np.ndarray):
+    """(rows, matrix over the sorted columns) of rows that come as (row, cells), in blocks of at most BLOCK_BYTES or one row a column."""
+    most = max(len(columns), BLOCK_BYTES // (8 * len(columns)))
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            part = b.slice(i, most)
+            cells = part.column("cells")
+            flat = cells.flatten()
+            x = np.zeros((part.num_rows, len(columns)))
+            x[np.repeat(np.arange(part.num_rows), cells.value_lengths().to_numpy()), np.searchsorted(columns, flat.field("col").to_numpy())] = flat.field("value").to_numpy()
+            yield part.column("row"), x
+
+
+def _narrow(coo: DataFrame, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(values, axes as columns, (row, z)) of a matrix (row, col, value) whose few columns are known; z: rows times the axes.
+
+    A row has no more cells than there are columns. Each axis points where its first largest component is positive.
+    """
+    rows = coo.groupBy("row").agg(F.collect_list(F.struct("col", "value")).alias("cells"))
+    _, s, turn = np.linalg.svd(_r_of(rows, lambda batches: (x for _, x in _dense(batches, columns)), len(columns)))
+    s = s[: min(k, int((s > 0).sum()))]
+    axes = turn[: len(s)].T
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(len(s))] >= 0, 1.0, -1.0)
+    schema = pa.schema([("row", pa.int64()), ("z", pa.list_(pa.float64()))])
+
+    def project(batches):
+        for key, x in _dense(batches, columns):
+            z = x @ axes
+            yield pa.RecordBatch.from_arrays([key, pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1], z.reshape(-1))], schema=schema)
+
+    return s, axes, rows.mapInArrow(project, "row bigint, z array<double>")
+
+
+def _axis_signs(right: DataFrame, n: int) -> np.ndarray:
+    tops = right.agg(*[F.max(F.struct(F.abs(F.get("axis", F.lit(i))).alias("a"), (-F.col("col")).alias("c"), F.get("axis", F.lit(i)).alias("v"))).alias(f"_{i}") for i in range(n)]).first()
+    return np.array([1.0 if t["v"] >= 0 else -1.0 for t in tops])
+
+
+def _pairs(spark, keys: np.ndarray, name: str, rows: np.ndarray, value: str) -> DataFrame:
+    """At most DENSE rows that the driver holds."""
+    return spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(keys, rows)], f"{name} bigint, {value} array<double>")
+
+
 def sparse_svd(coo: DataFrame, k: int, oversample: int = 8, seed: int = 0, tolerance: float = 1e-13, most: int = 64) -> SparseSvd:
     """Truncated SVD of a sparse matrix given as (row, col, value); entries of one place add up.
 
-    k is cut to one less than either side, as the smaller side allows. A random block (a function of seed and column) is
+    k is cut to one less than either side, as the smaller side allows. Where a side has at most DENSE rows or columns the cells
+    are all that is stored. Else a random block (a function of seed and column) is
     multiplied by the matrix and its transpose in turn; each product's new directions join the basis. It ends once the
     values stand still within the tolerance, or nothing new comes; after `most` blocks without that it raises. Each axis points where
     its largest component (of ties the one of the smallest column) is positive. Null, non-finite and zero entries count as not there.
     """
     cells = coo.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), F.col("value").cast("double").alias("value"))
     coo = stage(cells.filter("row is not null and col is not null and abs(value) < double('inf')").groupBy("row", "col").agg(F.sum("value").alias("value")).filter("value <> 0"))
+    few = {side: np.array(sorted(r[side] for r in coo.select(side).distinct().limit(max(DENSE, k) + 1).collect()), np.int64) for side in ("row", "col")}
+    k = min(k, *(len(x) - 1 for x in few.values()))
+    if k < 1:
+        raise ValueError(f"a matrix of {len(few['row'])} x {len(few['col'])} has no truncated decomposition")
+    spark = coo.sparkSession
+    if len(few["col"]) <= DENSE:
+        s, axes, left = _narrow(coo, few["col"], k)
+        return SparseSvd(s.tolist(), left, _pairs(spark, few["col"], "col", axes, "axis"))
+    if len(few["row"]) <= DENSE:
+        s, axes, across = _narrow(coo.select(F.col("col").alias("row"), F.col("row").alias("col"), "value"), few["row"], k)
+        right = _mapped(across.withColumnRenamed("row", "col"), "col", {"axis": ""}, lambda m: {"axis": m["z"] / s})
+        signs = _axis_signs(right, len(s))
+        right = _mapped(right, "col", {"axis": ""}, lambda m: {"axis": m["axis"] * signs})
+        return SparseSvd(s.tolist(), _pairs(spark, few["row"], "row", axes * (s * signs), "z"), right)
     rows, columns = stage(coo.select("row").distinct()), stage(coo.select("col").distinct())
     sides = (rows.count(), columns.count())
-    k = min(k, sides[0] - 1, sides[1] - 1)
-    if k < 1:
-        raise ValueError(f"a matrix of {sides[0]} x {sides[1]} has no truncated decomposition")
     width = min(k + oversample, *sides)
     block = columns.select("col", F.array(*[det.gauss(det.digest(seed, "omega", F.col("col"), F.lit(i))) for i in range(width)]).alias("z"))
     basis = rows.withColumn("q", F.array().cast("array<double>"))
     image = columns.withColumn("q", F.array().cast("array<double>"))  # the transpose times the basis
-    held, before = 0, None
+    held, before, old = 0, None, []  # old: tables of the last round, which nothing reads once this one's are there
     for _ in range(most):
-        state = stage(basis.join(_times(coo, block, "col", "row", width), "row"))
+        first, second, third = (scratch(spark, "stage") for _ in range(3))
+        state = stage(basis.join(_times(coo, block, "col", "row", width), "row"), first)
         state, new = _orthogonal(state, held, width)
         if new:
-            state = stage(state)
+            state = stage(state, second)
+            remove(spark, first)
             pushed = _times(coo, state.select("row", "z"), "row", "col", new)
-            image = stage(image.join(pushed.withColumnRenamed("y", "z"), "col").select("col", F.concat("q", "z").alias("q"), "z"))
+            image = stage(image.join(pushed.withColumnRenamed("y", "z"), "col").select("col", F.concat("q", "z").alias("q"), "z"), third)
+            for path in old:
+                remove(spark, path)
+            old = [second, third]
             basis = state.select("row", F.concat("q", "z").alias("q"))
             block, image = image.select("col", "z"), image.select("col", "q")
             held, width = held + new, new
@@ -186,8 +254,7 @@ def sparse_svd(coo: DataFrame, k: int, oversample: int = 8, seed: int = 0, toler
     turn = turn[: min(k, int((s > 0).sum()))].T
     s = s[: turn.shape[1]]
     right = _mapped(image, "col", {"axis": ""}, lambda m: {"axis": m["q"] @ turn / s})
-    tops = right.agg(*[F.max(F.struct(F.abs(F.get("axis", F.lit(i))).alias("a"), (-F.col("col")).alias("c"), F.get("axis", F.lit(i)).alias("v"))).alias(f"_{i}") for i in range(len(s))]).first()
-    signs = np.array([1.0 if t["v"] >= 0 else -1.0 for t in tops])
+    signs = _axis_signs(right, len(s))
     right = _mapped(right, "col", {"axis": ""}, lambda m: {"axis": m["axis"] * signs})
     left = _mapped(basis, "row", {"z": ""}, lambda m: {"z": m["q"] @ turn * (s * signs)})
     return SparseSvd(s.tolist(), left, right)

@@ -1,5 +1,7 @@
 """The truncated SVD of sparse matrices against NumPy."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -88,3 +90,23 @@ def test_orders_by_months(spark):
         z[orders.index(r["l_orderkey"]), r["component"]] = r["value"]
     sign = np.sign(vt[np.arange(4), np.abs(vt[:4]).argmax(axis=1)])
     assert np.abs(z - u[:, :4] * s[:4] * sign).max() < 2e-6
+
+
+@pytest.mark.parametrize("rows, columns", [(300, 20), (20, 300)])
+def test_a_narrow_side_stores_no_basis(spark, monkeypatch, rows, columns):
+    """Only the cells are written, whatever the number of values."""
+    staged = []
+    monkeypatch.setattr(linear, "stage", lambda df, *a, to=linear.stage: staged.append(df.columns) or to(df, *a))
+    monkeypatch.setattr(linear, "DENSE", 20, raising=False)
+    assert same(spark, sparse(np.random.default_rng(rows), rows, columns, 15, 0.4), 4) == 4
+    assert staged == [["row", "col", "value"]]
+
+
+@pytest.mark.parametrize("rows, columns", [(120, 40), (30, 90)])
+def test_wide_sides_keep_one_basis(spark, monkeypatch, rows, columns):
+    """Without the dense way: the same result, and a round's tables go when the next has its own."""
+    made = []
+    monkeypatch.setattr(linear, "DENSE", 8, raising=False)
+    monkeypatch.setattr(linear, "scratch", lambda *a, to=linear.scratch: made.append(to(*a)) or made[-1], raising=False)
+    assert same(spark, sparse(np.random.default_rng(rows), rows, columns, 12, 0.3), 5, oversample=1) == 5
+    assert len(made) > 9 and sum(os.path.exists(p.removeprefix("file:")) for p in made) <= 3
