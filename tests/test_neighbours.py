@@ -55,3 +55,28 @@ def test_odd_rows(spark):
     odd = right.union(spark.createDataFrame([(None, [0.0, 0.0, 0.0]), (7, None)], right.schema))
     assert sorted((x["query_id"], x["ref_id"], x["d2"]) for x in N.nearest(left.union(nulls), odd).collect()) == [(0, 0, 3.0), (1, 0, 3.0)]
     assert N.nearest(left, right.withColumn("e", F.array(*[F.lit(0.0)] * 3))).filter("ref_id = 0").count() == 2
+
+
+def test_queries_travel_once_a_bundle(spark, monkeypatch):
+    """Where balls exclude nothing, copies of a query follow the shards, not the cells."""
+    monkeypatch.setattr(N, "CELL_ROWS", 10)
+    monkeypatch.setattr(N, "SHARD_ROWS", 150)
+    rng = np.random.default_rng(3)
+    r, q = rng.normal(size=(600, 32)), rng.normal(size=(50, 32))
+    left, right = frames(spark, q, r)
+    cells = N.Cells(right)
+    shipped = cells.further(cells.home(left).withColumn("best", F.lit(1e9))).count()
+    assert len(cells.cell) > 40 and shipped <= 50 * 9
+    assert {x["query_id"]: x["ref_id"] for x in N.nearest(left, right).collect()} == brute(q, r)
+
+
+def test_products_leave_near_ties_to_plain_differences():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    r = 1e6 + rng.normal(size=(3000, 5)) * 1e-5  # products of such rows hold no digit of the distance
+    q = r[rng.integers(0, 3000, 300)] + rng.normal(size=(300, 5)) * 1e-6
+    column = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    got = N._nearest(pa.table({"query_id": np.arange(300), "q": column(q)}), pa.table({"ref_id": np.arange(3000), "e": column(r)}))
+    assert got.column("ref_id").to_pylist() == ((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    assert N.squares(r[:40], r[:40], 1e-3)[np.arange(40), np.arange(40)].max() == 0
