@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from quillspark.functions import vec
 from quillspark.operators import tokens
 from quillspark.operators.indexing import dense_index
+from quillspark.operators.neighbours import squares
 from quillspark.operators.quantiles import order_statistics
 from quillspark.operators.records import small
 from quillspark.session import stage
 
-PAIR_BLOCK = 2048  # rows a side of one pairwise block
+PAIR_BLOCK, PAIR_BYTES = 16384, 8 << 20  # rows and bytes a side of one pairwise block
+TILE, NEAR = (256, 1024), 1e-3  # tiles stay in the processor's cache; nearer pairs are taken by plain differences
 FEW = 20_000  # values that a quantile's last cell may hold
 SHARE = 200  # an n-gram of one reference in so many is common
-STEP = 18  # bits by which a cell of doubles is cut further
+FIRST, STEP = 24, 14  # leading bits of a cell of doubles, and by how many it is cut further
 
 
 # ---------------------------------------------------------------- edits
@@ -128,7 +130,9 @@ def _met_blocks(df: DataFrame, n: int) -> DataFrame:
 
     Rows are packed by block once; the pairs are dealt by one shuffle, and all passes read what it wrote.
     """
-    blocks = max(1, -(-n // PAIR_BLOCK), min(8, -(-n // 256)))
+    one = df.select(F.size("e").alias("dim")).first()
+    rows = max(1, min(PAIR_BLOCK, PAIR_BYTES // (8 * max(1, one["dim"] if one else 1))))
+    blocks = max(1, -(-n // rows), min(16, -(-n // 256)))
 
     def pack(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("id").to_numpy())
@@ -143,42 +147,72 @@ def _met_blocks(df: DataFrame, n: int) -> DataFrame:
 
 
 def _distances(batches):
-    """(squared distances, pair mask, sides) of each pair of blocks, each unordered pair of rows once."""
+    """(squared distances, whether each pair counts or None for all, sides) of tiles of pairs of blocks, each unordered pair of rows once."""
     for b in batches:
         for r in b.to_pylist():
             s1, s2 = np.frombuffer(r["us"], np.int64), np.frombuffer(r["vs"], np.int64)
             u, v = np.frombuffer(r["u"]).reshape(len(s1), -1), np.frombuffer(r["v"]).reshape(len(s2), -1)
-            d2 = np.zeros((len(u), len(v)))
-            for k in range(u.shape[1]):  # plain differences: no cancellation
-                d2 += (u[:, k][:, None] - v[:, k][None, :]) ** 2
-            yield d2, np.triu(np.ones(d2.shape, bool), 1) if r["same"] else np.ones(d2.shape, bool), s1, s2
+            for i in range(0, len(u), TILE[0]):
+                for j in range(i if r["same"] else 0, len(v), TILE[1]):
+                    d2 = squares(u[i : i + TILE[0]], v[j : j + TILE[1]], NEAR)
+                    mask = np.triu(np.ones(d2.shape, bool), 1 + i - j) if r["same"] and j <= i + TILE[0] else None
+                    yield d2, mask, s1[i : i + TILE[0]], s2[j : j + TILE[1]]
+
+
+def _lengths(batches):
+    """Non-zero distances, a tile at a time."""
+    for d2, mask, *_ in _distances(batches):
+        yield np.sqrt(d2[d2 > 0] if mask is None else d2[mask & (d2 > 0)])
+
+
+def _tally(parts):
+    """(cells, counts) of pairs of such arrays."""
+    at, where = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
+    return at, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(at)).astype(np.int64)
+
+
+def _counted(cells: np.ndarray):
+    """(cells, counts); cells close to each other are counted without a sort."""
+    low = int(cells.min())
+    if int(cells.max()) - low > 4 * len(cells) + 1024:
+        return np.unique(cells, return_counts=True)
+    n = np.bincount(cells - low)
+    at = np.flatnonzero(n)
+    return at + low, n[at]
 
 
 def _median_distance(met: DataFrame) -> float | None:
     """Lower median of the non-zero distances: counts by leading bits of the doubles, which order as the numbers do, then the values of one cell."""
 
-    def cells(bits: int, above: int | None):
+    def cells(bits: int, before: int, above: int | None):
         def run(batches):
-            for d2, mask, *_ in _distances(batches):
-                whole = np.sqrt(d2[mask & (d2 > 0)]).view(np.int64)
+            parts = []
+            for d in _lengths(batches):
+                whole = d.view(np.int64)
                 if above is not None:
-                    whole = whole[whole >> (64 - bits + STEP) == above]
-                at, n = np.unique(whole >> (64 - bits), return_counts=True)
+                    whole = whole[whole >> (64 - before) == above]
+                if len(whole):
+                    parts.append(_counted(whole >> (64 - bits)))
+                if len(parts) == 64:
+                    parts = [_tally(parts)]
+            if parts:
+                at, n = _tally(parts)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["cell", "n"])
 
         return run
 
     def inside(bits: int, cell: int):
         def run(batches):
-            for d2, mask, *_ in _distances(batches):
-                d = np.sqrt(d2[mask & (d2 > 0)])
-                yield pa.RecordBatch.from_arrays([pa.array(d[d.view(np.int64) >> (64 - bits) == cell])], names=["d"])
+            for d in _lengths(batches):
+                d = d[d.view(np.int64) >> (64 - bits) == cell]
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array(d)], names=["d"])
 
         return run
 
-    rank, above, bits = None, None, 28
+    rank, above, before, bits = None, None, 0, FIRST
     while True:
-        got = sorted((r["cell"], r["n"]) for r in met.mapInArrow(cells(bits, above), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect())
+        got = sorted((r["cell"], r["n"]) for r in met.mapInArrow(cells(bits, before, above), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect())
         if not got:
             return None
         rank = (sum(n for _, n in got) - 1) // 2 if rank is None else rank
@@ -190,7 +224,7 @@ def _median_distance(met: DataFrame) -> float | None:
             return sorted(r["d"] for r in met.mapInArrow(inside(bits, cell), "d double").collect())[rank]
         if bits == 64:
             return float(np.array([cell], np.int64).view(np.float64)[0])
-        above, bits = cell, bits + STEP
+        above, before, bits = cell, bits, min(64, bits + STEP)
 
 
 def rbf_mmd(df: DataFrame) -> float:
@@ -202,11 +236,14 @@ def rbf_mmd(df: DataFrame) -> float:
     gamma = 1.0 / (2 * sigma * sigma)
 
     def sums(batches):
+        total = np.zeros((2, 2))
         for d2, mask, s1, s2 in _distances(batches):
-            k = np.exp(-gamma * d2) * mask
-            own = [float(k[np.ix_(s1 == a, s2 == a)].sum()) for a in (0, 1)]
-            cross = float(k[np.ix_(s1 == 0, s2 == 1)].sum() + k[np.ix_(s1 == 1, s2 == 0)].sum())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*own, cross)], names=["xx", "yy", "xy"])
+            d2 *= -gamma
+            k = np.exp(d2, out=d2)
+            if mask is not None:
+                k *= mask
+            total += np.stack([s1 == 0, s1 == 1]).astype(float) @ k @ np.stack([s2 == 0, s2 == 1], axis=1).astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in (total[0, 0], total[1, 1], total[0, 1] + total[1, 0])], names=["xx", "yy", "xy"])
 
     s = met.mapInArrow(sums, "xx double, yy double, xy double").agg(F.sum("xx").alias("xx"), F.sum("yy").alias("yy"), F.sum("xy").alias("xy")).first()
     nx, ny = counts.get(0, 0), counts.get(1, 0)
