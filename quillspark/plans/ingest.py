@@ -102,29 +102,53 @@ def archive_pairs(spark, sf_dir):
     return found.select("key", "caption_type", "caption", F.octet_length("image").alias("bytes"))
 
 
-@query("select p_partkey % 7 as archive, 'p' || p_partkey as key, 'short' as caption_type, p_name as caption, p_size::int as bytes, p_partkey % 7 >= 3 as later from part where p_partkey % 5 <> 0")
-def archive_stream(spark, sf_dir):
-    """Archives of parts through the streaming source in two runs, the second after the manifest has grown; broken json goes to the ledger."""
+def _pack_parts(base: str):
+    """Writes the archive of each run of equal tar in batches (tar, p_partkey, p_name, p_size), a member at a time; yields the number of each."""
     import io
     import json
     import tarfile
 
-    base = scratch(spark)
+    import pyarrow as pa
+
+    from quillspark.sources.files import located
+
+    def run(batches):
+        n = stream = archive = None
+
+        def close():
+            archive.close()
+            stream.close()
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["tar"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                for r in batch.slice(i, 1024).to_pylist():
+                    if archive is None or r["tar"] != n:
+                        if archive is not None:
+                            yield close()
+                        n = r["tar"]
+                        system, inner = located(f"{base}/{'early' if n < 3 else 'late'}-{n}.tar")
+                        system.create_dir(inner.rsplit("/", 1)[0])
+                        stream = system.open_output_stream(inner, compression=None)
+                        archive = tarfile.open(fileobj=stream, mode="w|")
+                    text = json.dumps({"key": f"p{r['p_partkey']}", "caption_type": "short", "caption": f" {r['p_name']}\n"}) if r["p_partkey"] % 5 else "{broken"
+                    for name, body in ((f"p{r['p_partkey']}.json", text.encode()), (f"p{r['p_partkey']}.png", b"." * r["p_size"])):
+                        info = tarfile.TarInfo(name)
+                        info.size = len(body)
+                        archive.addfile(info, io.BytesIO(body))
+                        archive.members.clear()
+        if archive is not None:
+            yield close()
+
+    return run
 
-    def pack(table):
-        n, data = table.column("tar")[0].as_py(), io.BytesIO()
-        with tarfile.open(fileobj=data, mode="w") as archive:
-            for r in table.to_pylist():
-                text = json.dumps({"key": f"p{r['p_partkey']}", "caption_type": "short", "caption": f" {r['p_name']}\n"}) if r["p_partkey"] % 5 else "{broken"
-                for name, body in ((f"p{r['p_partkey']}.json", text.encode()), (f"p{r['p_partkey']}.png", b"." * r["p_size"])):
-                    info = tarfile.TarInfo(name)
-                    info.size = len(body)
-                    archive.addfile(info, io.BytesIO(body))
-        _put(f"{base}/{'early' if n < 3 else 'late'}-{n}.tar", data.getvalue())
-        return table.select(["tar"]).slice(0, 1)
 
+@query("select p_partkey % 7 as archive, 'p' || p_partkey as key, 'short' as caption_type, p_name as caption, p_size::int as bytes, p_partkey % 7 >= 3 as later from part where p_partkey % 5 <> 0")
+def archive_stream(spark, sf_dir):
+    """Archives of parts through the streaming source in two runs, the second after the manifest has grown; broken json goes to the ledger."""
+    base = scratch(spark)
     rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("tar"), "p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
-    rows.groupBy("tar").applyInArrow(pack, "tar bigint").count()
+    rows.repartition(7, "tar").sortWithinPartitions("tar").mapInArrow(_pack_parts(base), "tar bigint").count()
     for splits in (["early"], ["early", "late"]):
         archives.freeze(spark, base, f"{base}/manifest.txt", splits, extend=True)
         archives.ingest_archives(spark, f"{base}/manifest.txt", f"{base}/out", f"{base}/bad", f"{base}/progress", per_batch=2)

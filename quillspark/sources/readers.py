@@ -67,7 +67,8 @@ def resolve(columns: list[str], candidates: list[str], required: bool = True) ->
 def _members(archive: tarfile.TarFile):
     """(name, bytes) of an archive's files; one that breaks off raises ValueError."""
     try:
-        for member in archive:
+        while (member := archive.next()) is not None:
+            archive.members.clear()  # a stream never goes back; the list of headers would grow with the archive
             if member.isfile():
                 yield member.name, archive.extractfile(member).read()
     except (tarfile.TarError, EOFError, zlib.error) as broken:

@@ -90,3 +90,25 @@ def test_a_manifest_may_only_grow(spark, tmp_path):
     (tmp_path / "manifest.txt").write_text("")
     with pytest.raises(Exception, match="only grow"):
         run()
+
+
+def test_headers_of_members_do_not_stay(tmp_path):
+    """Reading and writing hold no list that grows with the archive."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.plans import ingest
+
+    rows = 20_000
+    batches = (pa.RecordBatch.from_pydict({"tar": [t] * 1000, "p_partkey": list(range(i, i + 1000)), "p_name": ["n"] * 1000, "p_size": [3] * 1000}) for t in (1, 4) for i in range(0, rows, 1000))
+    tracemalloc.start()
+    try:
+        assert [b.column("tar").to_pylist() for b in ingest._pack_parts(str(tmp_path))(batches)] == [[1], [4]]
+        packed = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        with open(tmp_path / "late-4.tar", "rb") as stream:
+            assert sum(1 for _ in readers.pair_members(stream)) == rows
+        assert packed < 4 << 20 and tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
