@@ -2,8 +2,8 @@
 
 Vectors are dealt to shards by a hash of their id. A shard's tree splits at the median of the widest dimension; each
 node keeps its tight bounding box. For a query q the best any vector of a box can score is
-sum(max(q_i * low_i, q_i * high_i)); the search walks best bound first and stops once no open box reaches the kth score
-found. Each query first searches one home shard; its kth score there travels with it to all other shards, whose boxes
+sum(max(q_i * low_i, q_i * high_i)). Each query first goes down to the leaf of the best bounds; then the boxes are met one
+by one, better bounds first, by all queries whose kth score they may still reach. Each query first searches one home shard; its kth score there travels with it to all other shards, whose boxes
 below it stay closed. Queries travel in blocks of at most QUERY_BLOCK, so no task holds more than a shard and a block.
 
 Vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows with a null id. Vectors
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
 
-SHARD_ROWS, QUERY_BLOCK, LEAF = 8192, 4096, 64
+SHARD_ROWS, QUERY_BLOCK, LEAF = 8192, 4096, 128
 EXACT = float(1 << 52)  # below this, sums of doubles are exact
 
 
@@ -58,39 +58,32 @@ class KdTree:
         """(scores, ids) of each query's k best, -inf where there are fewer; nothing below floor need be found."""
         n = len(queries)
         best, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-        frontier = [(0, np.arange(n), self.bounds(queries, [0])[:, 0])]
-        while frontier:
-            # one round: every query opens the box with its best bound among its open ones
-            top = np.full(n, -np.inf)
-            for _, rows, ub in frontier:
-                np.maximum.at(top, rows, ub)
-            kept = []
-            for node, rows, ub in frontier:
-                limit = np.maximum(floor[rows], best[rows, k - 1])
-                live = ub >= limit
-                go = live & (ub >= top[rows])
-                stay = live & ~go
-                if stay.any():
-                    kept.append((node, rows[stay], ub[stay]))
-                if not go.any():
-                    continue
-                opened = rows[go]
-                if self.children[node] is None:
-                    self._score(node, opened, query_ids, queries, best, who, k)
-                else:
-                    pair = self.bounds(queries[opened], list(self.children[node]))
-                    for c, child in enumerate(self.children[node]):
-                        kept.append((child, opened, pair[:, c]))
-            frontier = self._merge(kept)
+        first = np.zeros(n, np.int64)
+        ways = [(0, np.arange(n))]
+        while ways:  # down to the leaf of the best bounds: a good kth score before anything else is opened
+            node, rows = ways.pop()
+            if self.children[node] is None:
+                first[rows] = node
+                self._score(node, rows, query_ids, queries, best, who, k)
+                continue
+            pair = list(self.children[node])
+            left = np.subtract(*self.bounds(queries[rows], pair).T) >= 0
+            ways += [(child, rows[side]) for child, side in zip(pair, (left, ~left)) if side.any()]
+        ways = [(0, np.arange(n), self.bounds(queries, [0])[:, 0])]
+        while ways:  # every box is met once, with all queries that still may gain by it
+            node, rows, ub = ways.pop()
+            live = ub >= np.maximum(floor[rows], best[rows, k - 1])
+            rows = rows[live]
+            if self.children[node] is None:
+                rows = rows[first[rows] != node]
+                if len(rows):
+                    self._score(node, rows, query_ids, queries, best, who, k)
+            elif len(rows):
+                pair = list(self.children[node])
+                bounds = self.bounds(queries[rows], pair)
+                ways += [(pair[c], rows, bounds[:, c]) for c in np.argsort(bounds.sum(axis=0), kind="stable")]  # the better one is met first
         return best, who
 
-    @staticmethod
-    def _merge(entries):
-        by: dict[int, list] = {}
-        for node, rows, ub in entries:
-            by.setdefault(node, []).append((rows, ub))
-        return [(node, np.concatenate([r for r, _ in x]), np.concatenate([u for _, u in x])) for node, x in by.items()]
-
     def _score(self, node, rows, query_ids, queries, best, who, k) -> None:
         first, last = self.span[node]
         for a in range(first, last, 4 * LEAF):  # equal vectors can make a large leaf
@@ -98,10 +91,14 @@ class KdTree:
             score = queries[rows] @ self.points[a:b].T
             ids = np.broadcast_to(self.ids[a:b], score.shape)
             score = np.where(ids == query_ids[rows][:, None], -np.inf, score)
+            gain = np.flatnonzero(score.max(axis=1) >= best[rows, k - 1])  # the others keep what they have
+            if not len(gain):
+                continue
+            at, score, ids = rows[gain], score[gain], ids[gain]
             ids = np.where(score == -np.inf, np.iinfo(np.int64).max, ids)
-            all_s, all_i = np.concatenate([best[rows], score], axis=1), np.concatenate([who[rows], ids], axis=1)
+            all_s, all_i = np.concatenate([best[at], score], axis=1), np.concatenate([who[at], ids], axis=1)
             pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
+            best[at], who[at] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
 
 
 def _plain(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
