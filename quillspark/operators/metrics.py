@@ -270,23 +270,23 @@ def bigram_perplexity(docs: DataFrame) -> DataFrame:
 def cider(pairs: DataFrame, top: int = 4) -> DataFrame:
     """(pair_id, score): TF-IDF cosine of n-grams, averaged over n, times 10. pairs: pair_id, ref, hyp; idf over all refs.
 
-    n-grams travel as a 64-bit and a 32-bit hash. Common ones (a reference in SHARE has them) meet their document frequencies
-    by broadcast if counting finds few of them; of the others, which meet them by shuffle, no key is in more references.
+    n-grams travel as a 64-bit and a 32-bit hash. Texts are dealt by pair once, so n-grams are counted where they are made. An n-gram of
+    one reference or none weighs the same, so only frequencies of two and more are kept. Common n-grams (a reference in SHARE has
+    them) meet theirs by broadcast if counting finds few of them; of the others, which meet them by shuffle, no key is in more
+    references. Counts need no division by their number: it is one factor of all n-grams of a side, and the cosine drops it.
     """
     total = pairs.count()
-    w = pairs.select("pair_id", tokens.words(F.col("ref")).alias("ref"), tokens.words(F.col("hyp")).alias("hyp"))
+    w = pairs.select("pair_id", "ref", "hyp").repartition("pair_id").select("pair_id", tokens.words(F.col("ref")).alias("ref"), tokens.words(F.col("hyp")).alias("hyp"))
     spans = lambda side: F.flatten(F.array(*[F.expr(f"case when size({side}) >= {n} then transform(sequence(1, size({side}) - {n - 1}), i -> named_struct('n', {n}, 'g', array_join(slice({side}, i, {n}), ' '), 'side', '{side}')) else array() end") for n in range(1, top + 1)]))
-    sizes = [F.struct(F.size("ref").alias("ref"), F.size("hyp").alias("hyp")).alias("sizes")]
-    grams = w.select("pair_id", *sizes, F.explode(F.concat(spans("ref"), spans("hyp"))).alias("x")).select("pair_id", "sizes", "x.n", "x.side", F.xxhash64("x.g").alias("g"), F.hash("x.g").alias("g2"))
-    tf = stage(grams.groupBy("pair_id", "sizes", "n", "g", "g2").agg(F.sum((F.col("side") == "ref").cast("bigint")).alias("r"), F.sum((F.col("side") == "hyp").cast("bigint")).alias("h")))
-    df = stage(tf.filter("r > 0").groupBy("n", "g", "g2").agg(F.count("*").alias("df")))
+    grams = w.select("pair_id", F.explode(F.concat(spans("ref"), spans("hyp"))).alias("x")).select("pair_id", "x.n", "x.side", F.xxhash64("x.g").alias("g"), F.hash("x.g").alias("g2"))
+    tf = stage(grams.groupBy("pair_id", "n", "g", "g2").agg(F.sum((F.col("side") == "ref").cast("bigint")).cast("int").alias("r"), F.sum((F.col("side") == "hyp").cast("bigint")).cast("int").alias("h")))
     keys, common = ["n", "g", "g2"], F.col("df") * SHARE >= F.lit(total)
+    df = stage(tf.filter("r > 0").groupBy(*keys).agg(F.count("*").alias("df")).filter("df > 1"))
     often, seldom = df.filter(common), df.filter(~common)
     near = tf.join(small(often), keys, "left")  # at most SHARE times the n-grams of a mean reference
     known, rest = near.filter("df is not null"), near.filter("df is null").drop("df").join(seldom, keys, "left")
-    weight = F.log(F.lit(float(total)) / F.greatest(F.lit(1.0), F.coalesce(F.col("df"), F.lit(0)).cast("double")))
-    of = lambda side: F.greatest(F.lit(1), F.col("sizes")[side] - F.col("n") + 1)
-    x = known.unionByName(rest).withColumn("gr", F.col("r") / of("ref") * weight).withColumn("gh", F.col("h") / of("hyp") * weight)
+    weight = F.log(F.lit(float(total)) / F.coalesce(F.col("df"), F.lit(1)).cast("double"))
+    x = known.unionByName(rest).withColumn("gr", F.col("r") * weight).withColumn("gh", F.col("h") * weight)
     by = x.groupBy("pair_id", "n").agg(F.sum(F.col("gr") * F.col("gh")).alias("d"), F.sqrt(F.sum(F.col("gr") * F.col("gr"))).alias("a"), F.sqrt(F.sum(F.col("gh") * F.col("gh"))).alias("b"))
     score = F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("d") / (F.col("a") * F.col("b"))).otherwise(F.lit(0.0))
     scored = by.groupBy("pair_id").agg((F.sum(score) / F.lit(float(top)) * 10).alias("score"))
