@@ -15,7 +15,8 @@ rows go, so a hot label is spread like any other.
 Rows with a null id, a null label, a null or empty vector, or a null or non-finite component take no part. Vectors of
 different lengths never meet. Rows that repeat an id are candidates of their own but never of an anchor of that id; of an
 anchor's the least (label, vector) asks. Ties go to the smaller id. An anchor without a positive, and a positive without a
-negative, give no row. Products that doubles can't hold are taken by whole numbers of any size.
+negative, give no row. Products that doubles can't hold are taken by whole numbers of any size; where a 64-bit integer may
+not hold them either, scores are decimals of 38 digits (a longer one raises).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quillspark.llm import _common as C
 from quillspark.llm.kd_search import EXACT, _matrix, quantised
 
 SHARD_ROWS, ANCHOR_BLOCK = 8192, 4096
+#: Types of scores.
+LONG, WIDE = "bigint", "decimal(38,0)"
 #: Intervals held at once by a dense search.
 CELLS = 1 << 21
 #: Share of candidates below which the search goes on by lists.
@@ -110,12 +113,12 @@ class BitPlanes:
 def _ranges(anchors: pa.Table) -> tuple[list[list], list[list]]:
     """Each anchor's lower and upper bounds, a pair for each positive (one open pair where positives are looked for)."""
     share = anchors.column("positives").to_pylist()
-    low = [[-(-3 * s // 10) for s in row] if row is not None else [-np.inf] for row in share]
-    high = [[9 * s // 10 for s in row] if row is not None else [np.inf] for row in share]
+    low = [[-(-3 * int(s) // 10) for s in row] if row is not None else [-np.inf] for row in share]
+    high = [[9 * int(s) // 10 for s in row] if row is not None else [np.inf] for row in share]
     for bounds, floor in zip(low, anchors.column("floor").to_pylist()):
         for i, f in enumerate(floor or []):
             if f is not None:
-                bounds[i] = max(bounds[i], f)
+                bounds[i] = max(bounds[i], int(f))
     return low, high
 
 
@@ -129,8 +132,8 @@ def _plain(ids, labels, vectors, anchor_ids, anchor_labels, queries, low, high,
                 yield int(anchor_ids[i]), s, d, -x
 
 
-def _found(k: int, same: bool):
-    schema = pa.schema([("anchor_id", pa.int64()), ("slot", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
+def _found(k: int, same: bool, kind: str):
+    schema = pa.schema([("anchor_id", pa.int64()), ("slot", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64() if kind == LONG else pa.decimal128(38, 0))])
 
     def run(vectors: pa.Table, anchors: pa.Table) -> pa.Table:
         if not vectors.num_rows or not anchors.num_rows:
@@ -156,21 +159,21 @@ def _found(k: int, same: bool):
                 mine = mine[np.lexsort((ids[c[mine]], -score[mine], q[mine]))]
                 first = np.searchsorted(q[mine], q[mine])
                 mine = mine[np.arange(len(mine)) - first < k]
-                out.append(pa.table({"anchor_id": anchor_ids[part][q[mine]], "slot": np.full(len(mine), s, np.int32), "vec_id": ids[c[mine]], "score": score[mine].astype(np.int64)}, schema=schema))
+                out.append(pa.table({"anchor_id": anchor_ids[part][q[mine]], "slot": np.full(len(mine), s, np.int32), "vec_id": ids[c[mine]], "score": pa.array(score[mine].astype(np.int64)).cast(schema.field("score").type)}, schema=schema))
         return pa.concat_tables(out)
 
     return run
 
 
-def _search(held: DataFrame, asked: DataFrame, shards: int, k: int, same: bool) -> DataFrame:
+def _search(held: DataFrame, asked: DataFrame, shards: int, k: int, same: bool, kind: str) -> DataFrame:
     """asked: dim, block, anchor_id, label, q, positives. Each range's k best: anchor_id, slot, vec_id, score, rank."""
     keys = ["dim", "shard", "block"]
 
     def search(frame: DataFrame) -> DataFrame:
         side = frame.select(*keys, "anchor_id", "label", "q", "positives", "floor")
-        return held.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInArrow(lambda a, b: _found(k, same)(a, b), "anchor_id bigint, slot int, vec_id bigint, score bigint")
+        return held.groupBy(*keys).cogroup(side.groupBy(*keys)).applyInArrow(lambda a, b: _found(k, same, kind)(a, b), f"anchor_id bigint, slot int, vec_id bigint, score {kind}")
 
-    home = asked.withColumn("shard", F.pmod(F.xxhash64("anchor_id"), F.lit(shards))).withColumn("floor", F.lit(None).cast("array<bigint>"))
+    home = asked.withColumn("shard", F.pmod(F.xxhash64("anchor_id"), F.lit(shards))).withColumn("floor", F.lit(None).cast(f"array<{kind}>"))
     kth = search(home).groupBy("anchor_id", "slot").agg(F.when(F.count("*") >= k, F.min("score")).alias("f"))
     floors = C.stage(kth.groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "f"))).alias("m")))  # a range is an entry
     ranges = F.sequence(F.lit(0), F.greatest(F.lit(1), F.coalesce(F.size("positives"), F.lit(1))) - 1)
@@ -180,22 +183,29 @@ def _search(held: DataFrame, asked: DataFrame, shards: int, k: int, same: bool)
     return search(every).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _largest(rows: DataFrame) -> tuple[int, int, float]:
+    """Number of rows, their most components, and the largest component's size."""
+    n, dim, top = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    return n, dim or 0, top or 0.0
+
+
 def mine(vectors: DataFrame, anchors: DataFrame, positives: int = 5, negatives: int = 10) -> DataFrame:
     """vectors: (vec_id bigint, label, v array<double> of whole numbers); anchors: (anchor_id, label, v), ids distinct.
 
     anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
     """
     spark = C.tune(vectors.sparkSession)
-    n, asked = vectors.count(), anchors.count()
+    (n, dim, top), (asked, _, top_asked) = _largest(vectors), _largest(anchors)
+    kind = LONG if top * top_asked * dim < 2.0**62 else WIDE
     shards = max(1, -(-n // SHARD_ROWS), min(C.parts(spark), -(-n // 256)))
     blocks = max(1, -(-asked // ANCHOR_BLOCK))
     placed = vectors.select("vec_id", F.col("label").cast("bigint").alias("label"), "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
     held = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     block = F.pmod(F.xxhash64("anchor_id", F.lit(3)), F.lit(blocks))
     base = anchors.select("anchor_id", F.col("label").cast("bigint").alias("label"), F.col("v").alias("q"), F.size("v").alias("dim"), block.alias("block"))
-    near = C.stage(_search(held, base.withColumn("positives", F.lit(None).cast("array<bigint>")), shards, positives, True))
+    near = C.stage(_search(held, base.withColumn("positives", F.lit(None).cast(f"array<{kind}>")), shards, positives, True, kind))
     scores = near.groupBy("anchor_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("positives"))
-    far = _search(held, base.join(scores, "anchor_id"), shards, negatives, False)
+    far = _search(held, base.join(scores, "anchor_id"), shards, negatives, False, kind)
     pairs = near.select("anchor_id", (F.col("rank") - 1).alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     return far.join(pairs, ["anchor_id", "slot"]).select("anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
@@ -209,4 +219,4 @@ def labelled(rows: DataFrame) -> DataFrame:
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = labelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     anchors = vectors.filter(F.col("vec_id") % 100 == 0).groupBy(F.col("vec_id").alias("anchor_id")).agg(F.min(F.struct("label", "v")).alias("least")).select("anchor_id", "least.label", "least.v")
-    return mine(vectors, anchors)
+    return mine(vectors, anchors).withColumns({c: F.col(c).cast("bigint") for c in ("positive_score", "negative_score")})
