@@ -143,6 +143,7 @@ def _sketch(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("reg", pa.binary())])
 
     def run(batches):
+        C.free()
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
             names = batch.column("doc_id")

@@ -11,7 +11,6 @@ rows give repeated rows; other columns of the input are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import itertools
@@ -315,7 +314,7 @@ def _edges(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
-@functools.lru_cache(2)
+@C.kept
 def cache(path: str) -> UnitCache:
     return UnitCache(path)
 

@@ -33,6 +33,8 @@ MAX_TOXIC, MAX_CLEAN, MIN_DOCS = 1500, 2500, 3
 SHARE, CHANCE = 0.016, 12.0
 #: Bytes of the stems that count beside whole words.
 STEMS = (4, 6)
+#: Bytes of text whose words are held at once (tens of bytes for each).
+BLOCK = 1 << 18
 ROUNDS, RATE, DECAY, BIAS = 200, 0.1, 2e-5, -8.0
 
 WORDLIKE = np.zeros(256, bool)
@@ -163,11 +165,12 @@ def _occurrences():
     schema = pa.schema([("word", pa.int64()), ("in_toxic", pa.int64()), ("in_clean", pa.int64())])
 
     def run(batches):
+        C.free()
         held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
             toxic = batch.column("toxic").to_numpy()
-            for i, j in C.blocks(buf, off):
+            for i, j in C.blocks(buf, off, BLOCK):
                 h, sentence, doc, _, _ = instances(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 owner = doc[sentence] if len(doc) else np.zeros(0, np.int64)
                 order = np.lexsort((owner, h))
@@ -175,6 +178,7 @@ def _occurrences():
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
                 bad = toxic[i:j][owner[new]]
                 held = _sums(*(np.concatenate(x) for x in zip(held, (h[new], bad, 1 - bad))))
+            C.trim()
         yield C.table_of(schema, word=held[0].view(np.int64), in_toxic=held[1], in_clean=held[2])
 
     return run
@@ -185,10 +189,11 @@ def _features(words: np.ndarray):
     schema = pa.schema([("toxic", pa.int32()), ("pairs", pa.binary()), ("silent", pa.int64())])
 
     def run(batches):
+        C.free()
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
             toxic = batch.column("toxic").to_pylist()
-            for i, j in C.blocks(buf, off):
+            for i, j in C.blocks(buf, off, BLOCK):
                 h, sentence, doc, _, _ = instances(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 at = np.minimum(np.searchsorted(words, h), len(words) - 1)
                 known = words[at] == h
@@ -203,6 +208,7 @@ def _features(words: np.ndarray):
                     pairs=[C.pack(pairs[a:b] - begin[k] * len(words)) for k, (a, b) in enumerate(zip(cut, cut[1:]))],
                     silent=np.bincount(doc, minlength=j - i) - speaking,
                 )
+            C.trim()
 
     return run
 
@@ -244,13 +250,15 @@ def _score(model, keep: pa.Schema):
     schema = pa.schema([*keep, ("score", pa.float64()), ("worst_start", pa.int64()), ("worst_end", pa.int64()), ("worst_score", pa.float64())])
 
     def run(batches):
+        C.free()
         m = model.value
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
-            for i, j in C.blocks(buf, off):
+            for i, j in C.blocks(buf, off, BLOCK):
                 s, a, b, p = m.score(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 kept = {f.name: batch.column(f.name).slice(i, j - i) for f in keep}
                 yield C.table_of(schema, **kept, score=np.clip(s, 0, 1), worst_start=a, worst_end=b, worst_score=p)
+            C.trim()
 
     return run
 
@@ -276,10 +284,12 @@ def reject(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame
     schema = to_arrow_schema(docs.schema)
 
     def run(batches):
+        C.free()
         for batch in batches:
             buf, off = C.texts_of(batch.column("text"))
-            keep = np.concatenate([shared.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i])[0] < threshold for i, j in C.blocks(buf, off)] or [np.zeros(0, bool)])
+            keep = np.concatenate([shared.value.score(buf[off[i] : off[j]], off[i : j + 1] - off[i])[0] < threshold for i, j in C.blocks(buf, off, BLOCK)] or [np.zeros(0, bool)])
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.filter(pa.array(keep)).columns, schema)], schema=schema)
+            C.trim()
 
     return docs.mapInArrow(run, docs.schema)
 
