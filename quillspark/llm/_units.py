@@ -36,6 +36,12 @@ class UnitTable:
         self.ids, self.used = np.empty(1 << 16, np.int32), 0
         self.text, self.text_used = np.empty(1 << 16, np.uint8), 0
 
+    def _hashes(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return X.exact_hashes(buf, begin, end)
+
+    def _unlike(self, a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return unlike(a, a_start, b, b_start, size)
+
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> X.U(64 - self.bits)).astype(np.int64)
 
@@ -84,13 +90,13 @@ class UnitTable:
         """(ids of all units one after another, how many each has) of the units buf[begin : end]. encode(i) gives (ids, counts) of those numbered i."""
         if self.used > self.limit or self.text_used > 8 * self.limit:
             self._empty()
-        h, length = X.exact_hashes(buf, begin, end), end - begin
+        h, length = self._hashes(buf, begin, end), end - begin
         at = self._find(h)
         hit = np.flatnonzero(at >= 0)
         same = self.text_size[at[hit]] == length[hit]
         differ = [hit[~same]]
         hit = hit[same]
-        differ.append(hit[unlike(buf, begin[hit], self.text, self.text_start[at[hit]].astype(np.int64), length[hit])])
+        differ.append(hit[self._unlike(buf, begin[hit], self.text, self.text_start[at[hit]].astype(np.int64), length[hit])])
         start, size = self.start[at].astype(np.int64), self.size[at].astype(np.int64)
         miss = np.flatnonzero(at < 0)
         if len(miss):
@@ -99,7 +105,7 @@ class UnitTable:
             same = length[miss] == length[head]
             differ.append(miss[~same])
             rest = np.flatnonzero(same & (miss != head))
-            differ.append(miss[rest][unlike(buf, begin[miss[rest]], buf, begin[head[rest]], length[miss[rest]])])
+            differ.append(miss[rest][self._unlike(buf, begin[miss[rest]], buf, begin[head[rest]], length[miss[rest]])])
             flat, counts = encode(miss[first])
             begins = self._store(new, buf, begin[miss[first]], length[miss[first]], flat, counts)
             start[miss], size[miss] = begins[inverse], counts[inverse]
@@ -109,3 +115,52 @@ class UnitTable:
             held = np.concatenate([held[: self.used], flat])
             start[odd], size[odd] = self.used + np.cumsum(counts) - counts, counts
         return held[X.ragged(start, size)], size
+
+
+#: Units up to so many bytes are hashed and compared as two words.
+SHORT = 16
+#: What a word keeps of spans of 0 to SHORT bytes.
+LOWER_BYTES = np.array([(1 << 8 * min(i, 8)) - 1 for i in range(SHORT + 1)], np.uint64)
+
+
+def words_at(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second 8 bytes of short spans as little-endian words, zeros behind their ends. buf holds SHORT bytes more than the spans."""
+    at = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    size = np.minimum(size, SHORT)
+    one, two, more = at[start] & LOWER_BYTES[size], np.zeros(len(start), np.uint64), np.flatnonzero(size > 8)
+    two[more] = at[start[more] + 8] & LOWER_BYTES[size[more] - 8]
+    return one, two
+
+
+class ShortUnitTable(UnitTable):
+    """A UnitTable for units that are mostly short: these are hashed and compared as words, longer ones as in UnitTable.
+
+    Buffers that it is called with end in SHORT bytes that belong to no unit.
+    """
+
+    def _hashes(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - begin
+        one, two = words_at(buf, begin, size)
+        h = one * X.U(X.RADIX)
+        h ^= h >> X.U(32)
+        h = (h + two) * X.U(0xD6E8FEB86659FD93)
+        h ^= h >> X.U(29)
+        h = (h + size.astype(np.uint64)) * X.U(0xA0761D6478BD642F)
+        long = np.flatnonzero(size > SHORT)
+        if len(long):
+            size = size[long]
+            last = np.cumsum(size)
+            h[long] = X.exact_hashes(buf[X.ragged(begin[long], size)], last - size, last)
+        return h
+
+    def _unlike(self, a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        (a1, a2), (b1, b2) = words_at(a, a_start, size), words_at(b, b_start, size)
+        odd = (a1 != b1) | (a2 != b2)
+        long = np.flatnonzero((size > SHORT) & ~odd)
+        odd[long[unlike(a, a_start[long], b, b_start[long], size[long])]] = True
+        return np.flatnonzero(odd)
+
+    def _store(self, h, buf, begin, length, flat, counts):
+        out = super()._store(h, buf, begin, length, flat, counts)
+        self.text = self._append(self.text, self.text_used, np.zeros(SHORT, np.uint8))  # words are read beyond the last unit's end
+        return out

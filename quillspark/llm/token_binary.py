@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import operator
 import os
 import zlib
 
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import _common as C
 from quillspark.llm import _text as X
-from quillspark.llm._units import UnitTable
+from quillspark.llm._units import SHORT, ShortUnitTable
 
 PRECISION = 22
 LOW = 1 << 31
 BLOCK = 1 << 17  # ids a block closes at
 LANES = 512
+#: Rows of lanes that are prepared at once; ids, about, of blocks that are coded side by side.
+STEPS, TOGETHER = 64, 1 << 21
 #: Bytes of text that one range of documents holds, about.
 RANGE_TEXT = 64 << 20
 
@@ -67,48 +70,121 @@ def frequencies(counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:
     return freq
 
 
+def encode_blocks(blocks: list[np.ndarray], freq: np.ndarray, cum: np.ndarray, precision: int = PRECISION) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(lanes, states, words) of each block; blocks don't meet, their lanes only step together.
+
+    The coder runs backwards, so that the decoder runs forwards. Places behind a block's end hold a symbol of the whole
+    range, which leaves a state as it is.
+    """
+    k, rows = len(blocks), max((-(-len(b) // LANES) for b in blocks), default=0)
+    shift, top, half = np.uint64(precision), np.uint64(31 - precision + 32), np.uint64(32)
+    f_of, c_of = np.append(freq, 1 << precision).astype(np.uint64), np.append(cum, 0).astype(np.uint64)
+    ids = np.full((k, rows * LANES), len(freq), np.int32)
+    for i, b in enumerate(blocks):
+        ids[i, : len(b)] = b
+    ids = ids.reshape(k, rows, LANES)
+    state = np.full((k, LANES), LOW, np.uint64)
+    low, full = np.empty((rows, k, LANES), np.uint32), np.empty((rows, k, LANES), bool)
+    q, r = np.empty_like(state), np.empty_like(state)
+    for end in range(rows, 0, -STEPS):
+        begin = max(0, end - STEPS)
+        f = f_of[ids[:, begin:end].transpose(1, 0, 2)]
+        c, most = c_of[ids[:, begin:end].transpose(1, 0, 2)], f << top
+        for row in range(end - 1, begin - 1, -1):
+            np.greater_equal(state, most[row - begin], out=full[row])
+            low[row] = state
+            np.multiply(full[row], half, out=r)
+            np.right_shift(state, r, out=state)
+            np.divmod(state, f[row - begin], out=(q, r))
+            np.left_shift(q, shift, out=q)
+            np.add(q, r, out=q)
+            np.add(q, c[row - begin], out=state)
+    out = []
+    for i, b in enumerate(blocks):
+        lanes = max(1, min(LANES, len(b)))
+        out.append((lanes, state[i, :lanes].copy(), low[:, i][full[:, i]]))
+    return out
+
+
 def encode_block(ids: np.ndarray, freq: np.ndarray, cum: np.ndarray, precision: int = PRECISION) -> tuple[int, np.ndarray, np.ndarray]:
-    """(lanes, states, words). The coder runs backwards, so that the decoder runs forwards."""
-    lanes = max(1, min(LANES, len(ids)))
-    state = np.full(lanes, LOW, np.uint64)
-    out: list[np.ndarray] = []
-    shift, top = np.uint64(precision), np.uint64(31 - precision + 32)
-    f_all, c_all = freq[ids].astype(np.uint64), cum[ids].astype(np.uint64)
-    for first in range((len(ids) - 1) // lanes * lanes if len(ids) else -1, -1, -lanes):
-        f, c = f_all[first : first + lanes], c_all[first : first + lanes]
-        x = state[: len(f)]
-        full = x >= (f << top)
-        if full.any():
-            out.append(x[full].astype(np.uint32))
-            x = np.where(full, x >> np.uint64(32), x)
-        q = x // f
-        state[: len(f)] = (q << shift) + (x - q * f) + c
-    return lanes, state, np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
+    """(lanes, states, words) of one block."""
+    return encode_blocks([ids], freq, cum, precision)[0]
 
 
-def decode_block(n: int, lanes: int, states: np.ndarray, words: np.ndarray, freq: np.ndarray, cum: np.ndarray, slot: np.ndarray, precision: int = PRECISION) -> np.ndarray:
-    """The n ids; slot maps each value below 2^precision to its id."""
-    out = np.empty(n, np.int32)
-    state, at = states.astype(np.uint64).copy(), 0
-    shift, mask, low = np.uint64(precision), np.uint64((1 << precision) - 1), np.uint64(LOW)
-    f64, c64 = freq.astype(np.uint64), cum.astype(np.uint64)
-    for first in range(0, n, lanes):
-        x = state[: min(lanes, n - first)]
+def decode_blocks(blocks: list[tuple[int, int, np.ndarray, np.ndarray]], freq: np.ndarray, cum: np.ndarray, slot: np.ndarray, precision: int = PRECISION) -> list[np.ndarray]:
+    """The ids of blocks given as (number of ids, lanes, states, words); slot maps each value below 2^precision to its id.
+
+    Rows that several blocks have in full are decoded side by side, the rest of each block alone.
+    """
+    width = max([1, *(b[1] for b in blocks)])
+    rows = [n // lanes if lanes == width else 0 for n, lanes, _, _ in blocks]
+    order = sorted(range(len(blocks)), key=lambda i: -rows[i])
+    rows = [rows[i] for i in order]
+    out = [np.empty(n, np.int32) for n, _, _, _ in blocks]
+    state = np.zeros((len(blocks), width), np.int64)  # states stay below 2^63
+    for j, i in enumerate(order):
+        state[j, : blocks[i][1]] = blocks[i][2].astype(np.int64)
+    sizes = np.array([len(blocks[i][3]) for i in order], np.int64)
+    words = np.concatenate([blocks[i][3] for i in order] or [np.zeros(0, np.uint32)])
+    at, limit = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    shift, mask = np.int64(precision), np.int64((1 << precision) - 1)
+    f_of, c_of = np.ascontiguousarray(freq, np.int64), np.ascontiguousarray(cum, np.int64)
+
+    def step(x: np.ndarray, first: int) -> np.ndarray:
+        """One row of the blocks first, first + 1 and so on: renews their states x and returns the ids."""
         low_bits = x & mask
         s = slot[low_bits]
-        out[first : first + len(x)] = s
-        x = f64[s] * (x >> shift) + low_bits - c64[s]
-        need = x < low
-        k = int(need.sum())
-        if k:
-            x[need] = (x[need] << np.uint64(32)) | words[at : at + k]
-            at += k
-        state[: len(x)] = x
-    if at != len(words):
-        raise ValueError("block does not end where its words do")
+        x >>= shift
+        x *= f_of[s]
+        x += low_bits
+        x -= c_of[s]
+        need = np.flatnonzero(x < LOW)
+        if len(need):
+            edge = np.searchsorted(need, np.arange(width, len(x) + 1, width)) if len(x) > width else np.array([len(need)])
+            count = np.diff(edge, prepend=0)
+            here = at[first : first + len(count)]
+            if (here + count > limit[first : first + len(count)]).any():
+                raise ValueError("block has fewer words than it needs")
+            x[need] = x[need] << 32 | words[np.repeat(here - edge + count, count) + np.arange(len(need))]
+            here += count
+        return s
+
+    done = 0
+    for wide in range(len(blocks), 0, -1):  # the blocks that still have full rows are the first ones
+        x = state[:wide].reshape(-1)
+        for begin in range(done, rows[wide - 1], STEPS):
+            held = [step(x, 0) for _ in range(begin, min(begin + STEPS, rows[wide - 1]))]
+            for j, part in enumerate(np.stack(held).reshape(len(held), wide, width).transpose(1, 0, 2)):
+                out[order[j]][begin * width : (begin + len(held)) * width] = part.reshape(-1)
+        done = max(done, rows[wide - 1])
+    for j, i in enumerate(order):
+        n, lanes, _, _ = blocks[i]
+        for first in range(rows[j] * width, n, lanes):
+            x = state[j, : min(lanes, n - first)]
+            out[i][first : first + len(x)] = step(x, j)
+        if at[j] != limit[j]:
+            raise ValueError("block does not end where its words do")
     return out
 
 
+def decode_block(n: int, lanes: int, states: np.ndarray, words: np.ndarray, freq: np.ndarray, cum: np.ndarray, slot: np.ndarray, precision: int = PRECISION) -> np.ndarray:
+    """The n ids of one block."""
+    return decode_blocks([(n, lanes, states, words)], freq, cum, slot, precision)[0]
+
+
+def groups(rows: list[dict], most: int):
+    """Runs of rows that hold at most so many ids if all were as long as the longest (a longer row is a run of its own)."""
+    held, longest = [], 0
+    for r in rows:
+        longest = max(longest, r["n_tokens"], LANES)
+        if held and (len(held) + 1) * longest > most:
+            yield held
+            held, longest = [], max(r["n_tokens"], LANES)
+        held.append(r)
+    if held:
+        yield held
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -126,7 +202,9 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 def char_class() -> np.ndarray:
     import regex
 
-    points = "".join(chr(i) if not 0xD800 <= i < 0xE000 else "!" for i in range(0x110000))
+    points = np.arange(0x110000, dtype="<u4")
+    points[0xD800:0xE000] = ord("!")
+    points = points.tobytes().decode("utf-32-le")
     out = np.zeros(0x110000, np.uint8)
     for kind, name in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\p{White_Space}+")):
         for m in regex.finditer(name, points):
@@ -134,6 +212,27 @@ def char_class() -> np.ndarray:
     return out
 
 
+def _split_suffixes(start: np.ndarray, text: np.ndarray, quote: np.ndarray, off: np.ndarray) -> None:
+    """Makes pieces of 's 't 're 've 'm 'll 'd where a piece begins with an apostrophe (quote); text: code points or bytes."""
+    if not len(quote):
+        return
+    n = len(text)
+    room = np.searchsorted(off, quote, side="right")
+    left = off[room] - quote - 1
+    c1 = text[np.minimum(quote + 1, n - 1)] * (left >= 1)
+    c2 = text[np.minimum(quote + 2, n - 1)] * (left >= 2)
+    size = np.zeros(len(quote), np.int64)
+    for suffix in SUFFIXES:
+        same = (c1 == ord(suffix[0])) & ((len(suffix) == 1) | (c2 == ord(suffix[-1])))
+        size = np.where((size == 0) & same, len(suffix), size)
+    quote, size = quote[size > 0], size[size > 0]
+    start[quote + 1] = False
+    start[quote[size == 2] + 2] = False
+    after = quote + 1 + size
+    start[after[after < n]] = True
+    # a blank after the suffix begins its own piece and takes what follows, as the mask already has it
+
+
 def pretokens(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Starts of the pieces that the byte-level pattern makes of texts given as code points (texts are not empty runs' sum)."""
     n = len(cp)
@@ -148,21 +247,44 @@ def pretokens(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     next_solid = np.concatenate([solid[1:], [False]]) & ~last
     start = first | (white & (~prev_white | next_solid)) | (solid & ~before & ~prev_blank)
     quote = np.flatnonzero((cp == 39) & (first | (np.concatenate([[OTHER], kind[:-1]]) != OTHER) & ~prev_blank))
-    if len(quote):  # 's 't 're 've 'm 'll 'd where a piece begins with the apostrophe
-        room = np.searchsorted(off, quote, side="right")
-        left = off[room] - quote - 1
-        c1 = cp[np.minimum(quote + 1, n - 1)] * (left >= 1)
-        c2 = cp[np.minimum(quote + 2, n - 1)] * (left >= 2)
-        size = np.zeros(len(quote), np.int64)
-        for suffix in SUFFIXES:
-            same = (c1 == ord(suffix[0])) & ((len(suffix) == 1) | (c2 == ord(suffix[-1])))
-            size = np.where((size == 0) & same, len(suffix), size)
-        quote, size = quote[size > 0], size[size > 0]
-        start[quote + 1] = False
-        start[quote[size == 2] + 2] = False
-        after = quote + 1 + size
-        start[after[after < n]] = True
-        # a blank after the suffix begins its own piece and takes what follows, as the mask above already has it
+    _split_suffixes(start, cp, quote, off)
+    return np.flatnonzero(start)
+
+
+@functools.lru_cache(1)
+def ascii_class() -> bytes:
+    return char_class()[:128].tobytes() + bytes(128)
+
+
+def piece_starts(buf: np.ndarray, raw: bytes, off: np.ndarray) -> np.ndarray:
+    """What pretokens finds, for texts given as UTF-8: the first bytes of the pieces. A character's later bytes have its class."""
+    n = len(buf)
+    kind = np.frombuffer(raw.translate(ascii_class()), np.uint8)
+    high = np.flatnonzero(buf >= 128)
+    if len(high):
+        leads = (buf[high] & 0xC0) != 0x80
+        classes = char_class()[np.frombuffer(buf[high].tobytes().decode().encode("utf-32-le"), np.uint32)]
+        kind = kind.copy()
+        kind[high] = classes[np.cumsum(leads) - 1]
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    white, blank = kind == WHITE, buf == 32
+    start = first[:-1].copy()
+    new = kind[1:] != kind[:-1]  # of another class than the character before
+    start[1:] |= new & (white[1:] | ~blank[:-1])
+    start[:-1] |= white[:-1] & ~white[1:] & ~first[1:-1]  # the last white character before a solid one
+    if len(high):
+        lead = high[leads]
+        wide = classes == WHITE  # white characters of several bytes
+        at, size = lead[wide], np.diff(np.append(np.flatnonzero(leads), len(high)))[wide]
+        after = np.minimum(at + size, n - 1)
+        start[high[~leads]] = False
+        start[at] |= (at + size < n) & ~white[after] & ~first[after]
+    quote = np.flatnonzero(buf == 39)
+    if len(quote):
+        before = np.maximum(quote - 1, 0)
+        quote = quote[first[quote] | (kind[before] != OTHER) & ~blank[before]]
+        _split_suffixes(start, buf, quote, off)
     return np.flatnonzero(start)
 
 
@@ -204,7 +326,7 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end_id, self.table = Tokenizer.from_file(path), end_id, UnitTable()
+        self.tokenizer, self.end_id, self.table = Tokenizer.from_file(path), end_id, ShortUnitTable()
         check_settings(json.loads(self.tokenizer.to_str()))
         self.model = self.tokenizer.model
         self.specials = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -218,9 +340,9 @@ class UnitEncoder:
         text = self.spell[buf[X.ragged(start, size)]].tobytes().decode("utf-32-le")
         last = np.cumsum(size)
         merge = self.model.tokenize
-        ids = [[t.id for t in merge(text[a:b])] for a, b in zip((last - size).tolist(), last.tolist())]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+        tokens = [merge(text[a:b]) for a, b in zip((last - size).tolist(), last.tolist())]
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.fromiter(map(operator.attrgetter("id"), itertools.chain.from_iterable(tokens)), np.int32, int(counts.sum())), counts
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with their end ids, and how many each text has."""
@@ -228,9 +350,7 @@ class UnitEncoder:
         if not len(buf):
             return np.full(n, self.end_id, np.int32), np.ones(n, np.int64)
         raw = buf.tobytes()
-        cp = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
-        at_byte = np.flatnonzero((buf & 0xC0) != 0x80)  # where each code point begins
-        start = at_byte[pretokens(cp, np.searchsorted(at_byte, off))]
+        start = piece_starts(buf, raw, off)
         end = np.append(start[1:], len(buf))
         odd = special_docs(raw, off, self.specials)
         bounds = np.searchsorted(start, off)  # pieces of each text
@@ -240,7 +360,8 @@ class UnitEncoder:
                 keep[bounds[d] : bounds[d + 1]] = False
             start, end = start[keep], end[keep]
             bounds = np.concatenate([[0], np.cumsum(keep)])[bounds]
-        ids, per = self.table(buf, start, end, lambda i: self.fresh(buf, start[i], end[i]))
+        wide = np.frombuffer(raw + bytes(SHORT), np.uint8)
+        ids, per = self.table(wide, start, end, lambda i: self.fresh(wide, start[i], end[i]))
         total = np.diff(np.concatenate([[0], np.cumsum(per)])[bounds]) + 1
         whole = {int(d): encode_doc(self.tokenizer, raw[off[d] : off[d + 1]].decode()) for d in odd}
         for d, p in whole.items():
@@ -321,10 +442,14 @@ def _encode(freq: bytes, vocab: int):
     def run(batches):
         f = C.unpack(freq, np.int64)
         cum = np.cumsum(f) - f
+
+        def coded(rows):
+            for part in groups(rows, TOGETHER):
+                ids = [C.unpack(r["ids"], np.uint32 if vocab > 65536 else np.uint16) for r in part]
+                yield from zip(part, ids, encode_blocks(ids, f, cum))
+
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = C.unpack(r["ids"], np.uint32 if vocab > 65536 else np.uint16)
-                lanes, states, words = encode_block(ids, f, cum)
+            for r, ids, (lanes, states, words) in coded(batch.to_pylist()):
                 yield C.table_of(schema, part=[r["part"]], block=[r["block"]], doc_ids=[r["doc_ids"]], lengths=[r["lengths"]], n_tokens=[r["n_tokens"]], lanes=[lanes], states=[states.tobytes()], words=[words.tobytes()], crc32=[zlib.crc32(ids.astype("<u4").tobytes())])
 
     return run
@@ -338,9 +463,13 @@ def _decode(freq: bytes, with_ids: bool):
         f = C.unpack(freq, np.int64)
         cum = np.cumsum(f) - f
         slot = np.repeat(np.arange(len(f), dtype=np.int32), f)
+
+        def opened(rows):
+            for part in groups(rows, TOGETHER):
+                yield from zip(part, decode_blocks([(r["n_tokens"], r["lanes"], np.frombuffer(r["states"], np.uint64), np.frombuffer(r["words"], np.uint32)) for r in part], f, cum, slot))
+
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = decode_block(r["n_tokens"], r["lanes"], np.frombuffer(r["states"], np.uint64), np.frombuffer(r["words"], np.uint32), f, cum, slot)
+            for r, ids in opened(batch.to_pylist()):
                 raw = ids.astype("<u4").tobytes()
                 if zlib.crc32(raw) != r["crc32"]:
                     raise ValueError(f"checksum of block {r['part']}/{r['block']} differs")
