@@ -18,6 +18,7 @@ null doc_ids come first. Ranges are cut by doc_id and that hash, so neither null
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import itertools
 import json
@@ -481,6 +482,18 @@ def _decode(freq: bytes, with_ids: bool):
     return run
 
 
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession):
+    """A query that runs inside removes its shuffle files when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0) -> str:
     """Encodes whole texts, appends end_id to each document and writes the dataset in folder out, by ascending doc_id."""
     from tokenizers import Tokenizer
@@ -490,7 +503,8 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = max(C.parts(spark), -(-C.text_bytes(slim) // RANGE_TEXT))
     ordered = slim.withColumn("mark", F.xxhash64("text")).repartitionByRange(n, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
-    staged = C.stage(ordered.drop("mark").mapInArrow(_tokenise(tokenizer_path, end_id, vocab), STAGED))
+    with _shuffles_go(spark):  # the texts' shuffle need not lie beside the ids and the files
+        staged = C.stage(ordered.drop("mark").mapInArrow(_tokenise(tokenizer_path, end_id, vocab), STAGED))
     hist = staged.filter("kind = 1").select("ids").coalesce(8).mapInArrow(_sum_counts(vocab), "ids binary").collect()
     counts = sum((C.unpack(r["ids"], np.int64) for r in hist), np.zeros(vocab, np.int64))
     freq = frequencies(counts)

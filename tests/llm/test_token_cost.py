@@ -78,3 +78,17 @@ def test_short_pieces_are_not_hashed_byte_by_byte(monkeypatch):
     summed.clear()
     code(np.frombuffer(raw[-1], np.uint8), np.array([0, len(raw[-1])]))
     assert sum(summed) == 0
+
+
+def test_the_shuffle_of_the_texts_goes_before_the_files_come(spark, small, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    held = lambda: {p: p.stat().st_size for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+    before, setting, after, stage = held(), spark.conf.get(name), [], token_binary.C.stage
+    monkeypatch.setattr(token_binary.C, "stage", lambda df: (stage(df), after.append((spark.conf.get(name), held())))[0])
+    token_binary.write_tokens(small, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"))
+    [(inside, files)] = after
+    assert sum(n for p, n in files.items() if p not in before) < 20_000 < sum(len(r["text"] or "") for r in small.select("text").collect())
+    assert inside == "true" and spark.conf.get(name) == setting
